@@ -149,33 +149,39 @@ def _has_letter(low: np.ndarray, at: np.ndarray, row: int) -> bool:
     return any(ch.isalpha() for ch in low[at[row] : at[row + 1]].tobytes().decode("utf-8", "replace"))
 
 
+_ASCII_LETTER = _LETTER.copy()
+_ASCII_LETTER[0x80:] = False
+
+
+def _guesses(m: Model, column: pa.Array) -> tuple[list[str], list[float]]:
+    """Language and score of each text of a column."""
+    names, scores = [], []
+    for _, _, raw, at in tc.row_chunks(column, max(1 << 16, tc.CHUNK_BYTES * 4 // max(4, len(m.langs)))):
+        low = tc.lower_ascii(raw)
+        marks = np.concatenate([[0], np.cumsum(_ASCII_LETTER[low])])
+        plain = marks[at[1:]] > marks[at[:-1]]
+        if not m.langs:
+            names += [UND] * len(plain)
+            scores += [0.0] * len(plain)
+            continue
+        sums, n = _doc_logs(m, raw, at)
+        sums *= np.minimum(1.0, 30.0 / np.maximum(n, 1))[:, None]
+        best = sums.argmax(axis=1)
+        share = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+        for r, k in enumerate(best):
+            ok = plain[r] or (n[r] > 0 and _has_letter(low, at, r))
+            names.append(m.langs[k] if ok else UND)
+            scores.append(float(share[r]) if ok else 0.0)
+    return names, scores
+
+
 def predict(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of each row with lang_pred and score, the share of the best language in all."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    most = max(1 << 16, tc.CHUNK_BYTES * 4 // max(4, len(model.langs)))
-    ascii_letter = np.zeros(256, bool)
-    ascii_letter[ord("a") : ord("z") + 1] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
-            names, scores = [], []
-            for _, _, raw, at in tc.row_chunks(b.column(b.num_columns - 1), most):
-                low = tc.lower_ascii(raw)
-                marks = np.concatenate([[0], np.cumsum(ascii_letter[low])])
-                plain = marks[at[1:]] > marks[at[:-1]]
-                if not m.langs:
-                    names += [UND] * len(plain)
-                    scores += [0.0] * len(plain)
-                    continue
-                sums, n = _doc_logs(m, raw, at)
-                sums *= np.minimum(1.0, 30.0 / np.maximum(n, 1))[:, None]
-                best = sums.argmax(axis=1)
-                share = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-                for r, k in enumerate(best):
-                    ok = plain[r] or (n[r] > 0 and _has_letter(low, at, r))
-                    names.append(m.langs[k] if ok else UND)
-                    scores.append(float(share[r]) if ok else 0.0)
+            names, scores = _guesses(shared.value, b.column(b.num_columns - 1))
             out = [b.column(k) for k in range(len(keep))] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(out, names=[*keep, "lang_pred", "score"])
 
@@ -189,3 +195,16 @@ def identify(documents: DataFrame, fold: int = 4, held: int = 2) -> DataFrame:
     docs = one_text_per_id(documents, "lang").withColumn("held_out", remainder(F.col("doc_id"), fold) == held)
     model = train(docs.filter("not held_out"))
     return predict(docs, model, ("doc_id", "held_out"))
+
+
+def recognised(documents: DataFrame) -> DataFrame:
+    """The documents whose language the model, learned from their own ``lang``, can tell: all but ``und``; a scan without shuffle."""
+    model = train(documents.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, _ = _guesses(shared.value, b.column(b.schema.get_field_index("text")))
+            yield b.filter(pa.array([x != UND for x in names], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checked_broadcast
+
 WORD = r"[^\x20\x09-\x0D]+"
 PASSES = 3
 BUCKETS = 4096
@@ -108,6 +110,18 @@ def _truncated(queue: DataFrame) -> DataFrame:
     return q.filter("whole").select("doc_id", "place", "size").union(part.select("doc_id", "place", "size"))
 
 
+def mixed(documents: DataFrame) -> DataFrame:
+    """The documents that the mix takes, with ``mix_size`` (words) and ``mix_taken`` (words taken, repeats counted).
+
+    The documents' columns come first; the ids taken are joined back by broadcast
+    while there are few of them, by shuffle beyond that.
+    """
+    mix = mix_sources(documents).filter("taken > 0")
+    mix = mix.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source"))
+    return documents.join(checked_broadcast(mix), on).drop("mix_id", "mix_source")
+
+
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
