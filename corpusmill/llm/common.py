@@ -156,3 +156,16 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
             break
         before = after
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+
+
+def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows of largest ``column``, at most ``most``, cut at a bin of its logarithm so that no ranking is gathered anywhere."""
+    bin_of = F.floor(F.log2(F.col(column).cast("double")) * 64)
+    bins = sorted(((r["b"], r["n"]) for r in counts.groupBy(bin_of.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    total, cut = 0, None
+    for b, n in bins:
+        total += n
+        if total > most:
+            break
+        cut = b
+    return counts.limit(0) if cut is None else counts.filter(bin_of >= cut)

@@ -3,7 +3,7 @@
 A word is a run of letters (ASCII letters, lower-cased, or bytes of other
 scripts).  Training counts words and byte n-grams (1 to 4, hashed to 2^16
 slots each, with a mark at a word's ends) per language over all training rows.
-The ``max_words`` most frequent words are known; a known word adds its log
+The most frequent words, ``max_words`` at most, are known; a known word adds its log
 frequency in each language.  In an unknown word every position adds the log
 frequency of the longest n-gram there that training has seen, and the word
 adds the mean over its positions.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcols as tc
-from .common import one_text_per_id, remainder
+from .common import most_frequent, one_text_per_id, remainder
 
 UND = "und"
 GRAMS = 4
@@ -107,7 +107,7 @@ def train(labelled: DataFrame, max_words: int = MAX_WORDS) -> Model:
         seen.append(table[n].sum(axis=1) > 0)
         grams.append(np.log((table[n] + 0.5) / (mass + 0.5 * max(1, seen[-1].sum()))).astype(np.float32))
     totals = {r["lang"]: r["c"] for r in per_key.filter("n = 0").select(F.explode("by").alias("x")).select("x.lang", "x.c").groupBy("lang").agg(F.sum("c").alias("c")).collect()}
-    best = per_key.filter("n = 0").orderBy(F.desc("total"), "key").limit(max_words).collect()
+    best = most_frequent(per_key.filter("n = 0"), "total", max_words).collect()
     per_key.unpersist()
     logs = np.zeros((len(best), len(langs)))
     for k, r in enumerate(best):

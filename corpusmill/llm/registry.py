@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, langid, licenses, mixing, pii, quality, vectors
+from . import decontam, jaccard, langid, licenses, maxent, mixing, pii, quality, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(_table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaked_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -46,7 +50,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_decontamination, op3_quality_classifier, op4_mixing, op5_nearest_neighbours, op6_ngram_jaccard, op7_language_id, op9_pii, op10_license_scan)
+    own = (op1_lm_scoring, op2_decontamination, op3_quality_classifier, op4_mixing, op5_nearest_neighbours, op6_ngram_jaccard, op7_language_id, op9_pii, op10_license_scan)
     return {f.__name__: f for f in own}
 
 
