@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, langid, licenses, maxent, mixing, pii, quality, vectors
+from . import decontam, jaccard, langid, licenses, maxent, mixing, pii, quality, suffixes, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removals(_table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_lm_scoring, op2_decontamination, op3_quality_classifier, op4_mixing, op5_nearest_neighbours, op6_ngram_jaccard, op7_language_id, op9_pii, op10_license_scan)
+    own = (op1_lm_scoring, op2_decontamination, op3_quality_classifier, op4_mixing, op5_nearest_neighbours, op6_ngram_jaccard, op7_language_id, op8_suffix_dedup, op9_pii, op10_license_scan)
     return {f.__name__: f for f in own}
 
 
