@@ -25,7 +25,8 @@ def train_articles(df: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def question_answers(df: DataFrame, question: str = "title_body", answer: str = "upvoted_answer") -> DataFrame:
-    return df.withColumn("text", T.joined(F.col(question), F.col(answer), "\n\n")).drop(question, answer).filter(T.in_band(F.col("text")))
+    gone = [c for c in (question, answer) if c != "text"]
+    return df.withColumn("text", T.joined(F.col(question), F.col(answer), "\n\n")).drop(*gone).filter(T.in_band(F.col("text")))
 
 
 def chunks(df: DataFrame, order: str, rows: int = 350_000, group: str | None = None, drop_remainder: bool = False) -> DataFrame:

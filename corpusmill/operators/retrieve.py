@@ -64,7 +64,7 @@ def ranked(rows: DataFrame, split: str, doc: str, k: int) -> DataFrame:
 
 
 def by_mean(sims: DataFrame, sizes: DataFrame, split: str, doc: str, p: float, k: int) -> DataFrame:
-    inside = Window.partitionBy(split).orderBy(F.desc("mean"), doc)
+    inside = Window.partitionBy(split).orderBy(F.desc("sim"), doc)
     top = sims.select(split, doc, F.col("mean").alias("sim")).withColumn("rn", F.row_number().over(inside)).filter(F.col("rn") <= k)
     top = top.join(F.broadcast(sizes), split).filter(F.col("rn") <= F.floor(F.lit(float(p)) * F.col("n") / 2))
     return top.orderBy(F.desc("sim"), split, doc).limit(k).select(split, doc, "sim")
