@@ -43,7 +43,7 @@ from .common import Scratch, one_text_per_id, pruned
 
 LENGTH = 100
 GRAM = 32
-HOT = 2048
+HOT = 512
 SORT_CONTEXTS = 2048
 SEGMENT = 1 << 21
 
