@@ -129,8 +129,35 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     """(node, component): the smallest node that edges (a, b) reach; alternating large-star and small-star steps.
 
     Each step is a grouped minimum and a join, so a node with any number of neighbours is spread over tasks.
+    Partitions join what they can on their own before each round, which saves rounds.
     """
 
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while root.setdefault(top, top) != top:
+                top = root[top]
+            while root[x] != top:
+                root[x], x = top, root[x]
+            return top
+
+        def stars() -> pa.RecordBatch:
+            nodes = [x for x in root if find(x) != x]
+            out = pa.record_batch({"a": pa.array(nodes, pa.int64()), "b": pa.array([find(x) for x in nodes], pa.int64())})
+            root.clear()
+            return out
+
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x, y = find(x), find(y)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+            if len(root) > 500_000:  # bounds the memory of a partition of any size
+                yield stars()
+        yield stars()
+
     def step(e: DataFrame, large: bool) -> DataFrame:
         if large:
             both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
@@ -149,7 +176,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     before = digest(now)
     for _ in range(rounds):
         then = now
-        now = scratch.keep(step(step(then, True), False), "edges")
+        now = scratch.keep(step(step(then.mapInArrow(local, "a long, b long"), True), False), "edges")
         scratch.drop(then)
         after = digest(now)
         if after == before:

@@ -59,10 +59,14 @@ def _batch_shingles(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.
 
 
 def levels(documents: DataFrame, size: int) -> np.ndarray:
-    """Per slot, how many times over twice the mean its count is, as a power of two; 1 MB whatever the input."""
+    """Per slot, how many times six standard deviations its count is over the mean, as a power of two; 1 MB whatever the input.
+
+    Slots of rare shingles only are about Poisson, so a shingle stands out once its own count is six times the
+    root of the mean; the mean of slots grows with the input, that bound with its root.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        total = np.zeros(1 << SLOT_BITS, dtype=np.float32)
         for b in batches:
             for _, _, _, s in _batch_shingles(b.column(0), size):
                 total += np.bincount(_slots(s), minlength=1 << SLOT_BITS)
@@ -71,8 +75,10 @@ def levels(documents: DataFrame, size: int) -> np.ndarray:
     total = summed_arrays(documents.select("text"), count)
     if total is None:
         return np.zeros(1 << SLOT_BITS, np.uint8)
-    usual = 2 * max(4.0, total.mean())
-    return np.where(total < usual, 0, np.log2(np.maximum(total, 1) / usual).astype(np.int64) + 1).astype(np.uint8)
+    total = total.astype(np.float64)
+    mean = max(4.0, float(np.median(total)))
+    over = (total - mean) / (6 * np.sqrt(mean))
+    return np.where(over < 1, 0, np.log2(np.maximum(over, 1)).astype(np.int64) + 1).astype(np.uint8)
 
 
 def _ordered(owner: np.ndarray, s: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
