@@ -1,0 +1,328 @@
+"""Each operator against brute force, and on tables with nulls, empty and long texts, ties, repeats and extra columns."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from corpusmill.llm import decontam, jaccard, langid, licenses, maxent, mixing, pii, quality, registry, suffixes, vectors
+
+from ..oracle import DATA, spark_rows, sql_rows
+
+SF = DATA / "sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, component string, h int"
+LONG = " ".join(f"w{k % 97}x{k % 13}" for k in range(9000))
+ODD = [
+    (1, None, None, None, None, 0.1, "c", 1),
+    (2, "", "en", "a", 0, 0.1, "c", 1),
+    (3, " \t\n", "en", "a", 3, None, None, None),
+    (4, "The cat sat on the mat and ran", "en", "a", 30, 0.1, "c", 1),
+    (5, "the CAT sat on the mat and ran", "en", "b", 30, 0.1, "c", 1),
+    (6, "der Hund und die Katze sind im Haus", "de", "b", 30, 0.1, "c", 1),
+    (7, LONG, "en", "b", len(LONG), 0.1, "c", 1),
+    (7, LONG, "en", "b", len(LONG), 0.1, "c", 1),
+    (8, LONG + " tail", "en", None, len(LONG) + 5, 0.1, "c", 1),
+    (9, "12345 +++ 678", "en", "a", 13, 0.1, "c", 1),
+    (10, "é😀 mail me: jane.doe@example.com or +1 (499) 555-6503, ip 10.0.0.255 card 4111 1111 1111 1111", "en", "a", 90, 0.1, "c", 1),
+    (None, "a row without id", "en", "a", 16, 0.1, "c", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def texts(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
+def rest(doc_id, n):
+    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % n
+
+
+@pytest.mark.parametrize("which", ["documents", "odd"])
+def test_scores_have_exact_base_and_beat_it(request, which):
+    df = request.getfixturevalue(which)
+    got = maxent.score(df).collect()
+    train = [t for i, t in texts(df) if rest(i, 7) != 2]
+    c = collections.Counter(w for t in train for w in [*words(t), None])
+    total, size = sum(c.values()), len(c)
+    want = collections.Counter()
+    for i, t in texts(df):
+        own = [*words(t), None]
+        want[i, rest(i, 7) == 2, len(own), sum(c[w] > 0 for w in own), total, round(sum(math.log10((c[w] + 1) / (total + size + 1)) for w in own), 5)] += 1
+    assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
+    assert all(np.isfinite(r.score) and r.score <= 0 for r in got)
+    if which == "documents":
+        held = [r for r in got if r.held_out]
+        assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_class_and_word_probabilities_add_up_to_one():
+    rng = np.random.default_rng(1)
+    m = maxent.Model(np.zeros(maxent.HEAD, np.int64), maxent.HEAD, np.arange(maxent.HEAD) // maxent.WIDTH, np.arange(maxent.HEAD) % maxent.WIDTH, np.log(np.full(maxent.CLASSES, 1 / maxent.CLASSES)).astype(np.float32), rng.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32), np.zeros((maxent.HEAD // maxent.WIDTH, maxent.WIDTH), np.float32), rng.normal(size=(maxent.ROWS, maxent.WIDTH)).astype(np.float32))
+    every = np.arange(-1, maxent.HEAD + maxent.TAILS)
+    before = [np.full(len(every), k, dtype=np.int64) for k in (5, 7, 9)]
+    assert np.exp(maxent.log_probabilities(m, every, before)).sum() == pytest.approx(1, abs=1e-4)
+
+
+@pytest.mark.parametrize("edit", [lambda t: t, str.upper, lambda t: t.replace(" ", "\n  "), lambda t: t[:40] + t[41:90] + "q" + t[90:]])
+def test_leaks_are_found_with_few_edits(spark, documents, edit):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    item = bench.orderBy("item_id").first()
+    clean = [(1, "Nothing to see here. " * 30), (2, None), (3, "")]
+    rows = [*clean, (4, "zz " * 400 + edit(item.text) + " yy" * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r.doc_id, r.item_ids) for r in decontam.leaked_documents(df, bench).collect()] == [(4, [item.item_id])]
+    assert sorted(r.doc_id for r in decontam.without_leaks(df, bench).collect()) == [1, 2, 3]
+
+
+def test_verbatim_items_are_all_found(spark, documents):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = {(i, b.item_id) for i, t in texts(documents) for b in bench.collect() if b.text in t}
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(documents, bench).collect()}
+    assert want <= got and len(got) <= len(want) + 1
+    assert decontam.without_leaks(documents, bench.limit(0)).count() == documents.count()
+
+
+def test_alignment_agrees_with_dynamic_programming():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        item = bytes(rng.integers(97, 100, 40).tolist())
+        region = bytearray(rng.integers(97, 100, 3).tolist()) + bytearray(item) + bytearray(rng.integers(97, 100, 4).tolist())
+        for _ in range(rng.integers(0, 4)):
+            region[rng.integers(3, 43)] = 122
+        best = np.zeros(len(region) + 1)
+        for ch in item:
+            new = np.empty_like(best)
+            new[0] = best[0] + 1
+            for k in range(1, len(best)):
+                new[k] = min(best[k - 1] + (region[k - 1] != ch), best[k] + 1, new[k - 1] + 1)
+            best = new
+        found = decontam.aligned(item, bytes(region), 4)
+        assert (found[0] if found else None) == (int(best.min()) if best.min() <= 4 else None)
+
+
+def test_quality_on_held_out_rows(spark):
+    sf = DATA / "sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.classify(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").filter("held_out").collect()
+    assert np.mean([r.predicted == r.quality for r in got]) > 0.9
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+
+
+def test_quality_of_odd_tables(spark, odd, none):
+    labels = spark.createDataFrame([(4, 1), (5, 0), (6, None), (4, 1)], "doc_id long, quality int")
+    assert quality.classify(odd, labels).count() == len(ODD)
+    assert quality.classify(odd, labels.limit(0)).select("score").distinct().collect()[0].score == pytest.approx(0.5)
+    assert quality.classify(none, labels).count() == 0
+
+
+def test_mix_of_odd_tables(odd, none):
+    got = {(r.doc_id, r.source): r for r in mixing.mix_sources(odd).collect()}
+    assert all(r.taken <= 3 * r.size for r in got.values())
+    assert got[1, None].taken == 0 and got[7, "b"].copies == 2
+    assert sum({r.source: r.target for r in got.values()}.values()) == pytest.approx(sum(r.size for r in got.values()))
+    assert mixing.mix_sources(none).count() == 0
+
+
+def test_mix_comes_near_its_targets(documents):
+    got = mixing.mix_sources(documents).groupBy("source").agg({"taken": "sum", "target": "max", "size": "max"}).collect()
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 2 * r["max(size)"] for r in got)
+
+
+def test_neighbours_are_nearly_all_found(spark):
+    e = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet")
+    got = collections.defaultdict(list)
+    for r in vectors.nearest(e).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    rows = e.select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    hits = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        best = [ids[k] for k in np.lexsort((ids, -s)) if k != q][:20]
+        hits += len(set(best) & {i for i, _ in got[ids[q]]})
+        assert all(v == pytest.approx(float(x[q] @ x[np.flatnonzero(ids == i)[0]]), abs=1e-9) for i, v in got[ids[q]])
+    assert hits >= 0.9 * 20 * len(got)
+
+
+def test_odd_vectors_take_no_part(spark):
+    rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (1, None), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, [1.0, 0.0]), (5, [1.0, 0.0]), (6, [0.5, 0.5]), (None, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in vectors.nearest(df).orderBy("rank").collect()] == [(0, 1, 4, 1.0), (0, 2, 5, 1.0), (0, 3, 6, 0.5)]
+    assert vectors.nearest(df.limit(0)).count() == 0
+
+
+def brute_components(rows):
+    sets = []
+    for i, t in rows:
+        w = words(t)
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()))
+    root = {i: i for i, _ in sets if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if i is not None and j is not None and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return sorted(((i, len(s), None if i is None else find(i)) for i, s in sets), key=repr)
+
+
+@pytest.mark.parametrize("which", ["documents", "odd", "none"])
+def test_components_are_those_of_all_pairs(request, which):
+    df = request.getfixturevalue(which)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_components(df).collect()), key=repr)
+    assert got == brute_components(texts(df))
+
+
+def test_components_of_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(5)
+    base = [f"t{k}" for k in rng.integers(0, 500, 120)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(rng.integers(0, 4)):
+            w[rng.integers(0, len(w))] = f"n{rng.integers(0, 9999)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_components(df).collect()]
+    assert sorted(got, key=repr) == brute_components(rows)
+
+
+def test_languages(spark, odd, none):
+    d = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    got = langid.identify(d).join(d.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.97
+    said = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(odd).collect()}
+    assert said[1] == said[2] == said[9] == ("und", 0.0) and said[6][0] != "und"
+    assert langid.identify(none).count() == 0
+    assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", odd.lang.substr(9, 1)).filter("doc_id = 1")).collect()} == {"und"}
+
+
+def brute_removals(rows, length=100):
+    seen, out = set(), []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - length + 1):
+            s = b[k : k + length]
+            if s in seen:
+                gone[k : k + length] = True
+            seen.add(s)
+        spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0]) if len(b) else 0
+        out.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("which", ["documents", "odd", "none"])
+def test_removals_are_those_of_brute_force(request, which):
+    df = request.getfixturevalue(which)
+    assert sorted((tuple(r) for r in suffixes.removals(df).collect()), key=repr) == brute_removals(texts(df))
+
+
+def test_removals_in_hot_groups_and_periodic_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 3)
+    passage = "A passage that very many of the documents share, over a hundred bytes of it so that it is removed. " * 2
+    rows = [(i, f"{'xyz' * (i % 5)}{i} begins {passage}and {i} ends.") for i in range(40)] + [(50, "ab" * 300), (51, "ab" * 200 + "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in suffixes.removals(df).collect()), key=repr) == brute_removals(rows)
+
+
+def brute_base(text):
+    out = []
+    kinds = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+    for kind, pattern in kinds:
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+            if kind == "email" or kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")) or kind == "card" and 13 <= len(digits) <= 19 and luhn or kind == "phone" and 9 <= len(digits) <= 15:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+@pytest.mark.parametrize("which", ["documents", "odd", "none"])
+def test_base_spans_are_those_of_the_patterns(request, which):
+    df = request.getfixturevalue(which)
+    got = sorted((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.find(df.filter("doc_id is not null")).collect())
+    want = []
+    for i, t in texts(df.filter("doc_id is not null")):
+        b = brute_base(t)
+        want.append((i, *(sum(x.startswith(k) for x in b) for k in pii.KINDS), hashlib.sha256(",".join(b).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("text", ["a@b.c@d.e", "x@y..z@q.w", "%%%@a.b", "1.2.3.4.5.6.7.8", "0256.1.1.1 256.1.1.1 00001.2.3.4", "+1-2" * 9, "@a.b", "a@b", "4111-1111-1111-1111 4", "1" * 5000])
+def test_base_spans_of_hard_texts(text):
+    base = pii.base_spans(text)
+    assert [f"{k}:{a}:{b}" for k in pii.KINDS for a, b in base[k]] == brute_base(text)
+
+
+def test_contexts_of_seeds_find_unseen_identifiers(spark):
+    rng = np.random.default_rng(9)
+    known = [(i, f'words then token = "{rng.bytes(20).hex()}" and more') for i in range(20)]
+    rows = [*known, (90, 'other words token = "ZX-99817-22341-Q" here'), (91, "order ZX-99817-22341-Q shipped"), (92, "plain text")]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[90] == "identifier:21:37" and got[91] == "" and got[92] == ""
+    assert "[IDENTIFIER]" in {r.doc_id: r.text for r in pii.masked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}[90]
+
+
+def test_licences_and_inheritance(spark):
+    rows = [
+        (1, "proj/LICENSE", "Released under the MIT License."),
+        (2, "proj/src/a.py", "print(1)\n" * 50),
+        (3, "proj/vendor/COPYING", "x " * 500 + "Licensed under the Apache License, Version 2.0."),
+        (4, "proj/vendor/deep/er/b.c", None),
+        (5, "other/c.txt", "no licence text in here, version of the work"),
+        (6, "proj/d.txt", "junk " * 3000 + "this work is licensed under the gnu general public license version 3 " + "junk " * 3000),
+        (7, None, ""),
+        (8, "top.txt", "Licensed under CC BY-NC 4.0."),
+        (8, "top.txt", "Licensed under CC BY-NC 4.0."),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.origin, r.license_dir) for r in licenses.scan(df).collect()}
+    assert got[1][:2] == ("MIT", "file") and got[2] == ("MIT", "inherited", "proj") and got[4] == ("Apache-2.0", "inherited", "proj/vendor")
+    assert got[6][:2] == ("GPL-3.0", "header") and got[8][0] == "CC-BY-NC-4.0"
+    assert licenses.scan(df).count() == len(rows) and licenses.scan(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_same_rows_as_sql(spark, name):
+    assert spark_rows(registry.queries()[name](spark, str(SF))) == sql_rows(registry.oracle_sql()[name], SF)
+
+
+def test_pipeline_stages(spark, documents):
+    import corpus_pipeline as p
+
+    out = {r.doc_id: r for r in p.run(spark, str(SF)).collect()}
+    bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [(i, t) for i, t in texts(documents) if any(ch.isalpha() for ch in t)]
+    heads = {c for _, _, c in brute_components(rows)}
+    clean = {i for i, t in rows if i in heads and not any(b in t for b in bench)}
+    assert set(out) <= clean and len(out) > len(clean) // 3
+    assert all(not brute_base(r.text) for r in out.values())
+    assert sum(r.mix_taken for r in out.values()) > 0
