@@ -12,12 +12,14 @@ gives each shingle a level, and within a level the fingerprint decides.
     globally ordered sets; every member walks the trie, sharing the overlap
     counted on common stems, and leaves a subtree as soon as the remaining
     lengths cannot reach the required overlap.
-4.  Pairs of documents that step 3 has not already joined and that share at
+4.  Texts that step 3 has left apart from most of a group are tried against the
+    group's hub in the same way.
+5.  Pairs of documents that are still not joined and that share at
     least min(L, a) prefix shingles go through the same tries.  Groups whose
     members are all joined already vanish here, so a group of copies of any
     size costs its length, not its square.
 
-Step 4 misses no pair: step 3 only saves work.  Components then come from
+Step 5 misses no pair: steps 3 and 4 only save work.  Components then come from
 alternating star steps on the links.
 
 Defined cases: null and blank texts have an empty set and are linked with
@@ -237,6 +239,20 @@ def _verified(pairs: DataFrame, documents: DataFrame, level, size: int, percent:
     return scratch.keep(grouped.applyInArrow(join, "a long, b long").filter("a <> b"), "links")
 
 
+def _open_groups(rows: DataFrame) -> DataFrame:
+    """Rows (h, doc_id, n, c) of groups with more than one component, with the component that most of a group has."""
+    group = Window.partitionBy("h")
+    rows = rows.withColumn("c1", F.min("c").over(group)).withColumn("c2", F.max("c").over(group)).filter("c1 < c2").select("h", "doc_id", "n", "c")
+    main = rows.groupBy("h", "c").count().groupBy("h").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+    return rows.join(main, "h")
+
+
+def _enough(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that met (d1, n2; d2, n) in enough groups to reach the overlap they need."""
+    met = met.groupBy(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")).agg(F.count("*").alias("k"), F.max(F.greatest("n", "n2")).alias("n"))
+    return met.filter(f"k >= least({SHARED}, ceil({percent} * n / 100.0))").select("a", "b")
+
+
 def link_components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), one row per input row."""
     docs = one_text_per_id(documents)
@@ -258,18 +274,25 @@ def link_components(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     near = near.select("doc_id", "n", F.lag("doc_id").over(chain).alias("d2"), F.lag("n").over(chain).alias("n2"))
     near = near.filter(f"d2 is not null and d2 <> doc_id and {fits}").select(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b")).distinct()
     first = _verified(near, docs, level, size, percent, scratch)
-    joined = checked_broadcast(scratch.keep(components(first, scratch), "joined"))
-
-    rows = heads.join(joined, heads.doc_id == joined.node, "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("c"), F.explode("prefix").alias("h"))
-    group = Window.partitionBy("h")
-    rows = scratch.keep(rows.withColumn("c1", F.min("c").over(group)).withColumn("c2", F.max("c").over(group)).filter("c1 < c2").select("h", "doc_id", "n", "c"), "open")
-    main = rows.groupBy("h", "c").count().groupBy("h").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-    rows = rows.join(main, "h")
-    few = rows.filter("c <> main").select("h", F.col("doc_id").alias("d1"), F.col("n").alias("n1"), F.col("c").alias("c1"))
+    joined = scratch.keep(components(first, scratch), "joined")
+    spread = heads.join(checked_broadcast(joined), heads.doc_id == joined.node, "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("c"), F.explode("prefix").alias("h"))
+    rows = scratch.keep(_open_groups(spread), "open")
+
+    # texts left over in a group are tried against its hub first, the text of the main component with most open groups:
+    # copies of one text link to it sooner than to each other
+    weight = rows.groupBy(F.col("doc_id").alias("w_id")).agg(F.count("*").alias("w"))
+    hubs = rows.filter("c = main").join(weight, F.col("doc_id") == F.col("w_id")).groupBy("h").agg(F.max_by(F.struct("doc_id", "n", "c"), F.struct("w", "doc_id")).alias("hub"))
+    few = rows.filter("c <> main").select("h", F.col("doc_id").alias("d1"), F.col("n").alias("n2"), F.col("c").alias("c1"))
+    tried = few.join(hubs.select("h", F.col("hub.doc_id").alias("d2"), F.col("hub.n").alias("n")), "h").filter(fits)
+    hub_links = _verified(_enough(tried, percent), docs, level, size, percent, scratch)
+    first = first.union(hub_links)
+    joined = scratch.keep(components(first, scratch), "joined")
+    rows = rows.drop("c", "main").join(checked_broadcast(joined), rows.doc_id == joined.node, "left").select("h", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+    rows = scratch.keep(_open_groups(rows), "open")
+
+    few = rows.filter("c <> main").select("h", F.col("doc_id").alias("d1"), F.col("n").alias("n2"), F.col("c").alias("c1"))
     other = rows.select("h", F.col("doc_id").alias("d2"), "n", F.col("c").alias("c2"), "main")
-    met = few.join(other, "h").filter("c1 <> c2 and (c2 = main or d1 < d2)").withColumnRenamed("n1", "n2").filter(fits)
-    met = met.groupBy(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")).agg(F.count("*").alias("k"), F.max(F.greatest("n", "n2")).alias("n"))
-    met = met.filter(f"k >= least({SHARED}, ceil({percent} * n / 100.0))").select("a", "b")
+    met = _enough(few.join(other, "h").filter("c1 <> c2 and (c2 = main or d1 < d2)").filter(fits), percent)
     second = _verified(met, docs, level, size, percent, scratch)
 
     edges = same.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(first).union(second)
