@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 from . import textcols as tc
 
 BROADCAST_ROWS = 2_000_000
+BATCH_ROWS = "1024"
+
+
+def tune(spark: SparkSession) -> None:
+    """Arrow batches of a size that keeps Python workers small with texts of any length."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -46,7 +46,7 @@ CHAIN_RANK = 16
 CHAIN_SALTS = 4
 CHUNK_DOCS = 128
 SEGMENT = 64
-SHINGLE_BYTES = 1 << 20
+SHINGLE_BYTES = 1 << 19
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
