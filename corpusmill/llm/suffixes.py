@@ -19,7 +19,10 @@ and about one position in 35 is an anchor.
     back from the text.  Suffixes of a group are sorted to depth ``length``,
     with positions breaking ties; LCPs and previous and next smaller positions
     then tell which strings repeat.  Groups over ``HOT`` contexts are settled by
-    grouped minima of string fingerprints instead, whose work is spread by key.
+    grouped minima of fingerprints instead, whose work is spread by key: strings
+    at ``BLOCK`` neighbouring places are handled as one.  If the stretch they
+    span together starts earlier too, all of them repeat; if the stretch they
+    have in common is found nowhere else, none does; the rest go one by one.
 3.  Covered runs are merged per document and cut out.
 
 Defined cases: null and empty texts lose nothing; texts are compared as UTF-8
@@ -44,6 +47,7 @@ from .common import Scratch, one_text_per_id, pruned
 LENGTH = 100
 GRAM = 32
 HOT = 512
+BLOCK = 8
 SORT_CONTEXTS = 2048
 SEGMENT = 1 << 21
 
@@ -215,35 +219,88 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.mapInArrow(run, "doc long, start int, end int")
 
 
-def _contexts(docs: DataFrame, open_: DataFrame, hot: bool, length: int) -> DataFrame:
-    """Bytes of open contexts, or for hot groups the fingerprints of all their strings."""
-    wanted = open_.groupBy("doc").agg(F.collect_list(F.struct("h", "start", "end")).alias("at"))
-    rows = pruned(docs.select("doc", "text"), "doc", open_, "doc").join(wanted, "doc")
+def _places(docs: DataFrame, open_: DataFrame) -> DataFrame:
+    """doc, text and the open contexts (h, start, end, pos) in it."""
+    wanted = open_.groupBy("doc").agg(F.collect_list(F.struct("h", "start", "end", "pos")).alias("at"))
+    return pruned(docs.select("doc", "text"), "doc", open_, "doc").join(wanted, "doc").select("doc", "text", "at")
+
+
+def _own_places(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, h, start, end, pos of the contexts of a batch, in pieces."""
+    flat = b.column(2).flatten()
+    columns = [flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("h", "start", "end", "pos")]
+    own = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy(zero_copy_only=False))
+    for lo in range(0, len(own), 1 << 13):
+        yield own[lo : lo + (1 << 13)], *(c[lo : lo + (1 << 13)] for c in columns)
+
+
+def _contexts(docs: DataFrame, open_: DataFrame) -> DataFrame:
+    """Bytes of open contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, at = tc.text_buffers(b.column(1))
-            places = b.column(2)
-            flat = places.flatten()
-            h, start, end = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("h", "start", "end"))
-            own = np.repeat(np.arange(b.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
-            for lo in range(0, len(h), 1 << 13):
-                o, s, e, hh = own[lo : lo + (1 << 13)], start[lo : lo + (1 << 13)].astype(np.int64), end[lo : lo + (1 << 13)].astype(np.int64), h[lo : lo + (1 << 13)]
-                if not hot:
-                    texts = [raw[at[r] + x : at[r] + y].tobytes() for r, x, y in zip(o, s, e, strict=True)]
-                    yield pa.record_batch({"h": pa.array(hh), "doc": b.column(0).take(pa.array(o)), "start": pa.array(s), "bytes": pa.array(texts, pa.binary())})
-                    continue
-                fits = np.maximum(0, e - s - length + 1)
-                which = np.repeat(np.arange(len(o)), fits)
-                place = s[which] + np.arange(len(which)) - np.repeat(np.cumsum(fits) - fits, fits)
-                strings = np.empty(len(which), dtype=np.uint64)
-                for r in np.unique(o[which]) if len(which) else []:
-                    mine = o[which] == r
-                    sums = tc.prefix_hash(raw[at[r] : at[r + 1]])
-                    strings[mine] = tc.span_hash(sums, place[mine], place[mine] + length)
-                yield pa.record_batch({"h": pa.array(tc.signed(strings)), "doc": b.column(0).take(pa.array(o[which])), "start": pa.array(place), "bytes": pa.array([None] * len(which), pa.binary())})
+            for own, h, start, end, _ in _own_places(b):
+                texts = [raw[at[r] + x : at[r] + y].tobytes() for r, x, y in zip(own, start, end, strict=True)]
+                yield pa.record_batch({"h": pa.array(h), "doc": b.column(0).take(pa.array(own)), "start": pa.array(start), "bytes": pa.array(texts, pa.binary())})
+
+    return _places(docs, open_).mapInArrow(run, "h long, doc long, start long, bytes binary")
 
-    return rows.select("doc", "text", "at").mapInArrow(run, "h long, doc long, start long, bytes binary")
+
+def blocks_of(raw: np.ndarray, pos: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Blocks of the strings around anchors of one text; a string at place k starts k bytes before its anchor.
+
+    Per block: number of its context, first place, number of strings, fingerprint of what its places have in common,
+    that of what they span, whether all its places are there; then the fingerprints of all strings.
+    """
+    low, high = np.maximum(0, length - (end - pos)), np.minimum(length - gram, pos - start)
+    n = np.where(low <= high, high // BLOCK - low // BLOCK + 1, 0)
+    which = np.repeat(np.arange(len(pos)), n)
+    number = low[which] // BLOCK + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    first, last = number * BLOCK, np.minimum(number * BLOCK + BLOCK - 1, length - gram)
+    own_first, own_last = np.maximum(first, low[which]), np.minimum(last, high[which])
+    p, whole, count = pos[which], (own_first == first) & (own_last == last), own_last - own_first + 1
+    sums = tc.prefix_hash(raw)
+    common = tc.mix(tc.span_hash(sums, p - first, p - last + length) + number.astype(np.uint64))
+    # blocks at the end of a text have no whole stretch; theirs is not used
+    spanned = tc.mix(tc.span_hash(sums, np.where(whole, p - last, p), np.where(whole, p - first + length, p)) + number.astype(np.uint64))
+    begin = np.repeat(p - own_first, count) - (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+    return which, own_first, count, common, spanned, whole, tc.span_hash(sums, begin, begin + length)
+
+
+def _blocks(docs: DataFrame, open_: DataFrame, length: int, gram: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, at = tc.text_buffers(b.column(1))
+            for own, _, start, end, pos in _own_places(b):
+                for r in np.unique(own):
+                    mine = np.flatnonzero(own == r)
+                    which, first, count, common, spanned, whole, strings = blocks_of(raw[at[r] : at[r + 1]], pos[mine], start[mine], end[mine], length, gram)
+                    offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(tc.signed(common)), pa.array(tc.signed(spanned), mask=~whole), b.column(0).take(pa.array(np.full(len(which), r))), pa.array(pos[mine][which]), pa.array(first), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tc.signed(strings)))],
+                        names=["common", "spanned", "doc", "pos", "place", "strings"],
+                    )
+
+    return _places(docs, open_).mapInArrow(run, "common long, spanned long, doc long, pos long, place long, strings array<long>")
+
+
+def _hot_runs(docs: DataFrame, open_: DataFrame, scratch: Scratch, length: int, gram: int) -> DataFrame:
+    """(doc, start, end) covered within groups of any size, by grouped minima."""
+    blocks = scratch.keep(_blocks(docs, open_, length, gram), "blocks")
+    here = F.struct("doc", "pos")
+    holder = blocks.filter("spanned is not null").groupBy("spanned").agg(F.min(here).alias("holder"))
+    marked = blocks.join(holder, "spanned", "left").withColumn("later", F.coalesce(here > F.col("holder"), F.lit(False)))
+    marked = scratch.keep(marked.select("common", "doc", "pos", "place", "strings", "later"), "marked")
+    whole = marked.filter("later").select("doc", (F.col("pos") - F.col("place") - F.size("strings") + 1).cast("int").alias("start"), (F.col("pos") - F.col("place") + length).cast("int").alias("end"))
+    # a later block has its holder among the others, so what they have in common is counted without it
+    others = marked.filter("not later")
+    shared = others.groupBy("common").count().filter("count > 1").select("common")
+    single = others.join(shared, "common", "left_semi").select("doc", "pos", "place", F.posexplode("strings").alias("k", "h"))
+    single = single.select("h", "doc", (F.col("pos") - F.col("place") - F.col("k")).alias("start")).distinct()
+    first = single.groupBy("h").agg(F.min(F.struct("doc", "start")).alias("first"))
+    again = single.join(first, "h").filter(F.struct("doc", "start") > F.col("first"))
+    return whole.union(again.select("doc", F.col("start").cast("int"), (F.col("start") + length).cast("int")))
 
 
 def covered(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -251,17 +308,14 @@ def covered(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int =
     rows = _anchor_rows(docs, length, gram)
     settled = scratch.keep(_settle(rows.repartition("h").sortWithinPartitions("h", "context", "doc", "pos")), "settled")
     plain = settled.filter("not open and end - start >= {}".format(length)).select("doc", "start", "end")
-    open_ = settled.filter("open and end - start >= {}".format(length)).select("h", "doc", "start", "end")
+    open_ = settled.filter("open and end - start >= {}".format(length)).select("h", "doc", "start", "end", "pos")
     heavy = open_.groupBy("h").count().filter(F.col("count") > HOT).select("h")
     few = open_.join(heavy, "h", "left_anti")
     many = open_.join(heavy, "h", "left_semi")
-    compared = _compare(_contexts(docs, few, False, length).repartition("h").sortWithinPartitions("h"), length)
+    compared = _compare(_contexts(docs, few).repartition("h").sortWithinPartitions("h"), length)
     parts = plain.union(compared)
     if heavy.limit(1).count():
-        strings = _contexts(docs, many, True, length).select("h", "doc", "start").distinct()
-        first = strings.groupBy("h").agg(F.min(F.struct("doc", "start")).alias("first"))
-        again = strings.join(first, "h").filter(F.struct("doc", "start") > F.col("first"))
-        parts = parts.union(again.select("doc", F.col("start").cast("int"), (F.col("start") + length).cast("int")))
+        parts = parts.union(_hot_runs(docs, many, scratch, length, gram))
     return parts
 
 
