@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +74,24 @@ def summed_arrays(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], n
             yield pa.record_batch({"a": pa.array([out.tobytes()], pa.binary()), "d": [out.dtype.str]})
 
     parts = df.mapInArrow(run, "a binary, d string").rdd.map(lambda r: np.frombuffer(bytes(r["a"]), dtype=r["d"]))
-    return parts.treeAggregate(None, _add, _add, depth=2)
+    return tree_reduced(parts, _add)
+
+
+def tree_reduced(values: RDD, add: Callable, fan: int = 8):
+    """One value from all partitions (None if there is none); the driver gets the last alone, no task over ``fan`` partitions'."""
+
+    def own(rows: Iterator) -> Iterator:
+        total = None
+        for x in rows:
+            total = add(total, x)
+        yield total
+
+    n, values = values.getNumPartitions(), values.mapPartitions(own)
+    while n > 1:
+        n = -(-n // fan)
+        values = values.mapPartitionsWithIndex(lambda i, rows, n=n: ((i % n, x) for x in rows)).reduceByKey(add, n).values()
+    out = values.collect()
+    return out[0] if out else None
 
 
 def _add(x: np.ndarray | None, y: np.ndarray | None) -> np.ndarray | None:
@@ -100,7 +118,7 @@ def bloom(ids: DataFrame, column: str) -> np.ndarray:
         yield pa.record_batch({"a": pa.array([build(batches).tobytes()], pa.binary())})
 
     rows = ids.select(F.col(column).cast("long")).mapInArrow(run, "a binary").rdd
-    out = rows.map(lambda r: np.frombuffer(bytes(r["a"]), np.uint8)).treeAggregate(None, merge, merge, depth=2)
+    out = tree_reduced(rows.map(lambda r: np.frombuffer(bytes(r["a"]), np.uint8)), merge)
     return np.zeros(1 << (BLOOM_BITS - 3), np.uint8) if out is None else out
 
 
