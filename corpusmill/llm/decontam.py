@@ -95,14 +95,17 @@ def aligned(item: bytes, region: bytes, edits: int) -> tuple[int, int] | None:
 
     The region holds the diagonals of one band and the budget at either side, so
     the table is banded by its width; places may begin and end anywhere in it.
+    It is shorter where the text begins or ends, down to too short for any place.
     """
+    if len(region) < len(item) - edits:
+        return None
     at = region.find(item)
     if at >= 0:
         return 0, at + len(item)
     if not edits:
         return None
     r = np.frombuffer(region, np.uint8)
-    width = len(region) - len(item) + edits + 1  # diagonals from the band's first to its last
+    width = len(region) - len(item) + 2 * edits + 1  # diagonals from the budget below the first place to that above the last
     step = np.arange(width)
     big = 1 << 20
     row = np.zeros(width, dtype=np.int64)
@@ -114,6 +117,7 @@ def aligned(item: bytes, region: bytes, edits: int) -> tuple[int, int] | None:
         new = np.where(ok, row + ~same, big)
         new[:-1] = np.minimum(new[:-1], row[1:] + 1)
         row = np.minimum(np.minimum.accumulate(new - step) + step, big)
+        row[at >= len(r)] = big  # past the region's end
         if row.min() > edits:
             return None
     best = int(row.argmin())

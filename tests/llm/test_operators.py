@@ -122,6 +122,33 @@ def test_alignment_agrees_with_dynamic_programming():
         assert (found[0] if found else None) == (int(best.min()) if best.min() <= 4 else None)
 
 
+def test_alignment_at_the_ends_of_texts_agrees_with_dynamic_programming():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        item = bytes(rng.integers(97, 100, 40).tolist())
+        lo, hi = sorted(rng.choice([0, 1, 2, 3, 4, 5, 20, 35, 36, 37, 38, 39, 40], 2, replace=False).tolist())
+        region = item[lo:hi] + bytes(rng.integers(97, 100, rng.integers(0, 3)).tolist())
+        best = np.zeros(len(region) + 1)
+        for ch in item:
+            new = np.empty_like(best)
+            new[0] = best[0] + 1
+            for k in range(1, len(best)):
+                new[k] = min(best[k - 1] + (region[k - 1] != ch), best[k] + 1, new[k - 1] + 1)
+            best = new
+        found = decontam.aligned(item, region, 4)
+        assert (found[0] if found else None) == (int(best.min()) if best.min() <= 4 else None)
+
+
+def test_texts_cut_within_an_item(spark):
+    item = " ".join(f"word{k}" for k in range(40))
+    m = len(item)
+    cut = [item[: m // 2], item[m // 2 :], "before it all " + item[: m // 2], item[m // 2 :] + " and after", "before it all " + item[:-3], item[3:] + " and after"]
+    df = spark.createDataFrame(list(enumerate(cut)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.find_leaks(df, bench).collect()) == [4, 5]
+    assert sorted(r.doc_id for r in decontam.without_leaks(df, bench).collect()) == [0, 1, 2, 3]
+
+
 def test_quality_on_held_out_rows(spark):
     sf = DATA / "sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
