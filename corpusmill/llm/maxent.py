@@ -12,9 +12,10 @@ to words training has not seen, so probabilities add up to at most 1.
 
 Weights are trained by distributed gradient updates: in each round every
 partition adds up gradients (observed less expected counts) and expected counts
-over every ``STRIDE``-th position of all its training texts, another residue
-each round; sums meet in a tree and each weight moves by its gradient over its
-curvature.  Texts are tokenised once into word numbers, and scored in numpy
+over its share of the positions of every training text, those whose place in the
+text has the round's residue modulo the number of rounds, so that the rounds
+together take each position once; sums meet in a tree and each weight moves by
+its gradient over its curvature.  Texts are tokenised once into word numbers, and scored in numpy
 batches of ``BATCH`` tokens over the sparse sets of active feature rows.
 
 Word counts, N and V cover all training texts.  Only tables of fixed size are
@@ -45,7 +46,6 @@ WIDTH = 64
 TAILS = 32
 ROWS = 1 << 13
 ROUNDS = 3
-STRIDE = 16
 BATCH = 1 << 11
 PIECE = 1 << 17
 DISCOUNT = 0.5
@@ -243,7 +243,13 @@ def _scatter(expected: np.ndarray, observed: np.ndarray, features: list[np.ndarr
         np.add.at(observed.reshape(-1), at + places, np.float32(1))
 
 
-def _round(m: Model, numbered: DataFrame, turn: int, stride: int) -> np.ndarray | None:
+def _turn(starts: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Positions whose place in their row has the round's residue: of each row, wherever pieces begin."""
+    place = np.arange(starts[-1]) - np.repeat(starts[:-1], np.diff(starts))
+    return np.flatnonzero(place % rounds == turn)
+
+
+def _round(m: Model, numbered: DataFrame, turn: int, rounds: int) -> np.ndarray | None:
     """Gradient and expected counts of both weight tables, over one residue of positions of all training texts."""
     shared = numbered.sparkSession.sparkContext.broadcast(m)
     sizes = (ROWS * CLASSES, ROWS * WIDTH)
@@ -252,8 +258,9 @@ def _round(m: Model, numbered: DataFrame, turn: int, stride: int) -> np.ndarray
         m = shared.value
         co, ce = np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, CLASSES), np.float32)
         wo, we = np.zeros((ROWS, WIDTH), np.float32), np.zeros((ROWS, WIDTH), np.float32)
-        for _, _, _, whole, around, _ in histories(batches, 0, m.tail_of):
-            whole, around = whole[turn::stride], [x[turn::stride] for x in around]
+        for _, _, _, whole, around, starts in histories(batches, 0, m.tail_of):
+            at = _turn(starts, turn, rounds)
+            whole, around = whole[at], [x[at] for x in around]
             for lo in range(0, len(whole), BATCH):
                 c, p = whole[lo : lo + BATCH], [x[lo : lo + BATCH] for x in around]
                 k, f = _classes(m, c), _features(p)
@@ -304,7 +311,7 @@ def _like_neighbours(numbered: DataFrame, tail_of: np.ndarray) -> np.ndarray:
     return np.concatenate(groups)
 
 
-def score(documents: DataFrame, fold: int = 7, held: int = 2, rounds: int = ROUNDS, stride: int = STRIDE) -> DataFrame:
+def score(documents: DataFrame, fold: int = 7, held: int = 2, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of whole texts)."""
     docs = one_text_per_id(documents).withColumn("held_out", remainder(F.col("doc_id"), fold) == held)
     scratch = Scratch(docs.sparkSession)
@@ -337,7 +344,7 @@ def score(documents: DataFrame, fold: int = 7, held: int = 2, rounds: int = ROUN
     word_bias[classes[real], slots[real]] = np.log(head_c[real] / np.maximum(1.0, class_mass[classes[real]]))
     model = Model(tail_of, len(known), classes, slots, class_bias.astype(np.float32), np.zeros((ROWS, CLASSES), np.float32), word_bias, np.zeros((ROWS, WIDTH), np.float32))
     for turn in range(rounds):
-        sums = _round(model, train, turn * 5 % stride, stride)
+        sums = _round(model, train, turn, rounds)
         if sums is None:
             break
         cg, ce, wg, we = sums

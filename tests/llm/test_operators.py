@@ -77,6 +77,15 @@ def test_scores_have_exact_base_and_beat_it(request, which):
         assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_every_training_position_enters_a_gradient(spark, documents, monkeypatch):
+    short = spark.createDataFrame([(1000 + k, f"only{k} two") for k in range(50)], "doc_id long, text string")
+    taken, one_round = [], maxent._round
+    monkeypatch.setattr(maxent, "_round", lambda *a: taken.append(one_round(*a)) or taken[-1])
+    total = maxent.score(documents.select("doc_id", "text").union(short)).first().train_tokens
+    observed, expected = (sum(x.astype(float).sum() for x in part) for part in zip(*((t[0] + t[1], t[1]) for t in taken), strict=True))
+    assert observed == pytest.approx(4 * total, rel=1e-4) and expected == pytest.approx(4 * total, rel=1e-3)
+
+
 def test_class_and_word_probabilities_add_up_to_one():
     rng = np.random.default_rng(1)
     m = maxent.Model(np.zeros(maxent.HEAD, np.int64), maxent.HEAD, np.arange(maxent.HEAD) // maxent.WIDTH, np.arange(maxent.HEAD) % maxent.WIDTH, np.log(np.full(maxent.CLASSES, 1 / maxent.CLASSES)).astype(np.float32), rng.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32), np.zeros((maxent.HEAD // maxent.WIDTH, maxent.WIDTH), np.float32), rng.normal(size=(maxent.ROWS, maxent.WIDTH)).astype(np.float32))
