@@ -1,7 +1,9 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
 A word is a run of ASCII letters and digits or bytes of other scripts, lower-cased.  Inverse document frequencies
-of all template words are counted over all files.  A template's anchors are its
+of all template words are counted over all files.  Templates are of two kinds:
+notices, standard headers and short licences are looked for anywhere in a file;
+long licences are compared with whole files only.  A template's anchors are its
 rarest words, chosen so that a text without any anchor cannot reach the
 threshold (the other words' share of the template's length is below it).  Every
 place of an anchor in a file, wherever it stands, proposes the window that lines
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +38,10 @@ THRESHOLD = 0.8
 FILE_THRESHOLD = 0.8
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.\-_].*)?$"
 
-# One-sentence notices of common public licences.
+# One-sentence notices of common public licences; whole texts and standard headers are in licence_texts.
 TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
@@ -52,6 +54,12 @@ TEMPLATES = {
 }
 
 
+def licence_texts(kind: str) -> dict[str, str]:
+    """Standard headers and short licences (kind header), or long licences (kind file); what follows # tells versions of a text apart."""
+    folder = resources.files(__package__) / "licence_texts" / kind
+    return {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in folder.iterdir() if f.name.endswith(".txt")}
+
+
 @dataclass
 class Model:
     names: list[str]
@@ -59,6 +67,10 @@ class Model:
     terms: tc.HashIndex
     idf: np.ndarray  # one more entry: words of no template
     anchors: list[dict[int, list[int]]]  # per template: term -> places
+    long_names: list[str]
+    long: np.ndarray  # long licences x terms, of length 1
+    strong: np.ndarray  # whether a term is an anchor of any template
+    placed: np.ndarray  # whether it is one of a template that is looked for anywhere
 
 
 def _template_terms(templates: dict[str, str]) -> list[np.ndarray]:
@@ -69,8 +81,12 @@ def _template_terms(templates: dict[str, str]) -> list[np.ndarray]:
     return out
 
 
-def train(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> Model:
-    hashes = _template_terms(templates)
+def train(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> Model:
+    """Templates as given, all looked for anywhere, or all that are built in."""
+    whole = licence_texts("file") if templates is None else {}
+    if templates is None:
+        templates = {**{f"{k}#notice": v for k, v in TEMPLATES.items()}, **licence_texts("header")}
+    hashes = _template_terms(templates) + _template_terms(whole)
     terms = np.unique(np.concatenate(hashes))
     index = tc.HashIndex(terms)
 
@@ -93,11 +109,20 @@ def train(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: fl
     for path in paths:
         u, tf = np.unique(path, return_counts=True)
         mass = (tf * idf[u]) ** 2
-        order = np.argsort(-mass, kind="stable")
+        order = np.argsort(-idf[u], kind="stable")
         rest = 1 - np.cumsum(mass[order]) / mass.sum()
         need = int(np.argmax(rest < threshold**2)) + 1
         anchors.append({int(t): np.flatnonzero(path == t).tolist() for t in u[order[:need]]})
-    return Model(sorted(templates), paths, index, idf, anchors)
+    n = len(templates)
+    strong, placed = np.zeros(len(idf), dtype=bool), np.zeros(len(idf), dtype=bool)
+    for k, a in enumerate(anchors):
+        strong[list(a)] = True
+        if k < n:
+            placed[list(a)] = True
+    long = np.array([np.bincount(p, minlength=len(terms)) * idf[:-1] for p in paths[n:]]).reshape(-1, len(terms))
+    long /= np.linalg.norm(long, axis=1, keepdims=True)
+    base = lambda x: [k.split("#")[0] for k in sorted(x)]
+    return Model(base(templates), paths[:n], index, idf, anchors[:n], base(whole), long, strong, placed)
 
 
 def cosine(m: Model, template: np.ndarray, window: np.ndarray) -> float:
@@ -108,25 +133,33 @@ def cosine(m: Model, template: np.ndarray, window: np.ndarray) -> float:
     return float(a @ b / norm) if norm else 0.0
 
 
-def _best(m: Model, ids: np.ndarray) -> tuple[int, float, int, float]:
-    """Best template and cosine over windows, and over the whole file."""
-    header, file = (-1, 0.0), (-1, 0.0)
-    there = {int(t): np.flatnonzero(ids == t) for t in np.unique(ids[ids >= 0])}
+def _best(m: Model, ids: np.ndarray) -> tuple[str | None, float, str | None, float]:
+    """Best licence and cosine over windows, and over the whole file."""
+    header, file = (None, 0.0), (None, 0.0)
+    there: dict[int, list[int]] = {}
+    for p in np.flatnonzero(m.placed[ids]).tolist():
+        there.setdefault(int(ids[p]), []).append(p)
     for k, path in enumerate(m.paths):
         n, tried, near = len(path), set(), False
         for term, places in m.anchors[k].items():
             for p in there.get(term, ()):
                 near = True
                 for place in places:
-                    start = max(0, int(p) - place)
+                    start = max(0, p - place)
                     if start in tried:
                         continue
                     tried.add(start)
                     c = cosine(m, path, ids[start : start + n])
                     if c > header[1] + 1e-12:
-                        header = (k, c)
+                        header = (m.names[k], c)
         if near and (c := cosine(m, path, ids)) > file[1] + 1e-12:
-            file = (k, c)
+            file = (m.names[k], c)
+    if len(m.long):
+        b = np.bincount(ids[ids >= 0], minlength=len(m.idf) - 1) * m.idf[:-1]
+        c = m.long @ b / np.sqrt(b @ b + np.count_nonzero(ids < 0) * m.idf[-1] ** 2)
+        k = int(c.argmax())
+        if c[k] > file[1] + 1e-12:
+            file = (m.long_names[k], float(c[k]))
     return *header, *file
 
 
@@ -136,27 +169,23 @@ def own_licences(files: DataFrame, m: Model, threshold: float = THRESHOLD) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        strong = np.zeros(len(m.idf), dtype=bool)
-        for a in m.anchors:
-            strong[list(a)] = True
-        strong[-1] = False
         for b in batches:
             own, cos, whole = [None] * b.num_rows, [0.0] * b.num_rows, [0.0] * b.num_rows
             for i, _, raw, at in tc.row_chunks(b.column(2)):
                 h, rows = tc.words(*normalise(raw, at))
                 ids = m.terms.find(h)
-                hit = np.flatnonzero(strong[ids])
+                hit = np.flatnonzero(m.strong[ids])
                 for r in np.unique(np.searchsorted(rows, hit, "right") - 1):
                     k, c, fk, fc = _best(m, ids[rows[r] : rows[r + 1]])
                     if max(c, fc) >= threshold:
-                        own[i + r] = m.names[k if c >= fc else fk]
+                        own[i + r] = k if c >= fc else fk
                     cos[i + r], whole[i + r] = max(c, fc), fc
             yield pa.record_batch({"doc_id": b.column(0), "path": b.column(1), "own": pa.array(own, pa.string()), "cosine": cos, "file_cosine": whole})
 
     return files.mapInArrow(run, "doc_id long, path string, own string, cosine double, file_cosine double")
 
 
-def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, path, license, cosine, origin (header, file, inherited, none), license_dir."""
     files = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     own = own_licences(files, train(files, templates, threshold), threshold)

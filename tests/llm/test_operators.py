@@ -346,6 +346,17 @@ def test_licences_and_inheritance(spark):
     assert licenses.scan(df).count() == len(rows) and licenses.scan(df.limit(0)).count() == 0
 
 
+def test_whole_licences_and_standard_headers(spark):
+    both = {kind: licenses.licence_texts(kind) for kind in ("file", "header")}
+    rows = [(f"{kind}{k}/{name}/LICENSE", name.split("#")[0], "Copyright (c) 2019 Some Body and others\n\n" + text) for kind, v in both.items() for k, (name, text) in enumerate(sorted(v.items()))]
+    code = "".join(f"x{k} = y{k} + {k}\n" for k in range(400))
+    rows += [(f"code/{k}.py", name.split("#")[0], code + "# " + text.replace("\n", "\n# ") + "\n" + code) for k, (name, text) in enumerate(sorted(both["header"].items()))]
+    rows.append(("none/a.py", None, code))
+    df = spark.createDataFrame([(k, p, t) for k, (p, _, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.path: r.license for r in licenses.scan(df).collect()}
+    assert got == {p: name for p, name, _ in rows}
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_rows_as_sql(spark, name):
     assert spark_rows(registry.queries()[name](spark, str(SF))) == sql_rows(registry.oracle_sql()[name], SF)
