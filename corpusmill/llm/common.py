@@ -9,12 +9,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import textcols as tc
 
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 16 << 20
+ROW_BYTES = 64
 BATCH_ROWS = "1024"
 
 
@@ -24,9 +25,12 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (tests), a temporary one."""
+    """The cluster's shared folder; where none is named, a temporary one in local mode (tests), an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -43,11 +47,26 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a kept table that nothing will read again, and let shuffles that fed it go."""
-        for f in df.inputFiles()[:1]:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *kept: DataFrame) -> None:
+        """Delete kept tables that nothing will read again."""
+        for df in kept:
+            for f in df.inputFiles()[:1]:
+                self._delete(self.spark._jvm.org.apache.hadoop.fs.Path(f).getParent())
+
+    def close(self) -> None:
+        """Delete all tables of this scratch, once what was made of them is written."""
+        self._delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.root))
+
+    def _delete(self, path) -> None:
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as it takes to clash with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def one_text_per_id(documents: DataFrame, *more: str) -> DataFrame:
@@ -60,9 +79,18 @@ def remainder(column: Column, n: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side of two or three short columns if it has at most ``most`` rows; else leave the shuffle join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def checked_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a kept table if its rows, with their strings, take at most ``most`` bytes; else leave the shuffle join.
+
+    The driver holds a broadcast table as well, so the bound does not grow with the cluster.
+    """
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    size = F.lit(ROW_BYTES)
+    for w in wide:
+        size = size + w
+    if not wide:
+        return F.broadcast(df) if df.limit(most // ROW_BYTES + 1).count() * ROW_BYTES <= most else df
+    return F.broadcast(df) if (df.select(F.sum(size)).first()[0] or 0) <= most else df
 
 
 def summed_arrays(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray | None:
@@ -149,11 +177,15 @@ def pruned(df: DataFrame, key: str, ids: DataFrame, column: str) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+COMPONENT_ROUNDS = 100
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component): the smallest node that edges (a, b) reach; alternating large-star and small-star steps.
 
     Each step is a grouped minimum and a join, so a node with any number of neighbours is spread over tasks.
-    Partitions join what they can on their own before each round, which saves rounds.
+    Partitions join what they can on their own before each round, which saves rounds.  Rounds go on until the
+    edges, told by their number and the sum of their 64-bit fingerprints, no longer change.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,30 +214,33 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
                 yield stars()
         yield stars()
 
-    def step(e: DataFrame, large: bool) -> DataFrame:
-        if large:
-            both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-            least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-            out = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        else:
-            down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-            least = down.groupBy("u").agg(F.min("v").alias("m"))
-            out = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return out.filter("a <> b").distinct()
-
-    def digest(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.col("b") % 1_000_003)).first())
-
-    now = scratch.keep(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    before = digest(now)
-    for _ in range(rounds):
+    def large_star(e: DataFrame) -> DataFrame:
+        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+
+    def small_star(e: DataFrame) -> DataFrame:
+        down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        return down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+
+    def kept(e: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        e = e.filter("a <> b").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s"))
+        return scratch.keep(e, "edges"), tuple(seen.get.values())
+
+    now, before = kept(edges.select("a", "b").mapInArrow(local, "a long, b long"))
+    for _ in range(COMPONENT_ROUNDS):
+        if not before[0]:
+            break
         then = now
-        now = scratch.keep(step(step(then.mapInArrow(local, "a long, b long"), True), False), "edges")
+        now, after = kept(small_star(large_star(then)).mapInArrow(local, "a long, b long"))
         scratch.drop(then)
-        after = digest(now)
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components did not settle in {COMPONENT_ROUNDS} rounds")
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 

@@ -5,27 +5,32 @@ one global order, rare shingles first: a count of all shingles in 2^20 slots
 gives each shingle a level, and within a level the fingerprint decides.
 
 1.  Equal sets form classes; only the smallest id of each class goes on.
-2.  Two sets with overlap >= a share at least min(L, a) shingles among their
-    first |x| - ceil(t |x|) + L ones, so only these prefixes are shuffled.
-3.  Neighbours in prefix groups (a chain, not pairs) form candidate clusters.
-    Each cluster, in chunks of bounded size, is loaded into a trie over its
-    globally ordered sets; every member walks the trie, sharing the overlap
-    counted on common stems, and leaves a subtree as soon as the remaining
-    lengths cannot reach the required overlap.
-4.  Texts that step 3 has left apart from most of a group are tried against the
-    group's hub in the same way.
-5.  Pairs of documents that are still not joined and that share at
-    least min(L, a) prefix shingles go through the same tries.  Groups whose
-    members are all joined already vanish here, so a group of copies of any
-    size costs its length, not its square.
-
-Step 5 misses no pair: steps 3 and 4 only save work.  Components then come from
-alternating star steps on the links.
+2.  Similar sets share a shingle among their first |x| - ceil(t |x|) + 1 ones,
+    so sets meet in the groups of these prefix shingles.  With each set goes an
+    odd sketch: bits that hold the parity of the shingles hashed to them.  The
+    bits in which two sketches differ are never more than the shingles in which
+    the sets differ, so a pair with too many of them is dissimilar for sure.
+3.  Neighbours within groups, a few in hash order, not pairs, are candidates.
+    Candidate clusters, in chunks of bounded size, are loaded into tries over
+    their globally ordered sets; every member walks the trie, sharing the
+    overlap counted on common stems, and leaves a subtree as soon as the
+    remaining lengths cannot reach the required overlap.
+4.  Groups whose members are not all joined by then are looked into: sets
+    outside a group's main component are held against all its sets, by sketches
+    in memory.  First each set's nearest candidate in each other component goes
+    through the tries, which joins most of what is left; then all candidates do
+    that are still apart.  Pairs become rows only if their sketches allow it.
+
+Step 4 misses no pair: step 3 only saves work, and groups whose members are all
+joined vanish before it, so a group of copies of any size costs its length, not
+its square.  Groups over ``CELL`` rows are dealt to cells of at most that many
+sets on either side.  Components come from alternating star steps on the links.
 
 Defined cases: null and blank texts have an empty set and are linked with
 nothing; fewer than ``size`` words give one shingle of the whole sequence;
 rows with one doc_id are one node with the links of each of its texts; a row
-with a null doc_id has a null component; an empty table gives no rows.
+with a null doc_id has a null component; an empty table gives no rows; other
+columns, whatever their names, are left behind (``one_of_each`` keeps them all).
 """
 
 from __future__ import annotations
@@ -34,19 +39,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcols as tc
-from .common import Scratch, bloom, bloom_has, checked_broadcast, components, one_text_per_id, summed_arrays
+from .common import Scratch, bloom, bloom_has, checked_broadcast, components, fresh, one_text_per_id, summed_arrays
 
 SLOT_BITS = 20
-SHARED = 8
-CHAIN_RANK = 16
-CHAIN_SALTS = 4
+CHAIN_RANK = 8
+CHAIN_LAGS = 3
 CHUNK_DOCS = 128
+CELL = 4096
 SEGMENT = 64
 SHINGLE_BYTES = 1 << 19
+NARROW, WIDE, WIDE_FROM = 512, 4096, 300
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -93,8 +99,25 @@ def _ordered(owner: np.ndarray, s: np.ndarray, level: np.ndarray) -> tuple[np.nd
     return owner, s
 
 
+def odd_sketches(owner: np.ndarray, s: np.ndarray, rows: int, n: np.ndarray) -> list[bytes]:
+    """A bit for each slot that an odd number of the row's shingles has; sets over ``WIDE_FROM`` have more slots."""
+    slot = ((s >> np.uint64(20)) & np.uint64(WIDE - 1)).astype(np.int64)
+    out: list[bytes] = [b""] * rows
+    for bits, mine in ((NARROW, n <= WIDE_FROM), (WIDE, n > WIDE_FROM)):
+        which = np.flatnonzero(mine)
+        place = np.cumsum(mine) - 1
+        for lo in range(0, len(which), 1 << 10):
+            part = which[lo : lo + (1 << 10)]
+            here = (owner >= part[0]) & (owner <= part[-1]) & mine[owner]
+            odd = np.bincount((place[owner[here]] - lo) * bits + slot[here] % bits, minlength=len(part) * bits) & 1
+            packed = np.packbits(odd.astype(bool).reshape(len(part), bits), axis=1)
+            for r, x in zip(part, packed, strict=True):
+                out[r] = x.tobytes()
+    return out
+
+
 def profiles(documents: DataFrame, level, size: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the whole set, and the set's prefix in global order."""
+    """doc_id, n_shingles, two fingerprints of the whole set, the set's prefix in global order and its odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,13 +127,69 @@ def profiles(documents: DataFrame, level, size: int, percent: int) -> DataFrame:
                 first = np.concatenate([[0], np.cumsum(n)])
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(tc.mix(s * np.uint64(k)))]) for k in (3, 5)]
                 a, c = (x[first[1:]] - x[first[:-1]] for x in sums)
-                length = np.minimum(n, n - -(-percent * n // 100) + SHARED)
+                length = np.minimum(n, n - -(-percent * n // 100) + 1)
                 keep = np.arange(len(s)) - first[owner] < length[owner]
                 offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tc.signed(s[keep])))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(tc.signed(a)), pa.array(tc.signed(c)), prefix], names=["doc_id", "n_shingles", "sig_a", "sig_b", "prefix"])
+                sketch = pa.array(odd_sketches(owner, s, j - i, n), pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(tc.signed(a)), pa.array(tc.signed(c)), prefix, sketch], names=["doc_id", "n_shingles", "sig_a", "sig_b", "prefix", "sketch"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sig_a long, sig_b long, prefix array<long>, sketch binary")
+
+
+class Sets:
+    """Sizes and sketches of sets that meet in a group."""
+
+    def __init__(self, doc: np.ndarray, n: np.ndarray, sketch: pa.Array):
+        self.doc, self.n = doc, n
+        raw, at = tc.text_buffers(sketch.cast(pa.binary()))
+        narrow = np.zeros((len(n), NARROW // 8), np.uint8)
+        size = np.diff(at)
+        few = np.flatnonzero(size == NARROW // 8)
+        narrow[few] = raw[at[few][:, None] + np.arange(NARROW // 8)]
+        self.wide_row = np.full(len(n), -1, np.int64)
+        many = np.flatnonzero(size == WIDE // 8)
+        self.wide_row[many] = np.arange(len(many))
+        wide = raw[at[many][:, None] + np.arange(WIDE // 8)] if len(many) else np.zeros((0, WIDE // 8), np.uint8)
+        if len(many):  # slots of few bits are those of many bits folded
+            narrow[many] = np.bitwise_xor.reduce(wide.reshape(len(many), -1, NARROW // 8), axis=1)
+        self.narrow, self.wide = np.ascontiguousarray(narrow).view(np.uint64), np.ascontiguousarray(wide).view(np.uint64)
+
+
+def sketch_distance(x: Sets, i: np.ndarray, y: Sets, j: np.ndarray) -> np.ndarray:
+    """At most the number of shingles in which sets i of x and j of y differ, pair by pair."""
+    out = np.bitwise_count(x.narrow[i] ^ y.narrow[j]).sum(axis=1, dtype=np.int64)
+    both = np.flatnonzero((x.wide_row[i] >= 0) & (y.wide_row[j] >= 0))
+    if len(both):
+        out[both] = np.maximum(out[both], np.bitwise_count(x.wide[x.wide_row[i[both]]] ^ y.wide[y.wide_row[j[both]]]).sum(axis=1, dtype=np.int64))
+    return out
+
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sig_a long, sig_b long, prefix array<long>")
+def _allowed(n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles in which sets of these sizes may differ; -1 where the sizes alone forbid a link."""
+    fits = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
+    return np.where(fits, (n1 + n2) * (100 - percent) // (100 + percent), -1)
+
+
+def close_pairs(probe: Sets, other: Sets, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in probe, place in other, sketch distance) of all pairs whose sizes and sketches allow a link."""
+    order, by_n = np.argsort(probe.n, kind="stable"), np.argsort(other.n, kind="stable")
+    sizes, found = other.n[by_n], []
+    for lo in range(0, len(order), 64):
+        p = order[lo : lo + 64]
+        least, most = -(-percent * probe.n[p[0]] // 100), probe.n[p[-1]] * 100 // percent
+        o = by_n[np.searchsorted(sizes, least) : np.searchsorted(sizes, most, "right")]
+        if not len(o):
+            continue
+        d = np.bitwise_count(probe.narrow[p][:, None, :] ^ other.narrow[o][None, :, :]).sum(axis=2, dtype=np.int16)
+        i, j = np.nonzero(d <= _allowed(probe.n[p][:, None], other.n[o][None, :], percent))
+        found.append((p[i], o[j]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    d = sketch_distance(probe, i, other, j)
+    ok = d <= _allowed(probe.n[i], other.n[j], percent)
+    return i[ok], j[ok], d[ok]
 
 
 class Trie:
@@ -208,13 +287,14 @@ def trie_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tu
 def _verified(pairs: DataFrame, documents: DataFrame, level, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) among the candidate pairs (a, b), through tries over chunks of their clusters."""
     pairs = scratch.keep(pairs, "pairs")
-    cluster = components(pairs, scratch)
+    cluster = scratch.keep(components(pairs, scratch), "cluster")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     nodes = nodes.join(cluster, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
-    order = Window.partitionBy("cluster").orderBy(F.xxhash64("node"), "node")
-    nodes = scratch.keep(nodes.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / CHUNK_DOCS)), "nodes")
+    chunks = cluster.groupBy(F.col("component").alias("cluster")).agg(F.ceil((F.count(F.lit(1)) + 1) / CHUNK_DOCS).alias("chunks"))
+    nodes = nodes.join(chunks, "cluster").select("node", "cluster", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"))
+    nodes = scratch.keep(nodes, "nodes")
     left, right = (nodes.select(F.col("node").alias(x), F.col("chunk").alias(f"chunk_{x}"), F.col("cluster").alias(f"cluster_{x}")) for x in "ab")
-    keyed = pairs.join(left, "a").join(right, "b").select("a", "b", F.col("cluster_a").alias("cluster"), F.least("chunk_a", "chunk_b").alias("i"), F.greatest("chunk_a", "chunk_b").alias("j"))
+    keyed = pairs.join(left, "a").join(right.drop("cluster_b"), "b").select("a", "b", F.col("cluster_a").alias("cluster"), F.least("chunk_a", "chunk_b").alias("i"), F.greatest("chunk_a", "chunk_b").alias("j"))
     members = keyed.select("cluster", "i", "j", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     wanted = documents.sparkSession.sparkContext.broadcast(bloom(nodes, "node"))
 
@@ -239,18 +319,91 @@ def _verified(pairs: DataFrame, documents: DataFrame, level, size: int, percent:
     return scratch.keep(grouped.applyInArrow(join, "a long, b long").filter("a <> b"), "links")
 
 
-def _open_groups(rows: DataFrame) -> DataFrame:
-    """Rows (h, doc_id, n, c) of groups with more than one component, with the component that most of a group has."""
-    group = Window.partitionBy("h")
-    rows = rows.withColumn("c1", F.min("c").over(group)).withColumn("c2", F.max("c").over(group)).filter("c1 < c2").select("h", "doc_id", "n", "c")
-    main = rows.groupBy("h", "c").count().groupBy("h").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-    return rows.join(main, "h")
+def _chain(heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets that stand next to each other in a group, in hash order, and may be similar.
+
+    Rows are range-sorted by (group, hash), so one group of any size is spread over tasks.
+    """
+    rows = heads.select(F.explode(F.slice("prefix", 1, CHAIN_RANK)).alias("h"), F.xxhash64("doc_id").alias("at"), "doc_id", "n", "sketch")
+    rows = rows.repartitionByRange("h", "at").sortWithinPartitions("h", "at", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail: pa.Table | None = None
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            new = 0 if tail is None else tail.num_rows
+            table = table if tail is None else pa.concat_tables([tail, table])
+            tail = table.slice(max(0, table.num_rows - CHAIN_LAGS))
+            h, doc, n = (table[c].to_numpy() for c in ("h", "doc_id", "n"))
+            sets = Sets(doc, n, table["sketch"].combine_chunks())
+            found = []
+            for lag in range(1, CHAIN_LAGS + 1):
+                j = np.arange(max(lag, new), len(h))
+                j = j[(h[j] == h[j - lag]) & (doc[j] != doc[j - lag])]
+                j = j[sketch_distance(sets, j, sets, j - lag) <= _allowed(n[j], n[j - lag], percent)]
+                found.append((doc[j], doc[j - lag]))
+            x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+            yield pa.record_batch({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+
+    return rows.select("h", "doc_id", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+
+
+def _with_component(heads: DataFrame, joined: DataFrame) -> DataFrame:
+    return heads.join(checked_broadcast(joined), heads.doc_id == joined.node, "left").select("doc_id", "n", "sketch", F.coalesce("component", "doc_id").alias("c"), "prefix")
 
 
-def _enough(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that met (d1, n2; d2, n) in enough groups to reach the overlap they need."""
-    met = met.groupBy(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")).agg(F.count("*").alias("k"), F.max(F.greatest("n", "n2")).alias("n"))
-    return met.filter(f"k >= least({SHARED}, ceil({percent} * n / 100.0))").select("a", "b")
+def _apart(heads: DataFrame, percent: int, nearest: bool, scratch: Scratch) -> DataFrame:
+    """Candidate pairs (a, b) of heads (doc_id, n, sketch, c, prefix) in different components: all, or for each set and other component the nearest in each group.
+
+    Only groups with more than one component count; their largest component meets the others, but not itself.
+    """
+    spread = heads.select(F.explode("prefix").alias("h"), "c")
+    share = spread.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"))
+    groups = share.groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("size"), F.max(F.struct("k", "c")).alias("top")).filter("parts > 1")
+    groups = scratch.keep(groups.select("h", F.col("top.c").alias("main"), F.ceil(F.col("size") / CELL).alias("segments"), F.ceil((F.col("size") - F.col("top.k")) / CELL).alias("blocks")), "groups")
+    rows = heads.select(F.explode("prefix").alias("h"), "doc_id", "n", "c", "sketch").join(checked_broadcast(groups), "h")
+    rows = scratch.keep(rows.withColumn("at", F.xxhash64("doc_id")), "open")
+    sides = ["h", "doc_id", "n", "c", "main", "sketch"]
+    probes = rows.filter("c <> main").select(*sides, F.lit(True).alias("probe"), F.pmod("at", "blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("segments") - 1)).alias("j"))
+    others = rows.select(*sides, F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), F.pmod("at", "segments").alias("j"))
+
+    def pairs(cell: pa.Table) -> pa.RecordBatch:
+        doc, n, c = (cell[x].to_numpy() for x in ("doc_id", "n", "c"))
+        probe, sketch = cell["probe"].to_numpy(), cell["sketch"].combine_chunks()
+        x, y = (Sets(doc[m], n[m], sketch.filter(pa.array(m))) for m in (probe, ~probe))
+        cx, cy, main = c[probe], c[~probe], cell["main"][0].as_py()
+        i, j, d = close_pairs(x, y, percent)
+        ok = (cx[i] != cy[j]) & ((cy[j] == main) | (x.doc[i] < y.doc[j]))
+        i, j, d = i[ok], j[ok], d[ok]
+        if nearest and len(i):
+            order = np.lexsort((y.doc[j], d, cy[j], i))
+            i, j = i[order], j[order]
+            new = np.concatenate([[True], (i[1:] != i[:-1]) | (cy[j][1:] != cy[j][:-1])])
+            i, j = i[new], j[new]
+        a, b = x.doc[i], y.doc[j]
+        return pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        key = None
+        for b in batches:
+            keys = np.stack([b.column(b.schema.get_field_index(x)).to_numpy() for x in ("h", "i", "j")])
+            cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [b.num_rows]])
+            table = pa.Table.from_batches([b])
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi == lo:
+                    continue
+                now = tuple(keys[:, lo])
+                if now != key and held:
+                    yield pairs(pa.concat_tables(held))
+                    held = []
+                key = now
+                held.append(table.slice(lo, hi - lo))
+        if held:
+            yield pairs(pa.concat_tables(held))
+
+    cells = probes.unionByName(others).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    return cells.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
 def link_components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -265,45 +418,26 @@ def link_components(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     same = full.select("doc_id", "n_shingles", "sig_a", "sig_b").join(classes, ["n_shingles", "sig_a", "sig_b"])
     same = scratch.keep(same.select("doc_id", "rep", "n_shingles", "sig_a", "sig_b"), "classes")
     reps = same.filter("doc_id = rep").select("doc_id", "n_shingles", "sig_a", "sig_b").distinct()
-    heads = full.join(reps, ["doc_id", "n_shingles", "sig_a", "sig_b"], "left_semi")
-    heads = scratch.keep(heads.select("doc_id", F.col("n_shingles").alias("n"), "prefix"), "heads")
-    fits = "least(n, n2) * 100 >= {0} * greatest(n, n2)".format(percent)
-
-    near = heads.select("doc_id", "n", F.explode(F.slice("prefix", 1, CHAIN_RANK)).alias("h"))
-    chain = Window.partitionBy("h", F.pmod(F.xxhash64("h", "doc_id"), F.lit(CHAIN_SALTS))).orderBy(F.xxhash64("doc_id"), "doc_id")
-    near = near.select("doc_id", "n", F.lag("doc_id").over(chain).alias("d2"), F.lag("n").over(chain).alias("n2"))
-    near = near.filter(f"d2 is not null and d2 <> doc_id and {fits}").select(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b")).distinct()
-    first = _verified(near, docs, level, size, percent, scratch)
-    joined = scratch.keep(components(first, scratch), "joined")
-    spread = heads.join(checked_broadcast(joined), heads.doc_id == joined.node, "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("c"), F.explode("prefix").alias("h"))
-    rows = scratch.keep(_open_groups(spread), "open")
-
-    # texts left over in a group are tried against its hub first, the text of the main component with most open groups:
-    # copies of one text link to it sooner than to each other
-    weight = rows.groupBy(F.col("doc_id").alias("w_id")).agg(F.count("*").alias("w"))
-    hubs = rows.filter("c = main").join(weight, F.col("doc_id") == F.col("w_id")).groupBy("h").agg(F.max_by(F.struct("doc_id", "n", "c"), F.struct("w", "doc_id")).alias("hub"))
-    few = rows.filter("c <> main").select("h", F.col("doc_id").alias("d1"), F.col("n").alias("n2"), F.col("c").alias("c1"))
-    tried = few.join(hubs.select("h", F.col("hub.doc_id").alias("d2"), F.col("hub.n").alias("n")), "h").filter(fits)
-    hub_links = _verified(_enough(tried, percent), docs, level, size, percent, scratch)
-    first = first.union(hub_links)
-    joined = scratch.keep(components(first, scratch), "joined")
-    rows = rows.drop("c", "main").join(checked_broadcast(joined), rows.doc_id == joined.node, "left").select("h", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    rows = scratch.keep(_open_groups(rows), "open")
-
-    few = rows.filter("c <> main").select("h", F.col("doc_id").alias("d1"), F.col("n").alias("n2"), F.col("c").alias("c1"))
-    other = rows.select("h", F.col("doc_id").alias("d2"), "n", F.col("c").alias("c2"), "main")
-    met = _enough(few.join(other, "h").filter("c1 <> c2 and (c2 = main or d1 < d2)").filter(fits), percent)
-    second = _verified(met, docs, level, size, percent, scratch)
-
-    edges = same.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(first).union(second)
+    # a doc_id with two rows of one class is one head: rows of a class have equal prefixes and sketches
+    heads = full.join(reps, ["doc_id", "n_shingles", "sig_a", "sig_b"], "left_semi").dropDuplicates(["doc_id", "n_shingles", "sig_a", "sig_b"])
+    heads = scratch.keep(heads.select("doc_id", F.col("n_shingles").alias("n"), "prefix", "sketch"), "heads")
+
+    links = _verified(_chain(heads, percent), docs, level, size, percent, scratch)
+    for nearest in (True, False):
+        joined = scratch.keep(components(links, scratch), "joined")
+        links = links.union(_verified(_apart(_with_component(heads, joined), percent, nearest, scratch), docs, level, size, percent, scratch))
+
+    edges = same.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(links)
     found = components(edges, scratch)
     return profile.select("doc_id", "n_shingles").join(found, profile.doc_id == found.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that are linked to one with a smaller id; of rows with one id, all stay or go."""
-    gone = link_components(documents, size, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return documents.join(checked_broadcast(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone_id = fresh(documents, "gone_id")
+    gone = link_components(documents, size, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    gone = Scratch(documents.sparkSession).keep(gone, "gone")
+    return documents.join(checked_broadcast(gone), F.col("doc_id").cast("long") == F.col(gone_id), "left_anti")
 
 
 ORACLE_SQL = r"""
