@@ -16,10 +16,12 @@ gives each shingle a level, and within a level the fingerprint decides.
     overlap counted on common stems, and leaves a subtree as soon as the
     remaining lengths cannot reach the required overlap.
 4.  Groups whose members are not all joined by then are looked into: sets
-    outside a group's main component are held against all its sets, by sketches
-    in memory.  First each set's nearest candidate in each other component goes
+    outside a group's main component are held against all its sets.  Groups of
+    up to ``SMALL`` sets give their pairs, of which sketches leave few; in larger
+    groups sketches are compared in memory, and pairs become rows only if these
+    allow it.  First each set's nearest candidate in each other component goes
     through the tries, which joins most of what is left; then all candidates do
-    that are still apart.  Pairs become rows only if their sketches allow it.
+    that are still apart.
 
 Step 4 misses no pair: step 3 only saves work, and groups whose members are all
 joined vanish before it, so a group of copies of any size costs its length, not
@@ -49,10 +51,13 @@ SLOT_BITS = 20
 CHAIN_RANK = 8
 CHAIN_LAGS = 3
 CHUNK_DOCS = 128
+SMALL = 16
 CELL = 4096
 SEGMENT = 64
 SHINGLE_BYTES = 1 << 19
-NARROW, WIDE, WIDE_FROM = 512, 4096, 300
+#: Bits of an odd sketch, and the largest set that is given so many.
+SKETCHES = ((512, 500), (2048, 2000), (8192, 1 << 62))
+NARROW, WIDE = SKETCHES[0][0], SKETCHES[-1][0]
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -100,16 +105,22 @@ def _ordered(owner: np.ndarray, s: np.ndarray, level: np.ndarray) -> tuple[np.nd
 
 
 def odd_sketches(owner: np.ndarray, s: np.ndarray, rows: int, n: np.ndarray) -> list[bytes]:
-    """A bit for each slot that an odd number of the row's shingles has; sets over ``WIDE_FROM`` have more slots."""
+    """A bit for each slot that an odd number of the row's shingles has; large sets have more slots."""
     slot = ((s >> np.uint64(20)) & np.uint64(WIDE - 1)).astype(np.int64)
     out: list[bytes] = [b""] * rows
-    for bits, mine in ((NARROW, n <= WIDE_FROM), (WIDE, n > WIDE_FROM)):
+    least = -1
+    for bits, most in SKETCHES:
+        mine = (n > least) & (n <= most)
+        least = most
         which = np.flatnonzero(mine)
         place = np.cumsum(mine) - 1
-        for lo in range(0, len(which), 1 << 10):
-            part = which[lo : lo + (1 << 10)]
-            here = (owner >= part[0]) & (owner <= part[-1]) & mine[owner]
-            odd = np.bincount((place[owner[here]] - lo) * bits + slot[here] % bits, minlength=len(part) * bits) & 1
+        here = mine[owner]
+        own, at = place[owner[here]], slot[here] % bits
+        step = max(1, (1 << 19) // bits)
+        for lo in range(0, len(which), step):
+            part = which[lo : lo + step]
+            i, j = np.searchsorted(own, [lo, lo + len(part)])
+            odd = np.bincount((own[i:j] - lo) * bits + at[i:j], minlength=len(part) * bits) & 1
             packed = np.packbits(odd.astype(bool).reshape(len(part), bits), axis=1)
             for r, x in zip(part, packed, strict=True):
                 out[r] = x.tobytes()
@@ -143,25 +154,34 @@ class Sets:
     def __init__(self, doc: np.ndarray, n: np.ndarray, sketch: pa.Array):
         self.doc, self.n = doc, n
         raw, at = tc.text_buffers(sketch.cast(pa.binary()))
-        narrow = np.zeros((len(n), NARROW // 8), np.uint8)
-        size = np.diff(at)
-        few = np.flatnonzero(size == NARROW // 8)
-        narrow[few] = raw[at[few][:, None] + np.arange(NARROW // 8)]
-        self.wide_row = np.full(len(n), -1, np.int64)
-        many = np.flatnonzero(size == WIDE // 8)
-        self.wide_row[many] = np.arange(len(many))
-        wide = raw[at[many][:, None] + np.arange(WIDE // 8)] if len(many) else np.zeros((0, WIDE // 8), np.uint8)
-        if len(many):  # slots of few bits are those of many bits folded
-            narrow[many] = np.bitwise_xor.reduce(wide.reshape(len(many), -1, NARROW // 8), axis=1)
-        self.narrow, self.wide = np.ascontiguousarray(narrow).view(np.uint64), np.ascontiguousarray(wide).view(np.uint64)
+        self.bits = np.diff(at) * 8
+        self.tables: list[np.ndarray] = []  # by size of sketch: those of all sets with as many bits or more, folded
+        self.rows: list[np.ndarray] = []
+        for bits, _ in SKETCHES:
+            here = np.flatnonzero(self.bits >= bits)
+            table = np.zeros((len(here), bits // 8), np.uint8)
+            for own in np.unique(self.bits[here]):  # slots of few bits are those of many bits folded
+                which = np.flatnonzero(self.bits[here] == own)
+                whole = raw[at[here[which]][:, None] + np.arange(own // 8)]
+                table[which] = np.bitwise_xor.reduce(whole.reshape(len(which), -1, bits // 8), axis=1)
+            rows = np.full(len(n), -1, np.int64)
+            rows[here] = np.arange(len(here))
+            self.tables.append(table.view(np.uint64))
+            self.rows.append(rows)
+
+    @property
+    def narrow(self) -> np.ndarray:
+        return self.tables[0]
 
 
 def sketch_distance(x: Sets, i: np.ndarray, y: Sets, j: np.ndarray) -> np.ndarray:
     """At most the number of shingles in which sets i of x and j of y differ, pair by pair."""
-    out = np.bitwise_count(x.narrow[i] ^ y.narrow[j]).sum(axis=1, dtype=np.int64)
-    both = np.flatnonzero((x.wide_row[i] >= 0) & (y.wide_row[j] >= 0))
-    if len(both):
-        out[both] = np.maximum(out[both], np.bitwise_count(x.wide[x.wide_row[i[both]]] ^ y.wide[y.wide_row[j[both]]]).sum(axis=1, dtype=np.int64))
+    out = np.zeros(len(i), np.int64)
+    for level, (bits, _) in enumerate(SKETCHES):
+        both = np.flatnonzero(np.minimum(x.bits[i], y.bits[j]) == bits)
+        for lo in range(0, len(both), 1 << 12):
+            k = both[lo : lo + (1 << 12)]
+            out[k] = np.bitwise_count(x.tables[level][x.rows[level][i[k]]] ^ y.tables[level][y.rows[level][j[k]]]).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -319,91 +339,179 @@ def _verified(pairs: DataFrame, documents: DataFrame, level, size: int, percent:
     return scratch.keep(grouped.applyInArrow(join, "a long, b long").filter("a <> b"), "links")
 
 
-def _chain(heads: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets that stand next to each other in a group, in hash order, and may be similar.
+def _meetings(heads: DataFrame) -> DataFrame:
+    """Rows (h, doc_id, n, rank) of prefix shingles that more than one set may have.
 
-    Rows are range-sorted by (group, hash), so one group of any size is spread over tasks.
+    Rows are range-sorted by (h, doc_id), so a shingle of any frequency is spread over tasks; rows at the ends of a
+    range are kept as well, as their neighbours are elsewhere.
     """
-    rows = heads.select(F.explode(F.slice("prefix", 1, CHAIN_RANK)).alias("h"), F.xxhash64("doc_id").alias("at"), "doc_id", "n", "sketch")
+    rows = heads.select(F.posexplode("prefix").alias("rank", "h"), "doc_id", F.col("n").cast("int").alias("n"))
+    rows = rows.repartitionByRange("h", "doc_id").sortWithinPartitions("h", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None  # a row whose successor is not known yet, and whether it has met its predecessor
+        met = True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if last is not None:
+                b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
+            h = b.column(0).to_numpy()
+            same = np.concatenate([[met], h[1:] == h[:-1]])
+            keep = same.copy()
+            keep[:-1] |= same[1:]
+            last, met = b.slice(b.num_rows - 1), bool(same[-1])
+            yield b.slice(0, b.num_rows - 1).filter(pa.array(keep[:-1]))
+        if last is not None:
+            yield last
+
+    return rows.select("h", "doc_id", "n", "rank").mapInArrow(run, "h long, doc_id long, n int, rank int")
+
+
+def _chain(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets that stand next to each other in a group, in hash order, and whose sizes allow a link."""
+    rows = met.filter(F.col("rank") < CHAIN_RANK).withColumn("at", F.xxhash64("doc_id"))
     rows = rows.repartitionByRange("h", "at").sortWithinPartitions("h", "at", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: pa.Table | None = None
+        tail = None
         for b in batches:
-            table = pa.Table.from_batches([b])
-            new = 0 if tail is None else tail.num_rows
-            table = table if tail is None else pa.concat_tables([tail, table])
-            tail = table.slice(max(0, table.num_rows - CHAIN_LAGS))
-            h, doc, n = (table[c].to_numpy() for c in ("h", "doc_id", "n"))
-            sets = Sets(doc, n, table["sketch"].combine_chunks())
+            cols = [b.column(k).to_numpy() for k in range(3)]
+            new = 0 if tail is None else len(tail[0])
+            h, doc, n = cols if tail is None else [np.concatenate(x) for x in zip(tail, cols, strict=True)]
+            tail = [x[-CHAIN_LAGS:] for x in (h, doc, n)]
             found = []
             for lag in range(1, CHAIN_LAGS + 1):
                 j = np.arange(max(lag, new), len(h))
-                j = j[(h[j] == h[j - lag]) & (doc[j] != doc[j - lag])]
-                j = j[sketch_distance(sets, j, sets, j - lag) <= _allowed(n[j], n[j - lag], percent)]
+                j = j[(h[j] == h[j - lag]) & (doc[j] != doc[j - lag]) & (_allowed(n[j], n[j - lag], percent) >= 0)]
                 found.append((doc[j], doc[j - lag]))
             x, y = (np.concatenate(v) for v in zip(*found, strict=True))
             yield pa.record_batch({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
 
-    return rows.select("h", "doc_id", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("h", "doc_id", "n").mapInArrow(run, "a long, b long").distinct()
+
+
+def _likely(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, ...) with their sketch distance d, those only whose sketches allow a link."""
+    x, y = (heads.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
+    own = pairs.columns
+    both = pairs.join(x, "a").join(y, "b").select(*own, "n_a", "n_b", "sketch_a", "sketch_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = lambda name: b.column(b.schema.get_field_index(name))
+            one, two = (Sets(col(k).to_numpy(), col(f"n_{k}").to_numpy(), col(f"sketch_{k}")) for k in "ab")
+            every = np.arange(b.num_rows)
+            d = sketch_distance(one, every, two, every)
+            ok = pa.array(d <= _allowed(one.n, two.n, percent))
+            yield pa.RecordBatch.from_arrays([*(col(c).filter(ok) for c in own), pa.array(d).filter(ok)], names=[*own, "d"])
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
+    return both.mapInArrow(run, f"{types}, d long")
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, from batches sorted by it."""
+    held: list[pa.Table] = []
+    key = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(b.schema.get_field_index(x)).to_numpy() for x in names])
+        cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [b.num_rows]])
+        table = pa.Table.from_batches([b])
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(keys[:, lo])
+            if now != key and held:
+                yield pa.concat_tables(held)
+                held = []
+            key = now
+            held.append(table.slice(lo, hi - lo))
+    if held:
+        yield pa.concat_tables(held)
 
 
-def _with_component(heads: DataFrame, joined: DataFrame) -> DataFrame:
-    return heads.join(checked_broadcast(joined), heads.doc_id == joined.node, "left").select("doc_id", "n", "sketch", F.coalesce("component", "doc_id").alias("c"), "prefix")
+PAIR = "a long, b long, ca long, cb long"
 
 
-def _apart(heads: DataFrame, percent: int, nearest: bool, scratch: Scratch) -> DataFrame:
-    """Candidate pairs (a, b) of heads (doc_id, n, sketch, c, prefix) in different components: all, or for each set and other component the nearest in each group.
+def _small_groups(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, ca, cb) of sets in different components that meet in groups of up to ``SMALL`` sets."""
 
-    Only groups with more than one component count; their largest component meets the others, but not itself.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None
+        for b in batches:
+            cols = [b.column(k).to_numpy() for k in range(4)]
+            new = 0 if tail is None else len(tail[0])
+            h, doc, n, c = cols if tail is None else [np.concatenate(x) for x in zip(tail, cols, strict=True)]
+            tail = [x[-SMALL:] for x in (h, doc, n, c)]
+            found = []
+            for lag in range(1, SMALL):
+                j = np.arange(max(lag, new), len(h))
+                j = j[h[j] == h[j - lag]]
+                if not len(j):
+                    break
+                j = j[(c[j] != c[j - lag]) & (_allowed(n[j], n[j - lag], percent) >= 0)]
+                i = j - lag
+                i, j = np.where(doc[i] < doc[j], i, j), np.where(doc[i] < doc[j], j, i)
+                found.append((doc[i], doc[j], c[i], c[j]))
+            if found:
+                four = np.unique(np.stack([np.concatenate(v) for v in zip(*found, strict=True)]), axis=1)
+                yield pa.record_batch({k: pa.array(v) for k, v in zip(("a", "b", "ca", "cb"), four, strict=True)})
+
+    rows = rows.select("h", "doc_id", "n", "c").repartition("h").sortWithinPartitions("h", "doc_id")
+    return rows.mapInArrow(run, PAIR).filter("a <> b").distinct()
+
+
+def _large_groups(rows: DataFrame, heads: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b, ca, cb, d) whose sketches allow a link, of sets in different components that meet in larger groups.
+
+    Each set outside a group's main component is held against all its sets, in cells of at most ``CELL`` sets on either side.
     """
-    spread = heads.select(F.explode("prefix").alias("h"), "c")
-    share = spread.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"))
-    groups = share.groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("size"), F.max(F.struct("k", "c")).alias("top")).filter("parts > 1")
-    groups = scratch.keep(groups.select("h", F.col("top.c").alias("main"), F.ceil(F.col("size") / CELL).alias("segments"), F.ceil((F.col("size") - F.col("top.k")) / CELL).alias("blocks")), "groups")
-    rows = heads.select(F.explode("prefix").alias("h"), "doc_id", "n", "c", "sketch").join(checked_broadcast(groups), "h")
-    rows = scratch.keep(rows.withColumn("at", F.xxhash64("doc_id")), "open")
+    rows = rows.withColumn("at", F.xxhash64("doc_id")).join(heads.select("doc_id", F.col("n").cast("int").alias("n"), "sketch"), ["doc_id", "n"])
     sides = ["h", "doc_id", "n", "c", "main", "sketch"]
     probes = rows.filter("c <> main").select(*sides, F.lit(True).alias("probe"), F.pmod("at", "blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("segments") - 1)).alias("j"))
     others = rows.select(*sides, F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), F.pmod("at", "segments").alias("j"))
 
-    def pairs(cell: pa.Table) -> pa.RecordBatch:
-        doc, n, c = (cell[x].to_numpy() for x in ("doc_id", "n", "c"))
-        probe, sketch = cell["probe"].to_numpy(), cell["sketch"].combine_chunks()
-        x, y = (Sets(doc[m], n[m], sketch.filter(pa.array(m))) for m in (probe, ~probe))
-        cx, cy, main = c[probe], c[~probe], cell["main"][0].as_py()
-        i, j, d = close_pairs(x, y, percent)
-        ok = (cx[i] != cy[j]) & ((cy[j] == main) | (x.doc[i] < y.doc[j]))
-        i, j, d = i[ok], j[ok], d[ok]
-        if nearest and len(i):
-            order = np.lexsort((y.doc[j], d, cy[j], i))
-            i, j = i[order], j[order]
-            new = np.concatenate([[True], (i[1:] != i[:-1]) | (cy[j][1:] != cy[j][:-1])])
-            i, j = i[new], j[new]
-        a, b = x.doc[i], y.doc[j]
-        return pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        key = None
-        for b in batches:
-            keys = np.stack([b.column(b.schema.get_field_index(x)).to_numpy() for x in ("h", "i", "j")])
-            cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [b.num_rows]])
-            table = pa.Table.from_batches([b])
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi == lo:
-                    continue
-                now = tuple(keys[:, lo])
-                if now != key and held:
-                    yield pairs(pa.concat_tables(held))
-                    held = []
-                key = now
-                held.append(table.slice(lo, hi - lo))
-        if held:
-            yield pairs(pa.concat_tables(held))
+        for cell in _by_key(batches, ["h", "i", "j"]):
+            doc, n, c = (cell[x].to_numpy() for x in ("doc_id", "n", "c"))
+            probe, sketch = cell["probe"].to_numpy(), cell["sketch"].combine_chunks()
+            x, y = (Sets(doc[m], n[m], sketch.filter(pa.array(m))) for m in (probe, ~probe))
+            cx, cy, main = c[probe], c[~probe], cell["main"][0].as_py()
+            i, j, d = close_pairs(x, y, percent)
+            ok = (cx[i] != cy[j]) & ((cy[j] == main) | (x.doc[i] < y.doc[j]))
+            i, j, d = i[ok], j[ok], d[ok]
+            if nearest and len(i):
+                order = np.lexsort((y.doc[j], d, cy[j], i))
+                i, j, d = i[order], j[order], d[order]
+                new = np.concatenate([[True], (i[1:] != i[:-1]) | (cy[j][1:] != cy[j][:-1])])
+                i, j, d = i[new], j[new], d[new]
+            a, b, up = x.doc[i], y.doc[j], x.doc[i] < y.doc[j]
+            four = [np.where(up, a, b), np.where(up, b, a), np.where(up, cx[i], cy[j]), np.where(up, cy[j], cx[i])]
+            yield pa.record_batch({k: pa.array(v) for k, v in zip(("a", "b", "ca", "cb", "d"), [*four, d], strict=True)})
 
     cells = probes.unionByName(others).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    return cells.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    return cells.mapInArrow(run, f"{PAIR}, d long").filter("a <> b").distinct()
+
+
+def _apart(met: DataFrame, heads: DataFrame, joined: DataFrame, percent: int, nearest: bool, scratch: Scratch) -> DataFrame:
+    """Candidate pairs (a, b) of sets in different components: all, or for each set the nearest in each other component.
+
+    Only groups with more than one component count; the largest component of a large group meets the others, but not itself.
+    """
+    rows = met.join(checked_broadcast(joined), met.doc_id == joined.node, "left").select("h", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+    share = rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"))
+    groups = share.groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("size"), F.max(F.struct("k", "c")).alias("top")).filter("parts > 1")
+    groups = groups.select("h", "size", F.col("top.c").alias("main"), F.ceil(F.col("size") / CELL).alias("segments"), F.ceil((F.col("size") - F.col("top.k")) / CELL).alias("blocks"))
+    rows = scratch.keep(rows.join(groups, "h"), "open")
+    small = _likely(_small_groups(rows.filter(F.col("size") <= SMALL), percent), heads, percent)
+    pairs = small.unionByName(_large_groups(rows.filter(F.col("size") > SMALL), heads, percent, nearest)) if rows.filter(F.col("size") > SMALL).limit(1).count() else small
+    if not nearest:
+        return pairs.select("a", "b").distinct()
+    pairs = scratch.keep(pairs, "close")
+    one = pairs.groupBy("a", "cb").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    two = pairs.groupBy("b", "ca").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+    return one.union(two).distinct()
 
 
 def link_components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -422,10 +530,11 @@ def link_components(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     heads = full.join(reps, ["doc_id", "n_shingles", "sig_a", "sig_b"], "left_semi").dropDuplicates(["doc_id", "n_shingles", "sig_a", "sig_b"])
     heads = scratch.keep(heads.select("doc_id", F.col("n_shingles").alias("n"), "prefix", "sketch"), "heads")
 
-    links = _verified(_chain(heads, percent), docs, level, size, percent, scratch)
+    met = scratch.keep(_meetings(heads), "met")
+    links = _verified(_likely(_chain(met, percent), heads, percent).select("a", "b"), docs, level, size, percent, scratch)
     for nearest in (True, False):
         joined = scratch.keep(components(links, scratch), "joined")
-        links = links.union(_verified(_apart(_with_component(heads, joined), percent, nearest, scratch), docs, level, size, percent, scratch))
+        links = links.union(_verified(_apart(met, heads, joined, percent, nearest, scratch), docs, level, size, percent, scratch))
 
     edges = same.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(links)
     found = components(edges, scratch)
