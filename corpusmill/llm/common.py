@@ -178,11 +178,14 @@ def pruned(df: DataFrame, key: str, ids: DataFrame, column: str) -> DataFrame:
 
 
 COMPONENT_ROUNDS = 100
+EDGES_OF_A_TASK = 1 << 18
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, most: int = EDGES_OF_A_TASK) -> DataFrame:
     """(node, component): the smallest node that edges (a, b) reach; alternating large-star and small-star steps.
 
+    Up to ``most`` edges are joined by a single task at once, which takes tens of megabytes.
+
     Each step is a grouped minimum and a join, so a node with any number of neighbours is spread over tasks.
     Partitions join what they can on their own before each round, which saves rounds.  Rounds go on until the
     edges, told by their number and the sum of their 64-bit fingerprints, no longer change.
@@ -234,6 +237,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if not before[0]:
             break
         then = now
+        if before[0] <= most:
+            now, _ = kept(then.coalesce(1).mapInArrow(local, "a long, b long"))
+            scratch.drop(then)
+            break
         now, after = kept(small_star(large_star(then)).mapInArrow(local, "a long, b long"))
         scratch.drop(then)
         if after == before:

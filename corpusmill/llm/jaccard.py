@@ -19,9 +19,10 @@ gives each shingle a level, and within a level the fingerprint decides.
     outside a group's main component are held against all its sets.  Groups of
     up to ``SMALL`` sets give their pairs, of which sketches leave few; in larger
     groups sketches are compared in memory, and pairs become rows only if these
-    allow it.  First each set's nearest candidate in each other component goes
-    through the tries, which joins most of what is left; then all candidates do
-    that are still apart.
+    allow it, at first the ``NEAREST`` ones of a set in each other component.
+    Of these the nearest goes through the tries, which joins most of what is
+    left; then all that are still apart do, and groups that had more candidates
+    are looked into again, without that limit.
 
 Step 4 misses no pair: step 3 only saves work, and groups whose members are all
 joined vanish before it, so a group of copies of any size costs its length, not
@@ -53,6 +54,7 @@ CHAIN_LAGS = 3
 CHUNK_DOCS = 128
 SMALL = 16
 CELL = 4096
+NEAREST = 4
 SEGMENT = 64
 SHINGLE_BYTES = 1 << 19
 #: Bits of an odd sketch, and the largest set that is given so many.
@@ -462,15 +464,21 @@ def _small_groups(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, PAIR).filter("a <> b").distinct()
 
 
-def _large_groups(rows: DataFrame, heads: DataFrame, percent: int, nearest: bool) -> DataFrame:
+def _large_groups(rows: DataFrame, heads: DataFrame, percent: int, most: int) -> DataFrame:
     """Pairs (a, b, ca, cb, d) whose sketches allow a link, of sets in different components that meet in larger groups.
 
-    Each set outside a group's main component is held against all its sets, in cells of at most ``CELL`` sets on either side.
+    Each set outside a group's main component is held against all its sets, in cells of at most ``CELL`` sets on either
+    side, and gives its ``most`` nearest in each other component (0: all).  Groups with more have a row that names them (cut).
     """
     rows = rows.withColumn("at", F.xxhash64("doc_id")).join(heads.select("doc_id", F.col("n").cast("int").alias("n"), "sketch"), ["doc_id", "n"])
     sides = ["h", "doc_id", "n", "c", "main", "sketch"]
-    probes = rows.filter("c <> main").select(*sides, F.lit(True).alias("probe"), F.pmod("at", "blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("segments") - 1)).alias("j"))
-    others = rows.select(*sides, F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), F.pmod("at", "segments").alias("j"))
+    zero = F.lit(0).cast("long")
+    copies = lambda x, many: F.explode(F.sequence(zero, x - 1)) if many else zero
+    parts = []
+    for many in (False, True):
+        own = rows.filter("segments > 1" if many else "segments = 1")
+        parts.append(own.filter("c <> main").select(*sides, F.lit(True).alias("probe"), F.pmod("at", "blocks").alias("i"), copies(F.col("segments"), many).alias("j")))
+        parts.append(own.select(*sides, F.lit(False).alias("probe"), copies(F.col("blocks"), many).alias("i"), F.pmod("at", "segments").alias("j")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _by_key(batches, ["h", "i", "j"]):
@@ -481,37 +489,48 @@ def _large_groups(rows: DataFrame, heads: DataFrame, percent: int, nearest: bool
             i, j, d = close_pairs(x, y, percent)
             ok = (cx[i] != cy[j]) & ((cy[j] == main) | (x.doc[i] < y.doc[j]))
             i, j, d = i[ok], j[ok], d[ok]
-            if nearest and len(i):
+            cut = []
+            if most and len(i):
                 order = np.lexsort((y.doc[j], d, cy[j], i))
                 i, j, d = i[order], j[order], d[order]
-                new = np.concatenate([[True], (i[1:] != i[:-1]) | (cy[j][1:] != cy[j][:-1])])
-                i, j, d = i[new], j[new], d[new]
+                first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (cy[j][1:] != cy[j][:-1])]))
+                keep = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < most
+                cut = [] if keep.all() else [cell["h"][0].as_py()]
+                i, j, d = i[keep], j[keep], d[keep]
             a, b, up = x.doc[i], y.doc[j], x.doc[i] < y.doc[j]
-            four = [np.where(up, a, b), np.where(up, b, a), np.where(up, cx[i], cy[j]), np.where(up, cy[j], cx[i])]
-            yield pa.record_batch({k: pa.array(v) for k, v in zip(("a", "b", "ca", "cb", "d"), [*four, d], strict=True)})
+            six = [np.where(up, a, b), np.where(up, b, a), np.where(up, cx[i], cy[j]), np.where(up, cy[j], cx[i]), d]
+            none = pa.nulls(len(cut), pa.int64())
+            yield pa.record_batch({k: pa.concat_arrays([pa.array(v, pa.int64()), none]) for k, v in zip(("a", "b", "ca", "cb", "d"), six, strict=True)} | {"cut": pa.array([None] * len(i) + cut, pa.int64())})
 
-    cells = probes.unionByName(others).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    return cells.mapInArrow(run, f"{PAIR}, d long").filter("a <> b").distinct()
+    cells = parts[0]
+    for part in parts[1:]:
+        cells = cells.unionByName(part)
+    cells = cells.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    return cells.mapInArrow(run, f"{PAIR}, d long, cut long").filter("a is null or a <> b").distinct()
 
 
-def _apart(met: DataFrame, heads: DataFrame, joined: DataFrame, percent: int, nearest: bool, scratch: Scratch) -> DataFrame:
-    """Candidate pairs (a, b) of sets in different components: all, or for each set the nearest in each other component.
+def _apart(met: DataFrame, heads: DataFrame, joined: DataFrame, percent: int, most: int, scratch: Scratch) -> DataFrame:
+    """Candidate pairs (a, b, ca, cb, d) of sets in different components ca and cb, and the groups that have more (cut).
 
     Only groups with more than one component count; the largest component of a large group meets the others, but not itself.
     """
-    rows = met.join(checked_broadcast(joined), met.doc_id == joined.node, "left").select("h", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+    rows = _named(met, "doc_id", joined, "c").select("h", "doc_id", "n", "c")
     share = rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"))
     groups = share.groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("size"), F.max(F.struct("k", "c")).alias("top")).filter("parts > 1")
     groups = groups.select("h", "size", F.col("top.c").alias("main"), F.ceil(F.col("size") / CELL).alias("segments"), F.ceil((F.col("size") - F.col("top.k")) / CELL).alias("blocks"))
     rows = scratch.keep(rows.join(groups, "h"), "open")
-    small = _likely(_small_groups(rows.filter(F.col("size") <= SMALL), percent), heads, percent)
-    pairs = small.unionByName(_large_groups(rows.filter(F.col("size") > SMALL), heads, percent, nearest)) if rows.filter(F.col("size") > SMALL).limit(1).count() else small
-    if not nearest:
-        return pairs.select("a", "b").distinct()
-    pairs = scratch.keep(pairs, "close")
-    one = pairs.groupBy("a", "cb").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    two = pairs.groupBy("b", "ca").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    return one.union(two).distinct()
+    pairs = _likely(_small_groups(rows.filter(F.col("size") <= SMALL), percent), heads, percent).withColumn("cut", F.lit(None).cast("long"))
+    large = rows.filter(F.col("size") > SMALL)
+    if large.limit(1).count():
+        pairs = pairs.unionByName(_large_groups(large, heads, percent, most))
+    return scratch.keep(pairs, "close")
+
+
+def _named(df: DataFrame, column: str, joined: DataFrame, name: str) -> DataFrame:
+    """``df`` with the component of a column's sets."""
+    of = joined.select(F.col("node").alias(f"{name}_node"), F.col("component").alias(f"{name}_part"))
+    out = df.join(checked_broadcast(of), F.col(column) == F.col(f"{name}_node"), "left")
+    return out.withColumn(name, F.coalesce(f"{name}_part", column)).drop(f"{name}_node", f"{name}_part")
 
 
 def link_components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -532,9 +551,19 @@ def link_components(documents: DataFrame, size: int = 5, percent: int = 80) -> D
 
     met = scratch.keep(_meetings(heads), "met")
     links = _verified(_likely(_chain(met, percent), heads, percent).select("a", "b"), docs, level, size, percent, scratch)
-    for nearest in (True, False):
-        joined = scratch.keep(components(links, scratch), "joined")
-        links = links.union(_verified(_apart(met, heads, joined, percent, nearest, scratch), docs, level, size, percent, scratch))
+    joined = scratch.keep(components(links, scratch), "joined")
+    close = _apart(met, heads, joined, percent, NEAREST, scratch)
+    pairs = close.filter("cut is null").select("a", "b", "ca", "cb", "d")
+    one = pairs.groupBy("a", "cb").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    two = pairs.groupBy("b", "ca").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+    links = links.union(_verified(one.union(two).distinct(), docs, level, size, percent, scratch))
+
+    joined = scratch.keep(components(links, scratch), "joined")
+    rest = _named(_named(pairs.select("a", "b"), "a", joined, "ca"), "b", joined, "cb").filter("ca <> cb").select("a", "b")
+    cut = close.filter("cut is not null").select(F.col("cut").alias("h")).distinct()
+    if cut.limit(1).count():
+        rest = rest.union(_apart(met.join(cut, "h", "left_semi"), heads, joined, percent, 0, scratch).select("a", "b"))
+    links = links.union(_verified(rest.distinct(), docs, level, size, percent, scratch))
 
     edges = same.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(links)
     found = components(edges, scratch)

@@ -373,3 +373,57 @@ def test_pipeline_stages(spark, documents):
     assert set(out) <= clean and len(out) > len(clean) // 3
     assert all(not brute_base(r.text) for r in out.values())
     assert sum(r.mix_taken for r in out.values()) > 0
+
+
+@pytest.mark.parametrize("most", [0, 1 << 18])
+def test_components_by_star_steps_and_in_one_task(spark, most):
+    from corpusmill.llm.common import Scratch, components
+
+    rng = np.random.default_rng(11)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 900, (500, 2))] + [(k, k + 1) for k in range(2000, 2200)] + [(5000, 5000)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7), Scratch(spark), most).collect()}
+    assert all(got.get(x, x) == find(x) for x in root)
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark), most).count() == 0
+
+
+def test_components_of_groups_over_the_limits(spark, monkeypatch):
+    for name, value in (("SMALL", 2), ("CELL", 8), ("NEAREST", 1), ("CHAIN_LAGS", 1), ("CHAIN_RANK", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(4):
+        base = [f"t{g}x{k}" for k in range(60)]
+        for i in range(30):
+            w = list(base)
+            for _ in range(rng.integers(0, 4)):
+                w[rng.integers(0, len(w))] = f"n{rng.integers(0, 9999)}"
+            rows.append((100 * g + i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_components(df).collect()]
+    assert sorted(got, key=repr) == brute_components(rows)
+
+
+def test_sketch_distances_are_never_over_the_difference():
+    rng = np.random.default_rng(8)
+    sets = [rng.choice(1 << 40, n, replace=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in (3, 40, 400, 700, 1900, 2500)]
+    sets += [np.concatenate([x[: len(x) * 9 // 10], sets[0]]) for x in sets]
+    sets = [np.unique(x) for x in sets]
+    n = np.array([len(x) for x in sets])
+    import pyarrow as pa
+
+    sketch = pa.array(jaccard.odd_sketches(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), len(sets), n), pa.binary())
+    x = jaccard.Sets(np.arange(len(sets)), n, sketch)
+    i, j = (v.ravel() for v in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    d = jaccard.sketch_distance(x, i, x, j)
+    true = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert (d <= true).all() and (d[i == j] == 0).all() and d[(i == 0) & (j == 4)] > 200
