@@ -58,7 +58,7 @@ NEAREST = 4
 SEGMENT = 64
 SHINGLE_BYTES = 1 << 19
 #: Bits of an odd sketch, and the largest set that is given so many.
-SKETCHES = ((512, 500), (2048, 2000), (8192, 1 << 62))
+SKETCHES = ((512, 150), (2048, 1000), (8192, 1 << 62))
 NARROW, WIDE = SKETCHES[0][0], SKETCHES[-1][0]
 
 
@@ -371,8 +371,8 @@ def _meetings(heads: DataFrame) -> DataFrame:
 
 
 def _chain(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets that stand next to each other in a group, in hash order, and whose sizes allow a link."""
-    rows = met.filter(F.col("rank") < CHAIN_RANK).withColumn("at", F.xxhash64("doc_id"))
+    """Pairs (a, b) of sets that stand next to each other in a group, in a hash order of its own, and whose sizes allow a link."""
+    rows = met.filter(F.col("rank") < CHAIN_RANK).withColumn("at", F.xxhash64("h", "doc_id"))
     rows = rows.repartitionByRange("h", "at").sortWithinPartitions("h", "at", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
