@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -173,12 +174,31 @@ def test_quality_of_odd_tables(spark, odd, none):
     assert quality.classify(none, labels).count() == 0
 
 
-def test_mix_of_odd_tables(odd, none):
-    got = {(r.doc_id, r.source): r for r in mixing.mix_sources(odd).collect()}
-    assert all(r.taken <= 3 * r.size for r in got.values())
-    assert got[1, None].taken == 0 and got[7, "b"].copies == 2
-    assert sum({r.source: r.target for r in got.values()}.values()) == pytest.approx(sum(r.size for r in got.values()))
-    assert mixing.mix_sources(none).count() == 0
+MIX_ODD = [(1, "a b c", "x"), (1, "a b c", "x"), (1, "a b", "x"), (2, None, None), (2, "one two three four", None), (None, "p q r", "y"), (None, "p q r", "y"), (None, "s t u", "y"), (3, " \t", "y"), (4, "w " * 40, "z"), (4, "v " * 40, "z"), (5, "k " * 30, "x")]
+
+
+def test_mix_of_odd_tables(spark, odd, none):
+    assert mixing.mix_sources(odd).count() == len(ODD) and mixing.mix_sources(none).count() == 0
+    for df in (odd, spark.createDataFrame(MIX_ODD, "doc_id long, text string, source string")):
+        got = mixing.mix_sources(df).collect()
+        assert all(r.taken <= 3 * r.size for r in got)
+        assert sum({r.source: r.target for r in got}.values()) == pytest.approx(sum(r.size for r in got))
+        assert sum(r.taken for r in got) <= sum(r.size for r in got)
+        con = duckdb.connect()
+        con.register("documents", df.select("doc_id", "text", "source").toArrow())
+        want = collections.Counter((r[0], r[1], r[2], round(r[3], 6), r[4]) for r in con.sql(mixing.ORACLE_SQL).fetchall())
+        assert collections.Counter((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in got) == want
+
+
+def test_mixed_keeps_rows_and_clashing_columns(spark, none):
+    df = spark.createDataFrame([(*r, k, 7, "i") for k, r in enumerate(MIX_ODD)], "doc_id long, text string, source string, mix_size int, mix_id int, MIX_TAKEN string")
+    rows = mixing.mix_sources(df).filter("taken > 0").collect()
+    out = mixing.mixed(df)
+    assert out.columns == [*df.columns, "mix_size_", "mix_taken_"]
+    got = out.collect()
+    assert collections.Counter((r.doc_id, r.source, r.mix_size_, r.mix_taken_) for r in got) == collections.Counter((r.doc_id, r.source, r["size"], r.taken) for r in rows)
+    assert len({r.mix_size for r in got}) == len(got) and all(r.text == MIX_ODD[r.mix_size][1] for r in got)
+    assert mixing.mixed(none).count() == 0
 
 
 def test_mix_comes_near_its_targets(documents):
