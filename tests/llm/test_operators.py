@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.llm import decontam, jaccard, langid, licenses, maxent, mixing, pii, quality, registry, suffixes, vectors
 
@@ -280,6 +281,62 @@ def test_languages(spark, odd, none):
     assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", odd.lang.substr(9, 1)).filter("doc_id = 1")).collect()} == {"und"}
 
 
+def brute_languages(rows):
+    """langid over (doc_id, text, lang) in plain Python."""
+    split = lambda t: re.findall(r"(?:[a-z]|[^\x00-\x7f])+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = lambda w, n: [f" {w} "[k : k + n] for k in range(len(w) + 3 - n) if n > 1 or 0 < k <= len(w)]
+    learn = [(split(t), lang) for i, t, lang in rows if rest(i, 4) != 2 and t is not None and lang is not None]
+    langs = sorted({lang for _, lang in learn})
+    counts = [collections.defaultdict(collections.Counter) for _ in range(langid.GRAMS + 1)]
+    for ws, lang in learn:
+        for w in ws:
+            counts[0][w][lang] += 1
+            for n in range(1, langid.GRAMS + 1):
+                for g in grams(w, n):
+                    counts[n][g][lang] += 1
+    mass = [{x: sum(c[x] for c in table.values()) + 0.5 * len(table) + 1 for x in langs} for table in counts]
+    log = lambda n, key: [round(math.log((counts[n][key][x] + 0.5) / mass[n][x]) * langid.UNIT) for x in langs]
+    out = []
+    for i, t, _ in rows:
+        ws, sums = split(t), [0] * len(langs)
+        for w in ws:
+            if w in counts[0]:
+                one = log(0, w)
+            else:
+                per = []
+                for k in range(len(w) + 1):
+                    hits = [(n, f" {w} "[k : k + n]) for n in range(langid.GRAMS, 0, -1) if k + n <= len(w) + 2 and (n > 1 or k > 0) and f" {w} "[k : k + n] in counts[n]]
+                    per.append(log(*hits[0]) if hits else [0] * len(langs))
+                one = [sum(x) // len(per) for x in zip(*per)]
+            sums = [x + y for x, y in zip(sums, one)]
+        if langs and any(ch.isalpha() for ch in t or ""):
+            f = min(1, langid.EVIDENCE / max(1, len(ws))) / langid.UNIT
+            out.append((i, langs[sums.index(max(sums))], round(1 / sum(math.exp((x - max(sums)) * f) for x in sums), 6)))
+        else:
+            out.append((i, "und", 0.0))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("known", [(50_000, 200_000), (20, 30), (0, 0)])
+def test_languages_are_those_of_brute_force(spark, odd, documents, monkeypatch, known):
+    monkeypatch.setattr(langid, "WORDS", known[0])
+    monkeypatch.setattr(langid, "NGRAMS", known[1])
+    more = spark.createDataFrame([(30, "blorf", None, "x"), (31, "zzq \u00fcber gr\u00fc\u00df d\u00e9j\u00e0 \u4f60\u597d", None, "x"), (32, "\u2603 \u20ac", "en", "x"), (33, "catx", "fr", "x")], "doc_id long, text string, lang string, source string")
+    for df in (odd.select("doc_id", "text", "lang", "source").union(more), documents.limit(60)):
+        rows = [(r.doc_id, r.text, r.lang) for r in df.collect()]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        for again in (df, df.orderBy(F.desc("doc_id")).repartition(5)):
+            got = sorted(((r.doc_id, r.lang_pred, round(r.score, 6)) for r in langid.identify(again).collect()), key=repr)
+            assert got == brute_languages(rows)
+
+
+def test_recognised_keeps_rows_and_columns(spark, odd, none):
+    df = odd.withColumn("rejected", odd.h)
+    out = langid.recognised(df)
+    assert out.columns == df.columns and sorted(r.doc_id or 0 for r in out.collect()) == [0, 4, 5, 6, 7, 7, 8, 10]
+    assert langid.recognised(none).count() == 0
+
+
 def brute_removals(rows, length=100):
     seen, out = set(), []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
