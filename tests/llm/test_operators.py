@@ -129,7 +129,7 @@ def test_alignment_agrees_with_dynamic_programming():
             for k in range(1, len(best)):
                 new[k] = min(best[k - 1] + (region[k - 1] != ch), best[k] + 1, new[k - 1] + 1)
             best = new
-        found = decontam.aligned(item, bytes(region), 4)
+        found = decontam.aligned(item.decode(), region.decode(), 4)
         assert (found[0] if found else None) == (int(best.min()) if best.min() <= 4 else None)
 
 
@@ -146,7 +146,7 @@ def test_alignment_at_the_ends_of_texts_agrees_with_dynamic_programming():
             for k in range(1, len(best)):
                 new[k] = min(best[k - 1] + (region[k - 1] != ch), best[k] + 1, new[k - 1] + 1)
             best = new
-        found = decontam.aligned(item, region, 4)
+        found = decontam.aligned(item.decode(), region.decode(), 4)
         assert (found[0] if found else None) == (int(best.min()) if best.min() <= 4 else None)
 
 
@@ -160,6 +160,62 @@ def test_texts_cut_within_an_item(spark):
     assert sorted(r.doc_id for r in decontam.without_leaks(df, bench).collect()) == [0, 1, 2, 3]
 
 
+def brute_edits(item, text):
+    """Least edits of the item anywhere in the text, both normalised."""
+    row = np.zeros(len(text) + 1, np.int64)
+    codes = np.array([ord(c) for c in text])
+    for i, ch in enumerate(item):
+        new = np.minimum(row[:-1] + (codes != ord(ch)), row[1:] + 1)
+        new = np.concatenate([[i + 1], new])
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    return int(row.min())
+
+
+def brute_leaks(rows, items):
+    norm = lambda t: re.sub(r"(?:[^a-z0-9\x80-\U0010ffff])+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")).strip()
+    out = set()
+    for k, item in items:
+        n = norm(item)
+        e = min(int(len(n) * decontam.EDIT_RATE), max(0, (len(n) - decontam.Q) // decontam.Q))
+        for i, t in rows:
+            if n and len(n) < decontam.Q and f" {n} " in f" {norm(t)} ":
+                out.add((i, k, 0))
+            elif len(n) >= decontam.Q and (d := brute_edits(n, norm(t))) <= e:
+                out.add((i, k, d))
+    return out
+
+
+@pytest.mark.parametrize("limits", [(2 << 20, 1 << 21), (300, 7)])
+def test_leaks_and_least_edits_are_those_of_brute_force(spark, odd, none, monkeypatch, limits):
+    monkeypatch.setattr(decontam, "POSTINGS", limits[1])
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w\u00f6rd{k}" if k % 7 == 0 else f"word{k}" for k in range(40)]
+    make = lambda n: " ".join(vocabulary[k] for k in rng.integers(0, 40, n))
+    items = [(k, make(n)) for k, n in enumerate((2, 3, 6, 12, 25, 50, 80))] + [(20, "Photon"), (21, "What is DNA"), (22, None), (23, " ?! "), (24, "\u00e9\u00e9"), (24, "same id, other text of the item")]
+    items.append((30, items[5][1]))
+
+    def edited(t, n):
+        t = list(t)
+        for _ in range(n):
+            at = int(rng.integers(0, len(t)))
+            t[at : at + int(rng.integers(0, 2))] = list("q" * int(rng.integers(0, 2)))
+        return "".join(t)
+
+    rows = [(100 + 10 * k + n, f"{make(5)} {edited(t, n)} {make(5)}") for k, (_, t) in enumerate(items[:7]) for n in (0, 1, 2, 5, 9)]
+    one, two = items[5][1], edited(items[5][1], 1)
+    rows += [(1, f"{two} xx {one}"), (2, f"{one} xx {two}"), (3, "the photon."), (4, "photons"), (5, "What, is  dna"), (6, None), (7, ""), (7, one), (7, one), (None, one), (8, "caf\u00e9\u00e9 \u00e9\u00e9"), (9, "\u00e9\u00e9\u00e9")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, item_id int, leaked int")
+    bench = spark.createDataFrame([(*x, 5) for x in items], "item_id long, text string, edits int")
+    want = brute_leaks(rows, items)
+    got = [(r.doc_id, r.item_id, r.edits) for r in decontam.find_leaks(df, bench, block_bytes=limits[0]).collect()]
+    assert set(got) == want and sum(g[0] == 7 and g[1] == 5 for g in got) == 2
+    texts_of = {i: t for i, t in rows}
+    leaky = {t for t in texts_of.values() if any((i, k, d) for i, k, d in want if texts_of[i] == t and i != 7)} | {one}
+    left = decontam.without_leaks(df, bench, block_bytes=limits[0])
+    assert left.columns == df.columns and collections.Counter(r.text for r in left.collect()) == collections.Counter(t for _, t in rows if t not in leaky)
+    assert decontam.find_leaks(none, bench).count() == 0 and decontam.without_leaks(odd, bench).count() == len(ODD)
+
+
 def test_quality_on_held_out_rows(spark):
     sf = DATA / "sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
