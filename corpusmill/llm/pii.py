@@ -2,22 +2,29 @@
 
 Base kinds are e-mail, IP address, payment card and phone number by fixed
 patterns.  Identifier-like tokens (8 or more of ``[0-9A-Za-z_-]`` with at least 4
-digits) are instances; the two and three lexemes before one are its patterns.
-Instances that base spans or seed shapes cover are known.  Spark counts the
-pattern-instance graph over all documents and scores it in rounds: a pattern by
-the mean score of its instances, shrunk by ``shrink``; an unknown instance by
-the chance that any of its patterns is right.  Patterns with a score of
-``confidence`` and ``support`` distinct instances or more (the best
-``max_patterns``, a bound on the broadcast) then mark their instances everywhere.
+digits, or of a seed's shape and with a digit) are instances; the two and three lexemes in the
+``CONTEXT_CHARS`` characters before one are its patterns.  Seeds are instances
+that base spans cover, that have the shape of a well-known key or digest, or that
+a text assigns to a name such as "password".  Spark counts the pattern-instance
+graph over all documents and scores it in ``rounds``: a pattern by the mean score
+of its instances, shrunk by ``shrink``; an unknown instance by the chance that
+any of its patterns is right.  Patterns with a score of ``confidence`` and
+``support`` distinct instances or more then mark their instances everywhere;
+seeds that no base span covers are marked as well.
+
+Up to ``PATTERNS`` patterns are broadcast.  Beyond that the contexts of all
+instances are joined with the patterns, by digest of the text.
 
 Defined cases: null and empty texts have no spans; spans of one kind never
 overlap, learned spans overlap no base span; with no seeds nothing is learned;
-an empty table gives no rows; repeated rows are counted and returned each.
+an empty table gives no rows; repeated rows are counted and returned each; other
+columns, whatever their names, are left behind (``masked`` keeps them all).
 Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -26,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, one_text_per_id
+from .common import Scratch, fresh, one_text_per_id
 
 # The base patterns' alphabets and forms.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -34,7 +41,9 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-SEED_SHAPES = (re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})\Z"),)
+# Public forms of digests and access keys, and names of secrets.
+SEED_SHAPES = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,})\Z")
+SEED_NAME = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*[\"']?\Z", re.IGNORECASE)
 KINDS = ("email", "ip", "card", "phone")
 LEARNED = "identifier"
 
@@ -44,6 +53,7 @@ _TOKEN = re.compile(r"[0-9A-Za-z_-]+")
 _LEXEME = re.compile(r"\w+|[^\w\s]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 CONTEXT_CHARS = 64
+PATTERNS = 200_000
 
 
 def _luhn(digits: str) -> bool:
@@ -95,7 +105,8 @@ def instances(text: str) -> Iterator[tuple[int, int]]:
         while start > end and text[start - 1] in _TOKEN_CHARS:
             start -= 1
         end = _TOKEN.match(text, start).end()
-        if end - start >= 8 and sum(ch.isascii() and ch.isdigit() for ch in text[start:end]) >= 4:
+        token = text[start:end]
+        if len(token) >= 8 and (sum("0" <= ch <= "9" for ch in token) >= 4 or SEED_SHAPES.match(token)):
             yield start, end
         m = _DIGIT.search(text, end)
 
@@ -106,8 +117,27 @@ def contexts(text: str, start: int) -> list[str]:
     return [" ".join(lexemes[-n:]) for n in (3, 2) if len(lexemes) >= n]
 
 
-def _covered(span: tuple[int, int], spans: dict[str, list[tuple[int, int]]]) -> bool:
-    return any(a < span[1] and span[0] < b for own in spans.values() for a, b in own)
+class Cover:
+    """What the base spans of a text cover."""
+
+    def __init__(self, spans: dict[str, list[tuple[int, int]]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(x for own in spans.values() for x in own):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, span: tuple[int, int]) -> bool:
+        k = bisect.bisect_left(self.starts, span[1]) - 1
+        return k >= 0 and self.ends[k] > span[0]
+
+
+def is_seed(text: str, span: tuple[int, int]) -> bool:
+    """Whether an instance is one by its own shape or by the name it is assigned to."""
+    return bool(SEED_SHAPES.match(text[slice(*span)]) or SEED_NAME.search(text, max(0, span[0] - CONTEXT_CHARS), span[0]))
 
 
 def graph(documents: DataFrame) -> DataFrame:
@@ -121,9 +151,9 @@ def graph(documents: DataFrame) -> DataFrame:
                     continue
                 spans = None
                 for span in instances(text):
-                    spans = base_spans(text) if spans is None else spans
+                    spans = Cover(base_spans(text)) if spans is None else spans
                     token = text[slice(*span)]
-                    known = int(_covered(span, spans) or any(s.match(token) for s in SEED_SHAPES))
+                    known = int(spans.meets(span) or is_seed(text, span))
                     digest = hashlib.blake2b(token.encode("utf-8", "replace"), digest_size=8).hexdigest()
                     for p in contexts(text, span[0]):
                         rows[p, digest] = max(known, rows.get((p, digest), 0))
@@ -134,8 +164,8 @@ def graph(documents: DataFrame) -> DataFrame:
     return met.groupBy("pattern", "instance").agg(F.max("known").alias("known"))
 
 
-def learn(documents: DataFrame, rounds: int = 3, confidence: float = 0.6, support: int = 3, shrink: float = 1.0, max_patterns: int = 10_000) -> list[str]:
-    """High-confidence patterns, by scores passed over the pattern-instance graph."""
+def learn(documents: DataFrame, rounds: int = 3, confidence: float = 0.6, support: int = 3, shrink: float = 1.0) -> DataFrame:
+    """High-confidence patterns (column pattern), by scores passed over the pattern-instance graph."""
     scratch = Scratch(documents.sparkSession)
     edges = scratch.keep(graph(documents), "graph")
     known = edges.groupBy("instance").agg(F.max("known").cast("double").alias("score"))
@@ -145,38 +175,80 @@ def learn(documents: DataFrame, rounds: int = 3, confidence: float = 0.6, suppor
         reached = edges.join(pattern.filter(F.col("n") >= support), "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1.0 - F.least("trust", F.lit(0.999)))))).alias("reach"))
         seeds = edges.groupBy("instance").agg(F.max("known").cast("double").alias("own"))
         known = seeds.join(reached, "instance", "left").select("instance", F.greatest("own", F.coalesce("reach", F.lit(0.0))).alias("score"))
-    best = pattern.filter((F.col("trust") >= confidence) & (F.col("n") >= support)).orderBy(F.desc("trust"), F.desc("n"), "pattern").limit(max_patterns)
-    return [r["pattern"] for r in best.collect()]
+    return scratch.keep(pattern.filter((F.col("trust") >= confidence) & (F.col("n") >= support)).select("pattern"), "best")
+
 
+Learned = frozenset | list  # patterns, or the spans that they mark
 
-def all_spans(text: str, patterns: frozenset[str]) -> list[tuple[str, int, int]]:
+
+def all_spans(text: str, learned: Learned) -> list[tuple[str, int, int]]:
     """Spans of all kinds in the order of kinds, then start."""
     if not text:
         return []
     base = base_spans(text)
     out = [(kind, a, b) for kind in KINDS for a, b in base[kind]]
-    if patterns:
-        out += [(LEARNED, *span) for span in instances(text) if not _covered(span, base) and any(p in patterns for p in contexts(text, span[0]))]
+    if _DIGIT.search(text):
+        cover, marked = Cover(base), None if isinstance(learned, frozenset) else set(learned)
+        for span in instances(text):
+            if not cover.meets(span) and (is_seed(text, span) or (span in marked if marked is not None else any(p in learned for p in contexts(text, span[0])))):
+                out.append((LEARNED, *span))
     return out
 
 
-def scan(documents: DataFrame, patterns: list[str]) -> DataFrame:
-    """doc_id, counts per base kind, base_sha256, spans, n_identifier."""
-    shared = documents.sparkSession.sparkContext.broadcast(frozenset(patterns))
+def _marked(documents: DataFrame, patterns: DataFrame) -> DataFrame:
+    """digest and spans [(start, end)] of texts in which patterns mark instances, for more patterns than can be broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for digest, text in zip(*(b.column(k).to_pylist() for k in range(2)), strict=True):
+                cover = Cover(base_spans(text)) if text and _DIGIT.search(text) else None
+                for span in instances(text) if cover else ():
+                    if not cover.meets(span):
+                        rows += [(digest, *span, p) for p in contexts(text, span[0])]
+            digests, starts, ends, met = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.record_batch({"digest": pa.array(digests, pa.string()), "start": pa.array(starts, pa.int32()), "end": pa.array(ends, pa.int32()), "pattern": pa.array(met, pa.string())})
+
+    met = documents.select(F.md5("text").alias("digest"), "text").mapInArrow(run, "digest string, start int, end int, pattern string")
+    return met.join(patterns, "pattern").groupBy("digest").agg(F.collect_set(F.struct("start", "end")).alias("at"))
+
+
+def _with_learned(documents: DataFrame, patterns: DataFrame, text: str, name: str) -> tuple[DataFrame, frozenset | None]:
+    """The documents and the patterns; or, where these are too many, with the spans that they mark in a column ``name``."""
+    got = patterns.limit(PATTERNS + 1).collect()
+    if len(got) <= PATTERNS:
+        return documents.withColumn(name, F.lit(None).cast("array<struct<start: int, end: int>>")), frozenset(r["pattern"] for r in got)
+    marks = Scratch(documents.sparkSession).keep(_marked(documents.select(F.col(text).cast("string").alias("text")), patterns), "marks")
+    digest = fresh(documents, "digest")
+    marks = marks.select(F.col("digest").alias(digest), F.col("at").alias(name))
+    return documents.join(marks, F.md5(F.col(text).cast("string")) == F.col(digest), "left").drop(digest), None
+
+
+def _learned(column: pa.Array, patterns: frozenset | None) -> list[Learned]:
+    if patterns is not None:
+        return [patterns] * len(column)
+    return [[(x["start"], x["end"]) for x in own or ()] for own in column.to_pylist()]
+
+
+def scan(documents: DataFrame, patterns: DataFrame) -> DataFrame:
+    """doc_id, counts per base kind, n_identifier, n_spans (of all kinds), base_sha256, spans."""
+    rows, known = _with_learned(documents.select("doc_id", "text"), patterns, "text", "at")
+    shared = documents.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [all_spans(t, shared.value) for t in b.column(1).to_pylist()]
+            found = [all_spans(t, p) for t, p in zip(b.column(1).to_pylist(), _learned(b.column(2), shared.value), strict=True)]
             columns: dict[str, pa.Array] = {"doc_id": b.column(0)}
             for kind in (*KINDS, LEARNED):
                 columns[f"n_{kind}"] = pa.array([sum(s[0] == kind for s in x) for x in found], pa.int64())
+            columns["n_spans"] = pa.array([len(x) for x in found], pa.int64())
             said = [[f"{k}:{a}:{z}" for k, a, z in x] for x in found]
             base = [[s for s, x in zip(own, spans, strict=True) if x[0] != LEARNED] for own, spans in zip(said, found, strict=True)]
             columns["base_sha256"] = pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in base], pa.string())
             columns["spans"] = pa.array([",".join(x) for x in said], pa.string())
             yield pa.record_batch(columns)
 
-    return documents.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_identifier long, base_sha256 string, spans string")
+    return rows.select("doc_id", "text", "at").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_identifier long, n_spans long, base_sha256 string, spans string")
 
 
 def find(documents: DataFrame) -> DataFrame:
@@ -184,12 +256,12 @@ def find(documents: DataFrame) -> DataFrame:
     return scan(docs, learn(docs))
 
 
-def mask(text: str | None, patterns: frozenset[str]) -> str | None:
+def mask(text: str | None, learned: Learned) -> str | None:
     """The text with each span (overlapping ones as one) replaced by its kind in brackets."""
     if not text:
         return text
     out, end = [], 0
-    for kind, a, b in sorted(all_spans(text, patterns), key=lambda s: (s[1], -s[2])):
+    for kind, a, b in sorted(all_spans(text, learned), key=lambda s: (s[1], -s[2])):
         if a >= end:
             out += [text[end:a], f"[{kind.upper()}]"]
         end = max(end, b)
@@ -197,15 +269,18 @@ def mask(text: str | None, patterns: frozenset[str]) -> str | None:
 
 
 def masked(documents: DataFrame) -> DataFrame:
-    """The documents with personal data masked in ``text`` and ``n_chars`` (if there) brought up to date; a scan without shuffle."""
-    patterns = frozenset(learn(documents.select(F.col("text").cast("string").alias("text"))))
-    shared = documents.sparkSession.sparkContext.broadcast(patterns)
+    """The documents with personal data masked in ``text`` and ``n_chars`` (if there) brought up to date; a scan without
+    shuffle while the patterns can be broadcast."""
+    at = fresh(documents, "marks")
+    rows, known = _with_learned(documents, learn(documents.select(F.col("text").cast("string").alias("text"))), "text", at)
+    shared = documents.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            marks, b = b.column(b.num_columns - 1), b.select(b.schema.names[:-1])
             k = b.schema.get_field_index("text")
             old = b.column(k).to_pylist()
-            new = [mask(t, shared.value) for t in old]
+            new = [mask(t, p) for t, p in zip(old, _learned(marks, shared.value), strict=True)]
             columns = [*b.columns]
             columns[k] = pa.array(new, b.schema.field(k).type)
             n = b.schema.get_field_index("n_chars")
@@ -214,4 +289,4 @@ def masked(documents: DataFrame) -> DataFrame:
                 columns[n] = pa.array([c if x == y else len(y) for c, x, y in zip(kept, old, new, strict=True)], b.schema.field(n).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return documents.mapInArrow(run, documents.schema)
+    return rows.mapInArrow(run, documents.schema)
