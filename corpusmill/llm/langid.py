@@ -38,12 +38,13 @@ from .common import Scratch, checked_broadcast, fresh, most_frequent, one_text_p
 
 UND = "und"
 GRAMS = 4
-WORDS = 50_000
+WORDS = 400_000
 NGRAMS = 200_000
 UNIT = 1_000_000
 #: A text's evidence counts as that of so many words at most, so that scores of long texts are not all 1.
 EVIDENCE = 30.0
-HELD = 1 << 20
+HELD = 1 << 17
+PIECE = 1 << 14
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[ord("a") : ord("z") + 1] = True
@@ -124,14 +125,20 @@ def _count(labelled: DataFrame, number: dict[str, int]) -> DataFrame:
         raw = np.concatenate([x[4] for x in held])
         first, c = added(h, lang, c)
         yield told(0, h[first], lang[first], c)
-        start = np.cumsum(size) - size
-        buf, begin = _marked(raw, start[first], start[first] + size[first])
-        chars = Characters(buf, begin)
+        start, of = (np.cumsum(size) - size)[first], lang[first]
+        parts: list[list[tuple]] = [[] for _ in range(GRAMS + 1)]
+        for lo in range(0, len(first), PIECE):
+            own = slice(lo, lo + PIECE)
+            chars = Characters(*_marked(raw, start[own], start[own] + size[first[own]]))
+            for n in range(1, GRAMS + 1):
+                p = chars.positions[chars.fits(chars.positions, n)]
+                key, at = chars.keys(p, n), of[own][chars.word[p]]
+                once, total = added(key, at, c[own][chars.word[p]])
+                parts[n].append((key[once], at[once], total))
         for n in range(1, GRAMS + 1):
-            p = chars.positions[chars.fits(chars.positions, n)]
-            key, own = chars.keys(p, n), lang[first][chars.word[p]]
-            once, total = added(key, own, c[chars.word[p]])
-            yield told(n, key[once], own[once], total)
+            key, at, total = (np.concatenate(x) for x in zip(*parts[n], strict=True))
+            once, total = added(key, at, total)
+            yield told(n, key[once], at[once], total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -163,20 +170,20 @@ def train(labelled: DataFrame, scratch: Scratch) -> Model:
     langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
     if not langs:
         return Model([], None, np.zeros((0, 0)), None)
-    counts = _count(rows, {x: k for k, x in enumerate(langs)}).groupBy("n", "key", "lang").agg(F.sum("c").alias("c"))
+    # rows come added up by task; dealt by key once, they are grouped twice
+    counts = _count(rows, {x: k for k, x in enumerate(langs)}).repartition("n", "key").groupBy("n", "key", "lang").agg(F.sum("c").alias("c"))
     counts = scratch.keep(counts.groupBy("n", "key").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by")), "counts")
     types, mass = np.zeros(GRAMS + 1), np.zeros((GRAMS + 1, len(langs)))
-    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect():
+    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k"), *[F.sum(F.element_at("by", F.lit(k))).alias(f"c{k}") for k in range(len(langs))]).collect():
         types[r["n"]] = r["k"]
-    for r in counts.select("n", F.explode("by").alias("lang", "c")).groupBy("n", "lang").agg(F.sum("c").alias("c")).collect():
-        mass[r["n"], r["lang"]] = r["c"]
+        mass[r["n"]] = [r[f"c{k}"] or 0 for k in range(len(langs))]
     mass += 0.5 * types[:, None] + 1
 
     def table(some: DataFrame) -> tuple[tc.HashIndex, np.ndarray]:
         got = some.select("n", "key", *[F.coalesce(F.element_at("by", F.lit(k)), F.lit(0)).alias(f"c{k}") for k in range(len(langs))]).toArrow()
         n = got["n"].to_numpy()
         c = np.stack([got[f"c{k}"].to_numpy() for k in range(len(langs))], axis=1) if len(n) else np.zeros((0, len(langs)))
-        return tc.HashIndex(tc.unsigned(got["key"].to_numpy())), np.round(np.log((c + 0.5) / mass[n]) * UNIT).astype(np.int64)
+        return tc.HashIndex(tc.unsigned(got["key"].to_numpy())), np.round(np.log((c + 0.5) / mass[n]) * UNIT).astype(np.int32)
 
     share = max(1, len(langs) // 8)  # the broadcast stays as large with many languages
     grams = table(most_frequent(counts.filter("n > 0"), "total", NGRAMS // share))
