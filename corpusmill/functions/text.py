@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,8 +44,21 @@ def instruct(c: Column) -> Column:
     return F.concat(F.lit("[INST] "), strip(c), F.lit(" [/INST]"))
 
 
-def word_ngrams(c: Column, n: int) -> Column:
-    """Distinct n-grams of lower-cased letter and digit runs."""
+def _ngrams(c: Column, n: int, of: Callable[..., Column], kind: str) -> Column:
+    """Distinct n-grams of lower-cased letter and digit runs; a null text has none.
+
+    The words are the one element of an array, so that they are split once a text and not once an n-gram.
+    """
     words = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    grams = F.transform(F.array(words), lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: of(*[F.get(w, i + k) for k in range(n)]))))
+    return F.coalesce(F.array_distinct(F.element_at(grams, 1)), F.array().cast(f"array<{kind}>"))
+
+
+def word_ngrams(c: Column, n: int) -> Column:
+    """Distinct n-grams as strings, words joined by blanks."""
+    return _ngrams(c, n, lambda *w: F.concat_ws(" ", *w), "string")
+
+
+def hashed_ngrams(c: Column, n: int) -> Column:
+    """Distinct n-grams as 64-bit fingerprints; x of them meet y others by chance x y / 2^64 times."""
+    return _ngrams(c, n, F.xxhash64, "bigint")

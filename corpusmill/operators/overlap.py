@@ -1,17 +1,29 @@
-"""n-gram overlap of texts with a test set."""
+"""n-gram overlap of texts with a test set.
+
+Defined cases: null and short texts have no n-grams and are left out; rows with one
+key count together; an empty test set gives no hits; other columns are left behind.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import word_ngrams
+from ..functions.text import hashed_ngrams
+
+#: Fingerprints of a test set that are broadcast at most: 8 bytes each, some 64 MB as a hash table.
+KNOWN = 2_000_000
 
 
 def ngram_hits(texts: DataFrame, tests: DataFrame, key: str, n: int = 5, text: str = "text") -> DataFrame:
-    """key, n_grams, n_hits (distinct n-grams that the test set has); texts without n-grams are left out."""
-    known = tests.select(F.explode(word_ngrams(F.col(text), n)).alias("g")).distinct().withColumn("hit", F.lit(1))
-    grams = texts.select(key, F.explode(word_ngrams(F.col(text), n)).alias("g"))
+    """key, n_grams, n_hits (distinct n-grams that the test set has); texts without n-grams are left out.
+
+    The n-grams of a corpus are not shuffled while the test set's can be broadcast: each text's are looked up and
+    added up where the text is.
+    """
+    known = tests.select(F.explode(hashed_ngrams(F.col(text), n)).alias("g")).distinct().withColumn("hit", F.lit(1))
+    known = F.broadcast(known) if known.limit(KNOWN + 1).count() <= KNOWN else known
+    grams = texts.select(F.col(key), F.explode(hashed_ngrams(F.col(text), n)).alias("g"))
     return grams.join(known, "g", "left").groupBy(key).agg(F.count("*").alias("n_grams"), F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("n_hits"))
 
 
