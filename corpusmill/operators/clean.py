@@ -1,8 +1,12 @@
-"""Corpus cleaning: paragraphs, how-to articles with held-out titles, questions with answers, chunks."""
+"""Corpus cleaning: paragraphs, how-to articles with held-out titles, questions with answers, chunks.
+
+Defined cases: null texts and titles are outside every length band and match no title; rows with a null order key
+come first in chunks, in any order among themselves; rows with equal keys follow each other; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -29,22 +33,51 @@ def question_answers(df: DataFrame, question: str = "title_body", answer: str =
     return df.withColumn("text", T.joined(F.col(question), F.col(answer), "\n\n")).drop(*gone).filter(T.in_band(F.col("text")))
 
 
-def chunks(df: DataFrame, order: str, rows: int = 350_000, group: str | None = None, drop_remainder: bool = False) -> DataFrame:
-    """A chunk number for every ``rows`` rows in order of a dense or sparse key.
+def numbered(df: DataFrame, order: str, name: str, group: str | None = None, width: int = 100_000) -> DataFrame:
+    """``name``: the place (from 0) of every row in order of a dense or sparse key, and ``name``_total: how many there are.
 
-    Counts of key ranges come first, so that no task orders all rows; ``drop_remainder``
-    leaves out a last chunk that is not full.
+    Counts of key ranges come first, so that no task orders all rows.
     """
-    width = max(1, rows // 4)
     span = df.withColumn("_range", F.floor(F.col(order) / width))
     keys = [group] if group else []
     sizes = span.groupBy(*keys, "_range").count()
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).withColumn("_total", F.sum("count").over(Window.partitionBy(*keys))).drop("count")
-    inside = Window.partitionBy(*keys, "_range").orderBy(order)
-    out = span.withColumn("_row", F.row_number().over(inside)).join(sizes, [*keys, "_range"])
-    place: Column = F.col("_before") + F.col("_row") - 1
-    out = out.withColumn("chunk", F.floor(place / rows).cast("long"))
+    before = Window.partitionBy(*keys).orderBy(F.col("_range").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).withColumn(f"{name}_total", F.sum("count").over(Window.partitionBy(*keys))).drop("count")
+    sizes = sizes.select(*[F.col(c).alias(f"_s{c}") for c in (*keys, "_range")], "_before", f"{name}_total")
+    inside = Window.partitionBy(*keys, "_range").orderBy(F.col(order).asc_nulls_first())
+    on = F.col("_range").eqNullSafe(F.col("_s_range"))
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_s{k}"))
+    out = span.withColumn("_row", F.row_number().over(inside)).join(sizes, on)
+    out = out.withColumn(name, (F.col("_before") + F.col("_row") - 1).cast("long"))
+    return out.drop("_range", "_row", "_before", "_s_range", *[f"_s{k}" for k in keys])
+
+
+def chunks(df: DataFrame, order: str, rows: int = 350_000, group: str | None = None, drop_remainder: bool = False) -> DataFrame:
+    """A chunk number for every ``rows`` rows in order of a key; ``drop_remainder`` leaves out a last chunk that is not full."""
+    out = numbered(df, order, "_place", group, max(1, rows // 4)).withColumn("chunk", F.floor(F.col("_place") / rows).cast("long"))
     if drop_remainder:
-        out = out.filter((F.col("chunk") + 1) * rows <= F.col("_total"))
-    return out.drop("_range", "_row", "_before", "_total")
+        out = out.filter((F.col("chunk") + 1) * rows <= F.col("_place_total"))
+    return out.drop("_place", "_place_total")
+
+
+MOST_FILES = 1_000_000
+
+
+def file_chunks(df: DataFrame, file: str = "file", rows: int = 350_000) -> DataFrame:
+    """A chunk number for whole input files: in order of name, a chunk ends with the file that brings it to ``rows`` rows or more.
+
+    Files after the last full chunk are left out.  The driver sees one row a file (a checked number of them).
+    """
+    sizes = df.groupBy(file).count().orderBy(file).limit(MOST_FILES + 1).collect()
+    if len(sizes) > MOST_FILES:
+        raise ValueError(f"more than {MOST_FILES} input files")
+    open_, full, held, chunk = [], [], 0, 0
+    for r in sizes:
+        open_.append(r[0])
+        held += r["count"]
+        if held >= rows:
+            full += [(f, chunk) for f in open_]
+            open_, held, chunk = [], 0, chunk + 1
+    of = df.sparkSession.createDataFrame(full, df.select(F.col(file).alias("_file")).schema.add("chunk", "long"))
+    return df.join(of, F.col(file).eqNullSafe(F.col("_file"))).drop("_file")

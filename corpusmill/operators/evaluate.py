@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LETTERS
+from .prompts import judge_prompt
 
 MISSING = float("-inf")
 
@@ -40,3 +41,15 @@ def swap(df: DataFrame, mask: Column) -> DataFrame:
 def preference(output: Column) -> Column:
     """1 or 2 as the judge's text names it first, else null."""
     return F.nullif(F.regexp_extract(output, r"\b([12])\b", 1), F.lit("")).cast("int")
+
+
+def by_row(prompts: DataFrame, predictions: DataFrame, references: DataFrame, key: str = "row_id") -> DataFrame:
+    """key, instruction, prediction, reference of the rows that all three have: (key, prompt), (key, prediction), (key, reference)."""
+    rows = prompts.select(key, F.col("prompt").alias("instruction")).join(predictions.select(key, "prediction"), key).join(references.select(key, "reference"), key)
+    return rows.select(key, "instruction", "prediction", "reference")
+
+
+def pairwise(references: DataFrame, predictions: DataFrame, mask: Column, key: str = "row_id") -> DataFrame:
+    """The judge's table: (key, instruction, reference) and (key, prediction) side by side, swapped where the mask says so, with the prompt."""
+    rows = references.select(key, "instruction", F.col("reference").alias("output_1")).join(predictions.select(key, F.col("prediction").alias("output_2")), key)
+    return swap(rows, mask).withColumn("prompt", judge_prompt(F.col("instruction"), F.col("output_1"), F.col("output_2")))

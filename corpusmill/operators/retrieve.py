@@ -1,4 +1,8 @@
-"""Mixed similarity retrieval: nearest to each query and to their mean, per split, then over all."""
+"""Mixed similarity retrieval: nearest to each query and to their mean, per split, then over all.
+
+Defined cases: vectors that are null, of another length than the queries' or with a null or NaN component take no
+part; zero vectors have similarity 0; without queries nothing is found.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +21,8 @@ def similarities(corpus: DataFrame, queries: DataFrame, keys: tuple[str, ...], d
     rows = queries.orderBy("fs_id").limit(MOST_QUERIES + 1).collect()
     if len(rows) > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries: retrieve in blocks of queries")
+    if not rows:
+        return corpus.select(*keys, F.array().cast("array<double>").alias("sims"), F.lit(None).cast("double").alias("mean")).limit(0)
     q = np.array([r["embedding"] for r in rows], dtype=np.float64)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
 
@@ -29,7 +35,8 @@ def similarities(corpus: DataFrame, queries: DataFrame, keys: tuple[str, ...], d
             sims = pa.ListArray.from_arrays(pa.array(np.arange(0, s.size + 1, len(q)), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], sims, pa.array(s.mean(axis=1))], names=[*keys, "sims", "mean"])
 
-    kept = corpus.filter("embedding is not null").select(*keys, "embedding")
+    whole = F.size("embedding") == q.shape[1]
+    kept = corpus.filter(whole & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))).select(*keys, "embedding")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     out = kept.mapInArrow(run, f"{types}, sims array<double>, mean double")
     return out.select(*keys, F.transform("sims", lambda s: F.round(s, digits)).alias("sims"), F.round("mean", digits).alias("mean"))
@@ -45,17 +52,18 @@ def mixed_bounds(k: int, queries: int) -> tuple[int, int]:
     return total // queries, total
 
 
-def per_query(sims: DataFrame, sizes: DataFrame, split: str, doc: str, queries: int, p: float, k: int) -> DataFrame:
-    """fs, split, doc, sim: best of each query within splits (a share p of them), then over all.
+def per_query(sims: DataFrame, sizes: DataFrame, split: str, doc: str, queries: int, p: float, k: int | None) -> DataFrame:
+    """fs, split, doc, sim: best of each query within splits (a share p of them), then over all (without k: no further cut).
 
     The literal bound k inside splits loses nothing, as no row beyond it can be among the best k over all,
     and lets the ranking be cut before the shuffle.
     """
     long = sims.select(split, doc, F.posexplode("sims").alias("fs", "sim"))
     inside = Window.partitionBy(split, "fs").orderBy(F.desc("sim"), doc)
-    top = long.withColumn("rn", F.row_number().over(inside)).filter(F.col("rn") <= k)
+    top = long.withColumn("rn", F.row_number().over(inside)).filter(F.lit(True) if k is None else F.col("rn") <= k)
     top = top.join(F.broadcast(sizes), split).filter(F.col("rn") <= F.floor(F.lit(float(p)) * F.col("n") / queries / 2))
-    return ranked(top.select("fs", split, doc, "sim"), split, doc, k)
+    top = top.select("fs", split, doc, "sim")
+    return top if k is None else ranked(top, split, doc, k)
 
 
 def ranked(rows: DataFrame, split: str, doc: str, k: int) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .clean import numbered
+
 
 def order_key(seed: str, key: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), key.cast("string")))
@@ -22,14 +24,17 @@ def coin(key: Column, seed: str = "1234") -> Column:
 
 
 def even_parts(df: DataFrame, n: int, key: str) -> DataFrame:
-    """``part``: n nearly equal ranges in key order (one, if there are no more rows than parts)."""
+    """``part``: n nearly equal ranges in key order, the first ones longer by a row (one, if there are no more rows than parts)."""
     rows = df.count()
     if n >= rows:
         return df.withColumn("part", F.lit(1))
-    return df.withColumn("part", F.ntile(n).over(Window.orderBy(key)).cast("int"))
+    size, over = divmod(rows, n)
+    place = F.col("_place")
+    part = F.when(place < over * (size + 1), F.floor(place / (size + 1))).otherwise(over + F.floor((place - over * (size + 1)) / size))
+    return numbered(df, key, "_place").withColumn("part", (part + 1).cast("int")).drop("_place", "_place_total")
 
 
 def final_dataset(samples: DataFrame, shots: DataFrame, n: int, key: str, seed: str = "1234") -> DataFrame:
-    """n rows: the few-shots, and as many samples as are left, tagged."""
-    drawn = exact(samples, max(0, n - shots.count()), key, seed)
+    """n rows: the few-shots, and as many samples as are left, tagged; raises if there are too few samples."""
+    drawn = exact(samples, max(0, n - shots.count()), key, seed, strict=True)
     return drawn.withColumn("is_few_shot", F.lit(0)).unionByName(shots.withColumn("is_few_shot", F.lit(1)))

@@ -13,6 +13,11 @@ Embed = Callable[[list[str]], np.ndarray]
 Generate = Callable[[list[str]], list[str]]
 
 
+def model_length(requested: int | None, model: str) -> int:
+    """Tokens a model is run with: what is asked for up to 8192, else 8192 or, for models that are not llamas, 16384."""
+    return min(requested, 8192) if requested is not None else 8192 if "llama" in model else 16384
+
+
 def hashed_embedding(texts: list[str], width: int = 64) -> np.ndarray:
     """Counts of hashed words, normalised: a stand-in for a text encoder."""
     out = np.zeros((len(texts), width), dtype=np.float32)

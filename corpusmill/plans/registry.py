@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import clean, dedup, evaluate, extract, overlap, prompts, retrieve, sampling
+from ..operators import clean, dedup, evaluate, extract, official, overlap, prompts, retrieve, sampling
 from ..sources import files
 from ..streaming import incremental
 
@@ -84,7 +84,7 @@ def top_p_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, queries = _vectors(spark, sf_dir)
     sims = retrieve.similarities(corpus, queries, ("label", "vec_id"))
     sizes = retrieve.split_sizes(corpus, "label")
-    return retrieve.per_query(sims, sizes, "label", "vec_id", FEW, P, 1_000_000).select("fs", "label", "vec_id")
+    return retrieve.per_query(sims, sizes, "label", "vec_id", FEW, P, None).select("fs", "label", "vec_id")
 
 
 @_query("SELECT source, count(*) AS n, CAST(max(doc_id) AS BIGINT) AS last_id FROM documents GROUP BY source")
@@ -170,11 +170,12 @@ def jsonl_record_string(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- extraction and validation
 
-_SNIP = "regexp_replace(substr(text, 1, 60), '[^A-Za-z0-9 ]', '', 'g')"
+# the whole text, without what would have to be escaped in JSON or would end a candidate
+_SNIP = "regexp_replace(text, '[^\\p{L}\\p{N} .,;:!?()-]+', ' ', 'g')"
 
 
 def _snippet() -> Column:
-    return F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z0-9 ]", "")
+    return F.regexp_replace("text", r"[^\p{L}\p{N} .,;:!?()-]+", " ")
 
 
 def _samples(spark: SparkSession, sf_dir: str, cases: list[tuple[str, ...]]) -> DataFrame:
@@ -274,8 +275,7 @@ _SHOT_TEXT = f"trim(text, '{WS}')"
 SELECT doc_id, string_agg('[INST] Ask.' || ' ' || chr(10) || chr(10) || '___________' || chr(10) || 'Text: ' || trim(shot, '{WS}') || ' [/INST] ' || 'A</s> ', '' ORDER BY turn) || '[INST] Ask.' || ' ' || chr(10) || chr(10) || '___________' || chr(10) || 'Text: ' || trim(first(text), '{WS}') || ' [/INST] ' AS prompt FROM x WHERE turn <= 3 GROUP BY doc_id""")
 def fewshot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     shots = _table(spark, sf_dir, "benchmark").filter("item_id < 8").select("item_id", F.col("text").alias("shot"))
-    chosen = prompts.choose_shots(_table(spark, sf_dir, "documents").select("doc_id", "text"), shots, "doc_id", "item_id").withColumn("answer", F.lit("A"))
-    return prompts.few_shot_prompt(chosen, "doc_id", "text", "shot", "answer", "Ask.")
+    return prompts.few_shot_prompts(_table(spark, sf_dir, "documents"), shots.withColumn("answer", F.lit("A")), "doc_id", "text", "item_id", "shot", "answer", "Ask.")
 
 
 @_query("SELECT doc_id, CAST(item_id AS BIGINT) AS item_id, CAST(turn AS INTEGER) AS turn FROM (SELECT doc_id, item_id, row_number() OVER (PARTITION BY doc_id ORDER BY md5(concat_ws(':', doc_id, item_id)), item_id) AS turn FROM documents, (SELECT item_id FROM benchmark WHERE item_id < 8)) WHERE turn <= 3")
@@ -485,6 +485,69 @@ def equality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text", F.lit("pending").alias("state"))
 
 
+# ---- official sets, instructions, rows side by side
+
+
+@_query("SELECT c_custkey AS id, [c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR), c_name] AS choices, c_nationkey AS answer FROM customer")
+def official_medical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = F.col("c_nationkey")
+    return official.medical(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("opa"), F.col("c_mktsegment").alias("opb"), nation.cast("string").alias("opc"), F.col("c_name").alias("opd"), nation.alias("cop")))
+
+
+@_query("SELECT doc_id, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS answer_str, CASE WHEN quality = 1 THEN 0 ELSE 1 END AS answer, ['yes', 'no'] AS choices FROM labels")
+def official_yes_no(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return official.yes_no(_table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "yes").otherwise("no").alias("answer")))
+
+
+@_query("SELECT doc_id, text AS ingredients, lang AS steps, 'Ingredients:' || chr(10) || text || chr(10) || 'Steps:' || chr(10) || lang AS response FROM documents")
+def official_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return official.recipes(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("ingredients"), F.col("lang").alias("steps")))
+
+
+@_query("SELECT doc_id, text AS article, lang AS response FROM documents")
+def official_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return official.summaries(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("article"), F.col("lang").alias("highlights")))
+
+
+_YES_NO = [x.replace("'", "''") for x in prompts.INSTRUCTIONS["csqa"]]
+
+
+@_query(f"SELECT doc_id, CASE WHEN substr(md5('1234:' || doc_id), 1, 1) IN ('0','1','2','3','4','5','6','7') THEN '{_YES_NO[0]}' ELSE '{_YES_NO[1]}' END AS instruction FROM documents")
+def instruction_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", prompts.choose_instruction("csqa", F.col("doc_id")).alias("instruction"))
+
+
+@_query("SELECT d.doc_id, d.text AS instruction, CAST(l.quality AS VARCHAR) AS prediction, d.lang AS reference FROM documents d JOIN labels l ON l.doc_id = d.doc_id")
+def outputs_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, said = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return evaluate.by_row(d.select("doc_id", F.col("text").alias("prompt")), said.select("doc_id", F.col("quality").cast("string").alias("prediction")), d.select("doc_id", F.col("lang").alias("reference")), "doc_id")
+
+
+_SWAP = "substr(md5('1234:' || d.doc_id), 1, 1) IN ('0','1','2','3','4','5','6','7')"
+
+
+@_query(f"""WITH p AS (SELECT d.doc_id, d.text AS instruction, {_SWAP} AS swapped, CASE WHEN {_SWAP} THEN d.source ELSE d.lang END AS output_1, CASE WHEN {_SWAP} THEN d.lang ELSE d.source END AS output_2 FROM documents d)
+SELECT *, 'Which of the two outputs answers the instruction better? Reply with 1 or 2 only.' || chr(10) || chr(10) || 'Instruction:' || chr(10) || instruction || chr(10) || chr(10) || 'Output 1:' || chr(10) || output_1 || chr(10) || chr(10) || 'Output 2:' || chr(10) || output_2 || chr(10) || chr(10) || 'Better output: ' AS prompt FROM p""")
+def judge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    return evaluate.pairwise(d.select("doc_id", F.col("text").alias("instruction"), F.col("lang").alias("reference")), d.select("doc_id", F.col("source").alias("prediction")), sampling.coin(F.col("doc_id")), "doc_id")
+
+
+@_query("SELECT DISTINCT doc_id, printf('train.%05d', doc_id) AS split, CAST(doc_id AS INTEGER) AS number, printf('c4-train.%05d-of-01024.json.gz', doc_id) AS file FROM documents")
+def web_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").select("doc_id").distinct().withColumn("split", files.web_split(F.col("doc_id")))
+    return d.select("doc_id", "split", files.split_number(F.col("split")).alias("number"), files.split_file(F.lit("c4"), F.col("split")).alias("file"))
+
+
+def _folded(rows: str) -> str:
+    return f"WITH RECURSIVE s AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY source) AS k FROM documents GROUP BY source), f(k, source, held, chunk) AS (SELECT 0, CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT s.k, s.source, CASE WHEN f.held >= {rows} THEN s.n ELSE f.held + s.n END, CASE WHEN f.held >= {rows} THEN f.chunk + 1 ELSE f.chunk END FROM f JOIN s ON s.k = f.k + 1)"
+
+
+@_query(f"{_folded('200')}, c AS (SELECT chunk FROM f WHERE held >= 200 GROUP BY chunk) SELECT d.doc_id, d.source, f.chunk FROM documents d JOIN f ON f.source = d.source JOIN c ON c.chunk = f.chunk")
+def chunks_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.file_chunks(_table(spark, sf_dir, "documents").select("doc_id", "source"), "source", 200)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -16,3 +19,23 @@ CONF = {
 def build(master: str | None = None, app: str = "corpusmill", **conf: str) -> SparkSession:
     b = SparkSession.builder.appName(app).config(map=CONF | conf)
     return (b.master(master) if master else b).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder; where none is named, a temporary one in local mode (tests), an error on a cluster."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="corpusmill-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """A table in the shared folder in place of a long plan."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/corpusmill/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

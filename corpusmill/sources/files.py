@@ -1,8 +1,12 @@
-"""Readers and writers for corpora, samples and metrics."""
+"""Readers and writers for corpora, samples and metrics.
+
+Schemas are given, never inferred (``schemas``).  Defined cases: an empty file has no rows; a file with a damaged line
+is left out whole; fields that a record lacks are null.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -11,13 +15,27 @@ from ..functions.text import strip
 CORPUS_ROOTS = {"c4": "c4", "wikipedia": "wikipedia", "stackexchange": "stackexchange", "wikihow": "wikihow"}
 
 
-def jsonl(spark: SparkSession, paths: str | list[str], schema: str = "text string", raw: bool = False) -> DataFrame:
-    """JSON lines, plain or gzip; a file with any damaged line is left out whole. ``raw`` adds the line itself."""
-    lines = spark.read.text(paths).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"))
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, doc_idx (the line's number within its file, from 0) and raw.
+
+    Lines are numbered inside each block of a file, and the counts of earlier blocks are added: files of any size are
+    read by as many tasks as they have blocks.
+    """
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")]
+    lines = spark.read.text(paths).select(F.col("value").alias("raw"), *where)
+    blocks = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return lines.join(F.broadcast(blocks), ["file", "_block"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("doc_idx"), "raw")
+
+
+def jsonl(spark: SparkSession, paths: str | list[str], schema: str = "text string", raw: bool = False, numbered: bool = False) -> DataFrame:
+    """JSON lines, plain or gzip; a file with any damaged line is left out whole. ``raw`` adds the line itself, ``numbered`` its number (doc_idx)."""
+    lines = numbered_lines(spark, paths) if numbered else spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
     parsed = lines.withColumn("r", F.from_json("raw", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}))
     bad = parsed.filter(F.col("r").isNull() | F.col("r._corrupt").isNotNull()).select("file").distinct()
     good = parsed.join(bad, "file", "left_anti")
-    return good.select("file", *(["raw"] if raw else []), "r.*").drop("_corrupt")
+    return good.select("file", *(["doc_idx"] if numbered else []), *(["raw"] if raw else []), "r.*").drop("_corrupt")
 
 
 def record_string(*columns: str) -> Column:
@@ -27,9 +45,8 @@ def record_string(*columns: str) -> Column:
 
 def howto_csv(spark: SparkSession, path: str) -> DataFrame:
     """headline, title, text; rows with another number of fields are skipped."""
-    schema = "headline string, title string, text string, _corrupt string"
-    rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True)
-    return rows.cache().filter("_corrupt is null").drop("_corrupt")
+    schema = "headline string, title string, text string"
+    return spark.read.schema(schema).option("columnPruning", "false").csv(path, header=True, multiLine=True, escape='"', mode="DROPMALFORMED", enforceSchema=True)
 
 
 def titles(spark: SparkSession, path: str) -> DataFrame:
@@ -45,6 +62,16 @@ def many(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     return spark.read.schema(schema).json(paths)
 
 
+def web_split(number: Column) -> Column:
+    """Name of a shard of the web corpus."""
+    return F.format_string("train.%05d", number.cast("int"))
+
+
+def split_number(split: Column) -> Column:
+    """The number at the end of a split's name, null without one."""
+    return F.nullif(F.regexp_extract(split, r"([0-9]+)$", 1), F.lit("")).cast("int")
+
+
 def split_file(group: Column, split: Column) -> Column:
     """File name of a split: numbered shards for the web corpus, plain names otherwise."""
     return F.when(group == "c4", F.format_string("c4-%s-of-01024.json.gz", split)).otherwise(F.concat(split, F.lit(".jsonl")))
@@ -57,14 +84,6 @@ def corpus_root(group: Column) -> Column:
     return out
 
 
-def positions(df: DataFrame, file: str = "file") -> DataFrame:
-    """doc_idx: the line number within each file, for text read one task a file in order."""
-    rows = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    numbered = df.sparkSession.createDataFrame(rows, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, _row long")
-    first = numbered.groupBy(file).agg(F.min("_row").alias("_first"))
-    return numbered.join(F.broadcast(first), file).withColumn("doc_idx", F.col("_row") - F.col("_first")).drop("_row", "_first")
-
-
 def write_lines(df: DataFrame, path: str, *order: str, column: str = "raw") -> None:
     df.orderBy(*order).select(column).write.mode("overwrite").text(path)
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans import models
+from ..sources.files import split_number
 
 
 def pending(documents: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
@@ -12,6 +14,12 @@ def pending(documents: DataFrame, stored: DataFrame, keys: list[str]) -> DataFra
     return documents.join(stored.select(*keys).distinct(), keys, "left_anti")
 
 
+def next_split(stored: DataFrame, split: str = "split") -> int:
+    """The number to go on with: one more than the last split that is stored, 0 if none is."""
+    last = stored.agg(F.max(split_number(F.col(split)))).first()[0]
+    return 0 if last is None else last + 1
+
+
 def embed_new_files(spark: SparkSession, source: str, sink: str, checkpoint: str, schema: str = "doc_id long, text string") -> None:
     """Embed the Parquet files that came since the last run, exactly once, then stop."""
     stream = spark.readStream.schema(schema).parquet(source)
