@@ -14,21 +14,25 @@ and about one position in 35 is an anchor.
 1.  Anchors are shuffled by fingerprint with a fingerprint of their context (all
     ``length``-byte strings around them).  Alone, nothing repeats.  A later
     anchor with an equal context is covered whole, by streaming over sorted
-    rows, so exact copies of any number are settled here.
+    rows, so exact copies of any number are settled here.  Anchors that a sample
+    shows to be hot are settled as far as a task can on its own before they are
+    shuffled, and dealt by context as well; the sample only decides where rows go.
 2.  First holders of contexts in groups with different contexts get their bytes
-    back from the text.  Suffixes of a group are sorted to depth ``length``,
-    with positions breaking ties; LCPs and previous and next smaller positions
-    then tell which strings repeat.  Groups over ``HOT`` contexts are settled by
-    grouped minima of fingerprints instead, whose work is spread by key: strings
-    at ``BLOCK`` neighbouring places are handled as one.  If the stretch they
-    span together starts earlier too, all of them repeat; if the stretch they
-    have in common is found nowhere else, none does; the rest go one by one.
-3.  Covered runs are merged per document and cut out.
+    back from the text.  The suffixes of a group are put in suffix order to depth
+    ``length``; the array of longest common prefixes and the previous and next
+    smaller positions give each suffix's longest previous factor.
+3.  A group of over ``SPLIT`` contexts is split by content first: strings at
+    ``BLOCK`` neighbouring places before the anchor have a stretch in common, and
+    equal strings have equal stretches.  Copies of all that a block spans are
+    settled by a grouped minimum; what is left goes, by stretch, through step 2.
+    A stretch that more than ``SPLIT`` blocks share is split into its strings,
+    for which the grouped minimum settles everything.
+4.  Covered runs are merged per document and cut out.
 
 Defined cases: null and empty texts lose nothing; texts are compared as UTF-8
 bytes and never across documents; where ids repeat or are null, rows count as
 separate documents in the order of id (null first), then text; an empty table
-gives no rows.
+gives no rows; other columns, whatever their names, are left behind.
 """
 
 from __future__ import annotations
@@ -46,8 +50,13 @@ from .common import Scratch, one_text_per_id, pruned
 
 LENGTH = 100
 GRAM = 32
-HOT = 512
+SPLIT = 512
 BLOCK = 8
+SAMPLE = 64
+HOT = 64
+SALTS = 64
+MOST_HOT = 4096
+COMBINE = 1 << 18
 SORT_CONTEXTS = 2048
 SEGMENT = 1 << 21
 
@@ -101,10 +110,49 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "h long, context long, doc long, pos int, left int, right int")
 
 
+def _hot_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """Anchors that stand out in one of ``SAMPLE`` documents' texts, ``MOST_HOT`` at most: they are dealt to more tasks."""
+    some = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0)
+    counts = _anchor_rows(some, length, gram).groupBy("h").count().filter(F.col("count") >= HOT)
+    return counts.orderBy(F.desc("count"), "h").limit(MOST_HOT).select("h")
+
+
+def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Anchor rows with a salt, sorted in their tasks: -1; of hot anchors one by context, or under -1 for holders of a
+    context that a task has seen earlier, which are covered for sure."""
+    shared = rows.sparkSession.sparkContext.broadcast(tc.HashIndex(tc.unsigned(np.array([r["h"] for r in hot.collect()], np.int64))))
+
+    def settled(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        h, context, doc, pos = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        order = np.lexsort((pos, doc, context, h))
+        later = np.zeros(len(h), bool)
+        later[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (context[order[1:]] == context[order[:-1]])
+        spread = (tc.mix(tc.unsigned(doc)) % np.uint64(SALTS)).astype(np.int64)
+        return b.append_column("salt", pa.array(np.where(later, -2 - spread, context % SALTS)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            found = shared.value.find(tc.unsigned(b.column(0).to_numpy())) >= 0
+            cold = b.filter(pa.array(~found))
+            yield cold.append_column("salt", pa.array(np.full(cold.num_rows, -1)))
+            if found.any():
+                held.append(b.filter(pa.array(found)))
+            if sum(x.num_rows for x in held) >= COMBINE:
+                yield settled(held)
+                held = []
+        if held:
+            yield settled(held)
+
+    salted = rows.mapInArrow(run, "h long, context long, doc long, pos int, left int, right int, salt long")
+    return salted.repartition("h", "salt").sortWithinPartitions("h", "context", "doc", "pos")
+
+
 def _settle(rows: DataFrame) -> DataFrame:
     """Over rows sorted by (h, context, doc, pos): later holders of a context as covered runs, first holders among
-    different contexts as open; both as (h, doc, pos, start, end, open)."""
-    names = ["h", "context", "doc", "pos", "left", "right"]
+    different contexts as open, as those of hot anchors; both as (h, doc, pos, start, end, open)."""
+    names = ["h", "context", "doc", "pos", "left", "right", "salt"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: tuple[int, int] | None = None  # h and context of the last row
@@ -112,11 +160,14 @@ def _settle(rows: DataFrame) -> DataFrame:
         kept_open = False
 
         def told(cols: list[np.ndarray], open_: np.ndarray) -> pa.RecordBatch:
-            h, _, doc, pos, left, right = cols
+            h, _, doc, pos, left, right, _ = cols
             return pa.record_batch({"h": pa.array(h), "doc": pa.array(doc), "pos": pa.array(pos), "start": pa.array(pos - left), "end": pa.array(pos + right), "open": pa.array(open_)})
 
         for b in batches:
             cols = [b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
+            if (sure := cols[6] < -1).any():
+                yield told([c[sure] for c in cols], np.zeros(int(sure.sum()), bool))
+                cols = [c[~sure] for c in cols]
             if not len(cols[0]):
                 continue
             h, context = cols[0], cols[1]
@@ -136,6 +187,7 @@ def _settle(rows: DataFrame) -> DataFrame:
             fh = firsts[0]
             same_next = np.append(fh[1:] == fh[:-1], False)
             open_ = same_next | np.concatenate([[kept_open], same_next[:-1]]) if kept is not None else same_next | np.concatenate([[False], same_next[:-1]])
+            open_ |= firsts[6] >= 0
             sure = open_[:-1]
             if sure.any():
                 yield told([c[:-1][sure] for c in firsts], np.ones(int(sure.sum()), bool))
@@ -146,13 +198,41 @@ def _settle(rows: DataFrame) -> DataFrame:
     return rows.select(*names).mapInArrow(run, "h long, doc long, pos int, start int, end int, open boolean")
 
 
+def longest_previous_factors(place: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+    """For each suffix, in suffix order, the longest prefix that it has in common with one at a smaller place.
+
+    ``lcp`` is that with the suffix before.  The previous and the next smaller place are found by pointers that skip
+    what others have skipped; a pointer stops once its common prefix is under ``least``, so factors shorter than that
+    are told as 0.
+    """
+    n = len(place)
+    best = np.zeros(n, np.int64)
+    for step in (-1, 1):
+        to = np.arange(n) + step
+        common = lcp.copy() if step < 0 else np.append(lcp[1:], 0)
+        live = np.flatnonzero((to >= 0) & (to < n) & (common >= least))
+        dead = np.ones(n, bool)
+        dead[live] = False
+        while len(live):
+            smaller = place[to[live]] < place[live]
+            found = live[smaller]
+            best[found] = np.maximum(best[found], common[found])
+            live = live[~smaller]
+            # pointers of suffixes that have stopped lead to prefixes under the least, and so do those that pass them
+            via = to[live]
+            ok = ~dead[via]
+            gone, live, via = live[~ok], live[ok], via[ok]
+            dead[gone] = True
+            common[live], to[live] = np.minimum(common[live], common[via]), to[via]
+    return best
+
+
 def repeated_windows(group: np.ndarray, doc: np.ndarray, start: np.ndarray, texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(doc, start) of the strings that start earlier in their group; ``start`` is where each context begins.
 
     All suffixes of the contexts with ``length`` bytes left are put in order to
-    that depth, groups apart and positions breaking ties.  A suffix whose
-    previous or next smaller position shares ``length`` bytes has a longest
-    previous factor of at least that.
+    that depth, groups apart and positions breaking ties.  Those whose longest
+    previous factor has ``length`` bytes are repeated.
     """
     size = np.array([len(t) for t in texts], dtype=np.int64)
     fits = np.maximum(0, size - length + 1)
@@ -163,22 +243,22 @@ def repeated_windows(group: np.ndarray, doc: np.ndarray, start: np.ndarray, text
     own = np.repeat(np.arange(len(texts)), fits)
     shift = np.arange(len(own)) - np.repeat(np.cumsum(fits) - fits, fits)
     _, number = np.unique(group, return_inverse=True)
-    key = np.empty((len(own), length + 4), dtype=np.uint8)
-    for k in range(4):
-        key[:, k] = number[own] // 250 ** (3 - k) % 250 + 1
-    key[:, 4:] = np.lib.stride_tricks.sliding_window_view(raw, length)[begin[own] + shift]
     place = start[own] + shift
     by_place = np.lexsort((place, doc[own], number[own]))
     g, d, s = number[own][by_place], doc[own][by_place], place[by_place]
     new = np.ones(len(s), dtype=bool)  # contexts of one document overlap and share suffixes
     new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (s[1:] != s[:-1])
     by_place = by_place[new]
-    strings = key.view(f"S{length + 4}").ravel()[by_place]
-    order = np.argsort(strings, kind="stable")
-    strings = strings[order]
-    whole = strings[1:] == strings[:-1]  # the LCP with the suffix before reaches the full depth
-    # positions rise within a run of full LCPs, so the suffix before is the previous smaller position
-    repeated = by_place[order[1:][whole]]
+    key = np.empty((len(by_place), length + 4), dtype=np.uint8)
+    for k in range(4):
+        key[:, k] = number[own[by_place]] // 250 ** (3 - k) % 250 + 1
+    key[:, 4:] = np.lib.stride_tricks.sliding_window_view(raw, length)[begin[own[by_place]] + shift[by_place]]
+    order = np.argsort(key.view(f"S{length + 4}").ravel(), kind="stable")
+    key = key[order]
+    differ = key[1:] != key[:-1]
+    lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), length + 4) - 4
+    factor = longest_previous_factors(order, np.concatenate([[0], np.maximum(lcp, 0)]), length)
+    repeated = by_place[order[factor >= length]]
     return doc[own][repeated], place[repeated]
 
 
@@ -251,7 +331,7 @@ def blocks_of(raw: np.ndarray, pos: np.ndarray, start: np.ndarray, end: np.ndarr
     """Blocks of the strings around anchors of one text; a string at place k starts k bytes before its anchor.
 
     Per block: number of its context, first place, number of strings, fingerprint of what its places have in common,
-    that of what they span, whether all its places are there; then the fingerprints of all strings.
+    that of what they span, whether all its places are there.
     """
     low, high = np.maximum(0, length - (end - pos)), np.minimum(length - gram, pos - start)
     n = np.where(low <= high, high // BLOCK - low // BLOCK + 1, 0)
@@ -264,58 +344,67 @@ def blocks_of(raw: np.ndarray, pos: np.ndarray, start: np.ndarray, end: np.ndarr
     common = tc.mix(tc.span_hash(sums, p - first, p - last + length) + number.astype(np.uint64))
     # blocks at the end of a text have no whole stretch; theirs is not used
     spanned = tc.mix(tc.span_hash(sums, np.where(whole, p - last, p), np.where(whole, p - first + length, p)) + number.astype(np.uint64))
-    begin = np.repeat(p - own_first, count) - (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-    return which, own_first, count, common, spanned, whole, tc.span_hash(sums, begin, begin + length)
+    return which, own_first, count, common, spanned, whole
 
 
 def _blocks(docs: DataFrame, open_: DataFrame, length: int, gram: int) -> DataFrame:
+    """common, spanned (null if not all there), doc, pos, start and bytes of each block; its strings start at its first bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, at = tc.text_buffers(b.column(1))
             for own, _, start, end, pos in _own_places(b):
                 for r in np.unique(own):
                     mine = np.flatnonzero(own == r)
-                    which, first, count, common, spanned, whole, strings = blocks_of(raw[at[r] : at[r + 1]], pos[mine], start[mine], end[mine], length, gram)
-                    offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                    text = raw[at[r] : at[r + 1]]
+                    which, first, count, common, spanned, whole = blocks_of(text, pos[mine], start[mine], end[mine], length, gram)
+                    begin = pos[mine][which] - first - count + 1
+                    held = [text[x : x + k - 1 + length].tobytes() for x, k in zip(begin, count, strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(tc.signed(common)), pa.array(tc.signed(spanned), mask=~whole), b.column(0).take(pa.array(np.full(len(which), r))), pa.array(pos[mine][which]), pa.array(first), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tc.signed(strings)))],
-                        names=["common", "spanned", "doc", "pos", "place", "strings"],
+                        [pa.array(tc.signed(common)), pa.array(tc.signed(spanned), mask=~whole), b.column(0).take(pa.array(np.full(len(which), r))), pa.array(pos[mine][which]), pa.array(begin), pa.array(held, pa.binary())],
+                        names=["common", "spanned", "doc", "pos", "start", "bytes"],
                     )
 
-    return _places(docs, open_).mapInArrow(run, "common long, spanned long, doc long, pos long, place long, strings array<long>")
+    return _places(docs, open_).mapInArrow(run, "common long, spanned long, doc long, pos long, start long, bytes binary")
 
 
-def _hot_runs(docs: DataFrame, open_: DataFrame, scratch: Scratch, length: int, gram: int) -> DataFrame:
-    """(doc, start, end) covered within groups of any size, by grouped minima."""
+def _split_runs(docs: DataFrame, open_: DataFrame, scratch: Scratch, length: int, gram: int) -> DataFrame:
+    """(doc, start, end) covered within groups of any size, split by content."""
     blocks = scratch.keep(_blocks(docs, open_, length, gram), "blocks")
     here = F.struct("doc", "pos")
     holder = blocks.filter("spanned is not null").groupBy("spanned").agg(F.min(here).alias("holder"))
     marked = blocks.join(holder, "spanned", "left").withColumn("later", F.coalesce(here > F.col("holder"), F.lit(False)))
-    marked = scratch.keep(marked.select("common", "doc", "pos", "place", "strings", "later"), "marked")
-    whole = marked.filter("later").select("doc", (F.col("pos") - F.col("place") - F.size("strings") + 1).cast("int").alias("start"), (F.col("pos") - F.col("place") + length).cast("int").alias("end"))
+    marked = scratch.keep(marked.select("common", "doc", "start", "bytes", "later"), "marked")
+    whole = marked.filter("later").select("doc", F.col("start").cast("int"), (F.col("start") + F.octet_length("bytes")).cast("int").alias("end"))
     # a later block has its holder among the others, so what they have in common is counted without it
     others = marked.filter("not later")
-    shared = others.groupBy("common").count().filter("count > 1").select("common")
-    single = others.join(shared, "common", "left_semi").select("doc", "pos", "place", F.posexplode("strings").alias("k", "h"))
-    single = single.select("h", "doc", (F.col("pos") - F.col("place") - F.col("k")).alias("start")).distinct()
+    shared = others.groupBy("common").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    others = scratch.keep(others.join(shared, "common").select("common", "doc", "start", "bytes", "k"), "others")
+    compared = _compare(others.filter(F.col("k") <= SPLIT).select(F.col("common").alias("h"), "doc", "start", "bytes").repartition("h").sortWithinPartitions("h"), length)
+    large = others.filter(F.col("k") > SPLIT)
+    if not large.limit(1).count():
+        return whole.union(compared)
+    places = F.sequence(F.lit(0), F.octet_length("bytes") - length)
+    single = large.select("doc", "start", F.posexplode(F.transform(places, lambda k: F.xxhash64(F.substring(F.col("bytes"), k + 1, length)))).alias("k", "h"))
+    single = single.select("h", "doc", (F.col("start") + F.col("k")).alias("start")).distinct()
     first = single.groupBy("h").agg(F.min(F.struct("doc", "start")).alias("first"))
     again = single.join(first, "h").filter(F.struct("doc", "start") > F.col("first"))
-    return whole.union(again.select("doc", F.col("start").cast("int"), (F.col("start") + length).cast("int")))
+    return whole.union(compared).union(again.select("doc", F.col("start").cast("int"), (F.col("start") + length).cast("int")))
 
 
 def covered(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, start, end): runs of bytes that are repeated, possibly overlapping; docs: (doc, text) with unique doc."""
-    rows = _anchor_rows(docs, length, gram)
-    settled = scratch.keep(_settle(rows.repartition("h").sortWithinPartitions("h", "context", "doc", "pos")), "settled")
+    rows = _dealt(_anchor_rows(docs, length, gram), _hot_anchors(docs, length, gram))
+    settled = scratch.keep(_settle(rows), "settled")
     plain = settled.filter("not open and end - start >= {}".format(length)).select("doc", "start", "end")
     open_ = settled.filter("open and end - start >= {}".format(length)).select("h", "doc", "start", "end", "pos")
-    heavy = open_.groupBy("h").count().filter(F.col("count") > HOT).select("h")
+    heavy = open_.groupBy("h").count().filter(F.col("count") > SPLIT).select("h")
     few = open_.join(heavy, "h", "left_anti")
     many = open_.join(heavy, "h", "left_semi")
     compared = _compare(_contexts(docs, few).repartition("h").sortWithinPartitions("h"), length)
     parts = plain.union(compared)
     if heavy.limit(1).count():
-        parts = parts.union(_hot_runs(docs, many, scratch, length, gram))
+        parts = parts.union(_split_runs(docs, many, scratch, length, gram))
     return parts
 
 
@@ -335,9 +424,10 @@ def _unique(documents: DataFrame) -> DataFrame:
     odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
     if not odd:
         return docs.withColumn("doc", F.col("doc_id"))
-    spark = docs.sparkSession
-    ranked = docs.orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    return Scratch(spark).keep(spark.createDataFrame(ranked, "doc_id long, text string, doc long"), "ranked")
+    # ids of rows that are range-sorted rise from task to task and row to row
+    ranked = docs.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ranked = ranked.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    return Scratch(docs.sparkSession).keep(ranked.withColumn("doc", F.monotonically_increasing_id()), "ranked")
 
 
 def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -414,12 +414,28 @@ def test_removals_are_those_of_brute_force(request, which):
     assert sorted((tuple(r) for r in suffixes.removals(df).collect()), key=repr) == brute_removals(texts(df))
 
 
-def test_removals_in_hot_groups_and_periodic_texts(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "HOT", 3)
+@pytest.mark.parametrize("limits", [{"SPLIT": 3}, {"SPLIT": 1, "HOT": 1, "SAMPLE": 1}, {"SPLIT": 1000, "HOT": 2, "SAMPLE": 2, "SALTS": 3, "MOST_HOT": 5}, {"SPLIT": 20}])
+def test_removals_in_hot_groups_and_periodic_texts(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(suffixes, name, value)
     passage = "A passage that very many of the documents share, over a hundred bytes of it so that it is removed. " * 2
-    rows = [(i, f"{'xyz' * (i % 5)}{i} begins {passage}and {i} ends.") for i in range(40)] + [(50, "ab" * 300), (51, "ab" * 200 + "c")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((tuple(r) for r in suffixes.removals(df).collect()), key=repr) == brute_removals(rows)
+    rows = [(i, f"{'xyz' * (i % 5)}{i} begins {passage}and {i} ends.") for i in range(40)] + [(50, "ab" * 300), (51, "ab" * 200 + "c")] + [(60 + i, f"copy {passage}") for i in range(9)]
+    rows += [(3, rows[3][1]), (None, rows[5][1]), (None, None), (70, None)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, doc int")
+    assert sorted((tuple(r) for r in suffixes.removals(df).collect()), key=repr) == brute_removals([(i, t or "") for i, t in rows])
+
+
+def test_longest_previous_factors():
+    rng = np.random.default_rng(21)
+    for _ in range(60):
+        text = rng.integers(0, 2, rng.integers(1, 60)).tobytes()[::8]
+        order = sorted(range(len(text)), key=lambda k: text[k:])
+        common = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        lcp = np.array([0] + [common(text[i:], text[j:]) for i, j in zip(order, order[1:])])
+        for least in (1, 3):
+            got = suffixes.longest_previous_factors(np.array(order), lcp, least)
+            want = [max((common(text[i:], text[j:]) for j in range(i)), default=0) for i in order]
+            assert [x for x in got] == [x if x >= least else 0 for x in want]
 
 
 def brute_base(text):
