@@ -38,7 +38,7 @@ gives no rows; other columns, whatever their names, are left behind.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +57,7 @@ HOT = 64
 SALTS = 64
 MOST_HOT = 4096
 COMBINE = 1 << 18
-SORT_CONTEXTS = 2048
+SORT_CONTEXTS = 1024
 SEGMENT = 1 << 21
 
 
@@ -95,7 +95,10 @@ def _context(pos: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[n
     return row, np.maximum(at[row], pos + gram - length), np.minimum(at[row + 1], pos + length)
 
 
-def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
+Batches = Iterator[pa.RecordBatch]
+
+
+def _anchor_rows(docs: DataFrame, length: int, gram: int, salted: Callable[[Batches], Batches] | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, _, raw, at in tc.row_chunks(b.column(1)):
@@ -107,7 +110,10 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 context = tc.mix(tc.span_hash(sums, start, end) + (pos - start).astype(np.uint64))
                 yield pa.record_batch({"h": pa.array(tc.signed(h)), "context": pa.array(tc.signed(context)), "doc": b.column(0).take(pa.array(row + i)), "pos": pa.array((pos - at[row]).astype(np.int32)), "left": pa.array((pos - start).astype(np.int32)), "right": pa.array((end - pos).astype(np.int32))})
 
-    return docs.select("doc", "text").mapInArrow(run, "h long, context long, doc long, pos int, left int, right int")
+    types = "h long, context long, doc long, pos int, left int, right int"
+    if salted is None:
+        return docs.select("doc", "text").mapInArrow(run, types)
+    return docs.select("doc", "text").mapInArrow(lambda batches: salted(run(batches)), f"{types}, salt long")
 
 
 def _hot_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -117,10 +123,10 @@ def _hot_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return counts.orderBy(F.desc("count"), "h").limit(MOST_HOT).select("h")
 
 
-def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+def _dealt(docs: DataFrame, hot: DataFrame, length: int, gram: int) -> DataFrame:
     """Anchor rows with a salt, sorted in their tasks: -1; of hot anchors one by context, or under -1 for holders of a
     context that a task has seen earlier, which are covered for sure."""
-    shared = rows.sparkSession.sparkContext.broadcast(tc.HashIndex(tc.unsigned(np.array([r["h"] for r in hot.collect()], np.int64))))
+    shared = docs.sparkSession.sparkContext.broadcast(tc.HashIndex(tc.unsigned(np.array([r["h"] for r in hot.collect()], np.int64))))
 
     def settled(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -145,8 +151,7 @@ def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
         if held:
             yield settled(held)
 
-    salted = rows.mapInArrow(run, "h long, context long, doc long, pos int, left int, right int, salt long")
-    return salted.repartition("h", "salt").sortWithinPartitions("h", "context", "doc", "pos")
+    return _anchor_rows(docs, length, gram, run).repartition("h", "salt").sortWithinPartitions("h", "context", "doc", "pos")
 
 
 def _settle(rows: DataFrame) -> DataFrame:
@@ -394,7 +399,7 @@ def _split_runs(docs: DataFrame, open_: DataFrame, scratch: Scratch, length: int
 
 def covered(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, start, end): runs of bytes that are repeated, possibly overlapping; docs: (doc, text) with unique doc."""
-    rows = _dealt(_anchor_rows(docs, length, gram), _hot_anchors(docs, length, gram))
+    rows = _dealt(docs, _hot_anchors(docs, length, gram), length, gram)
     settled = scratch.keep(_settle(rows), "settled")
     plain = settled.filter("not open and end - start >= {}".format(length)).select("doc", "start", "end")
     open_ = settled.filter("open and end - start >= {}".format(length)).select("h", "doc", "start", "end", "pos")
