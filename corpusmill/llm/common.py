@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,18 @@ def tune(spark: SparkSession) -> None:
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive executors."""
 
+    opened: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/corpusmill/{uuid.uuid4().hex}"
+        Scratch.opened.append(self)
+
+    @classmethod
+    def close_since(cls, mark: int) -> None:
+        """Delete what has been opened since there were ``mark`` scratches, once all results of that time are written."""
+        for x in cls.opened[mark:]:
+            x.close()
+        del cls.opened[mark:]
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -72,7 +83,9 @@ def checked_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
 
     The driver holds a broadcast table as well, so the bound does not grow with the cluster.
     """
-    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    if any(f.dataType.typeName() in ("array", "map") for f in df.schema.fields):
+        return df
+    wide = [F.coalesce(F.octet_length(F.to_json(f.name) if f.dataType.typeName() == "struct" else f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "struct")]
     size = F.lit(ROW_BYTES)
     for w in wide:
         size = size + w

@@ -16,7 +16,8 @@ directories of licence files, the deepest wins, and files get it by directory.
 
 Defined cases: null and empty texts have no own licence but may inherit; a null
 path is in no directory; equal scores go to the template first in name order,
-equal licence files of a directory likewise; repeated rows are returned each.
+equal licence files of a directory likewise; repeated rows are returned each; other
+columns, whatever their names, are left behind.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcols as tc
-from .common import summed_arrays
+from .common import Scratch, checked_broadcast, summed_arrays
 from .decontam import normalise
 
 THRESHOLD = 0.8
@@ -191,13 +192,15 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
     own = own_licences(files, train(files, templates, threshold), threshold)
     parts = F.split("path", "/")
     own = own.withColumn("dir", F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/"))
-    own = own.withColumn("is_file", (F.col("file_cosine") >= FILE_THRESHOLD) | (F.element_at(parts, -1).rlike(FILE_NAMES) & F.col("own").isNotNull()))
+    scratch = Scratch(files.sparkSession)
+    own = scratch.keep(own.withColumn("is_file", (F.col("file_cosine") >= FILE_THRESHOLD) | (F.element_at(parts, -1).rlike(FILE_NAMES) & F.col("own").isNotNull())), "own")
     best = F.max_by("own", F.struct("cosine", F.transform(F.split("own", ""), lambda c: -F.ascii(c))))
     places = own.filter("is_file and own is not null and path is not null").groupBy(F.col("dir").alias("license_dir")).agg(best.alias("inherited"))
     dirs = own.filter("own is null and path is not null").select("dir").distinct().withColumn("steps", F.split("dir", "/"))
     up = dirs.select("dir", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size("steps")), lambda k: F.array_join(F.slice("steps", 1, k), "/")))).alias("license_dir")).distinct()
     near = up.join(places, "license_dir").groupBy(F.col("dir").alias("of_dir")).agg(F.max_by(F.struct("license_dir", "inherited"), F.length("license_dir")).alias("near"))
-    out = own.join(near, (own.dir == near.of_dir) & own.own.isNull(), "left")
+    near = scratch.keep(near, "near")
+    out = own.join(checked_broadcast(near), (own.dir == near.of_dir) & own.own.isNull(), "left")
     origin = F.when(F.col("own").isNotNull() & F.coalesce("is_file", F.lit(False)), "file").when(F.col("own").isNotNull(), "header").when(F.col("near").isNotNull(), "inherited").otherwise("none")
     return out.select("doc_id", "path", F.coalesce("own", "near.inherited").alias("license"), "cosine", origin.alias("origin"), F.when(F.col("own").isNull(), F.col("near.license_dir")).alias("license_dir"))
 

@@ -24,7 +24,8 @@ reach their tokens by a shuffle join.
 
 Defined cases: null and empty texts hold only the end token; with no training
 rows the base counts are all 0, and the score is uniform over classes; an empty
-table gives no rows; repeated rows are trained on and scored each.
+table gives no rows; repeated rows are trained on and scored each; other
+columns, whatever their names, are left behind.
 """
 
 from __future__ import annotations

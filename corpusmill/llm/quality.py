@@ -9,7 +9,8 @@ of the id), a third of which set the slope that turns margins into probabilities
 Defined cases: null and empty texts have no trigrams and score by the bias;
 with no training rows, or one class only, every score is the class share (0.5
 without rows); labels that are null teach nothing, repeated labels of one id
-count as their rounded mean; an empty table gives no rows.
+count as their rounded mean; an empty table gives no rows; other
+columns, whatever their names, are left behind.
 """
 
 from __future__ import annotations

@@ -2,15 +2,19 @@
 
 A vector is coded as a sum of ``codebooks`` full-dimensional codewords, one of
 each codebook.  Codebooks are fitted on residuals of a bounded sample
-(``max_fit`` vectors, chosen by a hash of the id); encoding searches a beam over
-the codebooks in order.  The squared norm of each decoded vector is stored, with the
-gain that brings its length in line with the vector's.  For a query the inner products with all codewords form a
-lookup table, an approximate score is a sum of ``codebooks`` look-ups times the gain, and the
-``rerank`` best per block are scored exactly in double precision.
+(``max_fit`` vectors, chosen by a hash of the id), then each anew in turn on what
+the others leave of the sample's beam-searched codes; encoding searches a beam
+over the codebooks in order.  Two norms are stored with a code: of the vector and
+of its decoded form.  For a query the inner products with all codewords form a
+lookup table; an approximate score is a sum of ``codebooks`` look-ups, times the
+ratio of the norms, which gives the decoded vector its true length.  The
+``rerank`` best per block are scored exactly in double precision; a ``rerank`` of
+a block's rows or more makes the search exact.
 
 Every vector is coded.  Queries and candidates meet in blocks: each block of
 candidates scans each block of queries and keeps the k nearest of each, and the
-lists of blocks are merged per query; no list grows with the table.
+lists of blocks are merged per query; no list grows with the table.  Each candidate
+is read once for every ``QUERY_ROWS`` queries, so work grows with their product.
 
 Equal vectors are one candidate with a list of ids, so that copies cannot crowd
 out other neighbours before reranking.
@@ -18,7 +22,8 @@ out other neighbours before reranking.
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components take no part; a null id takes no part; vectors of another length than
 most take no part; ties go to the smaller id; with fewer than k candidates all
-are returned; repeated rows are candidates each; an empty table gives no rows.
+are returned; repeated rows are candidates each; an empty table gives no rows; other
+columns, whatever their names, are left behind.
 """
 
 from __future__ import annotations
@@ -46,9 +51,9 @@ class Quantiser:
     books: np.ndarray  # codebooks x codewords x dim, float32
 
     def encode(self, x: np.ndarray, beam: int = BEAM, rows: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes by beam search over residuals; squared norms of the decoded vectors, and gains."""
+        """Codes by beam search over residuals; norms of the vectors, and of the decoded ones."""
         m, c, dim = self.books.shape
-        codes, norms, gains = np.empty((len(x), m), np.uint8), np.empty(len(x), np.float32), np.ones(len(x), np.float32)
+        codes, norms, lengths = np.empty((len(x), m), np.uint8), np.empty(len(x), np.float32), np.empty(len(x), np.float32)
         square = (self.books**2).sum(axis=2)
         for lo in range(0, len(x), rows):
             part = x[lo : lo + rows].astype(np.float32)
@@ -67,21 +72,31 @@ class Quantiser:
             best = error.argmin(axis=1)
             codes[lo : lo + n] = path[np.arange(n), best]
             decoded = part - residual[np.arange(n), best]
-            norms[lo : lo + n] = (decoded**2).sum(axis=1)
-            along = (decoded * part).sum(axis=1)
-            gains[lo : lo + n] = np.where(norms[lo : lo + n] > 0, along / np.maximum(norms[lo : lo + n], 1e-30), 1.0)
-        return codes, norms, gains
+            norms[lo : lo + n], lengths[lo : lo + n] = np.linalg.norm(part, axis=1), np.linalg.norm(decoded, axis=1)
+        return codes, norms, lengths
 
-    def scores(self, queries: np.ndarray, codes: np.ndarray, gains: np.ndarray) -> np.ndarray:
+    def scores(self, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Approximate inner products, by lookup tables; queries x candidates."""
         out = np.zeros((len(queries), len(codes)), np.float32)
         for k, book in enumerate(self.books):
             out += (queries.astype(np.float32) @ book.T)[:, codes[:, k]]
-        return out * gains
+        return out * (norms / np.maximum(lengths, np.float32(1e-30)))
+
+    def refit(self, x: np.ndarray) -> None:
+        """Each codebook in turn: the means of what the others leave of the vectors coded with a codeword."""
+        codes, _, _ = self.encode(x)
+        left = x.astype(np.float32) - sum(book[codes[:, k]] for k, book in enumerate(self.books))
+        for k, book in enumerate(self.books):
+            own = left + book[codes[:, k]]
+            sums = np.zeros_like(book)
+            np.add.at(sums, codes[:, k], own)
+            n = np.bincount(codes[:, k], minlength=len(book))[:, None]
+            self.books[k] = np.where(n > 0, sums / np.maximum(n, 1), book)
+            left = own - self.books[k][codes[:, k]]
 
 
-def fit(x: np.ndarray, codebooks: int = CODEBOOKS, codewords: int = CODEWORDS, rounds: int = 6, seed: int = 11) -> Quantiser:
-    """Residual codebooks by k-means, then refitted together by least squares on the beam's codes."""
+def fit(x: np.ndarray, codebooks: int = CODEBOOKS, codewords: int = CODEWORDS, rounds: int = 6, refits: int = 2, seed: int = 11) -> Quantiser:
+    """Residual codebooks by k-means, then refitted on the beam's codes."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
     words = min(codewords, max(1, len(x)))
@@ -98,7 +113,10 @@ def fit(x: np.ndarray, codebooks: int = CODEBOOKS, codewords: int = CODEWORDS, r
         near = ((centres**2).sum(axis=1) - 2 * residual @ centres.T).argmin(axis=1)
         books[k] = centres
         residual = residual - centres[near]
-    return Quantiser(books)
+    out = Quantiser(books)
+    for _ in range(refits):
+        out.refit(x)
+    return out
 
 
 def _top(scores: np.ndarray, k: int) -> np.ndarray:
@@ -110,7 +128,7 @@ def _top(scores: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == edge)[: k - len(above)]])
 
 
-def search_block(book: Quantiser, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, gains: np.ndarray, k: int, rerank: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def search_block(book: Quantiser, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norms: np.ndarray, lengths: np.ndarray, k: int, rerank: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """For each query the k nearest of a block: (id, candidate ids, exact scores)."""
     order = np.lexsort((ids, *vectors.T[::-1]))
     v = vectors[order]
@@ -120,7 +138,7 @@ def search_block(book: Quantiser, query_ids: np.ndarray, queries: np.ndarray, id
     exact = v[new].astype(np.float64)
     for lo in range(0, len(queries), 64):
         part = queries[lo : lo + 64]
-        rough = book.scores(part, codes[order[new]], gains[order[new]])
+        rough = book.scores(part, codes[order[new]], norms[order[new]], lengths[order[new]])
         for q in range(len(part)):
             near = _top(rough[q], rerank)
             s = exact[near] @ part[q].astype(np.float64)
@@ -169,23 +187,23 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = 20, rerank: int = RE
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes, norms, gains = shared.value.encode(_matrix(b.column(1)))
-            yield pa.record_batch({"vec_id": b.column(0), "v": b.column(1), "code": pa.array([c.tobytes() for c in codes], pa.binary()), "norm": norms, "gain": gains})
+            codes, norms, lengths = shared.value.encode(_matrix(b.column(1)))
+            yield pa.record_batch({"vec_id": b.column(0), "v": b.column(1), "code": pa.array([c.tobytes() for c in codes], pa.binary()), "norm": norms, "length": lengths})
 
     n = rows.count()
     blocks, query_blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n // (every * QUERY_ROWS)))
-    coded = rows.mapInArrow(encode, "vec_id long, v array<double>, code binary, norm float, gain float")
+    coded = rows.mapInArrow(encode, "vec_id long, v array<double>, code binary, norm float, length float")
     # every candidate goes once to each block of queries, every query once to each block of candidates
     base = coded.withColumn("cb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    base = base.select("cb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), F.lit(False).alias("asks"), "vec_id", "v", "code", "norm", "gain")
+    base = base.select("cb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), F.lit(False).alias("asks"), "vec_id", "v", "code", "norm", "length")
     asks = rows.filter(F.col("vec_id") % every == 0).withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(query_blocks)).cast("int"))
-    asks = asks.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"), "qb", F.lit(True).alias("asks"), "vec_id", "v", F.lit(b"").alias("code"), F.lit(0.0).cast("float").alias("norm"), F.lit(1.0).cast("float").alias("gain"))
+    asks = asks.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"), "qb", F.lit(True).alias("asks"), "vec_id", "v", F.lit(b"").alias("code"), F.lit(0.0).cast("float").alias("norm"), F.lit(1.0).cast("float").alias("length"))
 
     def scan(table: pa.Table) -> pa.Table:
         ask = table["asks"].to_numpy()
         ids, v = table["vec_id"].to_numpy(), _matrix(table["v"])
         codes = np.array([np.frombuffer(c, np.uint8) for c, a in zip(table["code"].to_pylist(), ask, strict=True) if not a], dtype=np.uint8).reshape((~ask).sum(), -1)
-        found = search_block(shared.value, ids[ask], v[ask], ids[~ask], v[~ask], codes, table["gain"].to_numpy()[~ask], k, rerank) if ask.any() and not ask.all() else []
+        found = search_block(shared.value, ids[ask], v[ask], ids[~ask], v[~ask], codes, table["norm"].to_numpy()[~ask], table["length"].to_numpy()[~ask], k, rerank) if ask.any() and not ask.all() else []
         return pa.table({"query_id": pa.array([q for q, _, _ in found], pa.int64()), "ids": pa.array([i for _, i, _ in found], pa.list_(pa.int64())), "scores": pa.array([s for _, _, s in found], pa.list_(pa.float64()))})
 
     lists = base.union(asks).groupBy("cb", "qb").applyInArrow(scan, "query_id long, ids array<long>, scores array<double>")

@@ -549,68 +549,157 @@ def test_same_rows_as_sql(spark, name):
     assert spark_rows(registry.queries()[name](spark, str(SF))) == sql_rows(registry.oracle_sql()[name], SF)
 
 
-def test_pipeline_stages(spark, documents):
+def test_pipeline_stages_are_those_of_brute_force(spark, documents):
     import corpus_pipeline as p
 
-    out = {r.doc_id: r for r in p.run(spark, str(SF)).collect()}
-    bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    rows = [(i, t) for i, t in texts(documents) if any(ch.isalpha() for ch in t)]
-    heads = {c for _, _, c in brute_components(rows)}
-    clean = {i for i, t in rows if i in heads and not any(b in t for b in bench)}
-    assert set(out) <= clean and len(out) > len(clean) // 3
-    assert all(not brute_base(r.text) for r in out.values())
-    assert sum(r.mix_taken for r in out.values()) > 0
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    stage = dict(p.STAGES)
+    extra = spark.createDataFrame([(9001, None, "en", "a", 0), (9002, "", None, "a", 0), (9003, "12 34 !!", "en", None, 8), (None, "a row without an id at all", "en", "a", 26), (9004, "one two three one two three", None, "a", 27)], documents.schema)
+    docs = documents.unionByName(extra).withColumns({"gone_id": F.lit(1), "mix_id": F.lit("m"), "leaked": F.lit(2), "rejected": F.lit(3)})
+    key = lambda rows: collections.Counter((i, t) for i, t in rows)
+    plain = lambda df: [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+    want = [(i, t) for i, t in plain(docs) if t and any(ch.isalpha() for ch in t)]
+    now = stage["language"](spark, docs, str(SF))
+    assert key(plain(now)) == key(want) and now.columns == docs.columns
+    heads = {c for _, _, c in brute_components(want)}
+    want = [(i, t) for i, t in want if i is None or i in heads]
+    now = stage["near_copies"](spark, now, str(SF))
+    assert key(plain(now)) == key(want) and now.columns == docs.columns
+    leaky = {i for i, _, _ in brute_leaks(want, bench)}
+    want = [(i, t) for i, t in want if i not in leaky]
+    now = stage["benchmark"](spark, now, str(SF))
+    assert key(plain(now)) == key(want) and now.columns == docs.columns and leaky
+    learned = frozenset(brute_patterns(want))
+    want = [(i, pii.mask(t, learned)) for i, t in want]
+    now = stage["personal_data"](spark, now, str(SF))
+    assert key(plain(now)) == key(want) and now.columns == docs.columns
+    con = duckdb.connect()
+    con.register("documents", now.select("doc_id", "text", "source").toArrow())
+    taken = collections.Counter((r[0], r[4]) for r in con.sql(mixing.ORACLE_SQL).fetchall() if r[4])
+    assert collections.Counter((r.doc_id, r.mix_taken) for r in stage["mix"](spark, now, str(SF)).collect()) == taken
+    empty = docs.limit(0)
+    for f in stage.values():
+        empty = f(spark, empty, str(SF))
+        assert empty.count() == 0
+
+
+def test_pipeline_run_is_its_stages(spark):
+    import corpus_pipeline as p
 
+    out = p.run(spark, str(SF)).collect()
+    assert out and all(not brute_base(r.text) for r in out) and sum(r.mix_taken for r in out) > 0
 
-@pytest.mark.parametrize("most", [0, 1 << 18])
-def test_components_by_star_steps_and_in_one_task(spark, most):
-    from corpusmill.llm.common import Scratch, components
 
-    rng = np.random.default_rng(11)
-    edges = [(int(a), int(b)) for a, b in rng.integers(0, 900, (500, 2))] + [(k, k + 1) for k in range(2000, 2200)] + [(5000, 5000)]
-    root = {}
+def test_operators_leave_clashing_columns_behind(spark):
+    names = ["node", "component", "h", "c", "rep", "at", "row", "doc", "ids", "label", "cb", "text_", "digest", "pattern", "item_id", "path", "dir", "own", "license", "score", "held_out", "size", "copy", "place"]
+    rows = [(k, f"the cat sat on mat number {k % 7} and then it ran away again", "en" if k % 2 else "de", "a") for k in range(30)] * 2
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    more = plain.withColumns({n: F.lit("x") for n in names})
+    labels = spark.createDataFrame([(k, k % 2, 9) for k in range(30)], "doc_id long, quality int, y int")
+    bench = spark.createDataFrame([(1, "the cat sat on mat number 3", 4)], "item_id long, text string, edits int")
+    order = lambda df: sorted((tuple(round(x, 9) if isinstance(x, float) else str(x) for x in r) for r in df.collect()), key=repr)
+    for f in (maxent.score, lambda d: decontam.leaked_documents(d, bench), lambda d: quality.classify(d, labels), mixing.mix_sources, jaccard.link_components, langid.identify, suffixes.removals, pii.find, licenses.scan_documents):
+        assert order(f(more)) == order(f(plain))
+    e = spark.createDataFrame([(k, [float(k % 5), 1.0], "x", "y") for k in range(50)], "vec_id long, embedding array<float>, v string, norm string")
+    assert order(vectors.nearest(e)) == order(vectors.nearest(e.select("vec_id", "embedding")))
 
-    def find(x):
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
 
-    for a, b in edges:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7), Scratch(spark), most).collect()}
-    assert all(got.get(x, x) == find(x) for x in root)
-    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark), most).count() == 0
+@pytest.mark.parametrize("which", ["none", "held"])
+def test_scores_without_training_rows(spark, none, which):
+    df = none if which == "none" else spark.createDataFrame([(k, "some words") for k in range(60) if rest(k, 7) == 2], "doc_id long, text string")
+    got = maxent.score(df).collect()
+    assert len(got) == df.count() and all(r.n_known == 0 and r.train_tokens == 0 and np.isfinite(r.score) for r in got)
 
 
-def test_components_of_groups_over_the_limits(spark, monkeypatch):
-    for name, value in (("SMALL", 2), ("CELL", 8), ("NEAREST", 1), ("CHAIN_LAGS", 1), ("CHAIN_RANK", 1)):
-        monkeypatch.setattr(jaccard, name, value)
-    rng = np.random.default_rng(6)
-    rows = []
-    for g in range(4):
-        base = [f"t{g}x{k}" for k in range(60)]
-        for i in range(30):
-            w = list(base)
-            for _ in range(rng.integers(0, 4)):
-                w[rng.integers(0, len(w))] = f"n{rng.integers(0, 9999)}"
-            rows.append((100 * g + i, " ".join(w)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_components(df).collect()]
-    assert sorted(got, key=repr) == brute_components(rows)
+def test_scores_are_sums_of_the_model(spark):
+    """Of a text of head words the score is the sum of its tokens' log probabilities, each from a softmax written out."""
+    rng = np.random.default_rng(2)
+    m = maxent.Model(np.zeros(maxent.HEAD, np.int64), maxent.HEAD, np.arange(maxent.HEAD) // maxent.WIDTH, np.arange(maxent.HEAD) % maxent.WIDTH, rng.normal(size=maxent.CLASSES).astype(np.float32), rng.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32), rng.normal(size=(maxent.HEAD // maxent.WIDTH, maxent.WIDTH)).astype(np.float32), rng.normal(size=(maxent.ROWS, maxent.WIDTH)).astype(np.float32))
+    ids = rng.integers(0, maxent.HEAD, 30)
+    import pyarrow as pa
 
+    batch = pa.record_batch({"ids": pa.array([ids.astype(np.uint32).tobytes()], pa.binary())})
+    ((_, _, _, ctx, before, _),) = maxent.histories([batch], 0, m.tail_of)
+    got = maxent.log_probabilities(m, ctx, before)
+    history = [maxent.BOS] * 3 + ids.tolist()
+    for t in range(31):
+        p = [np.array([history[t + 2 - k]]) for k in range(3)]
+        z = m.class_bias + sum(m.class_rows[f[0]] for f in maxent._features(p))
+        k = m.classes[ids[t]] if t < 30 else maxent.END
+        want = z[k] - np.log(np.exp(z.astype(float)).sum())
+        if t < 30:
+            z = m.word_bias[k] + sum(m.word_rows[f[0]] for f in maxent._word_features(p, np.array([k])))
+            want += z[m.slots[ids[t]]] - np.log(np.exp(z.astype(float)).sum())
+        assert got[t] == pytest.approx(want, abs=1e-3)
 
-def test_sketch_distances_are_never_over_the_difference():
-    rng = np.random.default_rng(8)
-    sets = [rng.choice(1 << 40, n, replace=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in (3, 40, 400, 700, 1900, 2500)]
-    sets += [np.concatenate([x[: len(x) * 9 // 10], sets[0]]) for x in sets]
-    sets = [np.unique(x) for x in sets]
-    n = np.array([len(x) for x in sets])
-    import pyarrow as pa
 
-    sketch = pa.array(jaccard.odd_sketches(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), len(sets), n), pa.binary())
-    x = jaccard.Sets(np.arange(len(sets)), n, sketch)
-    i, j = (v.ravel() for v in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
-    d = jaccard.sketch_distance(x, i, x, j)
-    true = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
-    assert (d <= true).all() and (d[i == j] == 0).all() and d[(i == 0) & (j == 4)] > 200
+def brute_indicators(text):
+    raw = text.encode()
+    out = {quality.SLOTS + b * quality.SHARES + min(quality.SHARES - 1, int(math.log2(len(raw) / raw.count(b)))) for b in set(raw)}
+    return out | {((a << 16 | b << 8 | c) * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for a, b, c in zip(raw, raw[1:], raw[2:])}
+
+
+def test_quality_scores_are_those_of_the_model(spark, odd):
+    rng = np.random.default_rng(4)
+    m = quality.Model(rng.normal(size=quality.WIDTH), 0.2, 0.7, -0.1)
+    got = sorted((r.doc_id or 0, round(r.score, 9)) for r in quality.score(odd, m).collect())
+    want = sorted((i or 0, round(1 / (1 + math.exp(-max(-500, min(500, m.slope * (sum(m.weights[k] for k in brute_indicators(t)) + m.bias) + m.offset)))), 9)) for i, t in texts(odd))
+    assert got == want
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    rng = np.random.default_rng(5)
+    rows = [np.sort(rng.choice(40, 8, replace=False)) for _ in range(60)]
+    y = np.where(np.array([r.sum() + rng.normal(0, 30) for r in rows]) > 160, 1.0, -1.0)
+    scale = rng.normal(size=quality.WIDTH)
+    w, bias = quality.descend(rows, y, scale, epochs=4000)
+    x = np.zeros((60, 41))
+    for k, r in enumerate(rows):
+        x[k, r], x[k, 40] = scale[r], 1.0
+    upper = np.where(y > 0, (y < 0).sum() / (y > 0).sum(), 1.0) / np.median((x**2).sum(axis=1))
+    q = (y[:, None] * x) @ (y[:, None] * x).T
+    alpha = np.zeros(60)
+    for _ in range(40_000):  # projected gradient
+        alpha = np.clip(alpha + (1 - q @ alpha) / np.linalg.norm(q, 2), 0, upper)
+    best = (alpha * y) @ x
+    objective = lambda v: 0.5 * v @ v + (upper * np.maximum(0, 1 - y * (x @ v))).sum()
+    mine = np.append(np.where(scale[:40] != 0, w[:40] / scale[:40], 0), bias)
+    assert objective(mine) <= objective(best) * 1.01
+
+
+def brute_licences(rows, templates, threshold=licenses.THRESHOLD):
+    split = lambda t: re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    paths = {k: split(v) for k, v in sorted(templates.items())}
+    known = {w for p in paths.values() for w in p}
+    sets = [set(split(t)) for t in rows]
+    idf = collections.defaultdict(lambda: math.log(len(rows) + 1) + 1, {w: math.log((len(rows) + 1) / (sum(w in s for s in sets) + 1)) + 1 for w in known})
+
+    def cosine(a, b):
+        b = [w if w in known else ("other", k) for k, w in enumerate(b)]
+        x, y = ({w: n * idf[w] for w, n in collections.Counter(v).items()} for v in (a, b))
+        norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        return sum(v * y.get(w, 0) for w, v in x.items()) / norm if norm else 0.0
+
+    out = []
+    for t in rows:
+        ws, best = split(t), (None, 0.0)
+        for name, path in paths.items():
+            c = max((cosine(path, ws[k : k + len(path)]) for k in range(max(1, len(ws)))), default=0.0)
+            if c > best[1] + 1e-12:
+                best = (name, c)
+        out.append(best[0] if best[1] >= threshold else None)
+    return out
+
+
+def test_licences_are_those_of_all_windows(spark):
+    rng = np.random.default_rng(13)
+    filler = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 50, n))
+    rows = []
+    for v in licenses.TEMPLATES.values():
+        cut = v.split()
+        rows += [f"{filler(20)} {v} {filler(30)}", v.upper(), " ".join(cut[: len(cut) // 2]), f"{filler(5)} {' '.join(cut[:-1])} {filler(5)}"]
+    rows += [filler(100), "", None, "\u00e9 licence du logiciel"]
+    df = spark.createDataFrame([(k, None, t) for k, t in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(df, licenses.TEMPLATES).collect()}
+    assert [got[k] for k in range(len(rows))] == brute_licences(rows, licenses.TEMPLATES)
