@@ -5,6 +5,12 @@ the columns of ``documents``.  Stage by stage: texts of no recognisable language
 go; of each group of near copies (five-word shingles, Jaccard 0.8) the one with
 the smallest id stays; documents with a benchmark passage go; personal data are
 masked in the text; sources are mixed to their target weights.
+
+Defined cases, for every stage: an empty table gives an empty table; a null,
+empty or letterless text goes in the first stage; rows with a null doc_id are
+linked with nothing and stay; repeated rows are treated alike, and are one
+group in the second stage; columns of any name are kept as they are, and the
+last stage's new ones get another name where theirs is taken.
 """
 
 from __future__ import annotations
@@ -47,13 +53,16 @@ STAGES = [
     ("mix", mix_sources),
 ]
 
-#: Language models, q-gram alignment and bootstrapped patterns have no SQL form; tests compare run() with brute force.
+#: Language models, q-gram alignment and bootstrapped patterns have no SQL form; tests compare each stage's rows with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage keeps for itself in the shared folder is deleted once its result is written."""
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        mark = len(Scratch.opened)
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        Scratch.close_since(mark)
     return docs
