@@ -1,4 +1,4 @@
-"""Command line: embed, retrieve, create-tasks, evaluate and winrate over files.
+"""Command line: embed, retrieve, create-tasks, finetune, evaluate and winrate over files.
 
 Options may stand in a file that is named with @: one option and its value a line.  Options that only concern model
 weights, training or compression are accepted and passed over, so that existing option files can be used.
@@ -39,6 +39,7 @@ def parser() -> argparse.ArgumentParser:
     command("embed", data_path=need, group_name=need, saving_path=need, batch_size={"type": int, "default": 512})
     command("retrieve", few_shot_path=need, embeddings_path=need, output_path=need, num_docs={"type": int, "default": 200}, top_p={"type": float, "default": 0.05}, **dict.fromkeys(ROOTS, need))
     command("create-tasks", few_shot_path=need, corpus_samples_path=need, task={"choices": sorted(extract.TASKS), **need}, num_shots={"type": int, "default": 3}, deduplication_ratio={"type": int, "default": 85}, num_final_task_samples={"type": int, **need}, output_path_raw=need, output_path_clean=need, output_path_error_msgs=need, output_path_final=need, max_tokenization_length={"type": int, "default": 16384})
+    command("finetune", train_dataset_path=need, task={"choices": sorted(extract.TASKS), **need}, model_name_or_path={"default": ""}, max_rows={"type": int, "default": 25_000}, output_path=need)
     command("evaluate", predictions_path=need, references_path=need, result_path=need, output_path=need)
     command("winrate", annotated_path=need, result_path=need)
     return top
@@ -91,6 +92,19 @@ def create_tasks(spark: SparkSession, o: argparse.Namespace) -> None:
     files.write_dataset(final.select("sample.*", "is_few_shot"), o.output_path_final)
 
 
+def finetune(spark: SparkSession, o: argparse.Namespace) -> None:
+    """The texts that a model is trained on, a sample of at most ``max_rows`` of them; training itself is left to a trainer."""
+    rows = spark.read.parquet(o.train_dataset_path)
+    col = F.col
+    if o.task == "recipegen":
+        text, key = prompts.finetune_recipe(col("instruction"), col("ingredients"), col("steps")), "instruction"
+    elif o.task == "summarization":
+        text, key = prompts.finetune_summary(col("instruction"), col("long_but_clean_text"), col("summary")), "long_but_clean_text"
+    else:
+        text, key = prompts.finetune_qa(col("question"), col("options"), col("answer")), "question"
+    files.write_jsonl(sampling.exact(rows, o.max_rows, key).select(prompts.with_eos(text, o.model_name_or_path).alias("text")), o.output_path)
+
+
 def evaluate_letters(spark: SparkSession, o: argparse.Namespace) -> None:
     said = spark.read.schema(schemas.GENERATION).json(o.predictions_path)
     right = spark.read.schema("row_id long, instruction string, answer int").json(o.references_path)
@@ -110,7 +124,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     if o.command == "retrieve":
         files.write_lines(fetch_mixed(spark, o), o.output_path, "file", "doc_idx")
     else:
-        {"embed": embed, "create-tasks": create_tasks, "evaluate": evaluate_letters, "winrate": winrate}[o.command](spark, o)
+        {"embed": embed, "create-tasks": create_tasks, "finetune": finetune, "evaluate": evaluate_letters, "winrate": winrate}[o.command](spark, o)
 
 
 if __name__ == "__main__":

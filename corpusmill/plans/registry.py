@@ -266,6 +266,23 @@ def format_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir, _MC, "medqa").filter("sample is null").select(F.col("doc_id").alias("index"), "exception")
 
 
+_LAST = 'SELECT raw.doc_id AS "index", coalesce(m.err, \'No JSON found.\') AS exception FROM raw LEFT JOIN (SELECT doc_id, bool_or(err IS NULL) AS ok FROM e GROUP BY doc_id) l ON l.doc_id = raw.doc_id LEFT JOIN (SELECT doc_id, err, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS r FROM e) m ON m.doc_id = raw.doc_id AND m.r = 1 WHERE coalesce(l.ok, false) = false'
+_BAD_RECIPE = [*_RECIPE, ("none ", ""), ('{"instruction": 5, "ingredients": ["a"], "steps": ["b"], "x": "', '"}'), ('{"instruction": "short", "more": "', '", "ingredients": ["a"], "steps": ["b"]}'), ('{"instruction": "', '", "ingredients": ["a"]}'), ("oh ", "}")]
+_BAD_SUMMARY = [*_SUMMARY, ("none ", ""), ('{"instruction": "Summarize the following text", "summary": "' + _LONG + '", "long_but_clean_text": "', '", "x": 1'), (f'{{"instruction": "Summarize the following text", "summary": "{_LONG}", "long_but_clean_text": 7, "x": "', '"}'), (f'{{"instruction": "Summarize the following text", "summary": "{_LONG}", "long_but_clean_text": "short", "x": "', '"}')]
+
+
+@_query(f"""WITH {_samples_sql(_BAD_RECIPE)}, f AS (SELECT doc_id, i, j, CASE WHEN {_STR('instruction')} THEN {_TXT('instruction')} END AS instruction, CASE WHEN {_ARR('ingredients')} THEN {_LST('ingredients')} END AS ingredients, CASE WHEN {_ARR('steps')} THEN {_LST('steps')} END AS steps FROM js),
+e AS (SELECT doc_id, i, CASE WHEN j IS NULL THEN 'Invalid JSON.' WHEN coalesce(length(instruction), 0) <= 15 THEN 'InstructionLengthError' WHEN coalesce(len(ingredients), 0) < 1 THEN 'IngredientsNumberError' WHEN coalesce(len(steps), 0) < 1 THEN 'StepsNumberError' END AS err FROM f) {_LAST}""")
+def format_errors_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir, _BAD_RECIPE, "recipegen").filter("sample is null").select(F.col("doc_id").alias("index"), "exception")
+
+
+@_query(f"""WITH {_samples_sql(_BAD_SUMMARY)}, f AS (SELECT doc_id, i, j, {', '.join(f"CASE WHEN {_STR(k)} THEN {_TXT(k)} END AS {k}" for k in ('instruction', 'summary', 'long_but_clean_text'))} FROM js),
+e AS (SELECT doc_id, i, CASE WHEN j IS NULL THEN 'Invalid JSON.' WHEN coalesce(length(instruction), 0) <= 15 THEN 'InstructionLengthError' WHEN coalesce(length(summary), 0) <= 100 THEN 'SummaryLengthError' WHEN coalesce(length(long_but_clean_text), 0) <= 500 THEN 'TextLengthError' END AS err FROM f) {_LAST}""")
+def format_errors_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir, _BAD_SUMMARY, "summarization").filter("sample is null").select(F.col("doc_id").alias("index"), "exception")
+
+
 # ---- prompts and texts
 
 _SHOT_TEXT = f"trim(text, '{WS}')"
@@ -284,16 +301,15 @@ def choose_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.choose_shots(_table(spark, sf_dir, "documents").select("doc_id"), shots, "doc_id", "item_id")
 
 
-_WORDS6 = "string_split(text, ' ')[1:6]"
 _LETTERED = "array_to_string(list_transform(range(1, least(len(ws), 5) + 1), lambda i: ['A','B','C','D','E'][i] || '. ' || ws[i]), chr(10))"
 
 
 def _choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents")
-    return d.select("doc_id", "lang", F.slice(F.split("text", " "), 1, 6).alias("ws"), F.split("text", "\n")[0].alias("question"))
+    return d.select("doc_id", "lang", F.split("text", " ").alias("ws"), F.col("text").alias("question"))
 
 
-_CHOICES = f"w AS (SELECT doc_id, lang, {_WORDS6} AS ws, {_TITLE} AS question FROM documents)"
+_CHOICES = "w AS (SELECT doc_id, lang, string_split(text, ' ') AS ws, text AS question FROM documents)"
 
 
 @_query(f"WITH {_CHOICES} SELECT doc_id, {_LETTERED} AS options FROM w")

@@ -247,6 +247,8 @@ def test_command_line_from_corpus_to_metrics(spark, tmp_path):
     cli.main(["create-tasks", "--few_shot_path", at("shots.jsonl"), "--corpus_samples_path", at("docs"), "--task", "medqa", "--num_final_task_samples", "5", "--deduplication_ratio", "100", "--max_new_tokens", "256", *[x for k in ("raw", "clean", "error_msgs", "final") for x in (f"--output_path_{k}", at(f"out_{k}"))]], spark)
     final = spark.read.parquet(at("out_final"))
     assert final.count() == 5 and final.filter("is_few_shot = 1").count() == 3 and len(lines_of(tmp_path / "out_raw")) == len(docs)
+    cli.main(["finetune", "--train_dataset_path", at("out_final"), "--task", "medqa", "--model_name_or_path", "Llama", "--max_rows", "4", "--output_path", at("texts"), "--lora_r", "8"], spark)
+    assert len(lines_of(tmp_path / "texts")) == 4 and all(json.loads(x)["text"].startswith("[INST] What") and json.loads(x)["text"].endswith("[/INST]A<|end_of_text|>") for x in lines_of(tmp_path / "texts"))
     (tmp_path / "said.json").write_text('{"row_id": 0, "text": "A", "logprobs": {"A": -0.1, "B": -2.0}, "choices": ["x", "y"]}\n{"row_id": 1, "text": "", "logprobs": {}, "choices": ["x", "y"]}\n')
     (tmp_path / "right.json").write_text("".join(json.dumps({"row_id": k, "instruction": "i", "answer": 0}) + "\n" for k in range(3)))
     cli.main(["evaluate", "--predictions_path", at("said.json"), "--references_path", at("right.json"), "--result_path", at("acc"), "--output_path", at("outputs")], spark)
