@@ -43,7 +43,7 @@ NGRAMS = 200_000
 UNIT = 1_000_000
 #: A text's evidence counts as that of so many words at most, so that scores of long texts are not all 1.
 EVIDENCE = 30.0
-HELD = 1 << 16
+HELD = 1 << 17
 PIECE = 1 << 13
 
 _LETTER = np.zeros(256, dtype=bool)

@@ -12,6 +12,7 @@ for ten million words).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,6 +68,19 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not this C library
+    _TRIM = None
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers wait for their next task with all that they hold."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def row_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) pieces of about ``most`` bytes, whole rows each."""
     raw, at = text_buffers(column)
@@ -75,6 +89,7 @@ def row_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
         yield i, j, raw[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
+    release()
 
 
 def lower_ascii(raw: np.ndarray) -> np.ndarray:
