@@ -8,21 +8,31 @@ over the codebooks in order.  Two norms are stored with a code: of the vector an
 of its decoded form.  For a query the inner products with all codewords form a
 lookup table; an approximate score is a sum of ``codebooks`` look-ups, times the
 ratio of the norms, which gives the decoded vector its true length.  The
-``rerank`` best per block are scored exactly in double precision; a ``rerank`` of
-a block's rows or more makes the search exact.
+``rerank`` best per block are scored exactly in double precision.
 
-Every vector is coded.  Queries and candidates meet in blocks: each block of
-candidates scans each block of queries and keeps the k nearest of each, and the
-lists of blocks are merged per query; no list grows with the table.  Each candidate
-is read once for every ``QUERY_ROWS`` queries, so work grows with their product.
+Every vector is coded and lies in one coarse cell, that of the centroid with the
+largest inner product less half its square.  A query looks into the cells whose
+centroids have the largest inner products with it, as many as hold ``TARGET`` of
+the exact neighbours of ``PROBED`` of the sample's vectors within the sample.  Real
+neighbours are nearer than a sample's, so the share that is found does not fall
+as the table grows.  There is a cell for each ``CELL_ROWS`` vectors, at most one
+for each ``FIT_ROWS`` of the sample; beyond that, cells grow with the table.  A
+cell is dealt in blocks of ``BLOCK_ROWS`` candidates and ``QUERY_ROWS`` queries,
+whatever it holds, and the lists of blocks are merged per query; no list grows
+with the table.  ``exhaustive`` looks into all cells; with a ``rerank`` of a
+block's rows or more as well, the search is exact.
 
-Equal vectors are one candidate with a list of ids, so that copies cannot crowd
-out other neighbours before reranking.
+Equal vectors are one candidate with its k + 1 smallest ids, and one query; so
+copies neither crowd out other neighbours nor make work.  Results go back to the
+copies of a query by a join whose hot keys are broadcast: ``HOT_SHARE`` bounds
+their number.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components take no part; a null id takes no part; vectors of another length than
 most take no part; ties go to the smaller id; with fewer than k candidates all
-are returned; repeated rows are candidates each; an empty table gives no rows; other
+are returned, where the cells that a query looks into hold them; rows of equal id
+and vector are one row, rows of one id with other vectors are queries and
+candidates each; an empty table gives no rows; other
 columns, whatever their names, are left behind.
 """
 
@@ -36,6 +46,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 K = 20
 CODEBOOKS = 16
 CODEWORDS = 256
@@ -44,6 +56,11 @@ RERANK = 512
 MAX_FIT = 16384
 BLOCK_ROWS = 16384
 QUERY_ROWS = 1024
+CELL_ROWS = 8192
+FIT_ROWS = 16
+PROBED = 512
+TARGET = 0.98
+HOT_SHARE = 1000
 
 
 @dataclass
@@ -128,44 +145,66 @@ def _top(scores: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == edge)[: k - len(above)]])
 
 
-def search_block(book: Quantiser, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norms: np.ndarray, lengths: np.ndarray, k: int, rerank: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the k nearest of a block: (id, candidate ids, exact scores)."""
-    order = np.lexsort((ids, *vectors.T[::-1]))
-    v = vectors[order]
-    new = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]).any(axis=1)])) if len(v) else np.empty(0, np.int64)
-    size = np.diff(np.append(new, len(v)))
+def search_block(book: Quantiser, queries: np.ndarray, ids: list[np.ndarray], vectors: np.ndarray, codes: np.ndarray, norms: np.ndarray, lengths: np.ndarray, k: int, rerank: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query the k nearest of a block of distinct vectors with their ids: (candidate ids, exact scores, whether the vector is the query's)."""
     out = []
-    exact = v[new].astype(np.float64)
+    exact, size = vectors.astype(np.float64), np.array([len(i) for i in ids], np.int64)
     for lo in range(0, len(queries), 64):
         part = queries[lo : lo + 64]
-        rough = book.scores(part, codes[order[new]], norms[order[new]], lengths[order[new]])
+        rough = book.scores(part, codes, norms, lengths)
         for q in range(len(part)):
             near = _top(rough[q], rerank)
             s = exact[near] @ part[q].astype(np.float64)
-            near, s = near[o := np.argsort(-s, kind="stable")], s[o]
-            # copies are listed by id; k + 1 of each class are enough whatever the query's own id is
-            place = np.concatenate([np.arange(new[g], new[g] + min(size[g], k + 1)) for g in near[: k + 1]]) if len(near) else near
-            score = np.repeat(s[: k + 1], np.minimum(size[near[: k + 1]], k + 1))
-            if len(near) > k + 1:  # other classes with the very score of the last
-                for g, x in zip(near[k + 1 :], s[k + 1 :], strict=True):
-                    if x < s[k]:
-                        break
-                    place = np.append(place, np.arange(new[g], new[g] + min(size[g], k + 1)))
-                    score = np.append(score, np.full(min(size[g], k + 1), x))
-            found = ids[order[place]]
-            other = found != query_ids[lo + q]
-            found, score = found[other], score[other]
+            if len(s) > k:
+                near, s = near[wide := s >= -np.partition(-s, k - 1)[k - 1]], s[wide]
+            found, score = np.concatenate([ids[g] for g in near]), np.repeat(s, size[near])
+            same = np.repeat((exact[near] == part[q]).all(axis=1), size[near])
             best = np.lexsort((found, -score))[:k]
-            out.append((int(query_ids[lo + q]), found[best], score[best]))
+            out.append((found[best], score[best], same[best]))
+    return out
+
+
+@dataclass
+class Cells:
+    centroids: np.ndarray  # cells x dim, float32
+    probes: int
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return (x.astype(np.float32) @ self.centroids.T - (self.centroids**2).sum(axis=1) / 2).argmax(axis=1).astype(np.int32)
+
+    def asked(self, queries: np.ndarray) -> np.ndarray:
+        """The cells that each query looks into; queries x probes."""
+        return np.argsort(-(queries.astype(np.float32) @ self.centroids.T), axis=1, kind="stable")[:, : self.probes].astype(np.int32)
+
+
+def fit_cells(x: np.ndarray, cells: int, k: int, rounds: int = 10, seed: int = 13) -> Cells:
+    """Centroids by k-means, and how many of them a query needs: enough for ``TARGET`` of the sample's own neighbours."""
+    x = x.astype(np.float32)
+    cells = max(1, min(cells, len(x)))
+    out = Cells(x[np.random.default_rng(seed).choice(len(x), cells, replace=False)].copy(), cells)
+    for _ in range(rounds if cells > 1 else 0):
+        near = out.of(x)
+        sums = np.zeros_like(out.centroids)
+        np.add.at(sums, near, x)
+        n = np.bincount(near, minlength=cells)[:, None]
+        out.centroids = np.where(n > 0, sums / np.maximum(n, 1), out.centroids)
+    if cells > 1 and len(x) > 1:
+        near, some = out.of(x), np.arange(min(PROBED, len(x)))
+        s = x[some] @ x.T
+        s[some, some] = -np.inf
+        best = np.argsort(-s, axis=1)[:, : min(k, len(x) - 1)]
+        place = np.argsort(out.asked(x[some]), axis=1)  # of each cell in the query's order
+        need = np.sort(np.take_along_axis(place, near[best], axis=1).ravel())
+        out.probes = int(need[min(len(need) - 1, int(np.ceil(TARGET * len(need))))]) + 1
     return out
 
 
-def usable(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, v) of the rows that take part."""
+def usable(embeddings: DataFrame) -> tuple[DataFrame, int]:
+    """(vec_id, v) of the rows that take part, and how many they are."""
     e = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
     e = e.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0))
     sizes = e.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    return e.filter(F.size("v") == sizes[0]["dim"]) if sizes else e.limit(0)
+    return (e.filter(F.size("v") == sizes[0]["dim"]), sizes[0]["count"]) if sizes else (e.limit(0), 0)
 
 
 def _matrix(column) -> np.ndarray:
@@ -175,38 +214,75 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def nearest(embeddings: DataFrame, k: int = K, every: int = 20, rerank: int = RERANK, max_fit: int = MAX_FIT) -> DataFrame:
+def _first_ids(rows: DataFrame, n: int) -> DataFrame:
+    """h, v, ids: each distinct vector with its ``n`` smallest ids; a vector's rows are cut to n before they are shuffled."""
+    rows = rows.select(F.xxhash64("v").alias("h"), F.transform("v", lambda x: x + F.lit(0.0)).alias("v"), "vec_id")
+    few = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("h", "v").orderBy("vec_id"))).filter(F.col("r") <= n)
+    return few.groupBy("h", "v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
+
+
+def nearest(embeddings: DataFrame, k: int = K, every: int = 20, rerank: int = RERANK, max_fit: int = MAX_FIT, exhaustive: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by inner product of each row whose id is divisible by ``every``."""
     spark = embeddings.sparkSession
-    rows = usable(embeddings)
-    schema = "query_id long, rank int, vec_id long, score double"
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_fit).select("v").toArrow()
-    if not sample.num_rows:
-        return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(fit(_matrix(sample["v"])))
+    rows, n = usable(embeddings)
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    scratch = Scratch(spark)
+    sample = np.unique(_matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_fit).select("v").toArrow()["v"]), axis=0)
+    sample = sample[np.random.default_rng(7).permutation(len(sample))]
+    cells = fit_cells(sample, min(n // CELL_ROWS, len(sample) // FIT_ROWS), k)
+    if exhaustive:
+        cells.probes = len(cells.centroids)
+    shared = spark.sparkContext.broadcast((fit(sample), cells))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, cells = shared.value
+        for b in batches:
+            x = _matrix(b.column(0))
+            codes, norms, lengths = book.encode(x)
+            yield pa.record_batch({"cell": cells.of(x), "v": b.column(0), "ids": b.column(1), "code": pa.array([c.tobytes() for c in codes], pa.binary()), "norm": norms, "length": lengths})
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes, norms, lengths = shared.value.encode(_matrix(b.column(1)))
-            yield pa.record_batch({"vec_id": b.column(0), "v": b.column(1), "code": pa.array([c.tobytes() for c in codes], pa.binary()), "norm": norms, "length": lengths})
-
-    n = rows.count()
-    blocks, query_blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n // (every * QUERY_ROWS)))
-    coded = rows.mapInArrow(encode, "vec_id long, v array<double>, code binary, norm float, length float")
-    # every candidate goes once to each block of queries, every query once to each block of candidates
-    base = coded.withColumn("cb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    base = base.select("cb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), F.lit(False).alias("asks"), "vec_id", "v", "code", "norm", "length")
-    asks = rows.filter(F.col("vec_id") % every == 0).withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(query_blocks)).cast("int"))
-    asks = asks.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"), "qb", F.lit(True).alias("asks"), "vec_id", "v", F.lit(b"").alias("code"), F.lit(0.0).cast("float").alias("norm"), F.lit(1.0).cast("float").alias("length"))
+            asked = shared.value[1].asked(_matrix(b.column(1)))
+            yield pa.record_batch({"h": b.column(0), "v": b.column(1), "query": b.column(2), "cells": pa.array(list(asked), pa.list_(pa.int32()))})
+
+    coded = scratch.keep(_first_ids(rows, k + 1).select("v", "ids").mapInArrow(encode, "cell int, v array<double>, ids array<long>, code binary, norm float, length float"), "coded")
+    queries = rows.filter(F.col("vec_id") % every == 0).select("vec_id", F.xxhash64("v").alias("h"), F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).distinct()
+    distinct = queries.groupBy("h", "v").agg(F.min("vec_id").alias("query"), F.count("*").alias("copies"))
+    asks = scratch.keep(distinct.select("h", "v", "query").mapInArrow(ask, "h long, v array<double>, query long, cells array<int>"), "asks")
+
+    # blocks of both kinds in each cell; as many rows as there are cells, at most max_fit / FIT_ROWS
+    sizes = coded.groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
+    asked = asks.select(F.explode("cells").alias("cell")).groupBy("cell").count().select("cell", F.ceil(F.col("count") / QUERY_ROWS).cast("int").alias("parts"))
+    grid = F.broadcast(spark.createDataFrame(sizes.join(asked, "cell").collect(), "cell int, blocks int, parts int"))
+    # within its cell every candidate goes once to each part of the queries, every query once to each block of candidates
+    base = coded.join(grid, "cell").withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0], F.lit(1)), F.col("blocks")).cast("int"))
+    base = base.select("cell", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("query"), F.lit(None).cast("long").alias("h"), "v", "ids", "code", "norm", "length")
+    turn = asks.select("query", "h", "v", F.explode("cells").alias("cell")).join(grid, "cell").withColumn("part", F.pmod(F.xxhash64("query", F.lit(2)), F.col("parts")).cast("int"))
+    turn = turn.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", "query", "h", "v", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("binary").alias("code"), F.lit(0.0).cast("float").alias("norm"), F.lit(1.0).cast("float").alias("length"))
 
     def scan(table: pa.Table) -> pa.Table:
-        ask = table["asks"].to_numpy()
-        ids, v = table["vec_id"].to_numpy(), _matrix(table["v"])
-        codes = np.array([np.frombuffer(c, np.uint8) for c, a in zip(table["code"].to_pylist(), ask, strict=True) if not a], dtype=np.uint8).reshape((~ask).sum(), -1)
-        found = search_block(shared.value, ids[ask], v[ask], ids[~ask], v[~ask], codes, table["norm"].to_numpy()[~ask], table["length"].to_numpy()[~ask], k, rerank) if ask.any() and not ask.all() else []
-        return pa.table({"query_id": pa.array([q for q, _, _ in found], pa.int64()), "ids": pa.array([i for _, i, _ in found], pa.list_(pa.int64())), "scores": pa.array([s for _, _, s in found], pa.list_(pa.float64()))})
-
-    lists = base.union(asks).groupBy("cb", "qb").applyInArrow(scan, "query_id long, ids array<long>, scores array<double>")
-    hits = lists.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        asks = table["query"].is_valid().to_numpy()
+        here, v = table.filter(pa.array(~asks)), _matrix(table["v"])
+        who, found = table.filter(pa.array(asks)).select(["query", "h"]), []
+        if len(who) and len(here):
+            codes = np.frombuffer(b"".join(here["code"].to_pylist()), np.uint8).reshape(len(here), -1)
+            ids = [np.array(i, np.int64) for i in here["ids"].to_pylist()]
+            found = search_block(shared.value[0], v[asks], ids, v[~asks], codes, here["norm"].to_numpy(), here["length"].to_numpy(), k + 1, rerank)
+        return pa.table({"query": who["query"][: len(found)], "h": who["h"][: len(found)], "ids": pa.array([i for i, _, _ in found], pa.list_(pa.int64())), "scores": pa.array([s for _, s, _ in found], pa.list_(pa.float64())), "same": pa.array([e for _, _, e in found], pa.list_(pa.bool_()))})
+
+    lists = base.union(turn).groupBy("cell", "block", "part").applyInArrow(scan, "query long, h long, ids array<long>, scores array<double>, same array<boolean>")
+    hits = lists.select("query", "h", F.explode(F.arrays_zip("ids", "scores", "same")).alias("x")).select("query", "h", F.col("x.ids").alias("i"), F.col("x.scores").alias("s"), F.col("x.same").alias("same"))
+    best = hits.withColumn("r", F.row_number().over(Window.partitionBy("query", "h").orderBy(F.desc("s"), "i", "same"))).filter(F.col("r") <= k + 1)
+    best = best.groupBy("query", "h").agg(F.sort_array(F.collect_list(F.struct("r", "i", "s", "same"))).alias("best"))
+
+    # every copy of a query gets its list without its own id; vectors of over a thousandth of all queries are at most a thousand
+    hot = F.col("copies") * HOT_SHARE > F.lit(-(-n // every))
+    found = scratch.keep(distinct.join(best, ["query", "h"]).select("h", "v", hot.alias("hot"), "best"), "found")
+    often = F.broadcast(found.filter("hot").select("h", "v", "best"))
+    rest = queries.join(often.select("h", "v"), ["h", "v"], "left_anti").join(found.filter(~F.col("hot")).select("h", "v", "best"), ["h", "v"])
+    every_one = queries.join(often, ["h", "v"]).unionByName(rest)
+    own = F.slice(F.filter("best", lambda x: (x["i"] != F.col("vec_id")) | ~x["same"]), 1, k)
+    listed = every_one.select(F.col("vec_id").alias("query_id"), F.posexplode(own).alias("place", "x"))
+    return listed.select("query_id", (F.col("place") + 1).alias("rank"), F.col("x.i").alias("vec_id"), F.col("x.s").alias("score"))

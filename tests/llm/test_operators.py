@@ -263,20 +263,65 @@ def test_mix_comes_near_its_targets(documents):
     assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 2 * r["max(size)"] for r in got)
 
 
-def test_neighbours_are_nearly_all_found(spark):
-    e = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet")
-    got = collections.defaultdict(list)
-    for r in vectors.nearest(e).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    rows = e.select("vec_id", "embedding").collect()
-    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
-    hits = 0
-    for q in np.flatnonzero(ids % 20 == 0):
+def brute_nearest(rows, k=20, every=20):
+    """(query, rank, id, score) by all pairs."""
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    out = []
+    for q in np.flatnonzero(ids % every == 0):
         s = x @ x[q]
-        best = [ids[k] for k in np.lexsort((ids, -s)) if k != q][:20]
-        hits += len(set(best) & {i for i, _ in got[ids[q]]})
-        assert all(v == pytest.approx(float(x[q] @ x[np.flatnonzero(ids == i)[0]]), abs=1e-9) for i, v in got[ids[q]])
-    assert hits >= 0.9 * 20 * len(got)
+        best = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[q]][:k]
+        out += [(int(ids[q]), r + 1, int(ids[j]), float(s[j])) for r, j in enumerate(best)]
+    return out
+
+
+def found_nearest(df, **options):
+    return [tuple(r) for r in vectors.nearest(df, **options).orderBy("query_id", "rank").collect()]
+
+
+def recall(got, want):
+    """Share of the wanted neighbours found; every score found must be exact, every rank in order."""
+    exact = {(q, i): s for q, _, i, s in want}
+    assert all(s == pytest.approx(exact[q, i], abs=1e-9) for q, _, i, s in got if (q, i) in exact)
+    return len({(q, i) for q, _, i, _ in got} & exact.keys()) / len(exact)
+
+
+@pytest.mark.parametrize("limits", [{}, {"CELL_ROWS": 150, "BLOCK_ROWS": 100, "QUERY_ROWS": 7}])
+def test_neighbours_are_nearly_all_found(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(vectors, name, value)
+    e = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet")
+    want = brute_nearest([(r.vec_id, r.embedding) for r in e.collect()])
+    got = found_nearest(e)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert recall(got, want) >= 0.9
+
+
+def test_clustered_vectors_need_few_cells(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_ROWS", 100)
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(60, 16))[rng.integers(0, 60, 6000)] + 0.1 * rng.normal(size=(6000, 16))).astype(np.float64)
+    cells = vectors.fit_cells(x, 60, 20)
+    assert cells.probes <= 15
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    assert recall(found_nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), brute_nearest(rows)) >= 0.9
+
+
+@pytest.mark.parametrize("share", [1, 1000])
+def test_copies_and_ties_are_exact(spark, monkeypatch, share):
+    for name, value in {"CELL_ROWS": 40, "FIT_ROWS": 4, "BLOCK_ROWS": 16, "QUERY_ROWS": 3, "HOT_SHARE": share}.items():
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (400, 6)).astype(float)
+    x[rng.random(400) < 0.35] = x[1]
+    x = x[np.abs(x).sum(axis=1) > 0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = found_nearest(spark.createDataFrame([*rows, rows[40], rows[7]], "vec_id long, embedding array<double>").repartition(5), exhaustive=True, rerank=16)
+    assert got == brute_nearest(rows)
+
+
+def test_one_id_with_two_vectors_asks_twice(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [3.0, 4.0])], "vec_id long, embedding array<double>")
+    assert sorted(found_nearest(df)) == [(0, 1, 1, 3.0), (0, 1, 1, 8.0), (0, 2, 0, 0.0), (0, 2, 0, 0.0)]
 
 
 def test_odd_vectors_take_no_part(spark):
