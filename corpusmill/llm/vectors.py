@@ -63,6 +63,14 @@ TARGET = 0.98
 HOT_SHARE = 1000
 
 
+def _means(x: np.ndarray, group: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The mean of each group's vectors; a group without vectors keeps what it had before."""
+    order, out = np.argsort(group, kind="stable"), before.copy()
+    own, first, n = np.unique(group[order], return_index=True, return_counts=True)
+    out[own] = np.add.reduceat(x[order], first, axis=0) / n[:, None]
+    return out
+
+
 @dataclass
 class Quantiser:
     books: np.ndarray  # codebooks x codewords x dim, float32
@@ -105,10 +113,7 @@ class Quantiser:
         left = x.astype(np.float32) - sum(book[codes[:, k]] for k, book in enumerate(self.books))
         for k, book in enumerate(self.books):
             own = left + book[codes[:, k]]
-            sums = np.zeros_like(book)
-            np.add.at(sums, codes[:, k], own)
-            n = np.bincount(codes[:, k], minlength=len(book))[:, None]
-            self.books[k] = np.where(n > 0, sums / np.maximum(n, 1), book)
+            self.books[k] = _means(own, codes[:, k], book)
             left = own - self.books[k][codes[:, k]]
 
 
@@ -123,10 +128,7 @@ def fit(x: np.ndarray, codebooks: int = CODEBOOKS, codewords: int = CODEWORDS, r
         centres = residual[rng.choice(len(x), words, replace=False)].copy()
         for _ in range(rounds):
             near = ((centres**2).sum(axis=1) - 2 * residual @ centres.T).argmin(axis=1)
-            sums = np.zeros_like(centres)
-            np.add.at(sums, near, residual)
-            n = np.bincount(near, minlength=words)[:, None]
-            centres = np.where(n > 0, sums / np.maximum(n, 1), centres)
+            centres = _means(residual, near, centres)
         near = ((centres**2).sum(axis=1) - 2 * residual @ centres.T).argmin(axis=1)
         books[k] = centres
         residual = residual - centres[near]
@@ -183,11 +185,7 @@ def fit_cells(x: np.ndarray, cells: int, k: int, rounds: int = 10, seed: int = 1
     cells = max(1, min(cells, len(x)))
     out = Cells(x[np.random.default_rng(seed).choice(len(x), cells, replace=False)].copy(), cells)
     for _ in range(rounds if cells > 1 else 0):
-        near = out.of(x)
-        sums = np.zeros_like(out.centroids)
-        np.add.at(sums, near, x)
-        n = np.bincount(near, minlength=cells)[:, None]
-        out.centroids = np.where(n > 0, sums / np.maximum(n, 1), out.centroids)
+        out.centroids = _means(x, out.of(x), out.centroids)
     if cells > 1 and len(x) > 1:
         near, some = out.of(x), np.arange(min(PROBED, len(x)))
         s = x[some] @ x.T
