@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, langid, licenses, maxent, mixing, pii, quality, suffixes, vectors
+from . import chat, decontam, features, jaccard, langid, licenses, maxent, mixing, pii, quality, runs, suffixes, vectors
 from .common import tune
 
 
@@ -55,10 +55,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.windows(conversations.unionByName(chat.control_conversation(spark))))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find_runs(runs.planted(_table(spark, sf_dir, "documents"))))
+
+
+def op13_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.features(*[_table(spark, sf_dir, name) for name in ("clicks", "sales", "sale_lines")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_lm_scoring, op2_decontamination, op3_quality_classifier, op4_mixing, op5_nearest_neighbours, op6_ngram_jaccard, op7_language_id, op8_suffix_dedup, op9_pii, op10_license_scan)
+    own = (op1_lm_scoring, op2_decontamination, op3_quality_classifier, op4_mixing, op5_nearest_neighbours, op6_ngram_jaccard, op7_language_id, op8_suffix_dedup, op9_pii, op10_license_scan, op11_chat_formatting, op12_periodic_runs, op13_point_in_time)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_SQL, "op6_ngram_jaccard": jaccard.ORACLE_SQL}
+    return {"op4_mixing": mixing.ORACLE_SQL, "op6_ngram_jaccard": jaccard.ORACLE_SQL, "op11_chat_formatting": chat.ORACLE_SQL, "op13_point_in_time": features.ORACLE_SQL}
