@@ -15,10 +15,11 @@ no click is.
 A row of the stream is narrow: client, time, kind, a bit for each window it counts
 in, a count and cents.  Changes of lines, whose times are few, are added up per
 client and time before they are shuffled together.  Clients (and pairs of client
-and item) of over ``HOT_ROWS`` rows are cut into chunks of time, as many as they
-have times ``HOT_ROWS``; running sums are taken in each chunk, and the totals of
-the earlier chunks are added.  So no task holds a client, only chunks and the list
-of one hot client's chunk totals.  The stream is written once to the shared folder.
+and item) of over ``HOT_ROWS`` rows are cut into chunks of time of about so many
+rows, however they are spread over time; running sums are taken in each chunk, and
+the totals of the earlier chunks are added.  So no task holds a client, only chunks
+and, ``SLOTS`` for each ``HOT_ROWS`` rows, the counts of one hot client's slots of
+time.  The stream is written once to the shared folder.
 
 Defined cases: times are UTC whatever the session's zone; rows without client,
 event time or arrival are not counted, lines without sale, shipping or item are no
@@ -37,13 +38,14 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, checked_broadcast
+from .common import BROADCAST_BYTES, Scratch, checked_broadcast
 
 WINDOWS = (2, 14)
 LABEL_DAYS = 7
 LAG_MINUTES = 240
 SPREAD_SECONDS = 259_200
 HOT_ROWS = 1 << 16
+SLOTS = 16
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
 CLICK, PURCHASE, SALE, LINE, ITEM, AHEAD, PROBE = range(7)  # probes come last among equal times
@@ -85,21 +87,38 @@ def _while_active(start: str, event: str, windows: tuple[int, ...]) -> list[Colu
     return [_change(F.col(start), 1, _bits(windows, lambda d: F.col(start) < ends(d))), *[_change(ends(d), -1, F.when(F.col(start) < ends(d), 1 << k).otherwise(0)) for k, d in enumerate(windows)]]
 
 
-def hot_spans(rows: DataFrame, keys: list[str], at: str, scratch: Scratch) -> DataFrame:
-    """Keys of over ``HOT_ROWS`` rows (renamed hot_...), their first time and the width of their chunks of time."""
-    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi")).filter(F.col("n") > HOT_ROWS)
-    width = F.ceil((F.col("hi") - F.col("lo") + 1) / F.ceil(F.col("n") / HOT_ROWS))
-    return scratch.keep(n.select(*[F.col(k).alias(f"hot_{k}") for k in keys], "lo", width.cast("long").alias("width")), "hot")
-
-
 def _same(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k) == F.col(f"hot_{k}") for k in keys])
 
 
-def chunked(rows: DataFrame, keys: list[str], at: str, hot: DataFrame, how: str = "left") -> DataFrame:
-    """``rows`` with ``chunk``: its chunk of time for a hot key, 0 for others."""
-    chunk = F.coalesce(F.floor((F.col(at) - F.col("lo")) / F.col("width")), F.lit(0)).cast("long")
-    return rows.join(checked_broadcast(hot), _same(keys), how).withColumn("chunk", chunk).drop(*[f"hot_{k}" for k in keys], "lo", "width")
+def hot_chunks(rows: DataFrame, keys: list[str], at: str, most: int, scratch: Scratch) -> DataFrame:
+    """Keys of over ``most`` rows (renamed hot_...), their first time, the width of their slots of time and each slot's chunk.
+
+    A hot key has ``SLOTS`` slots for each ``most`` rows; chunks are slots one after the other that hold ``most`` rows.
+    Every row goes through the join, hot or not, and is counted where it is.
+    """
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi")).filter(F.col("n") > most)
+    slots = (SLOTS * F.ceil(F.col("n") / most)).cast("int")
+    wide = n.select(*[F.col(k).alias(f"hot_{k}") for k in keys], "lo", slots.alias("slots"), F.ceil((F.col("hi") - F.col("lo") + 1) / slots).cast("long").alias("width"))
+    wide, named = scratch.keep(wide, "wide"), [f"hot_{k}" for k in keys]
+    slot = F.floor((F.col(at) - F.col("lo")) / F.col("width")).cast("int")
+    counts = rows.join(checked_broadcast(wide), _same(keys), "left").groupBy(*named, slot.alias("slot")).agg(F.count(F.lit(1)).alias("rows"), F.max("slots").alias("hot"))
+    counts = counts.filter("hot is not null").select(*[F.col(c).alias(f"c_{c}") for c in (*named, "slot")], "rows")
+    every = wide.select(*named, "lo", "width", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"c_{c}") for c in (*named, "slot")])
+    earlier = Window.partitionBy(*named).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    chunk = F.floor(F.coalesce(F.sum("rows").over(earlier), F.lit(0)) / most).cast("int")
+    told = every.join(counts, same, "left").select(*named, "lo", "width", "slot", chunk.alias("chunk"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("slot", "chunk"))), lambda x: x["chunk"])
+    return scratch.keep(told.groupBy(*named).agg(F.first("lo").alias("lo"), F.first("width").alias("width"), listed.alias("chunks")), "hot")
+
+
+def chunked(rows: DataFrame, keys: list[str], at: str, hot: DataFrame) -> DataFrame:
+    """``rows`` with ``chunk``: the chunk of time of a hot key, null for others."""
+    slots = hot.agg(F.sum(F.size("chunks"))).first()[0] or 0  # at most SLOTS for each HOT_ROWS rows
+    side = F.broadcast(hot) if slots * 8 <= BROADCAST_BYTES else hot
+    slot = F.least(F.greatest(F.floor((F.col(at) - F.col("lo")) / F.col("width")), F.lit(0)), F.size("chunks") - 1).cast("int")
+    return rows.join(side, _same(keys), "left").withColumn("chunk", F.get("chunks", slot).cast("long")).drop(*[f"hot_{k}" for k in keys], "lo", "width", "chunks")
 
 
 def _before(totals: DataFrame, keys: list[str], sums: dict[str, Column], scratch: Scratch) -> DataFrame:
@@ -129,12 +148,12 @@ def dated_sales(sales: DataFrame) -> DataFrame:
 
 def item_changes(lines: DataFrame, windows: tuple[int, ...], scratch: Scratch) -> DataFrame:
     """Plus and minus rows of the distinct items of clients, from lines (client_id, item_id, start, sold)."""
-    keys, lines = ["client_id", "item_id"], lines.filter("item_id is not null")
-    hot = hot_spans(lines, keys, "start", scratch)
-    once = lambda how: chunked(lines.select(*keys, "start", "sold"), keys, "start", hot, how).groupBy(*keys, "chunk", "start").agg(F.max("sold").alias("sold"))
-    base = _before(once("inner").groupBy(*keys, "chunk").agg(F.max("sold").alias("sold")), keys, {"sold": F.max("sold")}, scratch)
+    keys, lines = ["client_id", "item_id"], lines.filter("item_id is not null").select("client_id", "item_id", "start", "sold")
+    hot = hot_chunks(lines, keys, "start", HOT_ROWS, scratch)
+    once = scratch.keep(chunked(lines, keys, "start", hot).groupBy(*keys, "chunk", "start").agg(F.max("sold").alias("sold")), "once")
+    base = _before(once.filter("chunk is not null").groupBy(*keys, "chunk").agg(F.max("sold").alias("sold")), keys, {"sold": F.max("sold")}, scratch)
     earlier = Window.partitionBy(*keys, "chunk").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    rows = once("left").withColumn("own", F.max("sold").over(earlier))
+    rows = once.withColumn("own", F.max("sold").over(earlier))
     rows = rows.join(checked_broadcast(base), _same([*keys, "chunk"]), "left").withColumn("reach", F.greatest("own", "base_sold"))  # null: nothing before
     changes = []
     opens = {d: F.greatest(F.col("start"), F.col("reach") + d * DAY) for d in windows}  # greatest passes over nulls
@@ -147,7 +166,7 @@ def item_changes(lines: DataFrame, windows: tuple[int, ...], scratch: Scratch) -
 
 
 def events(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tuple[int, ...], lag_minutes: int, label_days: int, scratch: Scratch) -> DataFrame:
-    """The stream: plus and minus rows of clicks, sales, lines, items and sales ahead, and the probes."""
+    """The stream: plus and minus rows of clicks, sales, lines, items and sales ahead, and the probes; with chunks of hot clients."""
     lag, every = lag_minutes * 60 * SECOND, (1 << len(windows)) - 1
     seen = distinct_clicks(clicks).withColumn("start", F.greatest(F.col("ts"), F.col("arrived") + lag))
     told = dated_sales(sales)
@@ -166,7 +185,10 @@ def events(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tuple
         _stream(told, F.lit(PROBE), [_change(F.col("t"), 1, every)], None, None, F.col("sale_id").cast("long")),
         few,
     ]
-    return reduce(DataFrame.unionByName, [p.select(*STREAM) for p in parts])
+    stream = reduce(DataFrame.unionByName, [p.select(*STREAM) for p in parts])
+    # a click, sale or line gives about three rows of the stream
+    times = reduce(DataFrame.union, [clicks.filter("client_id is not null and ts is not null").select(F.col("client_id").cast("long").alias("client_id"), micros(clicks, "ts").alias("at")), told.select("client_id", "sold"), sent.select("client_id", "start")])
+    return chunked(stream, ["client_id"], "at", hot_chunks(times, ["client_id"], "at", max(1, HOT_ROWS // 3), scratch))
 
 
 def _sums(windows: tuple[int, ...]) -> dict[str, Column]:
@@ -181,12 +203,11 @@ def features(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tup
     """Per sale (with client and time) and window: sale_id, d, t_us, label and the counts, cents and last click of that window at t."""
     scratch, keys = Scratch(clicks.sparkSession), ["client_id"]
     stream = scratch.keep(events(clicks, sales, lines, windows, lag_minutes, label_days, scratch), "stream")
-    hot = hot_spans(stream, keys, "at", scratch)
     sums, click = _sums(windows), F.when(F.col("kind").isin(CLICK, PURCHASE) & (F.col("n") > 0), F.struct("ref", "id"))
-    totals = chunked(stream, keys, "at", hot, "inner").groupBy(*keys, "chunk").agg(*[f.alias(name) for name, f in sums.items()], F.max(click).alias("last"))
+    totals = stream.filter("chunk is not null").groupBy(*keys, "chunk").agg(*[f.alias(name) for name, f in sums.items()], F.max(click).alias("last"))
     base = _before(totals, keys, {name: F.sum(name) for name in sums} | {"last": F.max("last")}, scratch)
     upto = Window.partitionBy(*keys, "chunk").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    local = chunked(stream, keys, "at", hot).select("client_id", "chunk", "at", "kind", "id", *[f.over(upto).alias(name) for name, f in sums.items()], F.max(click).over(upto).alias("last")).filter(F.col("kind") == PROBE)
+    local = stream.select("client_id", "chunk", "at", "kind", "id", *[f.over(upto).alias(name) for name, f in sums.items()], F.max(click).over(upto).alias("last")).filter(F.col("kind") == PROBE)
     found = local.join(checked_broadcast(base), _same([*keys, "chunk"]), "left")
     now = lambda name: F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col(f"base_{name}"), F.lit(0))
     last = F.greatest("last", "base_last")
@@ -198,8 +219,8 @@ def features(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tup
 
 _CENTS = "CAST(coalesce(sum(floor(100 * {x} + 0.5)), 0) AS BIGINT)"
 ORACLE_SQL = f"""
-WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
-h AS (SELECT sale_id, client_id, sold_at, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(sale_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_of),
+h AS (SELECT sale_id, client_id, sold_at, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(sale_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1])), 4294967295) AS h
   FROM sales, crc WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
 p AS (SELECT row_number() OVER () AS k, sale_id, client_id, sold_at + to_seconds(h % {SPREAD_SECONDS}) AS t FROM h),
 w AS (SELECT unnest([{', '.join(map(str, WINDOWS))}]) AS d),
