@@ -13,7 +13,8 @@ ratio of the norms, which gives the decoded vector its true length.  The
 Every vector is coded and lies in one coarse cell, that of the centroid with the
 largest inner product less half its square.  A query looks into the cells whose
 centroids have the largest inner products with it, as many as hold ``TARGET`` of
-the exact neighbours of ``PROBED`` of the sample's vectors within the sample.  Real
+the exact neighbours of ``PROBED`` of the sample's vectors within the sample, and
+on until they hold k + 1 candidates, so that no query is left short.  Real
 neighbours are nearer than a sample's, so the share that is found does not fall
 as the table grows.  There is a cell for each ``CELL_ROWS`` vectors, at most one
 for each ``FIT_ROWS`` of the sample; beyond that, cells grow with the table.  A
@@ -30,7 +31,7 @@ their number.
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components take no part; a null id takes no part; vectors of another length than
 most take no part; ties go to the smaller id; with fewer than k candidates all
-are returned, where the cells that a query looks into hold them; rows of equal id
+are returned; rows of equal id
 and vector are one row, rows of one id with other vectors are queries and
 candidates each; an empty table gives no rows; other
 columns, whatever their names, are left behind.
@@ -102,10 +103,12 @@ class Quantiser:
 
     def scores(self, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Approximate inner products, by lookup tables; queries x candidates."""
-        out = np.zeros((len(queries), len(codes)), np.float32)
+        out, rows = np.zeros((len(codes), len(queries)), np.float32), np.empty((len(codes), len(queries)), np.float32)
         for k, book in enumerate(self.books):
-            out += (queries.astype(np.float32) @ book.T)[:, codes[:, k]]
-        return out * (norms / np.maximum(lengths, np.float32(1e-30)))
+            np.take(book @ queries.astype(np.float32).T, codes[:, k], axis=0, out=rows, mode="clip")  # whole rows of the table
+            out += rows
+        out *= (norms / np.maximum(lengths, np.float32(1e-30)))[:, None]
+        return np.ascontiguousarray(out.T)
 
     def refit(self, x: np.ndarray) -> None:
         """Each codebook in turn: the means of what the others leave of the vectors coded with a codeword."""
@@ -140,6 +143,17 @@ def fit(x: np.ndarray, codebooks: int = CODEBOOKS, codewords: int = CODEWORDS, r
 
 def _top(scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k largest, all of the last rank's ties cut in order of place."""
+    if len(scores) <= k:
+        return np.arange(len(scores))
+    if len(scores) >= 8 * k:  # an edge that some more than k are expected to pass, from every eighth
+        some, m = scores[::8], k // 6 + 8
+        passed = np.flatnonzero(scores >= np.partition(some, len(some) - m)[len(some) - m])
+        if len(passed) >= k:
+            return passed[_edge(scores[passed], k)]
+    return _edge(scores, k)
+
+
+def _edge(scores: np.ndarray, k: int) -> np.ndarray:
     if len(scores) <= k:
         return np.arange(len(scores))
     edge = -np.partition(-scores, k - 1)[k - 1]
@@ -174,9 +188,15 @@ class Cells:
     def of(self, x: np.ndarray) -> np.ndarray:
         return (x.astype(np.float32) @ self.centroids.T - (self.centroids**2).sum(axis=1) / 2).argmax(axis=1).astype(np.int32)
 
-    def asked(self, queries: np.ndarray) -> np.ndarray:
-        """The cells that each query looks into; queries x probes."""
-        return np.argsort(-(queries.astype(np.float32) @ self.centroids.T), axis=1, kind="stable")[:, : self.probes].astype(np.int32)
+    def ranked(self, queries: np.ndarray) -> np.ndarray:
+        """All cells in each query's order; queries x cells."""
+        return np.argsort(-(queries.astype(np.float32) @ self.centroids.T), axis=1, kind="stable").astype(np.int32)
+
+    def asked(self, queries: np.ndarray, held: np.ndarray, least: int) -> list[np.ndarray]:
+        """The cells that each query looks into: ``probes``, or as many as it takes until they hold ``least`` candidates."""
+        order = self.ranked(queries)
+        short = (np.cumsum(held[order], axis=1) < least).sum(axis=1) + 1
+        return [row[:n] for row, n in zip(order, np.maximum(short, self.probes), strict=True)]
 
 
 def fit_cells(x: np.ndarray, cells: int, k: int, rounds: int = 10, seed: int = 13) -> Cells:
@@ -191,7 +211,7 @@ def fit_cells(x: np.ndarray, cells: int, k: int, rounds: int = 10, seed: int = 1
         s = x[some] @ x.T
         s[some, some] = -np.inf
         best = np.argsort(-s, axis=1)[:, : min(k, len(x) - 1)]
-        place = np.argsort(out.asked(x[some]), axis=1)  # of each cell in the query's order
+        place = np.argsort(out.ranked(x[some]), axis=1)  # of each cell in the query's order
         need = np.sort(np.take_along_axis(place, near[best], axis=1).ravel())
         out.probes = int(need[min(len(need) - 1, int(np.ceil(TARGET * len(need))))]) + 1
     return out
@@ -242,10 +262,13 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = 20, rerank: int = RE
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            asked = shared.value[1].asked(_matrix(b.column(1)))
-            yield pa.record_batch({"h": b.column(0), "v": b.column(1), "query": b.column(2), "cells": pa.array(list(asked), pa.list_(pa.int32()))})
+            asked = shared.value[1].asked(_matrix(b.column(1)), held, k + 1)
+            yield pa.record_batch({"h": b.column(0), "v": b.column(1), "query": b.column(2), "cells": pa.array(asked, pa.list_(pa.int32()))})
 
     coded = scratch.keep(_first_ids(rows, k + 1).select("v", "ids").mapInArrow(encode, "cell int, v array<double>, ids array<long>, code binary, norm float, length float"), "coded")
+    held = np.zeros(len(cells.centroids), np.int64)  # candidates of each cell; one row a cell reaches the driver
+    for r in coded.groupBy("cell").agg(F.sum(F.size("ids")).alias("n")).collect():
+        held[r["cell"]] = r["n"]
     queries = rows.filter(F.col("vec_id") % every == 0).select("vec_id", F.xxhash64("v").alias("h"), F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).distinct()
     distinct = queries.groupBy("h", "v").agg(F.min("vec_id").alias("query"), F.count("*").alias("copies"))
     asks = scratch.keep(distinct.select("h", "v", "query").mapInArrow(ask, "h long, v array<double>, query long, cells array<int>"), "asks")
