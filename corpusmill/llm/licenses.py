@@ -53,6 +53,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Cosines that differ by less are equal, and go to the first template.
+TIE = 1e-12
 
 
 def licence_texts(kind: str) -> dict[str, str]:
@@ -134,32 +136,53 @@ def cosine(m: Model, template: np.ndarray, window: np.ndarray) -> float:
     return float(a @ b / norm) if norm else 0.0
 
 
+def _best_window(m: Model, path: np.ndarray, ids: np.ndarray, starts: np.ndarray, least: float) -> float:
+    """The largest cosine of a template with the windows from these starts, or ``least`` if none is larger.
+
+    Running sums give each window's product with the template, and its length at least, as if no word came twice; that
+    bounds the cosine.  Windows of equal words are tried once, likeliest first, until no bound is larger.
+    """
+    ends = np.minimum(starts + len(path), len(ids))
+    weight = np.append(np.bincount(path, minlength=len(m.idf) - 1) * m.idf[:-1], 0.0)
+    sums = lambda x: np.concatenate([[0.0], np.cumsum(x)])
+    product, mass = sums(weight[ids] * m.idf[ids]), sums(m.idf[ids] ** 2)
+    bound = (product[ends] - product[starts]) / (np.linalg.norm(weight) * np.sqrt(mass[ends] - mass[starts]))
+    open_ = bound > least + TIE
+    starts, ends, bound = starts[open_], ends[open_], bound[open_]
+    if not len(starts):
+        return least
+    powers, _ = tc._powers(len(ids) + 1)
+    hashes = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum(tc.mix(ids.astype(np.int64).view(np.uint64)) * powers[: len(ids)], out=hashes[1:])
+    _, once = np.unique(tc.span_hash(hashes, starts, ends), return_index=True)
+    for k in once[np.argsort(-bound[once], kind="stable")]:
+        if bound[k] <= least + TIE or least >= 1 - TIE:
+            break
+        least = max(least, cosine(m, path, ids[starts[k] : ends[k]]))
+    return least
+
+
 def _best(m: Model, ids: np.ndarray) -> tuple[str | None, float, str | None, float]:
     """Best licence and cosine over windows, and over the whole file."""
     header, file = (None, 0.0), (None, 0.0)
-    there: dict[int, list[int]] = {}
-    for p in np.flatnonzero(m.placed[ids]).tolist():
-        there.setdefault(int(ids[p]), []).append(p)
+    at = np.flatnonzero(m.placed[ids])
+    at = at[np.argsort(ids[at], kind="stable")]
+    terms, first = np.unique(ids[at], return_index=True)
+    there = dict(zip(terms.tolist(), np.split(at, first[1:]), strict=True)) if len(at) else {}
     for k, path in enumerate(m.paths):
-        n, tried, near = len(path), set(), False
-        for term, places in m.anchors[k].items():
-            for p in there.get(term, ()):
-                near = True
-                for place in places:
-                    start = max(0, p - place)
-                    if start in tried:
-                        continue
-                    tried.add(start)
-                    c = cosine(m, path, ids[start : start + n])
-                    if c > header[1] + 1e-12:
-                        header = (m.names[k], c)
-        if near and (c := cosine(m, path, ids)) > file[1] + 1e-12:
+        near = [np.maximum(0, there[t][:, None] - np.array(places)).ravel() for t, places in m.anchors[k].items() if t in there]
+        if not near:
+            continue
+        c = _best_window(m, path, ids, np.unique(np.concatenate(near)), header[1])
+        if c > header[1] + TIE:
+            header = (m.names[k], c)
+        if (c := cosine(m, path, ids)) > file[1] + TIE:
             file = (m.names[k], c)
     if len(m.long):
         b = np.bincount(ids[ids >= 0], minlength=len(m.idf) - 1) * m.idf[:-1]
         c = m.long @ b / np.sqrt(b @ b + np.count_nonzero(ids < 0) * m.idf[-1] ** 2)
         k = int(c.argmax())
-        if c[k] > file[1] + 1e-12:
+        if c[k] > file[1] + TIE:
             file = (m.long_names[k], float(c[k]))
     return *header, *file
 
