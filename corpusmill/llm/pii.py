@@ -3,7 +3,7 @@
 Base kinds are e-mail, IP address, payment card and phone number by fixed
 patterns.  Identifier-like tokens (8 or more of ``[0-9A-Za-z_-]`` with at least 4
 digits, or of a seed's shape and with a digit) are instances; the two and three lexemes in the
-``CONTEXT_CHARS`` characters before one are its patterns.  Seeds are instances
+``CONTEXT_CHARS`` characters before one, and on to the start of a lexeme there, are its patterns.  Seeds are instances
 that base spans cover, that have the shape of a well-known key or digest, or that
 a text assigns to a name such as "password".  Spark counts the pattern-instance
 graph over all documents and scores it in ``rounds``: a pattern by the mean score
@@ -51,6 +51,7 @@ _DIGIT = re.compile(r"[0-9]")
 _TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
 _TOKEN = re.compile(r"[0-9A-Za-z_-]+")
 _LEXEME = re.compile(r"\w+|[^\w\s]")
+_WORD_CHAR = re.compile(r"\w")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 CONTEXT_CHARS = 64
 PATTERNS = 200_000
@@ -111,9 +112,18 @@ def instances(text: str) -> Iterator[tuple[int, int]]:
         m = _DIGIT.search(text, end)
 
 
+def _short(lexeme: str) -> str:
+    """A lexeme over the bound as a digest of it, so that patterns stay short."""
+    return lexeme if len(lexeme) <= CONTEXT_CHARS else hashlib.blake2b(lexeme.encode(), digest_size=16).hexdigest()
+
+
 def contexts(text: str, start: int) -> list[str]:
     """The patterns of an instance: the three and the two lexemes before it, digits as 0."""
-    lexemes = [_DIGIT.sub("0", x.lower()) for x in _LEXEME.findall(text[max(0, start - CONTEXT_CHARS) : start])]
+    at = max(0, start - CONTEXT_CHARS)
+    if at and _WORD_CHAR.match(text, at):
+        while at and _WORD_CHAR.match(text, at - 1):  # to the start of the lexeme that the bound cuts
+            at -= 1
+    lexemes = [_short(_DIGIT.sub("0", x.lower())) for x in _LEXEME.findall(text, at, start)]
     return [" ".join(lexemes[-n:]) for n in (3, 2) if len(lexemes) >= n]
 
 
