@@ -33,6 +33,7 @@ from .common import Scratch, checked_broadcast, fresh
 WORD = r"[^\x20\x09-\x0D]+"
 PASSES = 3
 BUCKETS = 4096
+LINEAR = 4
 
 
 def word_count(text: Column) -> Column:
@@ -102,8 +103,10 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int
 
 def _truncated(queue: DataFrame, scratch: Scratch) -> DataFrame:
     """The head of the queue, in order of finish time, whose sizes add up to at most the total."""
-    # two digits of the finish time, each of BUCKETS ranges; only the range that holds the end of the budget is looked into
-    q = queue.withColumn("hi", F.floor(F.col("finish") * BUCKETS))
+    # two digits of the finish time, each of BUCKETS ranges; only the range that holds the end of the budget is looked into.
+    # Ranges are of equal length up to LINEAR budgets and of equal ratio beyond, so there are some hundred thousand at most.
+    far = LINEAR * (1 + F.log2(F.greatest(F.col("finish"), F.lit(float(LINEAR))) / LINEAR))
+    q = queue.withColumn("digits", F.when(F.col("finish") <= LINEAR, F.col("finish")).otherwise(far) * BUCKETS).withColumn("hi", F.floor("digits"))
     hi = q.groupBy("hi").agg(F.sum("size").alias("s"), F.first("total").alias("total"))
     order = Window.orderBy("hi")
     hi = hi.withColumn("upto", F.sum("s").over(order)).filter(F.col("upto") - F.col("s") <= F.col("total"))
@@ -112,7 +115,7 @@ def _truncated(queue: DataFrame, scratch: Scratch) -> DataFrame:
     if end["cut"] is None:
         return whole
     at, base = end["cut"]
-    part = q.filter(F.col("hi") == at).withColumn("lo", F.floor((F.col("finish") * BUCKETS - F.col("hi")) * BUCKETS))
+    part = q.filter(F.col("hi") == at).withColumn("lo", F.floor((F.col("digits") - F.col("hi")) * BUCKETS))
     part = scratch.keep(part.select("doc_id", "copy", "place", "size", "turn", "total", "finish", "lo"), "end")
     before = Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
     lo = scratch.keep(part.groupBy("lo").agg(F.sum("size").alias("s")).select("lo", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("before")), "digits")
