@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from typing import ClassVar
@@ -25,21 +26,31 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+class Opened(threading.local):
+    """The scratches of the thread that looks: queries that run side by side in one session do not close each other's."""
+
+    def __init__(self):
+        self.items: list[Scratch] = []
+
+    def __len__(self) -> int:
+        return len(self.items)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive executors."""
 
-    opened: ClassVar[list[Scratch]] = []
+    opened: ClassVar[Opened] = Opened()
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/corpusmill/{uuid.uuid4().hex}"
-        Scratch.opened.append(self)
+        Scratch.opened.items.append(self)
 
     @classmethod
     def close_since(cls, mark: int) -> None:
-        """Delete what has been opened since there were ``mark`` scratches, once all results of that time are written."""
-        for x in cls.opened[mark:]:
+        """Delete what this thread has opened since there were ``mark`` scratches, once all results of that time are written."""
+        for x in cls.opened.items[mark:]:
             x.close()
-        del cls.opened[mark:]
+        del cls.opened.items[mark:]
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -252,14 +263,27 @@ def components(edges: DataFrame, scratch: Scratch, most: int = EDGES_OF_A_TASK)
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
+FILL_BITS = 12
+
+
 def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
-    """The rows of largest ``column``, at most ``most``, cut at a bin of its logarithm so that no ranking is gathered anywhere."""
+    """The rows of largest ``column``, at most ``most``: whole bins of its logarithm, and of the bin that the bound cuts
+    those of the smallest hashes, as many ranges of hashes as fit; so no ranking is gathered anywhere."""
     bin_of = F.floor(F.log2(F.col(column).cast("double")) * 64)
     bins = sorted(((r["b"], r["n"]) for r in counts.groupBy(bin_of.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
     total, cut = 0, None
     for b, n in bins:
-        total += n
-        if total > most:
+        if total + n > most:
+            break
+        total, cut = total + n, b
+    else:
+        return counts
+    whole = F.lit(False) if cut is None else bin_of >= cut
+    hashed = F.shiftrightunsigned(F.xxhash64(*counts.columns), 64 - FILL_BITS)
+    ranges = sorted((r["h"], r["n"]) for r in counts.filter(bin_of == b).groupBy(hashed.alias("h")).agg(F.count("*").alias("n")).collect())
+    last = -1
+    for h, n in ranges:
+        if total + n > most:
             break
-        cut = b
-    return counts.limit(0) if cut is None else counts.filter(bin_of >= cut)
+        total, last = total + n, h
+    return counts.filter(whole | ((bin_of == b) & (hashed <= last)))
