@@ -25,7 +25,8 @@ Defined cases: times are UTC whatever the session's zone; rows without client,
 event time or arrival are not counted, lines without sale, shipping or item are no
 items; a sale without arrival is not counted but has its features and is ahead for
 others; a null sale_id adds no seconds; repeated sales and lines count each time,
-also each sale row of one id with that id's lines; fully equal clicks count once;
+also each sale row of one id with that id's lines; fully equal clicks count once,
+and those without id are never the last;
 amounts that are null, not finite or of 10^13 and more are 0 cents; empty tables
 give no rows or zeros; other columns are left behind, but tell clicks apart.
 """
@@ -103,7 +104,8 @@ def hot_chunks(rows: DataFrame, keys: list[str], at: str, most: int, scratch: Sc
     wide, named = scratch.keep(wide, "wide"), [f"hot_{k}" for k in keys]
     slot = F.floor((F.col(at) - F.col("lo")) / F.col("width")).cast("int")
     counts = rows.join(checked_broadcast(wide), _same(keys), "left").groupBy(*named, slot.alias("slot")).agg(F.count(F.lit(1)).alias("rows"), F.max("slots").alias("hot"))
-    counts = counts.filter("hot is not null").select(*[F.col(c).alias(f"c_{c}") for c in (*named, "slot")], "rows")
+    # written, so that no condition of the next join is moved before this one
+    counts = scratch.keep(counts.filter("hot is not null").select(*[F.col(c).alias(f"c_{c}") for c in (*named, "slot")], "rows"), "counts")
     every = wide.select(*named, "lo", "width", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
     same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"c_{c}") for c in (*named, "slot")])
     earlier = Window.partitionBy(*named).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -203,7 +205,7 @@ def features(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tup
     """Per sale (with client and time) and window: sale_id, d, t_us, label and the counts, cents and last click of that window at t."""
     scratch, keys = Scratch(clicks.sparkSession), ["client_id"]
     stream = scratch.keep(events(clicks, sales, lines, windows, lag_minutes, label_days, scratch), "stream")
-    sums, click = _sums(windows), F.when(F.col("kind").isin(CLICK, PURCHASE) & (F.col("n") > 0), F.struct("ref", "id"))
+    sums, click = _sums(windows), F.when(F.col("kind").isin(CLICK, PURCHASE) & (F.col("n") > 0) & F.col("id").isNotNull(), F.struct("ref", "id"))
     totals = stream.filter("chunk is not null").groupBy(*keys, "chunk").agg(*[f.alias(name) for name, f in sums.items()], F.max(click).alias("last"))
     base = _before(totals, keys, {name: F.sum(name) for name in sums} | {"last": F.max("last")}, scratch)
     upto = Window.partitionBy(*keys, "chunk").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
