@@ -267,7 +267,7 @@ def brute_features(clicks, sales, lines, windows, lag, label_days):
             c = [c for c in once if c[3] == s[1] and c[1] and c[2] and t - d * DAY < c[1] <= t and c[2] + lag <= t]
             o = [o for o in sales if o[1] == s[1] and o[4] and o[5] and t - d * DAY < o[4] <= t and o[5] + lag <= t]
             li = [x for q in o for x in lines if q[0] is not None and x[0] == q[0] and x[8] and x[8] <= t]
-            last = max(c, key=lambda x: (x[1], -1 if x[0] is None else x[0]), default=(None,))[0]
+            last = max((x for x in c if x[0] is not None), key=lambda x: (x[1], x[0]), default=(None,))[0]
             out.append((s[0], d, int((t - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1)), label, len(c), sum(x[4] == "purchase" for x in c), cents(x[5] for x in c), last, len(o), cents(x[3] for x in o), len(li), len({x[2] for x in li} - {None}), cents(x[5] for x in li)))
     return sorted(out, key=repr)
 
