@@ -1,7 +1,8 @@
 """Command line: embed, retrieve, create-tasks, finetune, evaluate and winrate over files.
 
-Options may stand in a file that is named with @: one option and its value a line.  Options that only concern model
-weights, training or compression are accepted and passed over, so that existing option files can be used.
+Options may stand in a file that is named with @: one option and its value a line.  Each command takes the option
+names that existing option files have, and shorter ones of its own.  Options that only concern model weights, training,
+sampling of tokens or compression are accepted by name and passed over (``PASSED_OVER``); any other is refused.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from . import schemas, session
 from .operators import dedup, evaluate, extract, prompts, retrieve, sampling
-from .plans import models
-from .sources import files
+from .plans import models, tokens
+from .sources import files, streams
 from .streaming import incremental
 
 ROOTS = ("c4_path", "wikipedia_path", "stackexchange_path", "wikihow_path")
@@ -26,21 +27,38 @@ class Options(argparse.ArgumentParser):
         return shlex.split(line)
 
 
+# Options of existing option files that have no meaning here, by command; those in FLAGS have no value.
+FLAGS = ("use_amp_fp16", "merge_adapters", "do_sample", "is_llama_3_chat_official", "use_bf16", "save_only_model", "group_by_length")
+PASSED_OVER = {
+    "embed": ("model_name", "compression", "compression_opts", "device", "use_amp_fp16"),
+    "retrieve": ("model_name", "device", "use_amp_fp16", "sim_threshold"),
+    "create-tasks": ("temperature", "top_p", "top_k", "max_new_tokens"),
+    "finetune": ("cache_dir", "hf_token_path", "lora_r", "lora_alpha", "lora_dropout", "lora_bias", "batch_size", "use_bf16", "learning_rate", "grad_acc_steps", "num_epochs", "logging_strategy", "logging_steps", "save_strategy", "save_only_model", "optim", "warmup_ratio", "weight_decay", "num_workers", "save_total_limit", "lr_scheduler_type", "group_by_length", "random_seed"),
+    "evaluate": ("cache_dir", "adapters_path", "merge_adapters", "hf_token_path", "temperature", "do_sample", "top_p", "top_k", "max_new_tokens", "logprobs", "max_model_len", "is_llama_3_chat_official"),
+    "winrate": (),
+}
+OFFICIAL = "official"
+
+
 def parser() -> argparse.ArgumentParser:
-    top = Options(prog="corpusmill", fromfile_prefix_chars="@")
-    sub = top.add_subparsers(dest="command", required=True, parser_class=lambda **k: Options(fromfile_prefix_chars="@", **k))
+    top = Options(prog="corpusmill", fromfile_prefix_chars="@", allow_abbrev=False)
+    sub = top.add_subparsers(dest="command", required=True, parser_class=lambda **k: Options(fromfile_prefix_chars="@", allow_abbrev=False, **k))
 
     def command(name: str, **options) -> None:
         p = sub.add_parser(name)
-        for key, kind in options.items():
-            p.add_argument(f"--{key}", **(kind if isinstance(kind, dict) else {"type": kind}))
-
-    need = {"required": True}
-    command("embed", data_path=need, group_name=need, saving_path=need, batch_size={"type": int, "default": 512})
-    command("retrieve", few_shot_path=need, embeddings_path=need, output_path=need, num_docs={"type": int, "default": 200}, top_p={"type": float, "default": 0.05}, **dict.fromkeys(ROOTS, need))
-    command("create-tasks", few_shot_path=need, corpus_samples_path=need, task={"choices": sorted(extract.TASKS), **need}, num_shots={"type": int, "default": 3}, deduplication_ratio={"type": int, "default": 85}, num_final_task_samples={"type": int, **need}, output_path_raw=need, output_path_clean=need, output_path_error_msgs=need, output_path_final=need, max_tokenization_length={"type": int, "default": 16384})
-    command("finetune", train_dataset_path=need, task={"choices": sorted(extract.TASKS), **need}, model_name_or_path={"default": ""}, max_rows={"type": int, "default": 25_000}, output_path=need)
-    command("evaluate", predictions_path=need, references_path=need, result_path=need, output_path=need)
+        for key, given in options.items():
+            kind = dict(given)
+            p.add_argument(f"--{key}", *[f"--{x}" for x in kind.pop("also", ())], dest=key, **kind)
+        for key in PASSED_OVER[name]:
+            p.add_argument(f"--{key}", **({"action": "store_true"} if key in FLAGS else {}))
+
+    need, text, task = {"required": True}, {"default": None}, {"choices": sorted(extract.TASKS), "required": True}
+    number = lambda default=None, **more: {"type": int, "default": default, **more}
+    command("embed", data_path=need, group_name=need, saving_path=need, saving_file=text, batch_size=number(512))
+    command("retrieve", few_shot_path=need, embeddings_path={**need, "also": ["database_path"]}, output_path={**need, "also": ["saving_path"]}, num_docs=number(200, also=["num_samples_to_retrieve"]), top_p={"type": float, "default": 0.05, "also": ["top_p_percentile"]}, index_path=text, **dict.fromkeys(ROOTS, need))
+    command("create-tasks", model_name_or_path={"default": ""}, few_shot_path=need, corpus_samples_path=need, task=task, num_shots=number(3), deduplication_ratio=number(85), num_final_task_samples=number(required=True), output_path_raw=need, output_path_clean=need, output_path_error_msgs=need, output_path_final=need, max_tokenization_length=number(), tokenizer_path=text, answers_path=text)
+    command("finetune", train_dataset_path={**need, "also": ["task_samples_path"]}, official_path=text, few_shots_only={"action": "store_true"}, task=task, model_name_or_path={"default": ""}, max_rows=number(25_000), output_path={**need, "also": ["output_dir"]})
+    command("evaluate", model_name_or_path={"default": ""}, task={**task, "required": False}, input_path=text, output_path_annotator=text, predictions_path=text, references_path=text, result_path=need, output_path=text)
     command("winrate", annotated_path=need, result_path=need)
     return top
 
@@ -50,17 +68,17 @@ def embed(spark: SparkSession, o: argparse.Namespace) -> None:
     docs = files.jsonl(spark, o.data_path, schemas.DOCUMENT, numbered=True)
     name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"^c4-|-of-[0-9]+\.json\.gz$|\.jsonl$", "")
     docs = docs.select(F.lit(o.group_name).alias("group"), name.alias("split"), "doc_idx", "text")
-    root = spark._jvm.org.apache.hadoop.fs.Path(o.saving_path)
+    store = f"{o.saving_path.rstrip('/')}/{o.saving_file}" if o.saving_file else o.saving_path
+    root = spark._jvm.org.apache.hadoop.fs.Path(store)
     if root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
-        stored = spark.read.schema(schemas.EMBEDDING).parquet(o.saving_path)
-        docs = incremental.pending(docs, stored, ["group", "split"])
-    files.write_vectors(models.embed(docs, ("group", "split", "doc_idx"), batch=o.batch_size), o.saving_path)
+        docs = incremental.pending(docs, files.vector_store(spark, store, [o.group_name]), ["group", "split"])
+    files.write_vectors(models.embed(docs, ("group", "split", "doc_idx"), batch=o.batch_size), store)
 
 
 def fetch_mixed(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
     shots = files.jsonl(spark, o.few_shot_path, schemas.FEW_SHOT, numbered=True)
     queries = models.embed(shots.select(F.col("doc_idx").alias("fs_id"), F.col("Text").alias("text")), ("fs_id",))
-    corpus = spark.read.schema(schemas.EMBEDDING).parquet(o.embeddings_path).withColumn("part", F.concat_ws("/", "group", "split"))
+    corpus = files.vector_store(spark, o.embeddings_path).withColumn("part", F.concat_ws("/", "group", "split"))
     hits = retrieve.retrieve(corpus, queries, "part", "doc_idx", o.top_p, o.num_docs)
     hits = hits.select(F.split("part", "/")[0].alias("group"), F.split("part", "/")[1].alias("split"), "doc_idx")
     root = F.lit(o.wikihow_path)
@@ -70,8 +88,11 @@ def fetch_mixed(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
     paths = [r[0] for r in hits.select("path").distinct().collect()]  # the files that hold hits
     if not paths:
         return spark.createDataFrame([], "file string, doc_idx long, raw string")
-    lines = files.numbered_lines(spark, paths).withColumn("name", F.element_at(F.split("file", "/"), -1))
-    return lines.join(F.broadcast(hits.select(F.element_at(F.split("path", "/"), -1).alias("name"), "doc_idx").distinct()), ["name", "doc_idx"], "left_semi").drop("name")
+    of_name = lambda c: F.element_at(F.split(c, "/"), -1)
+    here = streams.listed(spark, paths).select("path", of_name("path").alias("name"))
+    at = F.broadcast(here).join(hits.select(of_name("path").alias("name"), "doc_idx").distinct(), "name").select(F.col("path").alias("file"), "doc_idx")
+    index = spark.read.schema("file string, block long, offset long").parquet(o.index_path) if o.index_path else None
+    return streams.lines_at(spark, at, index).select("file", "doc_idx", "raw")
 
 
 def create_tasks(spark: SparkSession, o: argparse.Namespace) -> None:
@@ -80,7 +101,10 @@ def create_tasks(spark: SparkSession, o: argparse.Namespace) -> None:
     shots = session.keep(shots.withColumn("sample", shape(F.col("Instruction"), F.col("Output"))))
     docs = files.jsonl(spark, o.corpus_samples_path, schemas.DOCUMENT, numbered=True)
     asked = prompts.few_shot_prompts(docs, shots.withColumn("json", F.to_json("sample")), "doc_idx", "text", "doc_idx", "Text", "json", prompts.choose_instruction(o.task, F.col("doc_idx")), o.num_shots)
-    raw = session.keep(models.generate(prompts.fits(asked, "prompt", o.max_tokenization_length), ("doc_idx",)))
+    most = models.model_length(o.max_tokenization_length, o.model_name_or_path)
+    fitting = tokens.counted(asked, "prompt", o.tokenizer_path).filter(F.col("n_tokens") <= most).drop("n_tokens") if o.tokenizer_path else prompts.fits(asked, "prompt", most)
+    said = models.answers(fitting, "prompt", o.answers_path).drop("prompt") if o.answers_path else models.generate(fitting, ("doc_idx",))
+    raw = session.keep(said)
     files.write_jsonl(raw.select(F.col("doc_idx").alias("idx"), "task_sample"), o.output_path_raw)
     said = session.keep(extract.extract(raw, o.task))
     files.write_errors(said.filter("sample is null").select(F.col("doc_idx").alias("index"), "exception"), o.output_path_error_msgs)
@@ -93,19 +117,40 @@ def create_tasks(spark: SparkSession, o: argparse.Namespace) -> None:
 
 
 def finetune(spark: SparkSession, o: argparse.Namespace) -> None:
-    """The texts that a model is trained on, a sample of at most ``max_rows`` of them; training itself is left to a trainer."""
-    rows = spark.read.parquet(o.train_dataset_path)
+    """The texts that a model is trained on, a sample of at most ``max_rows`` of them; training itself is left to a trainer.
+
+    They come from task samples (``few_shots_only``: of these the few-shots), or from the task's official rows where the
+    samples' path is the word "official" and ``official_path`` names the rows.
+    """
     col = F.col
-    if o.task == "recipegen":
-        text, key = prompts.finetune_recipe(col("instruction"), col("ingredients"), col("steps")), "instruction"
-    elif o.task == "summarization":
-        text, key = prompts.finetune_summary(col("instruction"), col("long_but_clean_text"), col("summary")), "long_but_clean_text"
+    if o.train_dataset_path == OFFICIAL:
+        if not o.official_path:
+            raise ValueError("--official_path must name the official rows")
+        rows = files.official(spark, o.task, o.official_path)
+        forms = {
+            "csqa": lambda: prompts.finetune_yes_no(col("question"), col("answer_str")),
+            "recipegen": lambda: prompts.finetune_recipe_official(col("instruction"), col("response")),
+            "summarization": lambda: prompts.finetune_summary_official(col("article"), col("response")),
+        }
+        text = forms.get(o.task, lambda: prompts.finetune_mc(col("question"), col("choices"), col("answer")))()
+        key = {"recipegen": "instruction", "summarization": "article"}.get(o.task, "question")
     else:
-        text, key = prompts.finetune_qa(col("question"), col("options"), col("answer")), "question"
+        rows = spark.read.parquet(o.train_dataset_path)
+        if o.few_shots_only:
+            rows = rows.filter("is_few_shot = 1")
+        if o.task == "recipegen":
+            text, key = prompts.finetune_recipe(col("instruction"), col("ingredients"), col("steps")), "instruction"
+        elif o.task == "summarization":
+            text, key = prompts.finetune_summary(col("instruction"), col("long_but_clean_text"), col("summary")), "long_but_clean_text"
+        else:
+            text, key = prompts.finetune_qa(col("question"), col("options"), col("answer")), "question"
     files.write_jsonl(sampling.exact(rows, o.max_rows, key).select(prompts.with_eos(text, o.model_name_or_path).alias("text")), o.output_path)
 
 
 def evaluate_letters(spark: SparkSession, o: argparse.Namespace) -> None:
+    """Accuracy and letters of finished predictions; answering itself is left to a model."""
+    if not (o.predictions_path and o.references_path and o.output_path):
+        raise ValueError("--predictions_path, --references_path and --output_path must be given")
     said = spark.read.schema(schemas.GENERATION).json(o.predictions_path)
     right = spark.read.schema("row_id long, instruction string, answer int").json(o.references_path)
     both = right.join(said, "row_id", "left").withColumn("prediction", evaluate.predicted(F.col("text"), F.col("logprobs"), F.col("choices")))
@@ -119,7 +164,7 @@ def winrate(spark: SparkSession, o: argparse.Namespace) -> None:
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
-    o, _ = parser().parse_known_args(args)
+    o = parser().parse_args(args)
     spark = spark or session.build()
     if o.command == "retrieve":
         files.write_lines(fetch_mixed(spark, o), o.output_path, "file", "doc_idx")

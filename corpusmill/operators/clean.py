@@ -6,10 +6,11 @@ come first in chunks, in any order among themselves; rows with equal keys follow
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import keep
 
 
 def clean_paragraphs(df: DataFrame, column: str = "text") -> DataFrame:
@@ -33,32 +34,51 @@ def question_answers(df: DataFrame, question: str = "title_body", answer: str =
     return df.withColumn("text", T.joined(F.col(question), F.col(answer), "\n\n")).drop(*gone).filter(T.in_band(F.col("text")))
 
 
-def numbered(df: DataFrame, order: str, name: str, group: str | None = None, width: int = 100_000) -> DataFrame:
-    """``name``: the place (from 0) of every row in order of a dense or sparse key, and ``name``_total: how many there are.
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    Counts of key ranges come first, so that no task orders all rows.
+
+PLACE_BITS = 33
+
+
+def numbered(df: DataFrame, order: str, name: str, group: str | None = None) -> DataFrame:
+    """``name``: the place (from 0) of every row in order of a key of any type, and ``name``_total: how many there are.
+
+    Rows are range-partitioned by group and key, with a digest of the row to part equal keys, sorted in their partition
+    and written once; a row's place is its place in the partition and what the partitions before it hold.  The driver
+    sees one row a partition.  Places within a group start from the group's first place.
     """
-    span = df.withColumn("_range", F.floor(F.col(order) / width))
     keys = [group] if group else []
-    sizes = span.groupBy(*keys, "_range").count()
-    before = Window.partitionBy(*keys).orderBy(F.col("_range").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).withColumn(f"{name}_total", F.sum("count").over(Window.partitionBy(*keys))).drop("count")
-    sizes = sizes.select(*[F.col(c).alias(f"_s{c}") for c in (*keys, "_range")], "_before", f"{name}_total")
-    inside = Window.partitionBy(*keys, "_range").orderBy(F.col(order).asc_nulls_first())
-    on = F.col("_range").eqNullSafe(F.col("_s_range"))
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_s{k}"))
-    out = span.withColumn("_row", F.row_number().over(inside)).join(sizes, on)
-    out = out.withColumn(name, (F.col("_before") + F.col("_row") - 1).cast("long"))
-    return out.drop("_range", "_row", "_before", "_s_range", *[f"_s{k}" for k in keys])
+    at, tie = unused(df, "_at"), F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")])
+    by = [*[F.col(k).asc_nulls_first() for k in keys], F.col(order).asc_nulls_first(), tie]
+    rows = keep(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(at, F.monotonically_increasing_id()))
+    part = F.shiftright(F.col(at), PLACE_BITS)
+    sizes = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, total = [], 0
+    for p, n in sizes:
+        before.append((p, total))
+        total += n
+    own, base = unused(df, "_own"), unused(df, "_base")
+    offsets = df.sparkSession.createDataFrame(before, f"`{own}` long, `{base}` long")
+    out = rows.join(F.broadcast(offsets), part == F.col(own)).withColumn(name, F.col(base) + F.col(at).bitwiseAND((1 << PLACE_BITS) - 1))
+    out = out.select(*df.columns, name)
+    if not group:
+        return out.withColumn(f"{name}_total", F.lit(total).cast("long"))
+    firsts = out.groupBy(F.col(group).alias(own)).agg(F.min(name).alias(base), F.count(F.lit(1)).alias(f"{name}_total"))
+    return out.join(firsts, F.col(group).eqNullSafe(F.col(own))).withColumn(name, F.col(name) - F.col(base)).select(*df.columns, name, f"{name}_total")
 
 
 def chunks(df: DataFrame, order: str, rows: int = 350_000, group: str | None = None, drop_remainder: bool = False) -> DataFrame:
     """A chunk number for every ``rows`` rows in order of a key; ``drop_remainder`` leaves out a last chunk that is not full."""
-    out = numbered(df, order, "_place", group, max(1, rows // 4)).withColumn("chunk", F.floor(F.col("_place") / rows).cast("long"))
+    place = unused(df, "_place")
+    out = numbered(df, order, place, group).withColumn("chunk", F.floor(F.col(place) / rows).cast("long"))
     if drop_remainder:
-        out = out.filter((F.col("chunk") + 1) * rows <= F.col("_place_total"))
-    return out.drop("_place", "_place_total")
+        out = out.filter((F.col("chunk") + 1) * rows <= F.col(f"{place}_total"))
+    return out.drop(place, f"{place}_total")
 
 
 MOST_FILES = 1_000_000

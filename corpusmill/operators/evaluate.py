@@ -9,11 +9,12 @@ from ..functions.text import LETTERS
 from .prompts import judge_prompt
 
 MISSING = float("-inf")
+MOST_METRICS = 1000
 
 
 def predicted(text: Column, logprobs: Column, choices: Column) -> Column:
-    """Index of the best of the first size(choices) letters, ties to the first; -1 without text or any letter."""
-    lp = F.array(*[F.coalesce(logprobs[x], F.lit(MISSING)) for x in LETTERS])
+    """Index of the best of the first size(choices) letters, ties to the first; -1 without text or any letter; NaN is none."""
+    lp = F.array(*[F.coalesce(F.nanvl(logprobs[x], F.lit(MISSING)), F.lit(MISSING)) for x in LETTERS])
     lp = F.slice(lp, 1, F.least(F.size(choices), F.lit(len(LETTERS))))
     best = F.array_max(lp)
     return F.when((F.coalesce(F.length(text), F.lit(0)) == 0) | best.isNull() | (best == MISSING), -1).otherwise((F.array_position(lp, best) - 1).cast("int"))
@@ -28,6 +29,14 @@ def accuracy(prediction: Column, label: Column) -> Column:
     return F.sum(F.coalesce((prediction == label).cast("double"), F.lit(0.0))) / F.count("*")
 
 
+def metric_object(rows: DataFrame) -> DataFrame:
+    """One row whose columns are the metrics of (metric, value), as many as a metrics file has."""
+    entries = rows.select("metric", "value").orderBy("metric").limit(MOST_METRICS + 1).collect()
+    if len(entries) > MOST_METRICS:
+        raise ValueError(f"more than {MOST_METRICS} metrics")
+    return rows.sparkSession.range(1).select(*[F.lit(r["value"]).cast("double").alias(r["metric"]) for r in entries])
+
+
 def win_rate(swapped: Column, preference: Column) -> Column:
     won = F.when((swapped & (preference == 1)) | (~swapped & (preference == 2)), 1.0).otherwise(0.0)
     return F.avg(won)

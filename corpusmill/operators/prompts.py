@@ -120,6 +120,14 @@ def finetune_mc(question: Column, choices: Column, answer: Column) -> Column:
     return F.concat(instruct(eval_mc(question, choices)), F.element_at(F.array(*[F.lit(x) for x in LETTERS]), answer + 1))
 
 
+def finetune_recipe_official(instruction: Column, response: Column) -> Column:
+    return F.concat(instruct(instruction), response)
+
+
+def finetune_summary_official(article: Column, highlights: Column) -> Column:
+    return F.concat(instruct(eval_summary(article)), highlights)
+
+
 def eval_yes_no(question: Column) -> Column:
     return F.concat(question, F.lit("\nA. yes\nB. no"))
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Embed = Callable[[list[str]], np.ndarray]
 Generate = Callable[[list[str]], list[str]]
@@ -61,3 +62,36 @@ def generate(df: DataFrame, keys: tuple[str, ...], load: Callable[[], Generate]
     kept = df.select(*keys, "prompt")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(run, f"{types}, task_sample string")
+
+
+def answers(df: DataFrame, prompt: str, store: str, load: Callable[[], Generate] = lambda: templated_answer, rounds: int = 16, batch: int = 64) -> DataFrame:
+    """``df`` with ``task_sample``; answers are kept at ``store`` by their prompt's digest, so no stored prompt is asked again.
+
+    Prompts are asked in ``rounds`` parts of the digests' range, each written when it is done: a run that is ended
+    loses one part at most, and a rerun asks for what is missing.  Equal prompts are asked once.  Within a part prompts
+    are range-sorted by length, so that a batch holds prompts of like length and needs little padding.  A null prompt
+    has no answer.
+    """
+    spark, digest = df.sparkSession, F.sha2(prompt, 256)
+    schema = "digest string, task_sample string"
+
+    def stored() -> DataFrame:
+        at = spark._jvm.org.apache.hadoop.fs.Path(store)
+        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        return spark.read.schema(f"{schema}, part int").parquet(store) if there else spark.createDataFrame([], f"{schema}, part int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load()
+        for b in batches:
+            for lo in range(0, b.num_rows, batch):
+                own = b.slice(lo, batch)
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([t.strip() for t in model(own.column(1).to_pylist())], pa.string())], names=["digest", "task_sample"])
+
+    part = F.pmod(F.xxhash64(digest), F.lit(rounds)).cast("int")
+    asked = df.filter(F.col(prompt).isNotNull()).select(digest.alias("digest"), F.col(prompt).alias("prompt"), part.alias("part"))
+    for k in range(rounds):
+        missing = asked.filter(F.col("part") == k).join(stored().select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
+        sized = missing.repartitionByRange(F.length("prompt"), "digest").sortWithinPartitions(F.length("prompt"), "digest")
+        sized.select("digest", "prompt").mapInArrow(run, schema).write.mode("append").parquet(f"{store}/part={k}")
+    known = stored().select("digest", "task_sample").dropDuplicates(["digest"])
+    return df.join(known, digest == known["digest"], "left").drop("digest")

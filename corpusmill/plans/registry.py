@@ -68,15 +68,16 @@ def retrieve_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_SIMS}, {_EACH} SELECT CAST(fs AS INTEGER) AS fs, label, vec_id, CAST(rank AS INTEGER) AS rank FROM c WHERE rank <= {_EACH_K}")
 def cosine_topk_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, queries = _vectors(spark, sf_dir)
-    sims = retrieve.similarities(corpus, queries, ("label", "vec_id"))
-    return retrieve.per_query(sims, retrieve.split_sizes(corpus, "label"), "label", "vec_id", FEW, P, _EACH_K).select("fs", "label", "vec_id", "rank")
+    tops = retrieve.within_share(retrieve.best_rows(corpus, queries, "label", "vec_id", _EACH_K, 0), corpus, "label", FEW, P)
+    return retrieve.ranked(tops, "label", "vec_id", _EACH_K).select("fs", "label", "vec_id", "rank")
 
 
 @_query(f"WITH {_SIMS}, {_MEAN} SELECT label, vec_id FROM e")
 def cosine_topk_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, queries = _vectors(spark, sf_dir)
-    sims = retrieve.similarities(corpus, queries, ("label", "vec_id"))
-    return retrieve.by_mean(sims, retrieve.split_sizes(corpus, "label"), "label", "vec_id", P, int(K / 2 * 1.2)).select("label", "vec_id")
+    k = int(K / 2 * 1.2)
+    tops = retrieve.within_share(retrieve.best_rows(corpus, queries, "label", "vec_id", 0, k), corpus, "label", FEW, P)
+    return tops.orderBy(F.desc("sim"), "label", "vec_id").limit(k).select("label", "vec_id")
 
 
 @_query(f"WITH {_SIMS}, {_EACH} SELECT CAST(fs AS INTEGER) AS fs, label, vec_id FROM b")
@@ -84,7 +85,7 @@ def top_p_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, queries = _vectors(spark, sf_dir)
     sims = retrieve.similarities(corpus, queries, ("label", "vec_id"))
     sizes = retrieve.split_sizes(corpus, "label")
-    return retrieve.per_query(sims, sizes, "label", "vec_id", FEW, P, None).select("fs", "label", "vec_id")
+    return retrieve.per_query(sims, sizes, "label", "vec_id", FEW, P).select("fs", "label", "vec_id")
 
 
 @_query("SELECT source, count(*) AS n, CAST(max(doc_id) AS BIGINT) AS last_id FROM documents GROUP BY source")
@@ -343,6 +344,18 @@ def finetune_text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _articles(spark, sf_dir).select("doc_id", prompts.finetune_summary(F.col("title"), F.col("text"), F.col("headline")).alias("text"))
 
 
+@_query(f"SELECT doc_id, '[INST] ' || trim({_TITLE}, '{WS}') || ' [/INST]' || 'Ingredients:' || chr(10) || text || chr(10) || 'Steps:' || chr(10) || lang AS text FROM documents")
+def finetune_text_official_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = official.recipes(_articles(spark, sf_dir).select("doc_id", "title", F.col("text").alias("ingredients"), F.col("headline").alias("steps")))
+    return rows.select("doc_id", prompts.finetune_recipe_official(F.col("title"), F.col("response")).alias("text"))
+
+
+@_query(f"SELECT doc_id, '[INST] ' || trim('Please summarize the text below:' || chr(10) || text, '{WS}') || ' [/INST]' || lang AS text FROM documents")
+def finetune_text_official_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = official.summaries(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("article"), F.col("lang").alias("highlights")))
+    return rows.select("doc_id", prompts.finetune_summary_official(F.col("article"), F.col("response")).alias("text"))
+
+
 @_query(f"WITH {_CHOICES} SELECT doc_id, question || chr(10) || {_LETTERED} AS prompt FROM w")
 def eval_prompt_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _choices(spark, sf_dir).select("doc_id", prompts.eval_mc(F.col("question"), F.col("ws")).alias("prompt"))
@@ -393,6 +406,17 @@ def fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.greedy(parts, "idx", "text", 85).select("idx", "text")
 
 
+_END = r"[.!?\n]+"
+
+
+@_query()
+def fuzzy_dedup_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of all documents, each once, less those that are near an earlier one."""
+    said = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", _END)).alias("text"))
+    once = said.select("doc_id", T.strip(F.col("text")).alias("text")).filter("text <> ''").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    return dedup.greedy(once, "doc_id", "text", 85).select("doc_id", "text")
+
+
 # ---- evaluation
 
 _GEN = "g AS (SELECT doc_id, quality, toxic, CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'x' END AS text, [CASE WHEN doc_id % 5 = 0 THEN NULL ELSE -CAST((doc_id * 7) % 13 AS DOUBLE) END, -CAST((doc_id * 5) % 13 AS DOUBLE), -CAST((doc_id * 3) % 13 AS DOUBLE)][1:2] AS lp FROM labels)"

@@ -1,7 +1,8 @@
 """Readers and writers for corpora, samples and metrics.
 
-Schemas are given, never inferred (``schemas``).  Defined cases: an empty file has no rows; a file with a damaged line
-is left out whole; fields that a record lacks are null.
+Schemas are given, never inferred (``schemas``).  Defined cases: an empty file has no rows; a file with a damaged line,
+and a compressed one that is cut off or fails its checksum, is left out whole (``streams.ledger`` lists them); a blank
+line is no record but keeps its number; fields that a record lacks, or has in another type, are null.
 """
 
 from __future__ import annotations
@@ -9,20 +10,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.text import strip
+from ..operators import official as forms
+from ..operators.clean import numbered, unused
+from ..session import keep
+from . import quoted, streams
 
 # Where each corpus keeps its files; others are taken for how-to articles.
 CORPUS_ROOTS = {"c4": "c4", "wikipedia": "wikipedia", "stackexchange": "stackexchange", "wikihow": "wikihow"}
 
 
-def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+#: Compressed files cannot be shared by tasks and are read one by one (``streams``); Spark leaves them out of its scan.
+PLAIN = "not endswith(_metadata.file_name, '.gz')"
+
+
+def numbered_lines(spark: SparkSession, paths: str | list[str], plain: bool = False) -> DataFrame:
     """file, doc_idx (the line's number within its file, from 0) and raw.
 
     Lines are numbered inside each block of a file, and the counts of earlier blocks are added: files of any size are
     read by as many tasks as they have blocks.
     """
     where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")]
-    lines = spark.read.text(paths).select(F.col("value").alias("raw"), *where)
+    lines = spark.read.text(paths)
+    lines = (lines.filter(PLAIN) if plain else lines).select(F.col("value").alias("raw"), *where)
     blocks = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -31,11 +42,17 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def jsonl(spark: SparkSession, paths: str | list[str], schema: str = "text string", raw: bool = False, numbered: bool = False) -> DataFrame:
     """JSON lines, plain or gzip; a file with any damaged line is left out whole. ``raw`` adds the line itself, ``numbered`` its number (doc_idx)."""
-    lines = numbered_lines(spark, paths) if numbered else spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
-    parsed = lines.withColumn("r", F.from_json("raw", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}))
-    bad = parsed.filter(F.col("r").isNull() | F.col("r._corrupt").isNotNull()).select("file").distinct()
-    good = parsed.join(bad, "file", "left_anti")
-    return good.select("file", *(["doc_idx"] if numbered else []), *(["raw"] if raw else []), "r.*").drop("_corrupt")
+    lines = numbered_lines(spark, paths, plain=True) if numbered else spark.read.text(paths).filter(PLAIN).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
+    lines = lines.filter(F.trim("raw") != "")
+    value = F.try_parse_json("raw")
+    bad = lines.filter(value.isNull() | ~F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))).select("file").distinct()
+    parts = [lines.join(bad, "file", "left_anti")]
+    if streams.listed(spark, paths, "*.gz").limit(1).count():
+        zipped = streams.whole_files(spark, paths, "*.gz")
+        parts.append(zipped if numbered else zipped.drop("doc_idx"))
+    good = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    good = good.withColumn("r", F.from_json("raw", schema, {"allowSingleQuotes": "false"}))
+    return good.select("file", *(["doc_idx"] if numbered else []), *(["raw"] if raw else []), "r.*")
 
 
 def record_string(*columns: str) -> Column:
@@ -44,9 +61,8 @@ def record_string(*columns: str) -> Column:
 
 
 def howto_csv(spark: SparkSession, path: str) -> DataFrame:
-    """headline, title, text; rows with another number of fields are skipped."""
-    schema = "headline string, title string, text string"
-    return spark.read.schema(schema).option("columnPruning", "false").csv(path, header=True, multiLine=True, escape='"', mode="DROPMALFORMED", enforceSchema=True)
+    """headline, title, text; rows with another number of fields are skipped; a file is read by as many tasks as it has blocks."""
+    return quoted.rows(spark, path, "headline string, title string, text string")
 
 
 def titles(spark: SparkSession, path: str) -> DataFrame:
@@ -62,6 +78,25 @@ def many(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     return spark.read.schema(schema).json(paths)
 
 
+def official(spark: SparkSession, task: str, path: str, topic: str = "biology") -> DataFrame:
+    """The official training rows of a task (JSON lines) in the form that prompts and texts expect."""
+    read = lambda schema: jsonl(spark, path, schema).drop("file")
+    if task == "bioqa":
+        return read(schemas.OFFICIAL_MC).filter(F.col("topic") == topic)
+    if task == "medqa":
+        return forms.medical(read(schemas.OFFICIAL_MEDICAL))
+    if task == "csqa":
+        return forms.yes_no(read(schemas.OFFICIAL_YES_NO))
+    return forms.recipes(read(schemas.OFFICIAL_RECIPE)) if task == "recipegen" else forms.summaries(read(schemas.OFFICIAL_SUMMARY))
+
+
+def vector_store(spark: SparkSession, path: str, groups: list[str] | None = None, splits: list[str] | None = None) -> DataFrame:
+    """Stored vectors; groups and splits are folders, so those that are not asked for are not listed or read."""
+    rows = spark.read.schema(schemas.EMBEDDING).parquet(path)
+    rows = rows if groups is None else rows.filter(F.col("group").isin(groups))
+    return rows if splits is None else rows.filter(F.col("split").isin(splits))
+
+
 def web_split(number: Column) -> Column:
     """Name of a shard of the web corpus."""
     return F.format_string("train.%05d", number.cast("int"))
@@ -106,12 +141,33 @@ def write_dataset(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def write_vectors(df: DataFrame, path: str, mode: str = "append") -> None:
-    df.write.mode(mode).partitionBy("group", "split").option("compression", "zstd").parquet(path)
+def write_vectors(df: DataFrame, path: str) -> None:
+    """Each split of a group is a folder; a split that is written again replaces what a run before has left of it."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("group", "split").option("compression", "zstd").parquet(path)
 
 
-def write_chunks(df: DataFrame, path: str, rows: int = 350_000) -> None:
-    df.write.mode("overwrite").option("maxRecordsPerFile", rows).json(path)
+def write_chunks(df: DataFrame, path: str, order: str, rows: int = 350_000, append: bool = False) -> int:
+    """Folders chunk=0, chunk=1, ... of one JSON-lines file each, all but the last of exactly ``rows`` rows, in order of a key; how many there are.
+
+    ``append`` goes on after what is there: a last chunk that is not full is filled first.
+    """
+    spark, start = df.sparkSession, 0
+    if append:
+        held = spark.read.schema("chunk long").json(path).groupBy("chunk").count().orderBy(F.desc("chunk")).limit(1).collect()
+        if held and held[0]["count"] < rows:
+            start = held[0]["chunk"] * rows + held[0]["count"]
+        elif held:
+            start = (held[0]["chunk"] + 1) * rows
+    names = [c for c in df.columns if c != "chunk"]
+    placed = numbered(df.select(*names), order, place := unused(df, "_place")).withColumn(place, F.col(place) + start)
+    made = placed.withColumn("chunk", F.floor(F.col(place) / rows).cast("long"))
+    if start % rows:  # the rows of the open chunk, copied first, as its file is written anew
+        open_ = keep(spark.read.schema(df.select(*names).schema).json(f"{path}/chunk={start // rows}"))
+        made = made.unionByName(open_.withColumn(place, F.lit(-1).cast("long")).withColumn(f"{place}_total", F.lit(0).cast("long")).withColumn("chunk", F.lit(start // rows).cast("long")))
+    made = keep(made.drop(f"{place}_total"))
+    made.repartition("chunk").sortWithinPartitions("chunk", place).drop(place).write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if append else "static").partitionBy("chunk").json(path)
+    last = made.agg(F.max("chunk")).first()[0]
+    return -(-start // rows) if last is None else last + 1
 
 
 def write_metric(df: DataFrame, path: str) -> None:
@@ -119,9 +175,8 @@ def write_metric(df: DataFrame, path: str) -> None:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and SHA-256 of every file."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """Name, size and SHA-256 of every file, of any size."""
+    return streams.digests(spark, path).select("name", "bytes", "sha256")
 
 
 def folder_size(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import gzip
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,14 +76,12 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "e"), header=True).filter("exception = 'No, none'").count() == 2
     files.write_dataset(df, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
-    files.write_chunks(spark.range(25).coalesce(1), str(tmp_path / "c"), 10)
-    assert sorted(len(f.read_text().splitlines()) for f in (tmp_path / "c").glob("part-*")) == [5, 10, 10]
     files.write_metric(df.agg(F.avg("idx").alias("accuracy")), str(tmp_path / "m"))
     assert json.loads("".join(lines_of(tmp_path / "m"))) == {"accuracy": 1.5}
     vectors = spark.createDataFrame([("g", "s1", 0, [1.0])], "`group` string, split string, doc_idx long, embedding array<float>")
     for _ in range(2):
         files.write_vectors(vectors, str(tmp_path / "x"))
-    assert spark.read.parquet(str(tmp_path / "x")).filter("`group` = 'g' and split = 's1'").count() == 2
+    assert spark.read.parquet(str(tmp_path / "x")).filter("`group` = 'g' and split = 's1'").count() == 1
     one = next((tmp_path / "m").glob("part-*"))
     entry = files.manifest(spark, str(one)).first()
     assert (entry.name, entry.bytes, entry.sha256) == (one.name, one.stat().st_size, hashlib.sha256(one.read_bytes()).hexdigest())
@@ -174,11 +173,75 @@ def test_greedy_rule(spark, rows):
     once = list(dict.fromkeys(texts))
     assert pairs == {(i, j) for j in range(len(once)) for i in range(j) if brute_ratio(once[i], once[j]) >= 85}
     df = spark.createDataFrame(list(enumerate(texts)), "idx long, text string")
-    assert sorted(map(tuple, dedup.greedy(df, "idx", "text").collect())) == kept
+    assert sorted(map(tuple, dedup.greedy(df, "idx", "text", block_rows=rows).collect())) == kept
     shots = df.filter("idx in (0, 3)")
     assert {r.idx for r in dedup.against(df, shots, "text").collect()} == {i for i, t in enumerate(texts) if max(brute_ratio(t, texts[0]), brute_ratio(t, texts[3])) < 85}
 
 
+def hard_texts(rng, n):
+    """Words that nearly repeat, one word that is most of a text, texts within texts, no common word, long and short ones."""
+    words = ["a", "an", "and", "ant", "band", "bands", "colour", "colours", "color", "internationalisation", "x" * 40, "é", "fox", "foxes", *(f"w{k}" for k in range(12))]
+    out = []
+    for _ in range(n):
+        t = rng.sample(words, rng.randint(1, rng.choice([2, 5, 12, 20])))
+        out.append(" ".join(t))
+        if rng.random() < 0.7:
+            u = list(" ".join(t))
+            for _ in range(rng.randint(0, 1 + len(u) // 8)):
+                k = rng.randrange(len(u))
+                u[k] = rng.choice(["", u[k] + rng.choice("abx "), rng.choice("abx ")])
+            out.append("".join(u))
+        if rng.random() < 0.3:
+            out.append(" ".join(f"{w}{rng.choice('sz')}" for w in t))
+        if rng.random() < 0.2:
+            out.append(" ".join(t + [f"v{k}" for k in range(rng.randint(1, 60))]))
+    return list(dict.fromkeys(out))
+
+
+@pytest.mark.parametrize(("least", "limits"), [(85, {}), (85, {"LONG_WORDS": 4, "RARITY_BITS": 2, "BAND": 3.0}), (70, {"RARITY_BITS": 1, "BAND": 1.02}), (96, {"LONG_WORDS": 1}), (55, {})])
+def test_no_similar_pair_is_lost(spark, monkeypatch, least, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(dedup, k, v)
+    texts = hard_texts(random.Random(least), 45)
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if brute_ratio(texts[i], texts[j]) >= least}
+    df = spark.createDataFrame(list(enumerate(texts)), "idx long, text string")
+    assert {(r.a, r.b) for r in dedup.similar_pairs(df, least, 16).collect()} == want and len(want) > 20
+
+
+def test_each_kind_of_candidate_is_lossless(spark):
+    texts = [t for t in hard_texts(random.Random(1), 60) if fuzzy.tokens(t)]
+    sets = list(dict.fromkeys(" ".join(sorted(fuzzy.tokens(t))) for t in texts))
+    df = spark.createDataFrame(list(enumerate(sets)), "node long, words string")
+    covered = {(r.a, r.b) for r in dedup.covering(df, 85).collect()}
+    near = {(r.a, r.b) for r in dedup.alike(df, 85, 20).collect()}
+    for j in range(len(sets)):
+        for i in range(j):
+            x, y = set(sets[i].split(" ")), set(sets[j].split(" "))
+            both = len(" ".join(sorted(x & y)))
+            if both and max(200 * both / (both + len(sets[k])) for k in (i, j)) >= 84.5:
+                assert (i, j) in covered
+            elif brute_ratio(sets[i], sets[j]) >= 85:
+                assert (i, j) in near
+
+
+def test_greedy_with_repeated_and_null_ids(spark):
+    rows = [(1, "alpha beta gamma delta", 1), (1, "alpha beta gamma delta epsilon", 2), (2, "zeta eta", 3), (None, "alpha beta gamma delta", 4), (None, "iota kappa", 5), (None, None, 6), (3, "", 7), (3, "zeta eta", 8), (4, "eta zeta", 9), (5, "!!", 10)]
+    df = spark.createDataFrame(rows, "idx long, text string, _words int")
+    # equal ids go by text, null ids come last, texts without words stay
+    assert sorted(r._words for r in dedup.greedy(df, "idx", "text").collect()) == [1, 3, 4, 5, 6, 7, 8, 10]
+    assert sorted(r._words for r in dedup.greedy(df, "idx", "text", drop_exact=True).collect() if r.text) == [1, 3, 5, 10]
+    assert dedup.greedy(df.limit(0), "idx", "text").collect() == [] and dedup.greedy(df, "idx", "text").columns == df.columns
+
+
+def test_few_pairs_of_sentences_are_compared(spark):
+    said = spark.read.parquet(str(DATA / "sf0.001" / "documents.parquet")).select(F.explode(F.split("text", r"[.!?\n]+")).alias("text"))
+    sets = dedup.with_words(said.distinct().limit(3000), "text", "words").filter("words <> ''").select("words").distinct().withColumn("node", F.monotonically_increasing_id()).cache()
+    n = sets.count()
+    few = dedup.covering(sets, 85).union(dedup.alike(sets, 85)).distinct().count()
+    sets.unpersist()
+    assert few < 0.05 * n * (n - 1) / 2
+
+
 def test_fuzzy_queries_follow_the_rule(spark):
     from corpusmill.plans import registry
 
@@ -206,6 +269,19 @@ def test_ngrams_of_odd_texts(spark):
     assert overlap.overlap_rate(hits).first().overlap_percent == 100.0 and overlap.ngram_hits(df, df.limit(0), "k").filter("n_hits > 0").count() == 0
 
 
+@pytest.mark.parametrize("limits", [{"KNOWN": 3}, {"KNOWN": 0, "MAP_BITS": 9}, {"KNOWN": 0, "MAP_BITS": 20, "BITS_EACH": 400}])
+def test_overlap_with_large_test_sets(spark, monkeypatch, limits):
+    sf = DATA / "sf0.001"
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(0, "a b c d e f"), (None, "one two three four five"), (None, None)], "doc_id long, text string"))
+    bench = bench.select("text").union(spark.createDataFrame([("b c d e f",)], "text string"))
+    want = sorted(map(tuple, overlap.ngram_hits(docs, bench, "doc_id").collect()), key=repr)
+    for k, v in limits.items():
+        monkeypatch.setattr(overlap, k, v)
+    got = overlap.ngram_hits(docs, bench, "doc_id")
+    assert sorted(map(tuple, got.collect()), key=repr) == want and sum(r[2] for r in want) > 10 and got.columns == ["doc_id", "n_grams", "n_hits"]
+
+
 def test_shots_of_all_tasks_and_prompts(spark):
     row = spark.createDataFrame([("Make tea", "Ingredients:\nwater\n\nleaves\nSteps:\nboil\npour", "Sum it up\n\nlong\ntext", " short ")], "i string, o string, j string, s string")
     r, s = row.select(prompts.shot_recipe(F.col("i"), F.col("o")), prompts.shot_summary(F.col("j"), F.col("s"))).first()
