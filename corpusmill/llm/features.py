@@ -188,9 +188,10 @@ def events(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tuple
         few,
     ]
     stream = reduce(DataFrame.unionByName, [p.select(*STREAM) for p in parts])
-    # a click, sale or line gives about three rows of the stream
+    # about where the stream's rows are: a click, sale or line changes counts at its time and when it leaves each window
     times = reduce(DataFrame.union, [clicks.filter("client_id is not null and ts is not null").select(F.col("client_id").cast("long").alias("client_id"), micros(clicks, "ts").alias("at")), told.select("client_id", "sold"), sent.select("client_id", "start")])
-    return chunked(stream, ["client_id"], "at", hot_chunks(times, ["client_id"], "at", max(1, HOT_ROWS // 3), scratch))
+    times = times.select("client_id", F.explode(F.array(*[F.col("at") + d * DAY for d in (0, *windows)])).alias("at"))
+    return chunked(stream, ["client_id"], "at", hot_chunks(times, ["client_id"], "at", HOT_ROWS, scratch))
 
 
 def _sums(windows: tuple[int, ...]) -> dict[str, Column]:
