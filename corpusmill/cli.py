@@ -1,19 +1,25 @@
-"""Command line: embed, retrieve, create-tasks, finetune, evaluate and winrate over files.
+"""Command line: embed, index, retrieve, create-tasks, finetune, evaluate and winrate over files.
 
 Options may stand in a file that is named with @: one option and its value a line.  Each command takes the option
 names that existing option files have, and shorter ones of its own.  Options that only concern model weights, training,
 sampling of tokens or compression are accepted by name and passed over (``PASSED_OVER``); any other is refused.
+
+Models are functions from texts to texts that ``--generator module:function`` makes (it is called once a task), with
+stand-ins where none is named.  ``--answers_path`` keeps answers by prompt, so that a rerun asks for what is missing.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import shlex
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas, session
+from .functions.text import instruct
 from .operators import dedup, evaluate, extract, prompts, retrieve, sampling
 from .plans import models, tokens
 from .sources import files, streams
@@ -28,14 +34,15 @@ class Options(argparse.ArgumentParser):
 
 
 # Options of existing option files that have no meaning here, by command; those in FLAGS have no value.
-FLAGS = ("use_amp_fp16", "merge_adapters", "do_sample", "is_llama_3_chat_official", "use_bf16", "save_only_model", "group_by_length")
+FLAGS = ("use_amp_fp16", "merge_adapters", "do_sample", "use_bf16", "save_only_model", "group_by_length")
 PASSED_OVER = {
     "embed": ("model_name", "compression", "compression_opts", "device", "use_amp_fp16"),
     "retrieve": ("model_name", "device", "use_amp_fp16", "sim_threshold"),
     "create-tasks": ("temperature", "top_p", "top_k", "max_new_tokens"),
     "finetune": ("cache_dir", "hf_token_path", "lora_r", "lora_alpha", "lora_dropout", "lora_bias", "batch_size", "use_bf16", "learning_rate", "grad_acc_steps", "num_epochs", "logging_strategy", "logging_steps", "save_strategy", "save_only_model", "optim", "warmup_ratio", "weight_decay", "num_workers", "save_total_limit", "lr_scheduler_type", "group_by_length", "random_seed"),
-    "evaluate": ("cache_dir", "adapters_path", "merge_adapters", "hf_token_path", "temperature", "do_sample", "top_p", "top_k", "max_new_tokens", "logprobs", "max_model_len", "is_llama_3_chat_official"),
+    "evaluate": ("cache_dir", "adapters_path", "merge_adapters", "hf_token_path", "temperature", "do_sample", "top_p", "top_k", "max_new_tokens", "logprobs", "max_model_len"),
     "winrate": (),
+    "index": (),
 }
 OFFICIAL = "official"
 
@@ -53,13 +60,15 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(f"--{key}", **({"action": "store_true"} if key in FLAGS else {}))
 
     need, text, task = {"required": True}, {"default": None}, {"choices": sorted(extract.TASKS), "required": True}
+    asking = {"generator": text, "answers_path": text}
     number = lambda default=None, **more: {"type": int, "default": default, **more}
     command("embed", data_path=need, group_name=need, saving_path=need, saving_file=text, batch_size=number(512))
     command("retrieve", few_shot_path=need, embeddings_path={**need, "also": ["database_path"]}, output_path={**need, "also": ["saving_path"]}, num_docs=number(200, also=["num_samples_to_retrieve"]), top_p={"type": float, "default": 0.05, "also": ["top_p_percentile"]}, index_path=text, **dict.fromkeys(ROOTS, need))
-    command("create-tasks", model_name_or_path={"default": ""}, few_shot_path=need, corpus_samples_path=need, task=task, num_shots=number(3), deduplication_ratio=number(85), num_final_task_samples=number(required=True), output_path_raw=need, output_path_clean=need, output_path_error_msgs=need, output_path_final=need, max_tokenization_length=number(), tokenizer_path=text, answers_path=text)
+    command("create-tasks", model_name_or_path={"default": ""}, few_shot_path=need, corpus_samples_path=need, task=task, num_shots=number(3), deduplication_ratio=number(85), num_final_task_samples=number(required=True), output_path_raw=need, output_path_clean=need, output_path_error_msgs=need, output_path_final=need, max_tokenization_length=number(), tokenizer_path=text, **asking)
     command("finetune", train_dataset_path={**need, "also": ["task_samples_path"]}, official_path=text, few_shots_only={"action": "store_true"}, task=task, model_name_or_path={"default": ""}, max_rows=number(25_000), output_path={**need, "also": ["output_dir"]})
-    command("evaluate", model_name_or_path={"default": ""}, task={**task, "required": False}, input_path=text, output_path_annotator=text, predictions_path=text, references_path=text, result_path=need, output_path=text)
-    command("winrate", annotated_path=need, result_path=need)
+    command("evaluate", model_name_or_path={"default": ""}, task={**task, "required": False}, input_path=text, output_path_annotator=text, is_llama_3_chat_official={"action": "store_true"}, predictions_path=text, references_path=text, official_path=text, result_path=need, output_path=text, **asking)
+    command("winrate", annotated_path=need, outputs_path=text, result_path=need, **asking)
+    command("index", data_path=need, output_path=need, every=number(streams.EVERY))
     return top
 
 
@@ -95,16 +104,33 @@ def fetch_mixed(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
     return streams.lines_at(spark, at, index).select("file", "doc_idx", "raw")
 
 
+def asked(rows: DataFrame, o: argparse.Namespace, stand_in: models.Generate) -> DataFrame:
+    """``rows`` with the model's answer (task_sample) to their ``prompt``."""
+
+    def load() -> models.Generate:
+        if not o.generator:
+            return stand_in
+        module, _, function = o.generator.partition(":")
+        return getattr(importlib.import_module(module), function)()
+
+    store = o.answers_path or f"{session.shared_dir(rows.sparkSession)}/corpusmill/answers-{uuid.uuid4().hex}"
+    return models.answers(rows, "prompt", store, load)
+
+
+def index(spark: SparkSession, o: argparse.Namespace) -> None:
+    """Where every few thousandth line of plain files starts, for ``retrieve --index_path``."""
+    streams.line_index(spark, o.data_path, o.every).write.mode("overwrite").parquet(o.output_path)
+
+
 def create_tasks(spark: SparkSession, o: argparse.Namespace) -> None:
     shots = files.jsonl(spark, o.few_shot_path, schemas.FEW_SHOT, numbered=True)
     shape = {"recipegen": prompts.shot_recipe, "summarization": prompts.shot_summary}.get(o.task, prompts.shot_qa)
     shots = session.keep(shots.withColumn("sample", shape(F.col("Instruction"), F.col("Output"))))
     docs = files.jsonl(spark, o.corpus_samples_path, schemas.DOCUMENT, numbered=True)
-    asked = prompts.few_shot_prompts(docs, shots.withColumn("json", F.to_json("sample")), "doc_idx", "text", "doc_idx", "Text", "json", prompts.choose_instruction(o.task, F.col("doc_idx")), o.num_shots)
+    wanted = prompts.few_shot_prompts(docs, shots.withColumn("json", F.to_json("sample")), "doc_idx", "text", "doc_idx", "Text", "json", prompts.choose_instruction(o.task, F.col("doc_idx")), o.num_shots)
     most = models.model_length(o.max_tokenization_length, o.model_name_or_path)
-    fitting = tokens.counted(asked, "prompt", o.tokenizer_path).filter(F.col("n_tokens") <= most).drop("n_tokens") if o.tokenizer_path else prompts.fits(asked, "prompt", most)
-    said = models.answers(fitting, "prompt", o.answers_path).drop("prompt") if o.answers_path else models.generate(fitting, ("doc_idx",))
-    raw = session.keep(said)
+    fitting = tokens.counted(wanted, "prompt", o.tokenizer_path).filter(F.col("n_tokens") <= most).drop("n_tokens") if o.tokenizer_path else prompts.fits(wanted, "prompt", most)
+    raw = session.keep(asked(fitting, o, models.templated_answer).drop("prompt"))
     files.write_jsonl(raw.select(F.col("doc_idx").alias("idx"), "task_sample"), o.output_path_raw)
     said = session.keep(extract.extract(raw, o.task))
     files.write_errors(said.filter("sample is null").select(F.col("doc_idx").alias("index"), "exception"), o.output_path_error_msgs)
@@ -147,10 +173,8 @@ def finetune(spark: SparkSession, o: argparse.Namespace) -> None:
     files.write_jsonl(sampling.exact(rows, o.max_rows, key).select(prompts.with_eos(text, o.model_name_or_path).alias("text")), o.output_path)
 
 
-def evaluate_letters(spark: SparkSession, o: argparse.Namespace) -> None:
-    """Accuracy and letters of finished predictions; answering itself is left to a model."""
-    if not (o.predictions_path and o.references_path and o.output_path):
-        raise ValueError("--predictions_path, --references_path and --output_path must be given")
+def evaluate_finished(spark: SparkSession, o: argparse.Namespace) -> None:
+    """Accuracy and letters of finished predictions with log-probabilities."""
     said = spark.read.schema(schemas.GENERATION).json(o.predictions_path)
     right = spark.read.schema("row_id long, instruction string, answer int").json(o.references_path)
     both = right.join(said, "row_id", "left").withColumn("prediction", evaluate.predicted(F.col("text"), F.col("logprobs"), F.col("choices")))
@@ -158,7 +182,35 @@ def evaluate_letters(spark: SparkSession, o: argparse.Namespace) -> None:
     files.write_jsonl(both.filter("text is not null").select("instruction", evaluate.letter(F.col("prediction")).alias("prediction"), evaluate.letter(F.col("answer")).alias("reference")), o.output_path)
 
 
+def evaluate_task(spark: SparkSession, o: argparse.Namespace) -> None:
+    """A model's answers to a task's official rows beside the right ones; the accuracy of tasks that are answered by letters."""
+    if o.predictions_path and o.references_path and o.output_path:
+        return evaluate_finished(spark, o)
+    if not (o.task and o.official_path and o.output_path):
+        raise ValueError("either --predictions_path and --references_path or --task and --official_path must be given, and --output_path")
+    rows, col = files.official(spark, o.task, o.official_path), F.col
+    if letters := o.task in ("bioqa", "medqa", "csqa"):
+        text = prompts.eval_yes_no(col("question")) if o.task == "csqa" else prompts.eval_mc(col("question"), col("choices"))
+        rows = rows.select(text.alias("instruction"), evaluate.letter(col("answer")).alias("reference"), F.size("choices").alias("n"))
+    else:
+        text = prompts.eval_recipe(col("instruction")) if o.task == "recipegen" else prompts.eval_summary(col("article"))
+        rows = rows.select(text.alias("instruction"), col("response").alias("reference"))
+    prompt = prompts.chat(col("instruction"), prompts.SYSTEM[o.task]) if o.is_llama_3_chat_official else instruct(col("instruction"))
+    said = session.keep(asked(rows.withColumn("prompt", prompt), o, models.digest_letter if letters else models.templated_answer))
+    if letters:
+        said = said.withColumn("task_sample", evaluate.said_letter(col("task_sample"), col("n")))
+        files.write_metric(said.agg(evaluate.accuracy(col("task_sample"), col("reference")).alias("accuracy")), o.result_path)
+    files.write_jsonl(said.select("instruction", col("task_sample").alias("prediction"), "reference"), o.output_path)
+
+
 def winrate(spark: SparkSession, o: argparse.Namespace) -> None:
+    """How often a judge prefers predictions to references; with ``outputs_path`` (as evaluate writes them) it is asked first."""
+    if o.outputs_path:
+        rows = files.jsonl(spark, o.outputs_path, schemas.EVAL_OUTPUT).filter("prediction is not null and reference is not null")
+        rows = evaluate.swap(rows.select("instruction", F.col("reference").alias("output_1"), F.col("prediction").alias("output_2")), sampling.coin(F.col("instruction")))
+        rows = rows.withColumn("prompt", prompts.judge_prompt(F.col("instruction"), F.col("output_1"), F.col("output_2")))
+        rows = asked(rows, o, models.digest_judge).withColumn("model_preference", evaluate.preference(F.col("task_sample")))
+        files.write_jsonl(rows.drop("prompt", "task_sample"), o.annotated_path)
     rows = spark.read.schema(schemas.PAIRWISE).json(o.annotated_path)
     files.write_metric(rows.agg(evaluate.win_rate(F.col("swapped"), F.col("model_preference")).alias("win_rate")), o.result_path)
 
@@ -169,7 +221,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     if o.command == "retrieve":
         files.write_lines(fetch_mixed(spark, o), o.output_path, "file", "doc_idx")
     else:
-        {"embed": embed, "create-tasks": create_tasks, "finetune": finetune, "evaluate": evaluate_letters, "winrate": winrate}[o.command](spark, o)
+        {"embed": embed, "create-tasks": create_tasks, "finetune": finetune, "evaluate": evaluate_task, "winrate": winrate, "index": index}[o.command](spark, o)
 
 
 if __name__ == "__main__":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import LETTERS
+from ..functions.text import LETTERS, strip
 from .prompts import judge_prompt
 
 MISSING = float("-inf")
@@ -20,6 +20,13 @@ def predicted(text: Column, logprobs: Column, choices: Column) -> Column:
     return F.when((F.coalesce(F.length(text), F.lit(0)) == 0) | best.isNull() | (best == MISSING), -1).otherwise((F.array_position(lp, best) - 1).cast("int"))
 
 
+def said_letter(answer: Column, choices: Column) -> Column:
+    """The letter that an answer starts with, if it is one of the first ``choices``; else N/A."""
+    first = F.upper(F.substring(strip(answer), 1, 1))
+    place = F.array_position(F.array(*[F.lit(x) for x in LETTERS]), first)
+    return F.when((place > 0) & (place <= choices), first).otherwise("N/A")
+
+
 def letter(prediction: Column) -> Column:
     return F.when(prediction == -1, "N/A").otherwise(F.element_at(F.array(*[F.lit(x) for x in LETTERS]), prediction + 1))
 

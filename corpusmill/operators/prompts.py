@@ -9,14 +9,12 @@ from ..functions.text import LETTERS, instruct, lettered, strip
 from .sampling import coin
 
 #: What the model is told it is, by task.
-_LABEL = "Select the correct answer from the questions below. Answer only with the corresponding letter label."
-_DIRECT = "Directly answer what is asked without additional opening and closing remarks."
 SYSTEM = {
-    "bioqa": f"You are an expert biologist. {_LABEL}",
-    "medqa": f"You are a medical expert. {_LABEL}",
-    "csqa": f"You are an expert in common-sense reasoning. {_LABEL}",
-    "recipegen": f"You are an expert chef. {_DIRECT}",
-    "summarization": f"You are an expert summarizer. {_DIRECT}",
+    "bioqa": "You are an expert biologist. Select the correct answer from the questions below. Answer only with the corresponding letter label.",
+    "medqa": "You are a medical expert. Select the correct answer from the questions below. Answer only with the corresponding letter label.",
+    "csqa": "You are an expert in common-sense reasoning. Select the correct answer from the questions below. Answer only with the corresponding letter label.",
+    "recipegen": "You are an expert chef. Directly answer what is asked without additional opening and closing remarks.",
+    "summarization": "You are an expert summarizer. Directly answer what is asked without additional opening and closing remarks.",
 }
 # What a generator is asked for, by task, and the JSON form of its answer.
 _QUESTION = 'Please carefully read the text below. Then, generate exactly one question along with four answer choices designated as A, B, C, and D based on the provided text. Then, respond to the question with the correct answer using only the corresponding letter label. Return the output only as a JSON structure in this format: {"question": "<question here>", "options": ["A. <option A here>", "B. <option B here>", "C. <option C here>", "D. <option D here>"], "answer": "<letter label of correct answer here>"}'
@@ -61,12 +59,15 @@ def shot_summary(instruction: Column, output: Column) -> Column:
 
 
 MOST_SHOTS = 1024
+MOST_SHOT_CHARS = 4 << 20
 
 
 def _shot_rows(shots: DataFrame) -> list:
     rows = shots.limit(MOST_SHOTS + 1).collect()
     if len(rows) > MOST_SHOTS:
         raise ValueError(f"more than {MOST_SHOTS} shots")
+    if sum(len(x) for r in rows for x in r if isinstance(x, str)) > MOST_SHOT_CHARS:
+        raise ValueError(f"shots of more than {MOST_SHOT_CHARS} characters")
     return rows
 
 

@@ -51,6 +51,16 @@ def templated_answer(prompts: list[str]) -> list[str]:
     return [f'{{"question": "What does digest {hashlib.md5(p.encode()).hexdigest()} stand for?", "options": ["A. a", "B. b", "C. c", "D. d"], "answer": "A"}}' for p in prompts]
 
 
+def digest_letter(prompts: list[str]) -> list[str]:
+    """A or B by the prompt's digest: a stand-in for a model that answers with a letter."""
+    return ["AB"[hashlib.md5(p.encode()).digest()[0] & 1] for p in prompts]
+
+
+def digest_judge(prompts: list[str]) -> list[str]:
+    """1 or 2 by the prompt's digest: a stand-in for a judge."""
+    return ["12"[hashlib.md5(p.encode()).digest()[0] & 1] for p in prompts]
+
+
 def generate(df: DataFrame, keys: tuple[str, ...], load: Callable[[], Generate] = lambda: templated_answer) -> DataFrame:
     """Keys and stripped ``task_sample`` of ``prompt``."""
 

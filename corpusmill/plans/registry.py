@@ -171,12 +171,13 @@ def jsonl_record_string(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- extraction and validation
 
-# the whole text, without what would have to be escaped in JSON or would end a candidate
-_SNIP = "regexp_replace(text, '[^\\p{L}\\p{N} .,;:!?()-]+', ' ', 'g')"
+# the whole text as the inside of a JSON string: quotes, backslashes and line ends escaped, braces as they are
+_SNIP = "substr(CAST(to_json(text) AS VARCHAR), 2, length(CAST(to_json(text) AS VARCHAR)) - 2)"
 
 
 def _snippet() -> Column:
-    return F.regexp_replace("text", r"[^\p{L}\p{N} .,;:!?()-]+", " ")
+    whole = F.to_json(F.struct("text"))
+    return F.when(F.col("text").isNotNull(), F.substr(whole, F.lit(len('{"text":"') + 1), F.length(whole) - len('{"text":""}')))
 
 
 def _samples(spark: SparkSession, sf_dir: str, cases: list[tuple[str, ...]]) -> DataFrame:
@@ -376,6 +377,17 @@ def chat_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", prompts.chat(F.col("text"), prompts.SYSTEM["csqa"]).alias("prompt"))
 
 
+_SYSTEMS = list(prompts.SYSTEM.values())
+
+
+@_query(f"SELECT conv_id, turn, '<|start_header_id|>system<|end_header_id|>' || chr(10) || chr(10) || {[*_SYSTEMS]}[CAST(turn % {len(_SYSTEMS)} AS INTEGER) + 1] || '<|eot_id|><|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10) || text || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) AS prompt FROM conversations")
+def chat_prompt_of_each_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.lit(None).cast("string")
+    for k, system in enumerate(_SYSTEMS):
+        own = F.when(F.col("turn") % len(_SYSTEMS) == k, prompts.chat(F.col("text"), system)).otherwise(own)
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", own.alias("prompt"))
+
+
 @_query("SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]')) <= 400")
 def token_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.fits(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 400).select("doc_id")

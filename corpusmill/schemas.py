@@ -4,11 +4,6 @@ DOCUMENT = "text string"
 POSITION = "`group` string, split string, doc_idx long"
 EMBEDDING = f"{POSITION}, embedding array<float>"
 FEW_SHOT = "Text string, Instruction string, Output string"
-RAW_SAMPLE = "idx long, task_sample string"
-QA = "question string, options array<string>, answer string"
-RECIPE = "instruction string, ingredients array<string>, steps array<string>"
-SUMMARY = "instruction string, summary string, long_but_clean_text string"
-FORMAT_ERROR = "index long, exception string"
 OFFICIAL_MC = "question string, choices array<string>, answer int, topic string"
 OFFICIAL_MEDICAL = "question string, opa string, opb string, opc string, opd string, cop int"
 OFFICIAL_YES_NO = "question string, answer string"

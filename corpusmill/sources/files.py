@@ -21,6 +21,8 @@ from . import quoted, streams
 CORPUS_ROOTS = {"c4": "c4", "wikipedia": "wikipedia", "stackexchange": "stackexchange", "wikihow": "wikihow"}
 
 
+#: Rows of one file block each that are broadcast at most.
+MOST_BLOCKS = 100_000
 #: Compressed files cannot be shared by tasks and are read one by one (``streams``); Spark leaves them out of its scan.
 PLAIN = "not endswith(_metadata.file_name, '.gz')"
 
@@ -37,7 +39,8 @@ def numbered_lines(spark: SparkSession, paths: str | list[str], plain: bool = Fa
     blocks = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return lines.join(F.broadcast(blocks), ["file", "_block"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("doc_idx"), "raw")
+    few = blocks.limit(MOST_BLOCKS + 1).count() <= MOST_BLOCKS
+    return lines.join(F.broadcast(blocks) if few else blocks, ["file", "_block"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("doc_idx"), "raw")
 
 
 def jsonl(spark: SparkSession, paths: str | list[str], schema: str = "text string", raw: bool = False, numbered: bool = False) -> DataFrame:

@@ -384,3 +384,34 @@ def test_no_prompt_is_asked_twice(spark, tmp_path):
     assert len([p for f in log.iterdir() for p in json.loads(f.read_text())]) == before
     batches = [json.loads(f.read_text()) for f in log.iterdir()]
     assert max(max(map(len, b)) - min(map(len, b)) for b in batches) <= 6
+
+
+def first_choice():
+    """A generator for ``--generator``: always A, with a remark."""
+    return lambda prompts: [f" a. as in {p[:3]}" for p in prompts]
+
+
+def second_output():
+    return lambda prompts: ["Output 2 is better" for _ in prompts]
+
+
+def test_evaluation_and_judging_with_models(spark, tmp_path):
+    at = lambda *x: str(tmp_path.joinpath(*x))
+    said = lambda folder: [json.loads(x) for f in sorted((tmp_path / folder).glob("part-*")) for x in f.read_text().splitlines()]
+    (tmp_path / "med.jsonl").write_text("".join(json.dumps({"question": f"Q{k}?", "opa": "1", "opb": "2", "opc": "3", "opd": "4", "cop": k % 4}) + "\n" for k in range(8)))
+    cli.main(["evaluate", "--task", "medqa", "--official_path", at("med.jsonl"), "--generator", "tests.test_sources:first_choice", "--answers_path", at("store"), "--result_path", at("acc"), "--output_path", at("out"), "--is_llama_3_chat_official"], spark)
+    assert said("acc") == [{"accuracy": 0.25}]
+    assert sorted((r["instruction"], r["prediction"], r["reference"]) for r in said("out")) == [(f"Q{k}?\nA. 1\nB. 2\nC. 3\nD. 4", "A", "ABCD"[k % 4]) for k in range(8)]
+    (tmp_path / "sum.jsonl").write_text('{"article": "Long.", "highlights": "Short."}\n{"article": "Other.", "highlights": "It."}\n')
+    cli.main(["evaluate", "--task", "summarization", "--official_path", at("sum.jsonl"), "--result_path", at("none"), "--output_path", at("sums")], spark)
+    assert sorted(r["reference"] for r in said("sums")) == ["It.", "Short."] and all("digest" in r["prediction"] for r in said("sums"))
+    cli.main(["winrate", "--outputs_path", at("out"), "--annotated_path", at("judged"), "--generator", "tests.test_sources:second_output", "--result_path", at("win")], spark)
+    judged = said("judged")
+    assert len(judged) == 8 and all(r["model_preference"] == 2 for r in judged)
+    assert said("win") == [{"win_rate": sum(not r["swapped"] for r in judged) / 8}]
+    cli.main(["winrate", "--outputs_path", at("sums"), "--annotated_path", at("judged2"), "--result_path", at("win2")], spark)
+    assert {r["model_preference"] for r in said("judged2")} <= {1, 2}
+    with pytest.raises(ValueError):
+        cli.main(["evaluate", "--task", "medqa", "--result_path", at("x")], spark)
+    cli.main(["index", "--data_path", at("sum.jsonl"), "--output_path", at("index")], spark)
+    assert [(r.block, r.offset) for r in spark.read.parquet(at("index")).collect()] == [(0, 0)]
