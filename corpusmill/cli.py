@@ -75,8 +75,7 @@ def parser() -> argparse.ArgumentParser:
 def embed(spark: SparkSession, o: argparse.Namespace) -> None:
     """Embeds the files of a group that are not stored yet; a split is a file's name."""
     docs = files.jsonl(spark, o.data_path, schemas.DOCUMENT, numbered=True)
-    name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"^c4-|-of-[0-9]+\.json\.gz$|\.jsonl$", "")
-    docs = docs.select(F.lit(o.group_name).alias("group"), name.alias("split"), "doc_idx", "text")
+    docs = docs.select(F.lit(o.group_name).alias("group"), files.split_of(F.col("file")).alias("split"), "doc_idx", "text")
     store = f"{o.saving_path.rstrip('/')}/{o.saving_file}" if o.saving_file else o.saving_path
     root = spark._jvm.org.apache.hadoop.fs.Path(store)
     if root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):

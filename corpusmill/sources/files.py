@@ -110,6 +110,11 @@ def split_number(split: Column) -> Column:
     return F.nullif(F.regexp_extract(split, r"([0-9]+)$", 1), F.lit("")).cast("int")
 
 
+def split_of(file: Column) -> Column:
+    """The split that a file holds, by its name."""
+    return F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"^c4-|-of-[0-9]+\.json\.gz$|\.jsonl$", "")
+
+
 def split_file(group: Column, split: Column) -> Column:
     """File name of a split: numbered shards for the web corpus, plain names otherwise."""
     return F.when(group == "c4", F.format_string("c4-%s-of-01024.json.gz", split)).otherwise(F.concat(split, F.lit(".jsonl")))

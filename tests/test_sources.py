@@ -12,6 +12,7 @@ from corpusmill import cli
 from corpusmill.operators import clean, evaluate, prompts, retrieve, sampling
 from corpusmill.plans import models, tokens
 from corpusmill.sources import files, quoted, streams
+from corpusmill.streaming import incremental
 
 
 def packed(records, **more):
@@ -415,3 +416,22 @@ def test_evaluation_and_judging_with_models(spark, tmp_path):
         cli.main(["evaluate", "--task", "medqa", "--result_path", at("x")], spark)
     cli.main(["index", "--data_path", at("sum.jsonl"), "--output_path", at("index")], spark)
     assert [(r.block, r.offset) for r in spark.read.parquet(at("index")).collect()] == [(0, 0)]
+
+
+def test_new_splits_are_embedded_once(spark, tmp_path):
+    src, store = tmp_path / "src", str(tmp_path / "v")
+    src.mkdir()
+    put = lambda n, k: (src / f"wiki_{n:02d}.jsonl").write_text("".join(json.dumps({"text": f"t {n} {i}"}) + "\n" for i in range(k)))
+    held = lambda: sorted((r.split, r["count"]) for r in files.vector_store(spark, store, ["wikipedia"]).groupBy("split").count().collect())
+    put(0, 3)
+    (src / "wiki_09.jsonl").write_text('{"text": \n')
+    (src / "c4-train.00001-of-01024.json.gz").write_bytes(packed([{"text": "a"}])[:-4])
+    run = lambda at: incremental.embed_new_splits(spark, str(src), "wikipedia", store, str(tmp_path / at), 2)
+    run("one")
+    assert held() == [("wiki_00", 3)]
+    run("one")
+    put(1, 2)
+    run("one")
+    assert held() == [("wiki_00", 3), ("wiki_01", 2)]
+    run("lost")  # everything again, by another checkpoint
+    assert held() == [("wiki_00", 3), ("wiki_01", 2)]
