@@ -15,11 +15,12 @@ no click is.
 A row of the stream is narrow: client, time, kind, a bit for each window it counts
 in, a count and cents.  Changes of lines, whose times are few, are added up per
 client and time before they are shuffled together.  Clients (and pairs of client
-and item) of over ``HOT_ROWS`` rows are cut into chunks of time of about so many
-rows, however they are spread over time; running sums are taken in each chunk, and
-the totals of the earlier chunks are added.  So no task holds a client, only chunks
-and, ``SLOTS`` for each ``HOT_ROWS`` rows, the counts of one hot client's slots of
-time.  The stream is written once to the shared folder.
+and item) of many rows are cut into chunks of time of about ``chunk_rows`` rows,
+however they are spread over time; running sums are taken in each chunk, and the
+totals of the earlier chunks are added.  So no task holds a client, only chunks and,
+``SLOTS`` for each chunk, the counts of one hot client's slots of time.  A chunk has
+the square root of all rows, so both grow as that; ``HOT_ROWS`` at least.  The stream
+is written once to the shared folder.
 
 Defined cases: times are UTC whatever the session's zone; rows without client,
 event time or arrival are not counted, lines without sale, shipping or item are no
@@ -33,6 +34,7 @@ give no rows or zeros; other columns are left behind, but tell clicks apart.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import add
 
@@ -45,7 +47,7 @@ WINDOWS = (2, 14)
 LABEL_DAYS = 7
 LAG_MINUTES = 240
 SPREAD_SECONDS = 259_200
-HOT_ROWS = 1 << 16
+HOT_ROWS = 1 << 14
 SLOTS = 16
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
@@ -117,7 +119,7 @@ def hot_chunks(rows: DataFrame, keys: list[str], at: str, most: int, scratch: Sc
 
 def chunked(rows: DataFrame, keys: list[str], at: str, hot: DataFrame) -> DataFrame:
     """``rows`` with ``chunk``: the chunk of time of a hot key, null for others."""
-    slots = hot.agg(F.sum(F.size("chunks"))).first()[0] or 0  # at most SLOTS for each HOT_ROWS rows
+    slots = hot.agg(F.sum(F.size("chunks"))).first()[0] or 0  # at most SLOTS for each chunk
     side = F.broadcast(hot) if slots * 8 <= BROADCAST_BYTES else hot
     slot = F.least(F.greatest(F.floor((F.col(at) - F.col("lo")) / F.col("width")), F.lit(0)), F.size("chunks") - 1).cast("int")
     return rows.join(side, _same(keys), "left").withColumn("chunk", F.get("chunks", slot).cast("long")).drop(*[f"hot_{k}" for k in keys], "lo", "width", "chunks")
@@ -148,10 +150,15 @@ def dated_sales(sales: DataFrame) -> DataFrame:
     return rows.select("sale_id", F.col("client_id").cast("long").alias("client_id"), sold.alias("sold"), micros(sales, "arrived_at").alias("arrived"), (sold + later).alias("t"), cents(F.col("total")).alias("money"))
 
 
-def item_changes(lines: DataFrame, windows: tuple[int, ...], scratch: Scratch) -> DataFrame:
+def chunk_rows(*tables: DataFrame) -> int:
+    """Rows of a hot key's chunk: with the square root of all rows, chunks and the list of a key's chunks grow alike."""
+    return max(HOT_ROWS, math.isqrt(sum(t.count() for t in tables)))
+
+
+def item_changes(lines: DataFrame, windows: tuple[int, ...], most: int, scratch: Scratch) -> DataFrame:
     """Plus and minus rows of the distinct items of clients, from lines (client_id, item_id, start, sold)."""
     keys, lines = ["client_id", "item_id"], lines.filter("item_id is not null").select("client_id", "item_id", "start", "sold")
-    hot = hot_chunks(lines, keys, "start", HOT_ROWS, scratch)
+    hot = hot_chunks(lines, keys, "start", most, scratch)
     once = scratch.keep(chunked(lines, keys, "start", hot).groupBy(*keys, "chunk", "start").agg(F.max("sold").alias("sold")), "once")
     base = _before(once.filter("chunk is not null").groupBy(*keys, "chunk").agg(F.max("sold").alias("sold")), keys, {"sold": F.max("sold")}, scratch)
     earlier = Window.partitionBy(*keys, "chunk").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
@@ -169,7 +176,7 @@ def item_changes(lines: DataFrame, windows: tuple[int, ...], scratch: Scratch) -
 
 def events(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tuple[int, ...], lag_minutes: int, label_days: int, scratch: Scratch) -> DataFrame:
     """The stream: plus and minus rows of clicks, sales, lines, items and sales ahead, and the probes; with chunks of hot clients."""
-    lag, every = lag_minutes * 60 * SECOND, (1 << len(windows)) - 1
+    lag, every, most = lag_minutes * 60 * SECOND, (1 << len(windows)) - 1, chunk_rows(clicks, sales, lines)
     seen = distinct_clicks(clicks).withColumn("start", F.greatest(F.col("ts"), F.col("arrived") + lag))
     told = dated_sales(sales)
     known = told.filter("arrived is not null").withColumn("start", F.greatest(F.col("sold"), F.col("arrived") + lag))
@@ -177,7 +184,7 @@ def events(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tuple
     sent = shipped.join(known.select("sale_id", "client_id", "sold", F.col("start").alias("known")), "sale_id")
     sent = sent.select("client_id", "item_id", F.greatest("known", "shipped").alias("start"), "sold", "money").filter(F.col("start") < F.col("sold") + max(windows) * DAY)
     sent = scratch.keep(sent, "lines")
-    few = _stream(sent, F.lit(LINE), _while_active("start", "sold", windows), F.col("money")).unionByName(item_changes(sent, windows, scratch))
+    few = _stream(sent, F.lit(LINE), _while_active("start", "sold", windows), F.col("money")).unionByName(item_changes(sent, windows, most, scratch))
     few = few.groupBy("client_id", "at", "kind", "mask").agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"), F.first("ref").alias("ref"), F.first("id").alias("id"))
     ahead = [_change(F.col("sold") - label_days * DAY, 1, every), _change(F.col("sold"), -1, every)]
     parts = [
@@ -191,7 +198,7 @@ def events(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tuple
     # about where the stream's rows are: a click, sale or line changes counts at its time and when it leaves each window
     times = reduce(DataFrame.union, [clicks.filter("client_id is not null and ts is not null").select(F.col("client_id").cast("long").alias("client_id"), micros(clicks, "ts").alias("at")), told.select("client_id", "sold"), sent.select("client_id", "start")])
     times = times.select("client_id", F.explode(F.array(*[F.col("at") + d * DAY for d in (0, *windows)])).alias("at"))
-    return chunked(stream, ["client_id"], "at", hot_chunks(times, ["client_id"], "at", HOT_ROWS, scratch))
+    return chunked(stream, ["client_id"], "at", hot_chunks(times, ["client_id"], "at", most, scratch))
 
 
 def _sums(windows: tuple[int, ...]) -> dict[str, Column]:
