@@ -277,7 +277,7 @@ NAMES = ["sale_id", "d", "t_us", "label", "n_clicks", "n_purchases", "click_cent
 
 @pytest.mark.parametrize(("hot", "windows"), [(1 << 16, (2, 14)), (40, (2, 14)), (3, (2, 14)), (40, (1, 3, 30))])
 def test_features_are_those_of_loops(spark, monkeypatch, hot, windows):
-    monkeypatch.setattr(features, "HOT_ROWS", hot)
+    monkeypatch.setattr(features, "chunk_rows", lambda *tables: hot)
     made = shop(random.Random(hot))
     tables = [spark.createDataFrame(x, kind) for x, kind in zip(made, (CLICKS, SALES, LINES), strict=True)]
     got = features.features(*tables, windows=windows)
