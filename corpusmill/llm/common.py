@@ -279,7 +279,7 @@ def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
     else:
         return counts
     whole = F.lit(False) if cut is None else bin_of >= cut
-    hashed = F.shiftrightunsigned(F.xxhash64(*counts.columns), 64 - FILL_BITS)
+    hashed = F.shiftrightunsigned(F.xxhash64(*[f.name for f in counts.schema.fields if f.dataType.typeName() != "map"]), 64 - FILL_BITS)
     ranges = sorted((r["h"], r["n"]) for r in counts.filter(bin_of == b).groupBy(hashed.alias("h")).agg(F.count("*").alias("n")).collect())
     last = -1
     for h, n in ranges:
