@@ -9,15 +9,18 @@ preferences) are built from documents by the same expression in both engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import text as T
 from ..operators import clean, dedup, evaluate, extract, official, overlap, prompts, retrieve, sampling
-from ..sources import files
+from ..sources import files, streams
 from ..streaming import incremental
+from . import models, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -600,6 +603,67 @@ def chunks_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.file_chunks(_table(spark, sf_dir, "documents").select("doc_id", "source"), "source", 200)
 
 
+# ---- files: what Spark writes of the tables, read again as a corpus is
+
+CHUNK = 250
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def _place(spark: SparkSession) -> str:
+    return f"{session.shared_dir(spark)}/corpusmill/{uuid.uuid4().hex}"
+
+
+def _chunk_files(spark: SparkSession, sf_dir: str) -> str:
+    """Documents in order of id as JSON-lines files of ``CHUNK`` lines."""
+    at = _place(spark)
+    files.write_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"), at, "doc_id", CHUNK)
+    return at
+
+
+def _chunk_number() -> Column:
+    return F.regexp_extract("file", r"chunk=([0-9]+)", 1).cast("long")
+
+
+@_query(f"SELECT CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / {CHUNK}) AS BIGINT) AS chunk, doc_id, text FROM documents")
+def chunk_files_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.jsonl(spark, _chunk_files(spark, sf_dir), "doc_id long, text string").select(_chunk_number().alias("chunk"), "doc_id", "text")
+
+
+@_query(f"SELECT chunk, count(*) AS records, 'whole' AS verdict FROM (SELECT CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / {CHUNK}) AS BIGINT) AS chunk FROM documents) GROUP BY chunk")
+def chunk_files_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.ledger(spark, _chunk_files(spark, sf_dir)).select(_chunk_number().alias("chunk"), "records", "verdict")
+
+
+@_query(f"""WITH {_SIMS}, {_EACH}, {_MEAN}, h AS (SELECT vec_id FROM c WHERE rank <= {_EACH_K} UNION SELECT vec_id FROM e), placed AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents)
+SELECT place, doc_id, text FROM placed WHERE place IN (SELECT vec_id FROM h)""")
+def fetch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents at the retrieved positions, by seeking in their files."""
+    at, place = _chunk_files(spark, sf_dir), F.col("vec_id")
+    paths = streams.listed(spark, at, "part-*").select(F.col("path").alias("file")).withColumn("chunk", _chunk_number())
+    hits = retrieve_mixed(spark, sf_dir).select(F.floor(place / CHUNK).alias("chunk"), (place % CHUNK).alias("doc_idx")).join(paths, "chunk")
+    lines = streams.lines_at(spark, hits.select("file", "doc_idx"), streams.line_index(spark, at, 50), 50)
+    found = lines.select((_chunk_number() * CHUNK + F.col("doc_idx")).alias("place"), F.from_json("raw", "doc_id long, text string").alias("r"))
+    return found.select("place", "r.doc_id", "r.text")
+
+
+@_query("SELECT lang AS headline, CAST(doc_id AS VARCHAR) AS title, text FROM documents")
+def howto_csv_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at, d = _place(spark), _table(spark, sf_dir, "documents")
+    d.select(F.col("lang").alias("headline"), F.col("doc_id").cast("string").alias("title"), "text").write.csv(at, header=True, escape='"', quoteAll=True)
+    return files.howto_csv(spark, at)
+
+
+@_query()
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.counted(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", VOCABULARY).select("doc_id", "n_tokens")
+
+
+@_query("""SELECT doc_id, '{"question": "What does digest ' || md5('[INST] ' || trim(text, '""" + WS + """') || ' [/INST]') || ' stand for?", "options": ["A. a", "B. b", "C. c", "D. d"], "answer": "A"}' AS task_sample FROM documents""")
+def resumable_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _table(spark, sf_dir, "documents").select("doc_id", T.instruct(F.col("text")).alias("prompt"))
+    return models.answers(asked, "prompt", _place(spark), rounds=4).select("doc_id", "task_sample")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
