@@ -55,7 +55,7 @@ END = CLASSES - 1
 FIRST_TAIL = HEAD // WIDTH
 BOS = HEAD + TAILS
 COUNT_TOKENS = 1 << 21
-TASK_TOKENS = 1 << 22
+TASK_TOKENS = 1 << 23
 
 
 def _tail_class(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
