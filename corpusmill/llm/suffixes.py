@@ -52,6 +52,7 @@ LENGTH = 100
 GRAM = 32
 SPLIT = 512
 BLOCK = 8
+RANGE_CHARS = 64
 SAMPLE = 64
 HOT = 64
 SALTS = 64
@@ -429,8 +430,9 @@ def _unique(documents: DataFrame) -> DataFrame:
     odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
     if not odd:
         return docs.withColumn("doc", F.col("doc_id"))
-    # ids of rows that are range-sorted rise from task to task and row to row
-    ranked = docs.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # ids of rows that are range-sorted rise from task to task and row to row; ranges are drawn by the beginnings of
+    # texts, which have the order of the texts, so that no whole text is among the rows that are sampled for their bounds
+    ranked = docs.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, RANGE_CHARS).asc_nulls_first())
     ranked = ranked.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return Scratch(docs.sparkSession).keep(ranked.withColumn("doc", F.monotonically_increasing_id()), "ranked")
 

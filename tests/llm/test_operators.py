@@ -470,6 +470,24 @@ def test_removals_in_hot_groups_and_periodic_texts(spark, monkeypatch, limits):
     assert sorted((tuple(r) for r in suffixes.removals(df).collect()), key=repr) == brute_removals([(i, t or "") for i, t in rows])
 
 
+def test_removals_of_repeated_ids_with_texts_that_begin_alike(spark):
+    rng = np.random.default_rng(29)
+    words = lambda n: " ".join(str(x) for x in rng.integers(0, 10**6, n))
+    begin, shared = "\u00fcber all alike " * 8, words(40)
+    rows = [(k % 3 if k % 4 else None, f"{begin}{words(3)} {shared if k % 2 else words(30)} {words(2)}") for k in range(60)]
+    rows += [rows[5], rows[5], (1, begin), (1, begin[:64]), (1, ""), (1, None), (None, begin[:63])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted((tuple(r) for r in suffixes.removals(df).collect()), key=repr) == brute_removals([(i, t or "") for i, t in rows])
+
+
+def test_ranges_of_repeated_ids_are_drawn_by_the_beginnings_of_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(suffixes.Scratch, "keep", lambda self, df, name="t": seen.append(df) or df)
+    suffixes._unique(spark.createDataFrame([(1, "a"), (1, "b")], "doc_id long, text string"))
+    (plan,) = [x for x in seen[0]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in x]
+    assert "substring(text" in plan
+
+
 def test_longest_previous_factors():
     rng = np.random.default_rng(21)
     for _ in range(60):
