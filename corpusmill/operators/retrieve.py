@@ -21,6 +21,10 @@ from ..session import keep
 
 MOST_QUERIES = 4096
 SALTS = 64
+#: Bins of similarities for each unit of them.
+BINS = 1 << 13
+#: Pairs of a split and a query whose ends are broadcast at most.
+MOST_ENDS = 1 << 18
 MEAN = -1
 
 
@@ -72,11 +76,28 @@ def mixed_bounds(k: int, queries: int) -> tuple[int, int]:
 
 
 def per_query(sims: DataFrame, sizes: DataFrame, split: str, doc: str, queries: int, p: float) -> DataFrame:
-    """fs, split, doc, sim: best of each query within splits, a share p of them, with no other bound."""
-    long = sims.select(split, doc, F.posexplode("sims").alias("fs", "sim"))
+    """fs, split, doc, sim: best of each query within splits, a share p of them, with no other bound.
+
+    Similarities are counted by bins first, which gives for each split and query the bin in which its share ends; rows
+    in better bins are taken where they are, and only those of that bin are ranked.  So what leaves the scan are the
+    rows taken and one bin, and no split is ranked whole.
+    """
+    bin_of = lambda sim: F.floor((1 - sim) * BINS).cast("int")
+    long = sims.select(split, F.posexplode(F.transform("sims", bin_of)).alias("fs", "bin"))
+    counts = long.groupBy(split, "fs", "bin").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(sizes), split)
+    upto = F.sum("c").over(Window.partitionBy(split, "fs").orderBy("bin"))
+    counts = counts.withColumn("before", upto - F.col("c")).withColumn("share", F.floor(F.lit(float(p)) * F.col("n") / queries / 2))
+    # the last bin of which a share takes anything; one entry a query, those without any are null
+    ends = counts.filter(F.col("before") < F.col("share")).groupBy(split, "fs").agg(F.max(F.struct("bin", (F.col("share") - F.col("before")).alias("left"))).alias("end"))
+    ends = keep(ends.groupBy(split).agg(F.map_from_entries(F.collect_list(F.struct("fs", "end"))).alias("_ends")))
+    few = ends.count() * queries <= MOST_ENDS
+    each = F.transform("sims", lambda sim, f: F.struct(f.alias("fs"), sim.alias("sim"), F.col("_ends")[f].alias("end")))
+    near = F.filter(each, lambda x: bin_of(x["sim"]) <= x["end"]["bin"])
+    rows = sims.join(F.broadcast(ends) if few else ends, split).select(split, doc, F.explode(near).alias("x"))
+    rows = keep(rows.select("x.fs", split, doc, "x.sim", (bin_of(F.col("x.sim")) == F.col("x.end.bin")).alias("last"), F.col("x.end.left").alias("left")))
     inside = Window.partitionBy(split, "fs").orderBy(F.desc("sim"), doc)
-    top = long.withColumn("rn", F.row_number().over(inside)).join(F.broadcast(sizes), split)
-    return top.filter(F.col("rn") <= F.floor(F.lit(float(p)) * F.col("n") / queries / 2)).select("fs", split, doc, "sim")
+    edge = rows.filter("last").withColumn("rn", F.row_number().over(inside)).filter(F.col("rn") <= F.col("left"))
+    return rows.filter(~F.col("last")).select("fs", split, doc, "sim").union(edge.select("fs", split, doc, "sim"))
 
 
 def ranked(rows: DataFrame, split: str, doc: str, k: int) -> DataFrame:

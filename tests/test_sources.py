@@ -211,6 +211,23 @@ def test_best_rows_are_those_of_a_sort(spark):
     assert retrieve.retrieve(corpus, queries.filter("fs_id = 1"), "label", "vec_id", 0.5, 40).count() == 0
 
 
+@pytest.mark.parametrize(("bins", "most"), [(1, 1 << 18), (7, 0), (1 << 13, 1 << 18)])
+@pytest.mark.parametrize("p", [0.0, 0.1, 0.9, 5.0])
+def test_shares_of_splits_are_those_of_a_sort(spark, monkeypatch, bins, most, p):
+    monkeypatch.setattr(retrieve, "BINS", bins)
+    monkeypatch.setattr(retrieve, "MOST_ENDS", most)
+    rng = random.Random(13)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), k, [rng.choice([-1.0, -0.25, 0.0, 0.999999, 1.0, round(rng.uniform(-1, 1), 6)]) for _ in range(3)]) for k in range(300)] + [("one", 900, [0.5, 0.5, 0.5])]
+    sims = spark.createDataFrame(rows, "label string, vec_id long, sims array<double>").repartition(5)
+    want = set()
+    for label in ("hot", "a", "b", "one"):
+        own = [r for r in rows if r[0] == label]
+        for f in range(3):
+            want |= {(f, label, k, s[f]) for _, k, s in sorted(own, key=lambda r: (-r[2][f], r[1]))[: int(p * len(own) / 3 / 2)]}
+    got = retrieve.per_query(sims, retrieve.split_sizes(sims, "label"), "label", "vec_id", 3, p).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_nan_is_no_prediction_and_metrics_are_one_object(spark):
     rows = spark.createDataFrame([("x", {"A": -1.0, "B": float("nan")}), ("x", {"A": float("nan")}), ("x", {"A": -2.0, "B": -1.0})], "text string, lp map<string,double>")
     assert [r[0] for r in rows.select(evaluate.predicted(F.col("text"), F.col("lp"), F.array(F.lit("a"), F.lit("b")))).collect()] == [0, -1, 1]
