@@ -19,10 +19,11 @@ gives each shingle a level, and within a level the fingerprint decides.
     outside a group's main component are held against all its sets.  Groups of
     up to ``SMALL`` sets give their pairs, of which sketches leave few; in larger
     groups sketches are compared in memory, and pairs become rows only if these
-    allow it, at first the ``NEAREST`` ones of a set in each other component.
-    Of these the nearest goes through the tries, which joins most of what is
-    left; then all that are still apart do, and groups that had more candidates
-    are looked into again, without that limit.
+    allow it, of each set the ``NEAREST`` ones outside its component.  Of these
+    the nearest go through the tries, which joins most of what is left; then all
+    that are still apart do, and groups that had more candidates are looked into
+    again, with ``WIDER`` times that limit, until no group has more.  So the rows
+    of a pass grow with the sets that meet, not with their square.
 
 Step 4 misses no pair: step 3 only saves work, and groups whose members are all
 joined vanish before it, so a group of copies of any size costs its length, not
@@ -55,6 +56,7 @@ CHUNK_DOCS = 128
 SMALL = 16
 CELL = 4096
 NEAREST = 4
+WIDER = 16
 SEGMENT = 64
 SHINGLE_BYTES = 1 << 19
 #: Bits of an odd sketch, and the largest set that is given so many.
@@ -468,10 +470,10 @@ def _large_groups(rows: DataFrame, heads: DataFrame, percent: int, most: int) ->
     """Pairs (a, b, ca, cb, d) whose sketches allow a link, of sets in different components that meet in larger groups.
 
     Each set outside a group's main component is held against all its sets, in cells of at most ``CELL`` sets on either
-    side, and gives its ``most`` nearest in each other component (0: all).  Groups with more have a row that names them (cut).
+    side, and gives its ``most`` nearest outside its component.  Groups with more have a row that names them (cut).
     """
     rows = rows.withColumn("at", F.xxhash64("doc_id")).join(heads.select("doc_id", F.col("n").cast("int").alias("n"), "sketch"), ["doc_id", "n"])
-    sides = ["h", "doc_id", "n", "c", "main", "sketch"]
+    sides = ["h", "doc_id", "n", "c", "sketch"]
     zero = F.lit(0).cast("long")
     copies = lambda x, many: F.explode(F.sequence(zero, x - 1)) if many else zero
     parts = []
@@ -485,18 +487,15 @@ def _large_groups(rows: DataFrame, heads: DataFrame, percent: int, most: int) ->
             doc, n, c = (cell[x].to_numpy() for x in ("doc_id", "n", "c"))
             probe, sketch = cell["probe"].to_numpy(), cell["sketch"].combine_chunks()
             x, y = (Sets(doc[m], n[m], sketch.filter(pa.array(m))) for m in (probe, ~probe))
-            cx, cy, main = c[probe], c[~probe], cell["main"][0].as_py()
+            cx, cy = c[probe], c[~probe]
             i, j, d = close_pairs(x, y, percent)
-            ok = (cx[i] != cy[j]) & ((cy[j] == main) | (x.doc[i] < y.doc[j]))
+            ok = cx[i] != cy[j]
             i, j, d = i[ok], j[ok], d[ok]
-            cut = []
-            if most and len(i):
-                order = np.lexsort((y.doc[j], d, cy[j], i))
-                i, j, d = i[order], j[order], d[order]
-                first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (cy[j][1:] != cy[j][:-1])]))
-                keep = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < most
-                cut = [] if keep.all() else [cell["h"][0].as_py()]
-                i, j, d = i[keep], j[keep], d[keep]
+            order = np.lexsort((y.doc[j], d, i))
+            i, j, d = i[order], j[order], d[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < most
+            cut = [] if keep.all() else [cell["h"][0].as_py()]
+            i, j, d = i[keep], j[keep], d[keep]
             a, b, up = x.doc[i], y.doc[j], x.doc[i] < y.doc[j]
             six = [np.where(up, a, b), np.where(up, b, a), np.where(up, cx[i], cy[j]), np.where(up, cy[j], cx[i]), d]
             none = pa.nulls(len(cut), pa.int64())
@@ -558,11 +557,19 @@ def link_components(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     two = pairs.groupBy("b", "ca").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = links.union(_verified(one.union(two).distinct(), docs, level, size, percent, scratch))
 
-    joined = scratch.keep(components(links, scratch), "joined")
+    joined, most = scratch.keep(components(links, scratch), "joined"), NEAREST
     rest = _named(_named(pairs.select("a", "b"), "a", joined, "ca"), "b", joined, "cb").filter("ca <> cb").select("a", "b")
     cut = close.filter("cut is not null").select(F.col("cut").alias("h")).distinct()
-    if cut.limit(1).count():
-        rest = rest.union(_apart(met.join(cut, "h", "left_semi"), heads, joined, percent, 0, scratch).select("a", "b"))
+    left = cut.limit(1).count()
+    while left:
+        most *= WIDER
+        close = _apart(met.join(cut, "h", "left_semi"), heads, joined, percent, most, scratch)
+        rest = rest.union(close.filter("cut is null").select("a", "b"))
+        cut = close.filter("cut is not null").select(F.col("cut").alias("h")).distinct()
+        left = cut.limit(1).count()
+        if left:
+            links = links.union(_verified(rest.distinct(), docs, level, size, percent, scratch))
+            joined, rest = scratch.keep(components(links, scratch), "joined"), rest.limit(0)
     links = links.union(_verified(rest.distinct(), docs, level, size, percent, scratch))
 
     edges = same.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(links)

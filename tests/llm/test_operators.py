@@ -372,6 +372,32 @@ def test_components_of_a_large_group_of_near_copies(spark):
     assert sorted(got, key=repr) == brute_components(rows)
 
 
+def test_rows_of_a_large_group_grow_with_its_sets(spark):
+    n = 200
+    rows = spark.createDataFrame([(1, k, 10, k, 0, 1, 1) for k in range(n)], "h long, doc_id long, n int, c long, main long, segments long, blocks long")
+    heads = spark.createDataFrame([(k, 10, bytearray(64)) for k in range(n)], "doc_id long, n long, sketch binary")
+    got = jaccard._large_groups(rows, heads, 80, jaccard.NEAREST).collect()
+    pairs = [(r.a, r.b) for r in got if r.cut is None]
+    assert len(pairs) <= jaccard.NEAREST * n and {x for p in pairs for x in p} == set(range(n))
+    assert [r.cut for r in got if r.cut is not None] == [1]
+
+
+def test_groups_with_more_candidates_are_looked_into_until_none_is_left(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "NEAREST", 1)
+    monkeypatch.setattr(jaccard, "WIDER", 2)
+    monkeypatch.setattr(jaccard, "CHAIN_RANK", 0)
+    rng = np.random.default_rng(7)
+    base = [f"t{k}" for k in range(200)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in rng.integers(0, 200, 3):
+            w[k] = f"n{rng.integers(0, 9999)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.link_components(df).collect()), key=repr) == brute_components(rows)
+
+
 def test_languages(spark, odd, none):
     d = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     got = langid.identify(d).join(d.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
