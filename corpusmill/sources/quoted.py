@@ -2,9 +2,11 @@
 
 Whether a line starts inside quotes depends on all lines before it.  But a line does one
 of four things to that state, whatever it is: leaves it, turns it round, or ends inside
-or outside.  So the state before a line is that of the last line that fixed it, turned
-round as often as lines have since; within a block that follows from running sums, over
-blocks from one row a block, and a record starts at each line that starts outside.
+or outside.  So does a block of lines, which a task reads in order: the state before a block
+is that of the last block that fixed it, turned round as often as blocks have since, told
+from one row a block.  A record starts at each line that starts outside.  Records that end
+in their block are put together where they are read; only the first and last piece of a
+block may belong to others and are shuffled.
 
 Defined cases: an empty file has no records; quotes inside a field that does not start
 with one are letters; a record that would hold over ``MOST_LINES`` lines, as after a
@@ -21,7 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import keep
+
 MOST_LINES = 100_000
+MOST_BLOCKS = 100_000
 
 
 def ends_inside(line: str, inside: bool) -> bool:
@@ -46,19 +51,92 @@ def ends_inside(line: str, inside: bool) -> bool:
             return False
 
 
-def _told(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``fixes`` (the state they end in, null if that depends on how they start) and ``turns``."""
+def _stretches(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that are of one file and block each."""
+    if b.num_rows:
+        file, block = b.column(0), b.column(1)
+        new = pc.or_(pc.not_equal(file.slice(1), file.slice(0, b.num_rows - 1)), pc.not_equal(block.slice(1), block.slice(0, b.num_rows - 1)))
+        cuts = [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            yield b.slice(lo, hi - lo)
+
+
+def _quoted(raw: pa.Array) -> tuple[list[int], list[str]]:
+    """The lines that may change the state: a line without quotes leaves it as it is."""
+    at = np.flatnonzero(pc.match_substring(raw, '"').to_numpy(zero_copy_only=False))
+    return at.tolist(), raw.take(pa.array(at)).to_pylist()
+
+
+def _blocks(lines: DataFrame) -> DataFrame:
+    """One row a block: for each state that it may start in, the state it ends in and the last of its lines that starts outside."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, done, state, start = None, 0, [], []
+
+        def told() -> pa.RecordBatch:
+            longs = {f"start_{x}": pa.array([v], pa.int64()) for x, v in zip(("out", "in"), start, strict=True)}
+            return pa.record_batch({"file": pa.array([key[0]], pa.string()), "block": pa.array([key[1]], pa.int64())} | longs | {"ends_out": [state[0]], "ends_in": [state[1]]})
+
         for b in batches:
-            raw = b.column(b.num_columns - 1)
-            out, in_ = np.zeros(len(raw), bool), np.ones(len(raw), bool)  # a line without quotes leaves the state as it is
-            quoted = np.flatnonzero(pc.match_substring(raw, '"').to_numpy(zero_copy_only=False))
-            for k, line in zip(quoted, raw.take(pa.array(quoted)).to_pylist(), strict=True):
-                out[k], in_[k] = ends_inside(line, False), ends_inside(line, True)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, mask=out != in_), pa.array((out & ~in_).astype(np.int32))], names=[*b.schema.names, "fixes", "turns"])
+            for part in _stretches(b):
+                now = (part.column(0)[0].as_py(), part.column(1)[0].as_py())
+                if now != key:
+                    if key:
+                        yield told()
+                    key, done, state, start = now, 0, [False, True], [None, None]
+                before = 0  # lines whose start is told
+                for k, line in [*zip(*_quoted(part.column(2)), strict=True), (part.num_rows, None)]:
+                    last = min(k, part.num_rows - 1)
+                    start = [done + last if not s and last >= before else x for s, x in zip(state, start, strict=True)]
+                    if line is not None:
+                        state = [ends_inside(line, s) for s in state]
+                        before = k + 1
+                done += part.num_rows
+        if key:
+            yield told()
+
+    return lines.mapInArrow(run, "file string, block long, start_out long, start_in long, ends_out boolean, ends_in boolean")
+
+
+def _pieces(lines: DataFrame) -> DataFrame:
+    """The records that start and end within a block, whole, and what a block has of others, with the record (its block and line) that it belongs to.
+
+    What has over ``MOST_LINES`` lines is a piece without a value.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file", "block", "from_block", "from_line", "n", "whole", "value"]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+        key, record, done, n, inside, held, out = None, None, 0, 0, False, [], []
 
-    return lines.mapInArrow(run, "file string, block long, id long, raw string, fixes boolean, turns int")
+        def told(whole: bool) -> None:
+            if n:
+                many = n > MOST_LINES
+                out.append((*key, *record, n, whole and not many and record[0] == key[1], None if many else "\n".join(held)))
+
+        for b in batches:
+            for part in _stretches(b):
+                now = (part.column(0)[0].as_py(), part.column(1)[0].as_py())
+                if now != key:
+                    told(False)
+                    key, done, n, held = now, 0, 0, []
+                    inside = part.column(3)[0].as_py()
+                    record = (part.column(4)[0].as_py(), part.column(5)[0].as_py())
+                for line in part.column(2).to_pylist():
+                    if not inside:
+                        told(True)
+                        record, n, held = (key[1], done), 0, []
+                    n, done = n + 1, done + 1
+                    if n <= MOST_LINES:
+                        held.append(line)
+                    if '"' in line:
+                        inside = ends_inside(line, inside)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
+            out.clear()
+        told(False)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
+
+    return lines.mapInArrow(run, "file string, block long, from_block long, from_line long, n long, whole boolean, value string")
 
 
 def _state(before, first: Column) -> Column:
@@ -70,34 +148,31 @@ def _state(before, first: Column) -> Column:
 
 def records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """file, first (whether it is its file's first record), value: records of any number of lines."""
-    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")]
-    lines = _told(spark.read.text(paths).select(*where, F.col("value").alias("raw")))
-    upto = Window.partitionBy("file", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("turned", F.sum("turns").over(upto))
-    before = upto.rowsBetween(Window.unboundedPreceding, -1)
-    # the state before each line, once for each state that its block may start in
-    lines = lines.select("*", _state(before, F.lit(False)).alias("from_out"), _state(before, F.lit(True)).alias("from_in"))
-    start = lambda state: F.max(F.when(~F.col(state), F.col("id")))
-    last = F.max_by(F.struct("fixes", "turns", "from_out", "from_in"), "id")
-    ends = lambda state: F.coalesce(F.col("last.fixes"), F.col(f"last.{state}") != (F.col("last.turns") == 1))
-    blocks = lines.groupBy("file", "block").agg(last.alias("last"), start("from_out").alias("start_out"), start("from_in").alias("start_in"), F.min("id").alias("first_id"))
-    blocks = blocks.select("file", "block", "start_out", "start_in", "first_id", F.when(ends("from_out") == ends("from_in"), ends("from_out")).alias("fixes"), (ends("from_out") & ~ends("from_in")).cast("int").alias("turns"))
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(paths).select(*where, F.col("value").alias("raw"))
+    ends = F.col("ends_out"), F.col("ends_in")
+    blocks = keep(_blocks(lines)).select("file", "block", "start_out", "start_in", F.when(ends[0] == ends[1], ends[0]).alias("fixes"), (ends[0] & ~ends[1]).cast("int").alias("turns"))
     of_file = Window.partitionBy("file").orderBy("block")
     blocks = blocks.withColumn("turned", F.sum("turns").over(of_file.rowsBetween(Window.unboundedPreceding, 0)))
     earlier = of_file.rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("inside", _state(earlier, F.lit(False)))
     begun = F.when(F.col("inside"), F.col("start_in")).otherwise(F.col("start_out"))
-    blocks = blocks.withColumn("begun", F.when(begun.isNotNull(), F.struct(F.col("block").alias("block"), begun.alias("id"))))
-    blocks = blocks.select("file", "block", "inside", F.last("begun", ignorenulls=True).over(earlier).alias("open"), F.when(F.col("block") == 0, F.col("first_id")).alias("first_id"))
-    lines = lines.select("file", "block", "id", "raw", "from_out", "from_in").join(blocks, ["file", "block"])
-    starts = ~F.when(F.col("inside"), F.col("from_in")).otherwise(F.col("from_out"))
-    own = F.last(F.when(starts, F.struct("block", "id")), ignorenulls=True).over(upto)
-    lines = lines.withColumn("record", F.coalesce(own, F.col("open")))
-    many = lines.groupBy("file", "record").count().filter(F.col("count") > MOST_LINES).select("file", "record")
-    whole = lines.join(many, ["file", "record"], "left_anti")
-    parts = F.array_sort(F.collect_list(F.struct("block", "id", "raw")))
-    told = whole.groupBy("file", "record").agg(parts.alias("parts"), F.max(F.col("first_id") == F.col("record.id")).alias("first"))
-    return told.select("file", F.coalesce("first", F.lit(False)).alias("first"), F.array_join(F.transform("parts", lambda x: x["raw"]), "\n").alias("value"))
+    blocks = blocks.withColumn("begun", F.when(begun.isNotNull(), F.struct(F.col("block").alias("block"), begun.alias("line"))))
+    blocks = blocks.withColumn("open", F.last("begun", ignorenulls=True).over(earlier))
+    blocks = keep(blocks.select("file", "block", "inside", F.col("open.block").alias("from_block"), F.col("open.line").alias("from_line")))
+    few = blocks.limit(MOST_BLOCKS + 1).count() <= MOST_BLOCKS
+    if few:
+        told = lines.join(F.broadcast(blocks), ["file", "block"])
+    else:
+        numbered = lines.withColumn("id", F.monotonically_increasing_id()).join(blocks, ["file", "block"])
+        told = numbered.repartition("file", "block").sortWithinPartitions("file", "block", "id")
+    pieces = _pieces(told.select("file", "block", "raw", "inside", "from_block", "from_line"))
+    parts, record = keep(pieces.filter("not whole")), ["file", "from_block", "from_line"]
+    many = parts.groupBy(*record).agg(F.sum("n").alias("n")).filter(F.col("n") > MOST_LINES).select(*record)
+    joined = parts.join(many, record, "left_anti").groupBy(*record).agg(F.array_sort(F.collect_list(F.struct("block", "value"))).alias("parts"))
+    joined = joined.select(*record, F.array_join(F.transform("parts", lambda x: x["value"]), "\n").alias("value"))
+    first = (F.col("from_block") == 0) & (F.col("from_line") == 0)
+    return pieces.filter("whole").select(*record, "value").union(joined).select("file", first.alias("first"), "value")
 
 
 def rows(spark: SparkSession, paths: str | list[str], schema: str, header: bool = True) -> DataFrame:

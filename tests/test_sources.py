@@ -337,6 +337,23 @@ def test_records_over_block_ends(spark, tmp_path):
     assert read == sorted(map(tuple, whole.collect()), key=repr) and len(read) > 300
 
 
+def test_records_within_a_block_are_not_shuffled(spark, tmp_path, monkeypatch):
+    kept, keep = [], quoted.keep
+    monkeypatch.setattr(quoted, "keep", lambda df: kept.append(keep(df)) or kept[-1])
+    monkeypatch.setattr(quoted, "MOST_BLOCKS", 1)
+    (tmp_path / "x.csv").write_text("h,t,x\n" + "".join(f'"a{k}","b\n\nc","{"d" * (k % 7)}"\n' for k in range(900)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = sorted(tuple(r) for r in files.howto_csv(spark, str(tmp_path / "x.csv")).collect())
+        blocks, parts = kept[1].count(), kept[2].count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted((f"a{k}", "b\n\nc", "d" * (k % 7) or None) for k in range(900))
+    assert blocks > 3 and parts <= 2 * blocks
+
+
 def test_a_quote_that_is_never_closed(spark, tmp_path, monkeypatch):
     (tmp_path / "x.csv").write_text("h,t,x\na,b,c\n\"open,\n" + "more\n" * 50)
     monkeypatch.setattr(quoted, "MOST_LINES", 20)
