@@ -2,7 +2,8 @@
 
 The file is read once, by the driver, and reaches the tasks as a broadcast of its bytes (their number is checked).  Its
 name tells the kind: ``.json`` (byte-pair merges and their rules), ``.tiktoken`` (ranked byte strings) or ``.model``
-(sentence pieces).  Texts are encoded a batch at a time.
+(sentence pieces).  Texts are encoded ``PART_BYTES`` at a time, or one text, as tokens take some hundred times a
+character's memory while a library holds them.
 
 Defined cases: a null text has no tokens and the count 0; the strings of special tokens are ordinary text.
 """
@@ -13,10 +14,13 @@ import base64
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 MOST_BYTES = 64 << 20
+PART_BYTES = 1 << 18
 #: Fixed value: how byte-pair vocabularies of ranked strings part a text before they merge.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -48,6 +52,16 @@ def loaded(name: str, data: bytes, pattern: str = PATTERN) -> tuple[Encode, Deco
     raise ValueError(f"not a vocabulary file: {name}")
 
 
+def _parts(b: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``PART_BYTES`` of text, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < b.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PART_BYTES, "right")))
+        yield b.slice(lo, hi - lo)
+        lo = hi
+
+
 def _mapped(df: DataFrame, column: str, path: str, name: str, kind: str, make: Callable[[Encode, list[str]], pa.Array]) -> DataFrame:
     data = Path(path).read_bytes()
     if len(data) > MOST_BYTES:
@@ -56,7 +70,7 @@ def _mapped(df: DataFrame, column: str, path: str, name: str, kind: str, make: C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, _ = loaded(path, shared.value)
-        for b in batches:
+        for b in (part for whole in batches for part in _parts(whole, column)):
             texts = [t or "" for t in b.column(b.schema.get_field_index(column)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, make(encode, texts)], names=[*b.schema.names, name])
 

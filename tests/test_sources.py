@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -354,6 +355,24 @@ def test_records_within_a_block_are_not_shuffled(spark, tmp_path, monkeypatch):
     assert blocks > 3 and parts <= 2 * blocks
 
 
+def test_tokens_are_counted_in_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(tokens, "loaded", lambda name, data: (lambda texts: made.append(sum(map(len, texts))) or [list(t.encode()) for t in texts], None))
+    (tmp_path / "v.json").write_text("{}")
+    texts = ["ab" * (k % 50) if k % 9 else None for k in range(300)] + ["x" * 900]
+
+    class Rows:  # what a task does, in this process
+        sparkSession, schema = spark, spark.createDataFrame([], "id long, text string").schema
+
+        def mapInArrow(self, run, schema):
+            return pa.Table.from_batches(run(iter([pa.record_batch({"id": pa.array(range(301)), "text": pa.array(texts)})])))
+
+    monkeypatch.setattr(tokens, "PART_BYTES", 500)
+    got = tokens.counted(Rows(), "text", str(tmp_path / "v.json"))
+    assert got["id"].to_pylist() == list(range(301)) and got["n_tokens"].to_pylist() == [len(t or "") for t in texts]
+    assert max(made[:-1]) <= 500 and made[-1] == 900
+
+
 def test_a_quote_that_is_never_closed(spark, tmp_path, monkeypatch):
     (tmp_path / "x.csv").write_text("h,t,x\na,b,c\n\"open,\n" + "more\n" * 50)
     monkeypatch.setattr(quoted, "MOST_LINES", 20)
