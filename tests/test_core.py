@@ -333,3 +333,8 @@ def test_command_line_from_corpus_to_metrics(spark, tmp_path):
     (tmp_path / "pairs.json").write_text('{"row_id": 0, "swapped": true, "model_preference": 1}\n{"row_id": 1, "swapped": false, "model_preference": 1}\n')
     cli.main(["winrate", "--annotated_path", at("pairs.json"), "--result_path", at("win")], spark)
     assert json.loads("".join(lines_of(tmp_path / "win"))) == {"win_rate": 0.5}
+
+
+def test_sets_of_one_length_meet_in_few_blocks(spark):
+    sets = spark.range(9_000).select(F.col("id").alias("node"), F.format_string("w%06d", "id").alias("words"))
+    assert dedup.dealt(sets, 0.155).count() == 9_000
