@@ -47,10 +47,11 @@ WIDTH = 64
 TAILS = 32
 ROWS = 1 << 13
 ROUNDS = 3
-BATCH = 1 << 11
+BATCH = 1 << 10
 PIECE = 1 << 17
 DISCOUNT = 0.5
 CLASSES = HEAD // WIDTH + TAILS + 1
+COLUMNS = CLASSES + CLASSES % 2  # a last one of no class, so that rows are whole pairs of weights
 END = CLASSES - 1
 FIRST_TAIL = HEAD // WIDTH
 BOS = HEAD + TAILS
@@ -128,8 +129,8 @@ class Model:
     known: int  # known words
     classes: np.ndarray  # class of each head word
     slots: np.ndarray  # place within its class
-    class_bias: np.ndarray
-    class_rows: np.ndarray  # ROWS x CLASSES
+    class_bias: np.ndarray  # unused columns very low
+    class_rows: np.ndarray  # ROWS x COLUMNS
     word_bias: np.ndarray  # head classes x WIDTH; unused places very low
     word_rows: np.ndarray  # ROWS x WIDTH
 
@@ -234,14 +235,18 @@ def log_probabilities(m: Model, ctx: np.ndarray, before: list[np.ndarray]) -> np
     return out
 
 
-def _scatter(expected: np.ndarray, observed: np.ndarray, features: list[np.ndarray], e: np.ndarray, places: np.ndarray) -> None:
-    """Add rows of probabilities to the rows of ``expected`` that the features name, and ones to ``observed`` at the true places."""
-    width = expected.shape[1]
-    across, flat = np.arange(width), e.ravel().view(np.float32)  # add.at is fast on numpy's own dtype object only, not on an unpickled one
+def _scatter(expected: np.ndarray, features: list[np.ndarray], e: np.ndarray) -> None:
+    """Add rows of probabilities to the rows of ``expected`` that the features name, two weights at once: as complex numbers."""
+    pairs = e.view(np.complex64)  # add.at is fast on numpy's own dtype object only, not on an unpickled one
+    width = pairs.shape[1]
+    across, flat = np.arange(width), pairs.ravel()
     for f in features:
-        at = f * width
-        np.add.at(expected.reshape(-1), (at[:, None] + across).ravel(), flat)
-        np.add.at(observed.reshape(-1), at + places, np.float32(1))
+        np.add.at(expected, ((f * width)[:, None] + across).ravel(), flat)
+
+
+def _true_places(features: list[np.ndarray], places: np.ndarray, width: int) -> np.ndarray:
+    """How often each feature stood before each true place."""
+    return np.bincount(np.concatenate([f * width + places for f in features]), minlength=ROWS * width)
 
 
 def _turn(starts: np.ndarray, turn: int, rounds: int) -> np.ndarray:
@@ -253,29 +258,33 @@ def _turn(starts: np.ndarray, turn: int, rounds: int) -> np.ndarray:
 def _round(m: Model, numbered: DataFrame, turn: int, rounds: int) -> np.ndarray | None:
     """Gradient and expected counts of both weight tables, over one residue of positions of all training texts."""
     shared = numbered.sparkSession.sparkContext.broadcast(m)
-    sizes = (ROWS * CLASSES, ROWS * WIDTH)
+    sizes = (ROWS * COLUMNS, ROWS * WIDTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         m = shared.value
-        co, ce = np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, CLASSES), np.float32)
-        wo, we = np.zeros((ROWS, WIDTH), np.float32), np.zeros((ROWS, WIDTH), np.float32)
-        for _, _, _, whole, around, starts in histories(batches, 0, m.tail_of):
+        co, wo = (np.zeros(n, np.float32) for n in sizes)
+        ce, we = (np.zeros(n // 2, np.complex64) for n in sizes)
+
+        def expect(expected: np.ndarray, bias: np.ndarray, rows: np.ndarray, features: list[np.ndarray]) -> None:
+            _, e, norm = _softmax(bias, rows, features)
+            e *= np.exp(-norm)[:, None]
+            _scatter(expected, features, e)
+
+        for _, _, _, ctx, around, starts in histories(batches, 0, m.tail_of):
             at = _turn(starts, turn, rounds)
-            whole, around = whole[at], [x[at] for x in around]
-            for lo in range(0, len(whole), BATCH):
-                c, p = whole[lo : lo + BATCH], [x[lo : lo + BATCH] for x in around]
-                k, f = _classes(m, c), _features(p)
-                _, e, norm = _softmax(m.class_bias, m.class_rows, f)
-                e *= np.exp(-norm)[:, None]
-                _scatter(ce, co, f, e, k)
-                head = np.flatnonzero((c >= 0) & (c < HEAD))
-                if len(head):
-                    kh = k[head]
-                    f = _word_features([x[head] for x in p], kh)
-                    _, e, norm = _softmax(m.word_bias[kh], m.word_rows, f)
-                    e *= np.exp(-norm)[:, None]
-                    _scatter(we, wo, f, e, m.slots[c[head]])
-        return np.concatenate([x.ravel() for x in (co - ce, ce, wo - we, we)])
+            c, p = ctx[at], [x[at] for x in around]
+            k, f = _classes(m, c), _features(p)
+            co += _true_places(f, k, COLUMNS)
+            for lo in range(0, len(c), BATCH):
+                expect(ce, m.class_bias, m.class_rows, [x[lo : lo + BATCH] for x in f])
+            head = np.flatnonzero((c >= 0) & (c < HEAD))
+            kh = k[head]
+            f = _word_features([x[head] for x in p], kh)
+            wo += _true_places(f, m.slots[c[head]], WIDTH)
+            for lo in range(0, len(head), BATCH):
+                expect(we, m.word_bias[kh[lo : lo + BATCH]], m.word_rows, [x[lo : lo + BATCH] for x in f])
+        ce, we = ce.view(np.float32), we.view(np.float32)
+        return np.concatenate([co - ce, ce, wo - we, we])
 
     out = summed_arrays(numbered.select("ids"), run)
     return None if out is None else np.split(out, np.cumsum([sizes[0], sizes[0], sizes[1]]))
@@ -343,14 +352,14 @@ def score(documents: DataFrame, fold: int = 7, held: int = 2, rounds: int = ROUN
     word_bias = np.full((FIRST_TAIL, WIDTH), -1e9, np.float32)
     real = head_c > 0
     word_bias[classes[real], slots[real]] = np.log(head_c[real] / np.maximum(1.0, class_mass[classes[real]]))
-    model = Model(tail_of, len(known), classes, slots, class_bias.astype(np.float32), np.zeros((ROWS, CLASSES), np.float32), word_bias, np.zeros((ROWS, WIDTH), np.float32))
+    model = Model(tail_of, len(known), classes, slots, np.pad(class_bias, (0, COLUMNS - CLASSES), constant_values=-1e9).astype(np.float32), np.zeros((ROWS, COLUMNS), np.float32), word_bias, np.zeros((ROWS, WIDTH), np.float32))
     for turn in range(rounds):
         sums = _round(model, train, turn, rounds)
         if sums is None:
             break
         cg, ce, wg, we = sums
         rate = 1.0 / (1 + 0.5 * turn)
-        model.class_rows = model.class_rows + np.clip(rate * 0.5 * cg / (ce + 8.0), -1.5, 1.5).reshape(ROWS, CLASSES).astype(np.float32)
+        model.class_rows = model.class_rows + np.clip(rate * 0.5 * cg / (ce + 8.0), -1.5, 1.5).reshape(ROWS, COLUMNS).astype(np.float32)
         model.word_rows = model.word_rows + np.clip(rate * 0.5 * wg / (we + 8.0), -1.5, 1.5).reshape(ROWS, WIDTH).astype(np.float32)
 
     # tail words: share of their class less the discount; what is discounted belongs to unseen words

@@ -88,6 +88,37 @@ def test_every_training_position_enters_a_gradient(spark, documents, monkeypatch
     assert observed == pytest.approx(4 * total, rel=1e-4) and expected == pytest.approx(4 * total, rel=1e-3)
 
 
+def test_gradients_take_two_weights_at_once(monkeypatch):
+    """Sums of rows by feature are those of a plain loop, with one place in memory for each two weights."""
+    rng, asked = np.random.default_rng(3), []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        class add:
+            @staticmethod
+            def at(a, index, b):
+                asked.append(len(index))
+                np.add.at(a, index, b)
+
+    monkeypatch.setattr(maxent, "np", Counted())
+    features = [rng.integers(0, 50, 300) for _ in range(4)]
+    e = rng.random((300, maxent.COLUMNS), dtype=np.float32)
+    expected = np.zeros(maxent.ROWS * maxent.COLUMNS // 2, np.complex64)
+    maxent._scatter(expected, features, e)
+    assert 2 * sum(asked) == 4 * e.size
+    want = np.zeros((maxent.ROWS, maxent.COLUMNS))
+    for f in features:
+        for row, x in zip(f, e, strict=True):
+            want[row] += x
+    assert np.allclose(expected.view(np.float32).reshape(want.shape), want, rtol=1e-4)
+    places = rng.integers(0, maxent.CLASSES, 300)
+    count = collections.Counter((f, k) for x in features for f, k in zip(x.tolist(), places.tolist(), strict=True))
+    got = maxent._true_places(features, places, maxent.COLUMNS).reshape(want.shape)
+    assert {(f, k): got[f, k] for f, k in zip(*map(np.ndarray.tolist, got.nonzero()), strict=True)} == count
+
+
 def test_class_and_word_probabilities_add_up_to_one():
     rng = np.random.default_rng(1)
     m = maxent.Model(np.zeros(maxent.HEAD, np.int64), maxent.HEAD, np.arange(maxent.HEAD) // maxent.WIDTH, np.arange(maxent.HEAD) % maxent.WIDTH, np.log(np.full(maxent.CLASSES, 1 / maxent.CLASSES)).astype(np.float32), rng.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32), np.zeros((maxent.HEAD // maxent.WIDTH, maxent.WIDTH), np.float32), rng.normal(size=(maxent.ROWS, maxent.WIDTH)).astype(np.float32))
