@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,9 +182,13 @@ def train(labelled: DataFrame, scratch: Scratch) -> Model:
 
     def table(some: DataFrame) -> tuple[tc.HashIndex, np.ndarray]:
         got = some.select("n", "key", *[F.coalesce(F.element_at("by", F.lit(k)), F.lit(0)).alias(f"c{k}") for k in range(len(langs))]).toArrow()
-        n = got["n"].to_numpy()
-        c = np.stack([got[f"c{k}"].to_numpy() for k in range(len(langs))], axis=1) if len(n) else np.zeros((0, len(langs)))
-        return tc.HashIndex(tc.unsigned(got["key"].to_numpy())), np.round(np.log((c + 0.5) / mass[n]) * UNIT).astype(np.int32)
+        n, keys = got["n"].to_numpy(), tc.unsigned(got["key"].to_numpy())
+        logs = np.empty((len(n), len(langs)), np.int32)
+        for k in range(len(langs)):  # a language at a time, as the driver's memory is bounded too
+            logs[:, k] = np.round(np.log((got[f"c{k}"].to_numpy() + 0.5) / mass[n, k]) * UNIT)
+        del got
+        tc.release()
+        return tc.HashIndex(keys), logs
 
     share = max(1, len(langs) // 8)  # the broadcast stays as large with many languages
     grams = table(most_frequent(counts.filter("n > 0"), "total", NGRAMS // share))
@@ -210,10 +215,9 @@ def _position_logs(lookup: Lookup, found: np.ndarray) -> np.ndarray:
     return np.where(found[:, None] >= 0, lookup.gram_logs[np.maximum(found, 0)], 0) if len(lookup.gram_logs) else np.zeros((len(found), lookup.gram_logs.shape[1]), np.int64)
 
 
-def _unseen_words(words: DataFrame, model: Model) -> DataFrame:
+def _unseen_words(words: DataFrame, model: Model, shared: Broadcast) -> DataFrame:
     """h and logs (by language) of the unseen words (h, w)."""
-    spark, L = words.sparkSession, len(model.langs)
-    shared = spark.sparkContext.broadcast(model.lookup)
+    L = len(model.langs)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
@@ -263,9 +267,8 @@ def _has_letter(low: bytes) -> bool:
     return any(ch.isalpha() for ch in low.decode("utf-8", "replace"))
 
 
-def _known_words(documents: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
+def _known_words(documents: DataFrame, shared: Broadcast, keep: tuple[str, ...]) -> DataFrame:
     """Columns ``keep`` and row, letter (whether there is one), n_words, sums of known words' logs, and the other words with their number."""
-    shared = documents.sparkSession.sparkContext.broadcast(model.lookup)
     kept = documents.select(*keep, F.monotonically_increasing_id().alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,12 +307,13 @@ def predict(documents: DataFrame, model: Model, scratch: Scratch, keep: tuple[st
     if not model.langs:
         return documents.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
     L = len(model.langs)
-    rows = scratch.keep(_known_words(documents, model, keep), "known")
+    shared = documents.sparkSession.sparkContext.broadcast(model.lookup)  # once: the driver keeps each broadcast in memory
+    rows = scratch.keep(_known_words(documents, shared, keep), "known")
     rest = rows.select("row", F.inline("rest"))
     words = rest.groupBy("h").agg(F.first("w").alias("w"))
     words = scratch.keep(words.join(model.counts.filter("n = 0").select(F.col("key").alias("h"), "by"), "h", "left"), "words")
     seen = words.filter("by is not null").select("h", _logs(model, F.col("by"), F.lit(0)).alias("logs"))
-    logs = seen.union(_unseen_words(words.filter("by is null"), model))
+    logs = seen.union(_unseen_words(words.filter("by is null"), model, shared))
     added = rest.select("row", "h", "k").join(logs, "h").groupBy("row").agg(F.array(*[F.sum(F.col("k") * F.col("logs")[k]) for k in range(L)]).alias("added"))
     out = rows.drop("rest").join(added, "row", "left")
     out = out.withColumn("sums", F.when(F.col("added").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "added", lambda x, y: x + y)))

@@ -88,6 +88,21 @@ def test_every_training_position_enters_a_gradient(spark, documents, monkeypatch
     assert observed == pytest.approx(4 * total, rel=1e-4) and expected == pytest.approx(4 * total, rel=1e-3)
 
 
+def test_language_model_is_broadcast_once(spark, documents, monkeypatch):
+    """The driver keeps what it broadcasts in memory, so both steps of a prediction share one copy; its logs are those of the counts."""
+    scratch = langid.Scratch(spark)
+    texts = documents.select("doc_id", "text", "lang")
+    model = langid.train(texts, scratch)
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(x) or send(self, x))
+    langid.predict(texts, model, scratch)
+    assert sum(x is model.lookup for x in sent) == 1
+    counts = {r.key: r.by for r in model.counts.filter("n = 0").collect()}
+    at = model.lookup.words.find(langid.tc.unsigned(np.array(list(counts))))
+    want = np.array([[round(math.log((by.get(k, 0) + 0.5) / model.mass[0, k]) * langid.UNIT) for k in range(len(model.langs))] for by in counts.values()])
+    assert (at >= 0).all() and np.abs(model.lookup.word_logs[at] - want).max() <= 1
+
+
 def test_gradients_take_two_weights_at_once(monkeypatch):
     """Sums of rows by feature are those of a plain loop, with one place in memory for each two weights."""
     rng, asked = np.random.default_rng(3), []
