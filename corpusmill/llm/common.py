@@ -57,6 +57,12 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame, name: str = "t", **more: Column) -> tuple[DataFrame, dict[str, int]]:
+        """The kept table with its number of rows (``rows``) and of those where a condition holds; no second job counts them."""
+        seen = Observation()
+        held = {k: F.count_if(c) for k, c in more.items()} | {"rows": F.count(F.lit(1))}
+        return self.keep(df.observe(seen, *[c.alias(k) for k, c in held.items()]), name), seen.get
+
     def drop(self, *kept: DataFrame) -> None:
         """Delete kept tables that nothing will read again."""
         for df in kept:
@@ -193,41 +199,46 @@ COMPONENT_ROUNDS = 100
 EDGES_OF_A_TASK = 1 << 18
 
 
-def components(edges: DataFrame, scratch: Scratch, most: int = EDGES_OF_A_TASK) -> DataFrame:
+def stars(batches: Iterator[pa.RecordBatch], most: int = 2 * EDGES_OF_A_TASK) -> Iterator[pa.RecordBatch]:
+    """(a, b): each node of the edges with the smallest node that they reach, if it is another; joined whole for up to ``most`` nodes."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while root.setdefault(top, top) != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    def told() -> pa.RecordBatch:
+        nodes = [x for x in root if find(x) != x]
+        out = pa.record_batch({"a": pa.array(nodes, pa.int64()), "b": pa.array([find(x) for x in nodes], pa.int64())})
+        root.clear()
+        return out
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        if len(root) > most:  # bounds the memory of a partition of any size
+            yield told()
+    yield told()
+
+
+def components(edges: DataFrame, scratch: Scratch, most: int = EDGES_OF_A_TASK, rows: int | None = None) -> DataFrame:
     """(node, component): the smallest node that edges (a, b) reach; alternating large-star and small-star steps.
 
-    Up to ``most`` edges are joined by a single task at once, which takes tens of megabytes.
+    Up to ``most`` edges are joined by a single task at once, which takes tens of megabytes; where ``rows``, the
+    number of edges in a kept table, says so beforehand, nothing else is run.
 
     Each step is a grouped minimum and a join, so a node with any number of neighbours is spread over tasks.
     Partitions join what they can on their own before each round, which saves rounds.  Rounds go on until the
     edges, told by their number and the sum of their 64-bit fingerprints, no longer change.
     """
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            top = x
-            while root.setdefault(top, top) != top:
-                top = root[top]
-            while root[x] != top:
-                root[x], x = top, root[x]
-            return top
-
-        def stars() -> pa.RecordBatch:
-            nodes = [x for x in root if find(x) != x]
-            out = pa.record_batch({"a": pa.array(nodes, pa.int64()), "b": pa.array([find(x) for x in nodes], pa.int64())})
-            root.clear()
-            return out
-
-        for b in batches:
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x, y = find(x), find(y)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-            if len(root) > 500_000:  # bounds the memory of a partition of any size
-                yield stars()
-        yield stars()
+    if rows is not None and rows <= most <= EDGES_OF_A_TASK:
+        return edges.select("a", "b").coalesce(1).mapInArrow(stars, "a long, b long").toDF("node", "component")
 
     def large_star(e: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
@@ -244,16 +255,16 @@ def components(edges: DataFrame, scratch: Scratch, most: int = EDGES_OF_A_TASK)
         e = e.filter("a <> b").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s"))
         return scratch.keep(e, "edges"), tuple(seen.get.values())
 
-    now, before = kept(edges.select("a", "b").mapInArrow(local, "a long, b long"))
+    now, before = kept(edges.select("a", "b").mapInArrow(stars, "a long, b long"))
     for _ in range(COMPONENT_ROUNDS):
         if not before[0]:
             break
         then = now
         if before[0] <= most:
-            now, _ = kept(then.coalesce(1).mapInArrow(local, "a long, b long"))
+            now, _ = kept(then.coalesce(1).mapInArrow(stars, "a long, b long"))
             scratch.drop(then)
             break
-        now, after = kept(small_star(large_star(then)).mapInArrow(local, "a long, b long"))
+        now, after = kept(small_star(large_star(then)).mapInArrow(stars, "a long, b long"))
         scratch.drop(then)
         if after == before:
             break

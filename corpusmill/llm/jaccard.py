@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcols as tc
-from .common import Scratch, bloom, bloom_has, checked_broadcast, components, fresh, one_text_per_id, summed_arrays
+from .common import EDGES_OF_A_TASK, Scratch, bloom, bloom_has, checked_broadcast, components, fresh, one_text_per_id, stars, summed_arrays
 
 SLOT_BITS = 20
 CHAIN_RANK = 8
@@ -308,15 +308,33 @@ def trie_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tu
     return out
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, level, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) among the candidate pairs (a, b), through tries over chunks of their clusters."""
-    pairs = scratch.keep(pairs, "pairs")
-    cluster = scratch.keep(components(pairs, scratch), "cluster")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    nodes = nodes.join(cluster, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
-    chunks = cluster.groupBy(F.col("component").alias("cluster")).agg(F.ceil((F.count(F.lit(1)) + 1) / CHUNK_DOCS).alias("chunks"))
-    nodes = nodes.join(chunks, "cluster").select("node", "cluster", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"))
-    nodes = scratch.keep(nodes, "nodes")
+def _named_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, cluster and the cluster's number of other nodes, of all pairs at once."""
+    links = pa.Table.from_batches(stars(batches))
+    node, cluster = (links[k].to_numpy() for k in "ab")
+    top, many = np.unique(cluster, return_counts=True)
+    node, cluster = np.concatenate([node, top]), np.concatenate([cluster, top])
+    yield pa.record_batch({"node": pa.array(node), "cluster": pa.array(cluster), "others": pa.array(many[np.searchsorted(top, cluster)])})
+
+
+def _chunks(pairs: DataFrame, rows: int, scratch: Scratch, most: int = EDGES_OF_A_TASK) -> DataFrame:
+    """node, cluster and chunk of the sets in candidate pairs; up to ``most`` pairs are named by one task, as in ``components``."""
+    if rows <= most:
+        nodes = pairs.select("a", "b").coalesce(1).mapInArrow(_named_chunks, "node long, cluster long, others long")
+    else:
+        cluster = scratch.keep(components(pairs, scratch), "cluster")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        nodes = nodes.join(cluster, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
+        nodes = nodes.join(cluster.groupBy(F.col("component").alias("cluster")).agg(F.count(F.lit(1)).alias("others")), "cluster")
+    return scratch.keep(nodes.select("node", "cluster", F.pmod(F.xxhash64("node"), F.ceil((F.col("others") + 1) / CHUNK_DOCS)).alias("chunk")), "nodes")
+
+
+def _verified(pairs: DataFrame, documents: DataFrame, level, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Links (a, b) among the candidate pairs (a, b), through tries over chunks of their clusters, and their number."""
+    pairs, seen = scratch.counted(pairs, "pairs")
+    if not seen["rows"]:
+        return pairs, 0
+    nodes = _chunks(pairs, seen["rows"], scratch)
     left, right = (nodes.select(F.col("node").alias(x), F.col("chunk").alias(f"chunk_{x}"), F.col("cluster").alias(f"cluster_{x}")) for x in "ab")
     keyed = pairs.join(left, "a").join(right.drop("cluster_b"), "b").select("a", "b", F.col("cluster_a").alias("cluster"), F.least("chunk_a", "chunk_b").alias("i"), F.greatest("chunk_a", "chunk_b").alias("j"))
     members = keyed.select("cluster", "i", "j", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -340,7 +358,9 @@ def _verified(pairs: DataFrame, documents: DataFrame, level, size: int, percent:
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     grouped = sets.join(members, "doc_id").filter(F.size("shingles") > 0).groupBy("cluster", "i", "j")
-    return scratch.keep(grouped.applyInArrow(join, "a long, b long").filter("a <> b"), "links")
+    links, seen = scratch.counted(grouped.applyInArrow(join, "a long, b long").filter("a <> b"), "links")
+    wanted.destroy()
+    return links, seen["rows"]
 
 
 def _meetings(heads: DataFrame) -> DataFrame:
@@ -508,8 +528,9 @@ def _large_groups(rows: DataFrame, heads: DataFrame, percent: int, most: int) ->
     return cells.mapInArrow(run, f"{PAIR}, d long, cut long").filter("a is null or a <> b").distinct()
 
 
-def _apart(met: DataFrame, heads: DataFrame, joined: DataFrame, percent: int, most: int, scratch: Scratch) -> DataFrame:
-    """Candidate pairs (a, b, ca, cb, d) of sets in different components ca and cb, and the groups that have more (cut).
+def _apart(met: DataFrame, heads: DataFrame, joined: DataFrame, percent: int, most: int, scratch: Scratch) -> tuple[DataFrame, dict[str, int]]:
+    """Candidate pairs (a, b, ca, cb, d) of sets in different components ca and cb, and the groups that have more (cut); the
+    number of all these rows and of the groups' (cuts).
 
     Only groups with more than one component count; the largest component of a large group meets the others, but not itself.
     """
@@ -517,12 +538,11 @@ def _apart(met: DataFrame, heads: DataFrame, joined: DataFrame, percent: int, mo
     share = rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"))
     groups = share.groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("size"), F.max(F.struct("k", "c")).alias("top")).filter("parts > 1")
     groups = groups.select("h", "size", F.col("top.c").alias("main"), F.ceil(F.col("size") / CELL).alias("segments"), F.ceil((F.col("size") - F.col("top.k")) / CELL).alias("blocks"))
-    rows = scratch.keep(rows.join(groups, "h"), "open")
+    rows, seen = scratch.counted(rows.join(groups, "h"), "open", large=F.col("size") > SMALL)
     pairs = _likely(_small_groups(rows.filter(F.col("size") <= SMALL), percent), heads, percent).withColumn("cut", F.lit(None).cast("long"))
-    large = rows.filter(F.col("size") > SMALL)
-    if large.limit(1).count():
-        pairs = pairs.unionByName(_large_groups(large, heads, percent, most))
-    return scratch.keep(pairs, "close")
+    if seen["large"]:
+        pairs = pairs.unionByName(_large_groups(rows.filter(F.col("size") > SMALL), heads, percent, most))
+    return scratch.counted(pairs, "close", cuts=F.col("cut").isNotNull())
 
 
 def _named(df: DataFrame, column: str, joined: DataFrame, name: str) -> DataFrame:
@@ -549,28 +569,30 @@ def link_components(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     heads = scratch.keep(heads.select("doc_id", F.col("n_shingles").alias("n"), "prefix", "sketch"), "heads")
 
     met = scratch.keep(_meetings(heads), "met")
-    links = _verified(_likely(_chain(met, percent), heads, percent).select("a", "b"), docs, level, size, percent, scratch)
-    joined = scratch.keep(components(links, scratch), "joined")
-    close = _apart(met, heads, joined, percent, NEAREST, scratch)
-    pairs = close.filter("cut is null").select("a", "b", "ca", "cb", "d")
-    one = pairs.groupBy("a", "cb").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    two = pairs.groupBy("b", "ca").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    links = links.union(_verified(one.union(two).distinct(), docs, level, size, percent, scratch))
-
-    joined, most = scratch.keep(components(links, scratch), "joined"), NEAREST
-    rest = _named(_named(pairs.select("a", "b"), "a", joined, "ca"), "b", joined, "cb").filter("ca <> cb").select("a", "b")
-    cut = close.filter("cut is not null").select(F.col("cut").alias("h")).distinct()
-    left = cut.limit(1).count()
-    while left:
-        most *= WIDER
-        close = _apart(met.join(cut, "h", "left_semi"), heads, joined, percent, most, scratch)
-        rest = rest.union(close.filter("cut is null").select("a", "b"))
-        cut = close.filter("cut is not null").select(F.col("cut").alias("h")).distinct()
-        left = cut.limit(1).count()
-        if left:
-            links = links.union(_verified(rest.distinct(), docs, level, size, percent, scratch))
-            joined, rest = scratch.keep(components(links, scratch), "joined"), rest.limit(0)
-    links = links.union(_verified(rest.distinct(), docs, level, size, percent, scratch))
+    links, n = _verified(_likely(_chain(met, percent), heads, percent).select("a", "b"), docs, level, size, percent, scratch)
+    joined, most = scratch.keep(components(links, scratch, rows=n), "joined"), NEAREST
+    close, seen = _apart(met, heads, joined, percent, most, scratch)
+    if seen["rows"]:
+        pairs = close.filter("cut is null").select("a", "b", "ca", "cb", "d")
+        one = pairs.groupBy("a", "cb").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+        two = pairs.groupBy("b", "ca").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+        new, k = _verified(one.union(two).distinct(), docs, level, size, percent, scratch)
+        links, n = links.union(new), n + k
+        if k:
+            joined = scratch.keep(components(links, scratch, rows=n), "joined")
+        rest = _named(_named(pairs.select("a", "b"), "a", joined, "ca"), "b", joined, "cb").filter("ca <> cb").select("a", "b")
+        while seen["cuts"]:
+            most *= WIDER
+            cut = close.filter("cut is not null").select(F.col("cut").alias("h")).distinct()
+            close, seen = _apart(met.join(cut, "h", "left_semi"), heads, joined, percent, most, scratch)
+            rest = rest.union(close.filter("cut is null").select("a", "b"))
+            if seen["cuts"]:
+                new, k = _verified(rest.distinct(), docs, level, size, percent, scratch)
+                links, n = links.union(new), n + k
+                joined, rest = scratch.keep(components(links, scratch, rows=n), "joined"), rest.limit(0)
+        new, k = _verified(rest.distinct(), docs, level, size, percent, scratch)
+        links, n = links.union(new), n + k
+    level.destroy()  # all that reads it is written
 
     edges = same.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(links)
     found = components(edges, scratch)

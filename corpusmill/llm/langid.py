@@ -302,12 +302,15 @@ def _known_words(documents: DataFrame, shared: Broadcast, keep: tuple[str, ...])
     return kept.mapInArrow(run, f"{types}, letter boolean, n_words long, sums array<long>, rest array<struct<h: long, w: binary, k: long>>")
 
 
-def predict(documents: DataFrame, model: Model, scratch: Scratch, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` of each row with lang_pred and score, the share of the best language in all."""
+def predict(documents: DataFrame, model: Model, scratch: Scratch, keep: tuple[str, ...] = ("doc_id",), shared: Broadcast | None = None) -> DataFrame:
+    """Columns ``keep`` of each row with lang_pred and score, the share of the best language in all.
+
+    ``shared``: the model's tables, from a caller who destroys them once the result is written.
+    """
     if not model.langs:
         return documents.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
     L = len(model.langs)
-    shared = documents.sparkSession.sparkContext.broadcast(model.lookup)  # once: the driver keeps each broadcast in memory
+    shared = shared or documents.sparkSession.sparkContext.broadcast(model.lookup)  # once: the driver keeps each broadcast in memory
     rows = scratch.keep(_known_words(documents, shared, keep), "known")
     rest = rows.select("row", F.inline("rest"))
     words = rest.groupBy("h").agg(F.first("w").alias("w"))
@@ -339,7 +342,12 @@ def recognised(documents: DataFrame) -> DataFrame:
     """
     scratch = Scratch(documents.sparkSession)
     texts = documents.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).withColumn("digest", F.md5("text"))
-    said = predict(texts, train(texts, scratch), scratch, ("digest",))
+    model = train(texts, scratch)
+    shared = documents.sparkSession.sparkContext.broadcast(model.lookup)
+    said = predict(texts, model, scratch, ("digest",), shared)
     name = fresh(documents, "rejected")
     rejected = scratch.keep(said.filter((F.col("lang_pred") == UND) & F.col("digest").isNotNull()).select(F.col("digest").alias(name)).distinct(), "rejected")
+    shared.destroy()  # the later stages have the driver's memory to themselves
+    del model, said
+    tc.release()
     return documents.filter(F.col("text").isNotNull()).join(checked_broadcast(rejected), F.md5(F.col("text").cast("string")) == F.col(name), "left_anti")

@@ -143,8 +143,8 @@ def mixed(documents: DataFrame) -> DataFrame:
         side = taken.select(F.col("doc_id").alias(names["id"]), F.col("source").alias(names["source"]), F.col("size").alias(names["words"]), F.col("copy").alias(names["copy"]), F.col("taken").alias(names["taken"]))
         return rows.join(checked_broadcast(side), on).select(*own, names["size"], names["taken"])
 
-    again = scratch.keep(_repeated(documents), "again")
-    if not again.limit(1).count():
+    again, seen = scratch.counted(_repeated(documents), "again")
+    if not seen["rows"]:
         return joined(sized, mix, key)
     side = again.select(F.col("doc_id").alias(names["id"]), F.col("source").alias(names["source"]), F.col("size").alias(names["words"]))
     repeats = Window.partitionBy(F.col("doc_id"), F.col("source"), F.col(names["size"])).orderBy(F.xxhash64("text"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontam, jaccard, langid, licenses, maxent, mixing, pii, quality, registry, suffixes, vectors
+from corpusmill.llm import common, decontam, jaccard, langid, licenses, maxent, mixing, pii, quality, registry, suffixes, vectors
 
 from ..oracle import DATA, spark_rows, sql_rows
 
@@ -838,3 +838,37 @@ def test_licences_are_those_of_all_windows(spark):
     df = spark.createDataFrame([(k, None, t) for k, t in enumerate(rows)], "doc_id long, path string, text string")
     got = {r.doc_id: r.license for r in licenses.scan(df, licenses.TEMPLATES).collect()}
     assert [got[k] for k in range(len(rows))] == brute_licences(rows, licenses.TEMPLATES)
+
+
+def test_near_copies_run_few_jobs_where_few_sets_meet(spark):
+    # each query's plan, and the threads that run it, stay with the driver for a while
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(6)] + [(6, " ".join(f"w0x{k}" for k in range(39))), (7, " ".join(f"w0x{k}" for k in range(40)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sc = spark.sparkContext
+    sc.setJobGroup("near_copies", "near copies")
+    try:
+        got = jaccard.one_of_each(df).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r.doc_id for r in got) == [0, 1, 2, 3, 4, 5]
+    assert len(sc.statusTracker().getJobIdsForGroup("near_copies")) <= 60
+
+
+@pytest.mark.parametrize("stage", [langid.recognised, jaccard.one_of_each])
+def test_stages_leave_no_broadcast_with_the_driver(odd, monkeypatch, stage):
+    sc, made = odd.sparkSession.sparkContext, []
+    broadcast = type(sc).broadcast
+    monkeypatch.setattr(type(sc), "broadcast", lambda self, value: made.append(broadcast(self, value)) or made[-1])
+    stage(odd).collect()
+    assert made and not any(b._jbroadcast.isValid() for b in made)
+
+
+def test_candidates_are_dealt_to_equal_chunks_by_one_task_and_by_many(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK_DOCS", 3)
+    rng = np.random.default_rng(3)
+    edges = [(int(min(x)), int(max(x))) for x in (rng.choice(60, 2, replace=False) for _ in range(45))]
+    scratch = common.Scratch(spark)
+    pairs = scratch.keep(spark.createDataFrame(edges, "a long, b long").repartition(3))
+    one, many = ({tuple(r) for r in jaccard._chunks(pairs, 45, scratch, most).collect()} for most in (45, 44))
+    assert one == many and {n for n, _, _ in one} == {x for e in edges for x in e}
+    assert {tuple(r) for r in common.components(pairs, scratch, rows=45).collect()} == {(n, c) for n, c, _ in one if n != c}
