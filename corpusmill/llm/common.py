@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import threading
 import uuid
 from collections.abc import Callable, Iterator
@@ -63,6 +64,20 @@ class Scratch:
         held = {k: F.count_if(c) for k, c in more.items()} | {"rows": F.count(F.lit(1))}
         return self.keep(df.observe(seen, *[c.alias(k) for k, c in held.items()]), name), seen.get
 
+    def small(self, df: DataFrame, name: str = "t", most: int = BROADCAST_BYTES) -> DataFrame:
+        """The kept table, to be broadcast where ``checked_broadcast`` would; it is measured as it is written, by no job of its own."""
+        size, seen = _row_bytes(df), Observation()
+        if size is None:
+            return self.keep(df, name)
+        kept = self.keep(df.observe(seen, F.sum(size).alias("bytes")), name)
+        return F.broadcast(kept) if (seen.get["bytes"] or 0) <= most else kept
+
+    def tidy(self) -> None:
+        """Have the driver collect its garbage: plans, shuffle files and broadcasts of finished queries go only then, and its
+        heap, which grows with the queries in between, is given back."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *kept: DataFrame) -> None:
         """Delete kept tables that nothing will read again."""
         for df in kept:
@@ -95,18 +110,26 @@ def remainder(column: Column, n: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def _row_bytes(df: DataFrame) -> Column | None:
+    """Bytes that a row takes in a broadcast, with its strings; None for rows with arrays or maps, which are never broadcast."""
+    if any(f.dataType.typeName() in ("array", "map") for f in df.schema.fields):
+        return None
+    size = F.lit(ROW_BYTES)
+    for f in df.schema.fields:
+        if f.dataType.typeName() in ("string", "binary", "struct"):
+            size = size + F.coalesce(F.octet_length(F.to_json(f.name) if f.dataType.typeName() == "struct" else f.name), F.lit(0))
+    return size
+
+
 def checked_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast a kept table if its rows, with their strings, take at most ``most`` bytes; else leave the shuffle join.
 
     The driver holds a broadcast table as well, so the bound does not grow with the cluster.
     """
-    if any(f.dataType.typeName() in ("array", "map") for f in df.schema.fields):
+    size = _row_bytes(df)
+    if size is None:
         return df
-    wide = [F.coalesce(F.octet_length(F.to_json(f.name) if f.dataType.typeName() == "struct" else f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "struct")]
-    size = F.lit(ROW_BYTES)
-    for w in wide:
-        size = size + w
-    if not wide:
+    if not any(f.dataType.typeName() in ("string", "binary", "struct") for f in df.schema.fields):
         return F.broadcast(df) if df.limit(most // ROW_BYTES + 1).count() * ROW_BYTES <= most else df
     return F.broadcast(df) if (df.select(F.sum(size)).first()[0] or 0) <= most else df
 

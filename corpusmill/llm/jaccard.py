@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcols as tc
-from .common import EDGES_OF_A_TASK, Scratch, bloom, bloom_has, checked_broadcast, components, fresh, one_text_per_id, stars, summed_arrays
+from .common import EDGES_OF_A_TASK, Scratch, bloom, bloom_has, components, fresh, one_text_per_id, stars, summed_arrays
 
 SLOT_BITS = 20
 CHAIN_RANK = 8
@@ -92,10 +92,14 @@ def levels(documents: DataFrame, size: int) -> np.ndarray:
     total = summed_arrays(documents.select("text"), count)
     if total is None:
         return np.zeros(1 << SLOT_BITS, np.uint8)
-    total = total.astype(np.float64)
     mean = max(4.0, float(np.median(total)))
-    over = (total - mean) / (6 * np.sqrt(mean))
-    return np.where(over < 1, 0, np.log2(np.maximum(over, 1)).astype(np.int64) + 1).astype(np.uint8)
+    out = np.empty(len(total), np.uint8)
+    for lo in range(0, len(total), 1 << 16):  # piece by piece, as this runs in the driver
+        over = (total[lo : lo + (1 << 16)].astype(np.float64) - mean) / (6 * np.sqrt(mean))
+        out[lo : lo + (1 << 16)] = np.where(over < 1, 0, np.log2(np.maximum(over, 1)).astype(np.int64) + 1)
+    del total
+    tc.release()
+    return out
 
 
 def _ordered(owner: np.ndarray, s: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -546,9 +550,9 @@ def _apart(met: DataFrame, heads: DataFrame, joined: DataFrame, percent: int, mo
 
 
 def _named(df: DataFrame, column: str, joined: DataFrame, name: str) -> DataFrame:
-    """``df`` with the component of a column's sets."""
+    """``df`` with the component of a column's sets; ``joined`` is kept, and marked for broadcast if it is small."""
     of = joined.select(F.col("node").alias(f"{name}_node"), F.col("component").alias(f"{name}_part"))
-    out = df.join(checked_broadcast(of), F.col(column) == F.col(f"{name}_node"), "left")
+    out = df.join(of, F.col(column) == F.col(f"{name}_node"), "left")
     return out.withColumn(name, F.coalesce(f"{name}_part", column)).drop(f"{name}_node", f"{name}_part")
 
 
@@ -567,11 +571,14 @@ def link_components(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     # a doc_id with two rows of one class is one head: rows of a class have equal prefixes and sketches
     heads = full.join(reps, ["doc_id", "n_shingles", "sig_a", "sig_b"], "left_semi").dropDuplicates(["doc_id", "n_shingles", "sig_a", "sig_b"])
     heads = scratch.keep(heads.select("doc_id", F.col("n_shingles").alias("n"), "prefix", "sketch"), "heads")
+    scratch.tidy()
 
     met = scratch.keep(_meetings(heads), "met")
     links, n = _verified(_likely(_chain(met, percent), heads, percent).select("a", "b"), docs, level, size, percent, scratch)
-    joined, most = scratch.keep(components(links, scratch, rows=n), "joined"), NEAREST
+    joined, most = scratch.small(components(links, scratch, rows=n), "joined"), NEAREST
+    scratch.tidy()
     close, seen = _apart(met, heads, joined, percent, most, scratch)
+    scratch.tidy()
     if seen["rows"]:
         pairs = close.filter("cut is null").select("a", "b", "ca", "cb", "d")
         one = pairs.groupBy("a", "cb").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
@@ -579,7 +586,7 @@ def link_components(documents: DataFrame, size: int = 5, percent: int = 80) -> D
         new, k = _verified(one.union(two).distinct(), docs, level, size, percent, scratch)
         links, n = links.union(new), n + k
         if k:
-            joined = scratch.keep(components(links, scratch, rows=n), "joined")
+            joined = scratch.small(components(links, scratch, rows=n), "joined")
         rest = _named(_named(pairs.select("a", "b"), "a", joined, "ca"), "b", joined, "cb").filter("ca <> cb").select("a", "b")
         while seen["cuts"]:
             most *= WIDER
@@ -589,10 +596,11 @@ def link_components(documents: DataFrame, size: int = 5, percent: int = 80) -> D
             if seen["cuts"]:
                 new, k = _verified(rest.distinct(), docs, level, size, percent, scratch)
                 links, n = links.union(new), n + k
-                joined, rest = scratch.keep(components(links, scratch, rows=n), "joined"), rest.limit(0)
+                joined, rest = scratch.small(components(links, scratch, rows=n), "joined"), rest.limit(0)
         new, k = _verified(rest.distinct(), docs, level, size, percent, scratch)
         links, n = links.union(new), n + k
     level.destroy()  # all that reads it is written
+    scratch.tidy()
 
     edges = same.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(links)
     found = components(edges, scratch)
@@ -603,8 +611,8 @@ def one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataF
     """The documents without those that are linked to one with a smaller id; of rows with one id, all stay or go."""
     gone_id = fresh(documents, "gone_id")
     gone = link_components(documents, size, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
-    gone = Scratch(documents.sparkSession).keep(gone, "gone")
-    return documents.join(checked_broadcast(gone), F.col("doc_id").cast("long") == F.col(gone_id), "left_anti")
+    gone = Scratch(documents.sparkSession).small(gone, "gone")
+    return documents.join(gone, F.col("doc_id").cast("long") == F.col(gone_id), "left_anti")
 
 
 ORACLE_SQL = r"""

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textcols as tc
-from .common import Scratch, checked_broadcast, fresh, most_frequent, one_text_per_id, remainder
+from .common import Scratch, fresh, most_frequent, one_text_per_id, remainder
 
 UND = "und"
 GRAMS = 4
@@ -343,11 +343,12 @@ def recognised(documents: DataFrame) -> DataFrame:
     scratch = Scratch(documents.sparkSession)
     texts = documents.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).withColumn("digest", F.md5("text"))
     model = train(texts, scratch)
+    scratch.tidy()
     shared = documents.sparkSession.sparkContext.broadcast(model.lookup)
     said = predict(texts, model, scratch, ("digest",), shared)
     name = fresh(documents, "rejected")
-    rejected = scratch.keep(said.filter((F.col("lang_pred") == UND) & F.col("digest").isNotNull()).select(F.col("digest").alias(name)).distinct(), "rejected")
+    rejected = scratch.small(said.filter((F.col("lang_pred") == UND) & F.col("digest").isNotNull()).select(F.col("digest").alias(name)).distinct(), "rejected")
     shared.destroy()  # the later stages have the driver's memory to themselves
     del model, said
     tc.release()
-    return documents.filter(F.col("text").isNotNull()).join(checked_broadcast(rejected), F.md5(F.col("text").cast("string")) == F.col(name), "left_anti")
+    return documents.filter(F.col("text").isNotNull()).join(rejected, F.md5(F.col("text").cast("string")) == F.col(name), "left_anti")

@@ -79,8 +79,8 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int
     rows = docs.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies"))
     rows = scratch.keep(rows.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")), "rows")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, passes)
-    targets = scratch.keep(targets.withColumnRenamed("source", "t_source"), "targets")
-    known = rows.join(checked_broadcast(targets), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    targets = scratch.small(targets.withColumnRenamed("source", "t_source"), "targets")
+    known = rows.join(targets, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     turns = known.filter("size > 0").select("doc_id", "copy", "place", "size", "source_size", "total", "target", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("turn"))
     turns = turns.filter(F.col("turn") * F.col("source_size") < F.col("target"))
     turns = turns.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), "turn", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "copy")))
@@ -88,17 +88,18 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int
     inside = Window.partitionBy("place", "turn", "range").orderBy("key", "doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, 0)
     queue = turns.withColumn("run", F.sum("size").over(inside)).drop("key")
     queue = scratch.keep(queue.select("doc_id", "copy", "place", "size", "turn", "range", "source_size", "total", "target", "run"), "queue")
+    scratch.tidy()
     ranges = queue.groupBy("place", "turn", "range").agg(F.sum("size").alias("range_size"))
     earlier = Window.partitionBy("place", "turn").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     # at most BUCKETS rows a source and pass
-    ranges = scratch.keep(ranges.select("place", "turn", "range", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("base")), "ranges")
-    queue = queue.join(checked_broadcast(ranges), ["place", "turn", "range"])
+    ranges = scratch.small(ranges.select("place", "turn", "range", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("base")), "ranges")
+    queue = queue.join(ranges, ["place", "turn", "range"])
     queue = queue.withColumn("finish", (F.col("turn") * F.col("source_size") + F.col("base") + F.col("run")) / F.col("target"))
     none = known.select("doc_id", "copy", "place", "size", F.lit(0).cast("long").alias("took"))
     taken = _truncated(queue, scratch).select("doc_id", "copy", "place", "size", F.col("size").alias("took")).union(none)
     out = taken.groupBy("doc_id", "copy", "place", "size").agg(F.sum("took").alias("taken"))
     named = targets.select(F.col("place"), F.col("t_source").alias("source"), F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"))
-    return out.join(checked_broadcast(named), "place").select("doc_id", "source", F.col("size").cast("long").alias("size"), F.col("copy").cast("long").alias("copy"), "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    return out.join(named, "place").select("doc_id", "source", F.col("size").cast("long").alias("size"), F.col("copy").cast("long").alias("copy"), "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
 def _truncated(queue: DataFrame, scratch: Scratch) -> DataFrame:
@@ -118,9 +119,9 @@ def _truncated(queue: DataFrame, scratch: Scratch) -> DataFrame:
     part = q.filter(F.col("hi") == at).withColumn("lo", F.floor((F.col("digits") - F.col("hi")) * BUCKETS))
     part = scratch.keep(part.select("doc_id", "copy", "place", "size", "turn", "total", "finish", "lo"), "end")
     before = Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
-    lo = scratch.keep(part.groupBy("lo").agg(F.sum("size").alias("s")).select("lo", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("before")), "digits")
+    lo = scratch.small(part.groupBy("lo").agg(F.sum("size").alias("s")).select("lo", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("before")), "digits")
     exact = Window.partitionBy("lo").orderBy("finish", "place", "turn", "doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, 0)
-    part = part.join(checked_broadcast(lo), "lo").withColumn("cum", F.lit(base) + F.col("before") + F.sum("size").over(exact)).filter(F.col("cum") <= F.col("total"))
+    part = part.join(lo, "lo").withColumn("cum", F.lit(base) + F.col("before") + F.sum("size").over(exact)).filter(F.col("cum") <= F.col("total"))
     columns = ["doc_id", "copy", "place", "size"]
     return whole.select(*columns).union(part.select(*columns))
 
@@ -134,14 +135,15 @@ def mixed(documents: DataFrame) -> DataFrame:
     """
     scratch = Scratch(documents.sparkSession)
     names = {k: fresh(documents, f"mix_{k}") for k in ("size", "taken", "id", "source", "copy", "words", "copies", "number")}
-    mix = scratch.keep(mix_sources(documents).filter("taken > 0"), "mix")
+    mix = scratch.small(mix_sources(documents).filter("taken > 0"), "mix")
+    scratch.tidy()
     own = [F.col(c) for c in documents.columns]
     sized = documents.withColumn(names["size"], word_count(F.col("text")))
     key = F.col("doc_id").cast("long").eqNullSafe(F.col(names["id"])) & F.col("source").cast("string").eqNullSafe(F.col(names["source"])) & (F.col(names["size"]) == F.col(names["words"]))
 
     def joined(rows: DataFrame, taken: DataFrame, on: Column) -> DataFrame:
         side = taken.select(F.col("doc_id").alias(names["id"]), F.col("source").alias(names["source"]), F.col("size").alias(names["words"]), F.col("copy").alias(names["copy"]), F.col("taken").alias(names["taken"]))
-        return rows.join(checked_broadcast(side), on).select(*own, names["size"], names["taken"])
+        return rows.join(side, on).select(*own, names["size"], names["taken"])
 
     again, seen = scratch.counted(_repeated(documents), "again")
     if not seen["rows"]:

@@ -872,3 +872,32 @@ def test_candidates_are_dealt_to_equal_chunks_by_one_task_and_by_many(spark, mon
     one, many = ({tuple(r) for r in jaccard._chunks(pairs, 45, scratch, most).collect()} for most in (45, 44))
     assert one == many and {n for n, _, _ in one} == {x for e in edges for x in e}
     assert {tuple(r) for r in common.components(pairs, scratch, rows=45).collect()} == {(n, c) for n, c, _ in one if n != c}
+
+
+def jobs_of(sc, run):
+    group = f"jobs-{id(run)}"
+    sc.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    return len(sc.statusTracker().getJobIdsForGroup(group))
+
+
+def test_mix_runs_few_jobs(spark):
+    df = spark.createDataFrame([(i, f"s{i % 3}", " ".join(["w"] * (i % 5 + 1))) for i in range(40)], "doc_id long, source string, text string")
+    assert jobs_of(spark.sparkContext, lambda: mixing.mixed(df).collect()) <= 35
+
+
+def test_small_tables_are_measured_as_they_are_written(spark):
+    scratch, df = common.Scratch(spark), spark.range(100).select("id", F.repeat(F.lit("x"), 36).alias("s"))
+    plans = {}
+    for most in (10000, 9999):  # 64 bytes a row and 36 of its string
+        made = []
+        jobs = jobs_of(spark.sparkContext, lambda m=most, out=made: out.append(scratch.small(df, most=m)))
+        assert jobs == jobs_of(spark.sparkContext, lambda: scratch.keep(df))
+        assert made[0].count() == 100
+        plans[most] = made[0]._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" in plans[10000] and "ResolvedHint" not in plans[9999]
+    lists = scratch.small(df.select(F.array("id").alias("a")))
+    assert lists.count() == 100 and "ResolvedHint" not in lists._jdf.queryExecution().analyzed().toString()
