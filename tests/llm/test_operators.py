@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import uuid
 import zlib
 
 import duckdb
@@ -875,7 +876,7 @@ def test_candidates_are_dealt_to_equal_chunks_by_one_task_and_by_many(spark, mon
 
 
 def jobs_of(sc, run):
-    group = f"jobs-{id(run)}"
+    group = uuid.uuid4().hex
     sc.setJobGroup(group, group)
     try:
         run()
