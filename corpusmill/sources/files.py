@@ -63,9 +63,9 @@ def record_string(*columns: str) -> Column:
     return F.concat_ws("\n\n", *[F.concat(F.lit(f"{c}: "), F.col(c)) for c in columns])
 
 
-def howto_csv(spark: SparkSession, path: str) -> DataFrame:
+def howto_csv(spark: SparkSession, path: str, null: str = "", line_end: str | None = None) -> DataFrame:
     """headline, title, text; rows with another number of fields are skipped; a file is read by as many tasks as it has blocks."""
-    return quoted.rows(spark, path, "headline string, title string, text string")
+    return quoted.rows(spark, path, "headline string, title string, text string", null=null, line_end=line_end)
 
 
 def titles(spark: SparkSession, path: str) -> DataFrame:

@@ -10,7 +10,8 @@ block may belong to others and are shuffled.
 
 Defined cases: an empty file has no records; quotes inside a field that does not start
 with one are letters; a record that would hold over ``MOST_LINES`` lines, as after a
-quote that is never closed, is left out; line ends inside quotes become a line feed.
+quote that is never closed, is left out; line ends inside quotes become a line feed,
+unless ``line_end`` names the only one.
 """
 
 from __future__ import annotations
@@ -146,10 +147,10 @@ def _state(before, first: Column) -> Column:
     return F.coalesce(fixed, first) != (turned % 2 == 1)
 
 
-def records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, first (whether it is its file's first record), value: records of any number of lines."""
+def records(spark: SparkSession, paths: str | list[str], line_end: str | None = None) -> DataFrame:
+    """file, first (whether it is its file's first record), value: records of any number of lines, which end as ``line_end`` says or in any way."""
     where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    lines = spark.read.text(paths).select(*where, F.col("value").alias("raw"))
+    lines = spark.read.text(paths, lineSep=line_end).select(*where, F.col("value").alias("raw"))
     ends = F.col("ends_out"), F.col("ends_in")
     blocks = keep(_blocks(lines)).select("file", "block", "start_out", "start_in", F.when(ends[0] == ends[1], ends[0]).alias("fixes"), (ends[0] & ~ends[1]).cast("int").alias("turns"))
     of_file = Window.partitionBy("file").orderBy("block")
@@ -175,9 +176,14 @@ def records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return pieces.filter("whole").select(*record, "value").union(joined).select("file", first.alias("first"), "value")
 
 
-def rows(spark: SparkSession, paths: str | list[str], schema: str, header: bool = True) -> DataFrame:
-    """The records as columns; records with another number of fields, and each file's first one as ``header``, are left out."""
-    found = records(spark, paths)
+def rows(spark: SparkSession, paths: str | list[str], schema: str, header: bool = True, null: str = "", line_end: str | None = None) -> DataFrame:
+    """The records as columns; records with another number of fields, and each file's first one as ``header``, are left out.
+
+    A field that is ``null``, quoted or not, is a null.
+    """
+    found = records(spark, paths, line_end)
     found = found.filter(~F.col("first")) if header else found
-    parsed = found.select(F.from_csv("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt", "escape": '"', "mode": "PERMISSIVE"}).alias("r"))
+    # the default for charToEscapeQuoteEscaping, NUL, would be dropped from quoted fields
+    options = {"columnNameOfCorruptRecord": "_corrupt", "escape": '"', "charToEscapeQuoteEscaping": '"', "nullValue": null, "mode": "PERMISSIVE"}
+    parsed = found.select(F.from_csv("value", f"{schema}, _corrupt string", options).alias("r"))
     return parsed.filter("r is not null and r._corrupt is null").select("r.*").drop("_corrupt")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import cli
 from corpusmill.operators import clean, evaluate, prompts, retrieve, sampling
-from corpusmill.plans import models, tokens
+from corpusmill.plans import models, registry, tokens
 from corpusmill.sources import files, quoted, streams
 from corpusmill.streaming import incremental
 
@@ -338,6 +338,14 @@ def test_records_over_block_ends(spark, tmp_path):
     assert read == sorted(map(tuple, whole.collect()), key=repr) and len(read) > 300
 
 
+def test_every_text_comes_back_from_csv_as_it_was(spark, tmp_path):
+    texts = ["a", None, "", " a", "a ", "\tx\n", "\n", "a\r\nb", "a\rb", "\r", "\\", '"', '""', 'a"\n', "\x00", "a\x00b", "\x1f", '","', '"\n"', "\\N", "\ufeffx"]
+    rows = [(k, t, "en") for k, t in enumerate(texts)] + [(k, "x", lang) for k, lang in enumerate([None, "", " de "], 100)] + [(None, "x", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()["howto_csv_read"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((lang, None if k is None else str(k), t) for k, t, lang in rows), key=repr)
+
+
 def test_records_within_a_block_are_not_shuffled(spark, tmp_path, monkeypatch):
     kept, keep = [], quoted.keep
     monkeypatch.setattr(quoted, "keep", lambda df: kept.append(keep(df)) or kept[-1])
