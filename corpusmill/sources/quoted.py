@@ -9,9 +9,9 @@ in their block are put together where they are read; only the first and last pie
 block may belong to others and are shuffled.
 
 Defined cases: an empty file has no records; quotes inside a field that does not start
-with one are letters; a record that would hold over ``MOST_LINES`` lines, as after a
-quote that is never closed, is left out; line ends inside quotes become a line feed,
-unless ``line_end`` names the only one.
+with one are letters; a quote that is never closed holds what is left of its file, as one
+field; line ends inside quotes become a line feed, unless ``line_end`` names the only one.
+A record is one row, so one of over 2 GB is an error.
 """
 
 from __future__ import annotations
@@ -102,34 +102,35 @@ def _blocks(lines: DataFrame) -> DataFrame:
 def _pieces(lines: DataFrame) -> DataFrame:
     """The records that start and end within a block, whole, and what a block has of others, with the record (its block and line) that it belongs to.
 
-    What has over ``MOST_LINES`` lines is a piece without a value.
+    What a block has of a record goes in pieces of at most ``MOST_LINES`` lines each, told apart by their first lines.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["file", "block", "from_block", "from_line", "n", "whole", "value"]
+        names = ["file", "block", "from_block", "from_line", "line", "whole", "value"]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
-        key, record, done, n, inside, held, out = None, None, 0, 0, False, [], []
+        key, record, done, inside, held, out = None, None, 0, False, [], []
 
-        def told(whole: bool) -> None:
-            if n:
-                many = n > MOST_LINES
-                out.append((*key, *record, n, whole and not many and record[0] == key[1], None if many else "\n".join(held)))
+        def told(ends: bool) -> None:
+            if held:
+                at = done - len(held)
+                out.append((*key, *record, at, ends and record == (key[1], at), "\n".join(held)))
 
         for b in batches:
             for part in _stretches(b):
                 now = (part.column(0)[0].as_py(), part.column(1)[0].as_py())
                 if now != key:
                     told(False)
-                    key, done, n, held = now, 0, 0, []
+                    key, done, held = now, 0, []
                     inside = part.column(3)[0].as_py()
                     record = (part.column(4)[0].as_py(), part.column(5)[0].as_py())
                 for line in part.column(2).to_pylist():
+                    if not inside or len(held) >= MOST_LINES:
+                        told(not inside)
+                        held = []
                     if not inside:
-                        told(True)
-                        record, n, held = (key[1], done), 0, []
-                    n, done = n + 1, done + 1
-                    if n <= MOST_LINES:
-                        held.append(line)
+                        record = (key[1], done)
+                    held.append(line)
+                    done += 1
                     if '"' in line:
                         inside = ends_inside(line, inside)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
@@ -137,7 +138,7 @@ def _pieces(lines: DataFrame) -> DataFrame:
         told(False)
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
 
-    return lines.mapInArrow(run, "file string, block long, from_block long, from_line long, n long, whole boolean, value string")
+    return lines.mapInArrow(run, "file string, block long, from_block long, from_line long, line long, whole boolean, value string")
 
 
 def _state(before, first: Column) -> Column:
@@ -169,8 +170,7 @@ def records(spark: SparkSession, paths: str | list[str], line_end: str | None =
         told = numbered.repartition("file", "block").sortWithinPartitions("file", "block", "id")
     pieces = _pieces(told.select("file", "block", "raw", "inside", "from_block", "from_line"))
     parts, record = keep(pieces.filter("not whole")), ["file", "from_block", "from_line"]
-    many = parts.groupBy(*record).agg(F.sum("n").alias("n")).filter(F.col("n") > MOST_LINES).select(*record)
-    joined = parts.join(many, record, "left_anti").groupBy(*record).agg(F.array_sort(F.collect_list(F.struct("block", "value"))).alias("parts"))
+    joined = parts.groupBy(*record).agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("parts"))
     joined = joined.select(*record, F.array_join(F.transform("parts", lambda x: x["value"]), "\n").alias("value"))
     first = (F.col("from_block") == 0) & (F.col("from_line") == 0)
     return pieces.filter("whole").select(*record, "value").union(joined).select("file", first.alias("first"), "value")

@@ -387,6 +387,20 @@ def test_a_quote_that_is_never_closed(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in files.howto_csv(spark, str(tmp_path / "x.csv")).collect()] == [("a", "b", "c")]
 
 
+def test_records_of_any_number_of_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quoted, "MOST_LINES", 20)
+    want = [(f"{k}", "b", "\n".join(f"{k} {j}" for j in range(n))) for k, n in enumerate([1, 19, 20, 21, 22, 40, 41, 500, 3])]
+    (tmp_path / "x.csv").write_text("h,t,x\n" + "".join(f'"{h}","{t}","{x}"\n' for h, t, x in want))
+    for size in ("100m", "300"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            assert sorted(map(tuple, files.howto_csv(spark, str(tmp_path / "x.csv")).collect())) == sorted(want)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 @pytest.mark.parametrize("line", ["", "a,b", '"', '""', '"a', 'a"', '"a"b', '"a""', '"a"",b', 'x,"', 'x,"y",', '"",""', '"",""","', ',"a""b"",'])
 def test_states_of_lines(line):
     for inside in (False, True):
