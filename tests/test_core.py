@@ -224,6 +224,25 @@ def test_each_kind_of_candidate_is_lossless(spark):
                 assert (i, j) in near
 
 
+@pytest.mark.parametrize("words", [(3, 5), (8, 12), (25, 35), (70, 90)])
+def test_unlike_strings_are_no_candidates(spark, words):
+    rng = random.Random(words[0])
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(3, 8)))
+    common, base_of = [word() for _ in range(30)], {}
+    for k in range(60):
+        base = [word() if rng.random() < 0.7 else rng.choice(common) for _ in range(rng.randint(*words))]
+        for share in (0, 0.2, 0.4, 0.6):
+            edited = [w[:at] + rng.choice(["", "x", w[at] + "y"]) + w[at + 1 :] if rng.random() < share else w for w in base for at in [rng.randrange(len(w))]]
+            base_of[" ".join(sorted(set(edited)))] = k
+    sets = list(base_of)
+    df = spark.createDataFrame(list(enumerate(sets)), "node long, words string")
+    near, covered = ({(r.a, r.b) for r in f.collect()} for f in (dedup.alike(df, 85, 64), dedup.covering(df, 85)))
+    of = [frozenset(s.split(" ")) for s in sets]
+    true = {(i, j) for j in range(len(sets)) for i in range(j) if fuzzy.set_ratio(of[i], of[j]) >= 85}
+    assert true <= near | covered and len(true - covered) > 5
+    assert sum(base_of[sets[i]] != base_of[sets[j]] for i, j in near - true) < 0.001 * len(sets) ** 2
+
+
 def test_greedy_with_repeated_and_null_ids(spark):
     rows = [(1, "alpha beta gamma delta", 1), (1, "alpha beta gamma delta epsilon", 2), (2, "zeta eta", 3), (None, "alpha beta gamma delta", 4), (None, "iota kappa", 5), (None, None, 6), (3, "", 7), (3, "zeta eta", 8), (4, "eta zeta", 9), (5, "!!", 10)]
     df = spark.createDataFrame(rows, "idx long, text string, _words int")
