@@ -162,6 +162,16 @@ def test_ratio_is_that_of_the_definition():
             assert fuzzy.token_set_ratio(x, y) == brute_ratio(x, y), (x, y)
 
 
+def test_common_words_alone():
+    sets = [frozenset(fuzzy.tokens(t)) for t in hard_texts(random.Random(5), 60)]
+    for least in (55, 85, 86, 100):
+        for x in sets:
+            for y in sets:
+                both = len(" ".join(sorted(x & y)))
+                whole = [round(200 * both / (both + len(" ".join(z)))) if both else 0 for z in (x, y)]
+                assert fuzzy.covers(x, y, least) == (bool(x & y) and (x <= y or y <= x or max(whole) >= least))
+
+
 @pytest.mark.parametrize("rows", [2, 2000])
 def test_greedy_rule(spark, rows):
     texts = TEXTS + [f"{t} {k}" for k, t in enumerate(TEXTS)]
